@@ -1,0 +1,4 @@
+"""Intentionally empty: every operator of this package is a batch operator.
+
+Years are ordinary keys, so nothing here needs watermarks, windows or state.
+"""
