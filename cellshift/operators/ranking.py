@@ -1,8 +1,8 @@
 """Exact ranks and quantiles inside groups of any size.
 
 A window partitioned by area would sort a whole area in one task, and one area
-may hold a third of all cells.  These helpers first check the largest group.
-While it fits one task a plain window (or ``percentile``) is used.  Beyond
+may hold a third of all cells.  These helpers first measure the groups.  While
+the largest fits one task a plain window (or ``percentile``) is used.  Beyond
 that, each large group is cut into slices of its own sort order: cut points come
 from a hash sample, a pure function of the rows, so a re-run task sees the same
 cuts; every slice is ranked on its own and shifted by the size of the slices
@@ -12,6 +12,7 @@ before it.  Ranks are exact in both cases.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,24 +25,35 @@ MAX_BROADCAST_ROWS = 200_000
 _SAMPLE_PER_SLICE = 64
 
 
-def max_group_rows(df: DataFrame) -> int:
+class GroupStats(NamedTuple):
+    """Group sizes and what the driver needs to know about them."""
+
+    sizes: DataFrame  # (keys, n)
+    groups: int
+    slices: int  # total slices of the groups above the limit; 0 if none
+    limit: int
+
+
+def group_row_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.cellshift.maxGroupRows", str(MAX_GROUP_ROWS)))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= MAX_BROADCAST_ROWS else df
+def group_stats(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> GroupStats:
+    """Count rows per group (map-side combined) and fetch three totals."""
+    limit = limit or group_row_limit(df)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.when(F.col("n") > limit, F.ceil(F.col("n") / F.lit(limit)))
+    row = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum(hot), F.lit(0))).first()
+    return GroupStats(sizes, int(row[0]), int(row[1]), limit)
 
 
-def _hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, int]:
-    """Groups above ``limit`` rows with their slice count, and the total of slices."""
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > limit)
-        .withColumn("_slices", F.ceil(F.col("_n") / F.lit(limit)).cast("bigint"))
-    )
-    total = hot.agg(F.coalesce(F.sum("_slices"), F.lit(0)).alias("s")).first()["s"]
-    return hot, int(total)
+def join_small(
+    df: DataFrame, small: DataFrame, keys: Sequence[str], rows: int | None = None,
+    how: str = "left",
+) -> DataFrame:
+    """Join a per-group table, broadcast only when its counted rows allow it."""
+    rows = small.count() if rows is None else rows
+    return df.join(F.broadcast(small) if rows <= MAX_BROADCAST_ROWS else small, list(keys), how)
 
 
 def group_rank(
@@ -49,47 +61,50 @@ def group_rank(
     keys: Sequence[str],
     order: Sequence[Column | str],
     out: str = "rk",
+    stats: GroupStats | None = None,
     limit: int | None = None,
-    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out`` = 1-based row number inside ``keys`` by ascending ``order``.
 
-    ``order`` must end in a unique key inside the group.  ``bound`` may name a
-    cheaper DataFrame whose groups are at least as large, for the size check.
+    ``order`` must end in a key that is unique inside the group.
     """
     keys = list(keys)
     order = [col(o) for o in order]
-    limit = limit or max_group_rows(df)
-    plain = W.partitionBy(*keys).orderBy(*order)
-    if bound is not None and _hot_groups(bound, keys, limit)[1] == 0:
-        return df.withColumn(out, F.row_number().over(plain).cast("bigint"))
-    hot, total = _hot_groups(df, keys, limit)
-    if total == 0:
+    stats = stats or group_stats(df, keys, limit)
+    if stats.slices == 0:
+        plain = W.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(plain).cast("bigint"))
+    return _sliced_rank(df, keys, order, out, stats)
+
 
+def _sliced_rank(
+    df: DataFrame, keys: list[str], order: list[Column], out: str, stats: GroupStats
+) -> DataFrame:
+    hot = stats.sizes.filter(F.col("n") > stats.limit).select(
+        *keys, F.col("n").alias("_n"),
+        F.ceil(F.col("n") / F.lit(stats.limit)).cast("bigint").alias("_slices"),
+    )
     names = [f"_o{i}" for i in range(len(order))]
     src = df.withColumns(dict(zip(names, order)))
-    tup = F.struct(*names)
-    modulus = F.greatest(F.lit(1), F.floor(F.col("_n") / (F.col("_slices") * _SAMPLE_PER_SLICE)))
-    sample = src.join(_maybe_broadcast(hot, total), keys).filter(
-        F.pmod(F.xxhash64(*names), modulus.cast("bigint")) == 0
+    per_cut = F.floor(F.col("_n") / (F.col("_slices") * F.lit(_SAMPLE_PER_SLICE)))
+    modulus = F.greatest(F.lit(1), per_cut).cast("bigint")
+    sample = join_small(src, hot, keys, stats.slices, "inner").filter(
+        F.pmod(F.xxhash64(*names), modulus) == 0
+    )
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(*names))
+    picked = sample.select(*keys, F.struct(*names).alias("_t"), nth.alias("_r")).filter(
+        F.col("_r") % _SAMPLE_PER_SLICE == 0
     )
-    picked = sample.select(
-        *keys, tup.alias("_t"), F.row_number().over(W.partitionBy(*keys).orderBy(*names)).alias("_r")
-    ).filter(F.col("_r") % _SAMPLE_PER_SLICE == 0)
     cuts = picked.groupBy(*keys).agg(F.array_sort(F.collect_list("_t")).alias("_cuts"))
     # Two-step search: coarse stride first, then inside one stride.
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_cuts")))).cast("int")
-    coarse = F.expr("filter(_cuts, (c, i) -> (i + 1) % _step = 0)")
-    cuts = cuts.withColumn("_step", step).withColumn("_coarse", coarse)
-    src = src.join(_maybe_broadcast(cuts, total), keys, "left")
-    src = src.withColumn("_t", tup)
-    base = F.expr("size(filter(_coarse, c -> c < _t)) * _step")
-    src = src.withColumn("_b", base).withColumn(
-        "_slice",
-        F.coalesce(F.expr("_b + size(filter(slice(_cuts, _b + 1, _step), c -> c < _t))"), F.lit(0)),
-    ).drop("_cuts", "_coarse", "_step", "_t", "_b")
-    sizes = src.join(_maybe_broadcast(hot.select(*keys), total), keys, "left_semi")
+    cuts = cuts.withColumn("_step", F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
+    cuts = cuts.withColumn("_coarse", F.expr("filter(_cuts, (c, i) -> (i + 1) % _step = 0)"))
+    src = join_small(src.withColumn("_t", F.struct(*names)), cuts, keys, stats.slices)
+    src = src.withColumn("_b", F.expr("size(filter(_coarse, c -> c < _t)) * _step"))
+    fine = F.expr("_b + size(filter(slice(_cuts, _b + 1, _step), c -> c < _t))")
+    src = src.withColumn("_slice", F.coalesce(fine, F.lit(0)))
+    src = src.drop("_cuts", "_coarse", "_step", "_t", "_b")
+    sizes = join_small(src, hot.select(*keys), keys, stats.slices, "left_semi")
     sizes = sizes.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_c"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -97,11 +112,9 @@ def group_rank(
     )
     inner = W.partitionBy(*keys, "_slice").orderBy(*names)
     ranked = src.withColumn("_rn", F.row_number().over(inner))
-    ranked = ranked.join(_maybe_broadcast(offsets, total), [*keys, "_slice"], "left")
-    ranked = ranked.withColumn(
-        out, (F.col("_rn") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint")
-    )
-    return ranked.select(*df.columns, out)
+    ranked = join_small(ranked, offsets, [*keys, "_slice"], stats.slices)
+    rank = F.col("_rn") + F.coalesce(F.col("_off"), F.lit(0))
+    return ranked.withColumn(out, rank.cast("bigint")).select(*df.columns, out)
 
 
 def group_agg(
@@ -110,51 +123,44 @@ def group_agg(
     aggs: Sequence[Column] = (),
     value: str = "value",
     quantiles: dict[str, float] | None = None,
+    stats: GroupStats | None = None,
     limit: int | None = None,
 ) -> DataFrame:
     """Aggregates plus exact linear-interpolated quantiles of ``value`` per group."""
     keys = list(keys)
     quantiles = quantiles or {}
-    limit = limit or max_group_rows(df)
-    hot, total = _hot_groups(df, keys, limit) if quantiles else (None, 0)
-    if total == 0:
+    if quantiles:
+        stats = stats or group_stats(df, keys, limit)
+    if not quantiles or stats.slices == 0:
         cols = [F.percentile(value, F.lit(q)).alias(n) for n, q in quantiles.items()]
         return df.groupBy(*keys).agg(*aggs, *cols)
-    data = df.filter(F.col(value).isNotNull())
-    data = data.select(*keys, F.col(value).cast("double").alias("_v"))
-    data = data.withColumn("_u", F.monotonically_increasing_id())
-    n = data.groupBy(*keys).agg(F.count("_v").alias("_cnt"))
-    # ties in value may fall in any order: equal values give equal quantiles
-    ranked = _value_rank(data, keys, limit)
-    j = ranked.join(n, keys)
-    parts = []
-    for name, q in quantiles.items():
-        pos = (F.col("_cnt") - 1) * F.lit(float(q))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        a = F.max(F.when(F.col("_rk") - 1 == lo, F.col("_v")))
-        b = F.max(F.when(F.col("_rk") - 1 == hi, F.col("_v")))
-        frac = F.max(pos - lo)
-        parts.append((a + (b - a) * frac).alias(name))
-    quants = j.groupBy(*keys).agg(*parts)
+    quants = _sliced_quantiles(df, keys, value, quantiles, stats.limit)
     rest = df.groupBy(*keys).agg(*(aggs or [F.count(F.lit(1)).alias("_one")]))
-    out = rest.join(quants, keys, "left")
+    out = join_small(rest, quants, keys, stats.groups)
     return out if aggs else out.drop("_one")
 
 
-def _value_rank(data: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Rank distinct values with their multiplicity, then expand only by arithmetic.
-
-    Each distinct value covers ranks first..last, so rows are pre-aggregated
-    before any ordering takes place.
-    """
+def _sliced_quantiles(
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], limit: int
+) -> DataFrame:
+    """Rank distinct values, each covering the row positions first..last."""
+    data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     tally = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m"))
-    ranked = group_rank(tally, keys, ["_v"], "_d", limit)
-    slice_id = F.floor((F.col("_d") - 1) / F.lit(limit))
-    ranked = ranked.withColumn("_s", slice_id)
+    ranked = group_rank(tally, keys, ["_v"], "_d", limit=limit)
+    ranked = ranked.withColumn("_s", F.floor((F.col("_d") - 1) / F.lit(limit)))
     per = ranked.groupBy(*keys, "_s").agg(F.sum("_m").alias("_sm"))
     before = W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     per = per.select(*keys, "_s", F.coalesce(F.sum("_sm").over(before), F.lit(0)).alias("_off"))
     run = W.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = ranked.withColumn("_last", F.sum("_m").over(run)).join(per, [*keys, "_s"])
-    ranked = ranked.withColumn("_last", F.col("_last") + F.col("_off"))
-    return ranked.withColumn("_first", F.col("_last") - F.col("_m") + 1)
+    ranked = ranked.withColumn("_run", F.sum("_m").over(run)).join(per, [*keys, "_s"])
+    last = F.col("_run") + F.col("_off")
+    ranked = ranked.withColumns({"_last": last, "_first": last - F.col("_m") + 1})
+    j = ranked.join(data.groupBy(*keys).agg(F.count("_v").alias("_cnt")), keys)
+    parts = []
+    for name, q in quantiles.items():
+        pos = (F.col("_cnt") - 1) * F.lit(float(q))
+        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
+        a = F.max(F.when((F.col("_first") <= lo) & (lo <= F.col("_last")), F.col("_v")))
+        b = F.max(F.when((F.col("_first") <= hi) & (hi <= F.col("_last")), F.col("_v")))
+        parts.append((a + (b - a) * F.max(pos - F.floor(pos))).alias(name))
+    return j.groupBy(*keys).agg(*parts)
