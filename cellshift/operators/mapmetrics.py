@@ -634,3 +634,17 @@ def distribution_delta(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataF
     return j.select(*on, F.round(d, 2).alias("pct_diff"))
 
 
+
+
+def shifted_fate(cells: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Matches of the raw and of the shifted prediction for the top true transitions."""
+    wide = cells.groupBy(*keys, "start_cls", "end_cls", "pred_cls", "shifted_cls").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    top = top_transitions(wide, keys, "end_cls", limit)
+    tk = [*keys, "from_cls", "to_cls"]
+    hits = wide.groupBy(*keys, S.alias("from_cls"), E.alias("to_cls")).agg(
+        n_if(P == E, N).alias("raw_matches"),
+        n_if(F.col("shifted_cls") == E, N).alias("shifted_matches"),
+    )
+    return top.join(hits, tk)

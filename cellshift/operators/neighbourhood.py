@@ -1,9 +1,10 @@
 """Neighbourhood operators on keyed cells.
 
-Box sums are separable: a range frame over the columns of one row, then one over
-the rows of one column.  Partitions are single raster rows and columns, so even
-a huge area spreads over many tasks, and cells are shuffled twice whatever the
-window size instead of being copied once per neighbour.
+A cell is copied to the rows above and below it (window height, not window
+area), the copies are hashed once by raster row, summed per position, and a
+range frame along the row does the rest.  Both steps share that one shuffle.
+Partitions are single raster rows, so a huge area spreads over many tasks.
+Missing cells are simply absent; no dense rectangle is assumed.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ from ..functions.columns import f1_score, ratio
 from .ranking import join_small
 
 
-def _along_cols(keys: Sequence[str], r: int):
+def _along_row(keys: Sequence[str], r: int):
     return W.partitionBy(*keys, "row").orderBy("col").rangeBetween(-r, r)
 
 
-def _along_rows(keys: Sequence[str], r: int):
-    return W.partitionBy(*keys, "col").orderBy("row").rangeBetween(-r, r)
+def _spread(cells: DataFrame, keys: Sequence[str], rows: Column) -> DataFrame:
+    """Copy cells to neighbouring rows: ``_dr`` = source row - position row."""
+    out = cells.select("*", F.explode(rows).alias("_dr"))
+    out = out.withColumn("_src", F.col("row")).withColumn("row", F.col("row") - F.col("_dr"))
+    return out.repartition(*keys, "row")
 
 
 def box_counts(
@@ -32,17 +36,26 @@ def box_counts(
     prefix: str = "_b",
 ) -> DataFrame:
     """Add ``{prefix}{r}_{class}`` and ``{prefix}{r}_n``: cells in the (2r+1)^2 box."""
-    marks = {f"{c}": (F.col(cls) == F.lit(int(c))).cast("int") for c in classes}
-    marks["n"] = F.lit(1)
-    first = {
-        f"_c{r}_{m}": F.sum(expr).over(_along_cols(keys, r)) for r in radii for m, expr in marks.items()
-    }
-    second = {
-        f"{prefix}{r}_{m}": F.sum(f"_c{r}_{m}").over(_along_rows(keys, r))
+    top = max(radii)
+    rest = [c for c in cells.columns if c not in (*keys, "row", "col")]
+    spread = _spread(cells, keys, F.sequence(F.lit(-top), F.lit(top)))
+    marks = {f"{c}": F.col(cls) == F.lit(int(c)) for c in classes}
+    marks["n"] = F.lit(True)
+    near = {r: F.abs("_dr") <= r for r in radii}
+    sums = [
+        F.sum((near[r] & m).cast("int")).alias(f"_v{r}_{k}") for r in radii for k, m in marks.items()
+    ]
+    own = F.first(F.when(F.col("_dr") == 0, F.struct(F.lit(True).alias("_is"), *rest)), True)
+    col_sums = spread.groupBy(*keys, "row", "col").agg(own.alias("_own"), *sums)
+    boxes = [
+        F.sum(f"_v{r}_{k}").over(_along_row(keys, r)).alias(f"{prefix}{r}_{k}")
         for r in radii
-        for m in marks
-    }
-    return cells.withColumns(first).withColumns(second).drop(*first)
+        for k in marks
+    ]
+    out = col_sums.select(*keys, "row", "col", "_own", *boxes).filter("_own is not null")
+    names = [f"{prefix}{r}_{k}" for r in radii for k in marks]
+    cols = [F.col(c) if c in (*keys, "row", "col") else F.col(f"_own.{c}") for c in cells.columns]
+    return out.select(*cols, *names)
 
 
 def _pick(classes: Sequence[int], of: Column, make) -> Column:
@@ -162,11 +175,16 @@ def distance_affinity(
 
 def latent_affinity(cells: DataFrame, keys: Sequence[str], cls: str, vec: str) -> DataFrame:
     """Long (cell, neighbour class, mean of max(0, cosine)) over the 8 neighbours."""
-    me = F.struct(
-        F.col("row").alias("r"), F.col("col").alias("c"), F.col(cls).alias("k"), F.col(vec).alias("v")
+    spread = _spread(cells, keys, F.sequence(F.lit(-1), F.lit(1)))
+    src = F.struct(
+        F.col("_src").alias("r"), F.col("col").alias("c"), F.col(cls).alias("k"), F.col(vec).alias("v")
     )
-    near = cells.withColumn("_h", F.collect_list(me).over(_along_cols(keys, 1)))
-    near = near.withColumn("_h", F.flatten(F.collect_list("_h").over(_along_rows(keys, 1))))
+    near = spread.groupBy(*keys, "row", "col").agg(
+        F.collect_list(src).alias("_h"),
+        F.first(F.when(F.col("_dr") == 0, F.col(vec)), True).alias(vec),
+    )
+    near = near.withColumn("_h", F.flatten(F.collect_list("_h").over(_along_row(keys, 1))))
+    near = near.filter(F.col(vec).isNotNull())
     others = F.filter("_h", lambda x: (x["r"] != F.col("row")) | (x["c"] != F.col("col")))
     sims = F.transform(
         others,
@@ -190,7 +208,11 @@ def coherence(cells: DataFrame, keys: Sequence[str], cls: str, target: int, vec:
     right = W.partitionBy(*keys, "row").orderBy("col").rangeBetween(1, 1)
     down = W.partitionBy(*keys, "col").orderBy("row").rangeBetween(1, 1)
     pair = mine.withColumn("_r", F.first(vec).over(right)).withColumn("_d", F.first(vec).over(down))
-    cos = lambda o: V.cosine(F.col(vec), F.col(o))
+
+    def cos(other: str) -> Column:
+        floor = F.lit(1e-8)
+        return V.dot(vec, other) / (F.greatest(V.norm(vec), floor) * F.greatest(V.norm(other), floor))
+
     sims = pair.select(*keys, F.explode(F.array(cos("_r"), cos("_d"))).alias("_s"))
     agg = sims.groupBy(*keys).agg(F.avg("_s").alias("_avg"))
     base = cells.select(*keys).distinct()
@@ -212,27 +234,27 @@ def shift_prediction(cells: DataFrame, keys: Sequence[str], dy: int, dx: int) ->
 def shift_scores(cells: DataFrame, keys: Sequence[str], max_shift: int = 4) -> DataFrame:
     """F1 of predicted change against true change for every shift in [-m, m]^2.
 
-    True-change positions around a cell come from two range frames, so only the
-    per-shift counts are shuffled, not one copy of each cell per shift.
+    True-change positions around a cell come from one spread over rows and one
+    range frame, so only per-shift counts are shuffled, not a copy per shift.
     """
     m = max_shift
     true = F.col("end_cls") != F.col("start_cls")
     pred = F.col("pred_cls") != F.col("start_cls")
-    near = cells.select(*keys, "row", "col", true.alias("_t"), pred.alias("_p"))
-    near = near.withColumn(
-        "_h", F.collect_list(F.when(F.col("_t"), F.col("col"))).over(_along_cols(keys, m))
-    )
-    rows = F.collect_list(F.struct(F.col("row").alias("r"), F.col("_h").alias("cs"))).over(
-        _along_rows(keys, m)
+    flags = cells.select(*keys, "row", "col", true.alias("_t"), pred.alias("_p")).filter("_t or _p")
+    span = F.sequence(F.lit(-m), F.lit(m))
+    near = _spread(flags, keys, F.when(F.col("_t"), span).otherwise(F.array(F.lit(0))))
+    near = near.groupBy(*keys, "row", "col").agg(
+        F.collect_list(F.when(F.col("_t"), F.col("_dr"))).alias("_d"),
+        F.max((F.col("_dr") == 0) & F.col("_p")).alias("_p"),
     )
-    near = near.withColumn("_n", F.when(F.col("_p"), rows))
-    near = join_small(near.filter("_p"), extents(cells, keys), keys, how="inner")
+    frame = F.collect_list(F.struct(F.col("col").alias("c"), F.col("_d").alias("d")))
+    near = near.withColumn("_n", frame.over(_along_row(keys, m))).filter("_p")
+    near = join_small(near, extents(cells, keys), keys, how="inner")
     hits = F.flatten(
         F.transform("_n", lambda x: F.transform(
-            x["cs"], lambda c: F.struct((x["r"] - F.col("row")).alias("dy"), (c - F.col("col")).alias("dx"))
+            x["d"], lambda d: F.struct(d.alias("dy"), (x["c"] - F.col("col")).alias("dx"))
         ))
     )
-    span = F.sequence(F.lit(-m), F.lit(m))
     shifts = F.flatten(F.transform(span, lambda y: F.transform(
         span, lambda x: F.struct(y.cast("int").alias("dy"), x.cast("int").alias("dx")))))
     inside = F.filter(shifts, lambda s: (

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("mapmetrics",)
+_MODULES = ("mapmetrics", "neighbourhood", "gates", "catalog")
 
 
 def load_queries():

@@ -118,3 +118,28 @@ def steps(spark: SparkSession, sf: str) -> DataFrame:
         "value as reward",
         "cast(get_json_object(props, '$.k') as int) as action",
     )
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    """File catalog: labels, predictions, embeddings in two roots, contexts and others."""
+    keys = "o_orderkey as k", "o_custkey % 60 as a", "2017 + o_orderkey % 8 as y"
+    return table(spark, sf, "orders").selectExpr(*keys).selectExpr(
+        """case k % 5
+        when 0 then if((a + y) % 11 <> 0, concat('labels/area_', a, '_lulc_', y, '.npy'),
+                       concat('labels/area_', a, '_lulc_x.npy'))
+        when 1 then if(a % 7 <> 0, concat('predictions/area_', a, '_lulc_pred_', y, '_', y + 1, '.npy'),
+                       concat('predictions/area_', a, '_forecast.npy'))
+        when 2 then if((a * y) % 13 <> 0,
+                       concat(if((k div 40) % 2 = 0, 'cache_a', 'cache_b'), '/area_', a, '_emb_', y, '.npy'),
+                       concat('misc/area_', a, '.bin'))
+        when 3 then if(a % 3 <> 0, concat('cache_a/area_', a, '_context.npy'), concat('misc/area_', a, '.ctx'))
+        else concat('notes/', a, '.txt') end as path"""
+    )
+
+
+def triple(spark: SparkSession, sf: str) -> DataFrame:
+    """Start, end and predicted grids with gaps: two areas lack cells on one side."""
+    return grid(spark, sf).selectExpr(
+        "area", "row", "col", "start_cls", "if(area = 5, null, end_cls) as end_cls",
+        "case when area = 6 and row >= 40 then null when area = 7 then 3 else pred_cls end as pred_cls",
+    )

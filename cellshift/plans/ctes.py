@@ -82,4 +82,40 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   FROM grid WHERE start_cls <> 0 AND end_cls <> 0 AND pred_cls <> 0 AND pred_cls <> start_cls
   GROUP BY ALL""",
     ),
+    "files": (
+        (),
+        """SELECT CASE k % 5
+  WHEN 0 THEN CASE WHEN (a + y) % 11 <> 0 THEN 'labels/area_' || a || '_lulc_' || y || '.npy' ELSE 'labels/area_' || a || '_lulc_x.npy' END
+  WHEN 1 THEN CASE WHEN a % 7 <> 0 THEN 'predictions/area_' || a || '_lulc_pred_' || y || '_' || (y + 1) || '.npy' ELSE 'predictions/area_' || a || '_forecast.npy' END
+  WHEN 2 THEN CASE WHEN (a * y) % 13 <> 0 THEN (CASE WHEN (k // 40) % 2 = 0 THEN 'cache_a' ELSE 'cache_b' END) || '/area_' || a || '_emb_' || y || '.npy' ELSE 'misc/area_' || a || '.bin' END
+  WHEN 3 THEN CASE WHEN a % 3 <> 0 THEN 'cache_a/area_' || a || '_context.npy' ELSE 'misc/area_' || a || '.ctx' END
+  ELSE 'notes/' || a || '.txt' END AS path
+  FROM (SELECT o_orderkey AS k, o_custkey % 60 AS a, 2017 + o_orderkey % 8 AS y FROM orders)""",
+    ),
+    "labels_t": (
+        ("files",),
+        """SELECT DISTINCT regexp_extract(path, '([^/]+)_lulc_(\\d{4})\\.npy$', 1) AS area,
+  regexp_extract(path, '([^/]+)_lulc_(\\d{4})\\.npy$', 2)::INT AS year FROM files
+  WHERE regexp_matches(path, '[^/]+_lulc_\\d{4}\\.npy$')""",
+    ),
+    "preds_t": (
+        ("files",),
+        """SELECT DISTINCT path, regexp_extract(path, '([^/]+)_lulc_pred_(\\d{4})_(\\d{4})\\.npy$', 1) AS area,
+  regexp_extract(path, '([^/]+)_lulc_pred_(\\d{4})_(\\d{4})\\.npy$', 2)::INT AS start_year,
+  regexp_extract(path, '([^/]+)_lulc_pred_(\\d{4})_(\\d{4})\\.npy$', 3)::INT AS end_year FROM files
+  WHERE regexp_matches(path, '[^/]+_lulc_pred_\\d{4}_\\d{4}\\.npy$')""",
+    ),
+    "embs_t": (
+        ("files",),
+        """SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS root,
+  regexp_extract(path, '([^/]+)_emb_(\\d{4})\\.npy$', 1) AS area,
+  regexp_extract(path, '([^/]+)_emb_(\\d{4})\\.npy$', 2)::INT AS year, path FROM files
+  WHERE regexp_matches(path, '[^/]+_emb_\\d{4}\\.npy$')""",
+    ),
+    # start, end and predicted grids with gaps: two areas lack cells on one side
+    "triple": (
+        ("grid",),
+        """SELECT area, row, col, start_cls, CASE WHEN area = 5 THEN NULL ELSE end_cls END AS end_cls,
+  CASE WHEN area = 6 AND row >= 40 THEN NULL WHEN area = 7 THEN 3 ELSE pred_cls END AS pred_cls FROM grid""",
+    ),
 }
