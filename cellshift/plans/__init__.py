@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("mapmetrics", "neighbourhood", "gates", "catalog")
+_MODULES = ("mapmetrics", "neighbourhood", "gates", "catalog", "cells")
 
 
 def load_queries():

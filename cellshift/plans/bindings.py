@@ -100,11 +100,8 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part").selectExpr(
         "p_partkey as k", "cast(substr(p_brand, 7) as int) % 5 as district"
     )
-    src = p.select(
-        F.col("k").alias("src"),
-        (F.col("k") + F.explode(F.array(F.lit(1), F.lit(37)))).alias("dst"),
-        "district",
-    )
+    src = p.select("district", F.col("k").alias("src"), F.explode(F.array(F.lit(1), F.lit(37))).alias("d"))
+    src = src.select("district", "src", (F.col("src") + F.col("d")).alias("dst"))
     dst = p.select(F.col("k").alias("dst"), "district")
     return src.join(dst, ["dst", "district"]).select("src", "dst")
 

@@ -51,9 +51,9 @@ rel AS (SELECT area, from_cls, to_cls, n,
  {alpha}*(ge/gn) + (1-{alpha})*(gb/gn) AS g FROM loo JOIN lg USING (area) WHERE n>0)"""
 
 
-@query("b21_change_score", sql("support", _SC, "SELECT area, row, col, round(score, 6) AS score FROM sc"))
+@query("b21_change_score", sql("support", _SC, "SELECT area, row, col, round(score, 9) AS score FROM sc"))
 def b21(spark, sf):
-    return r6(scored(spark, sf), "score").select("area", "row", "col", "score")
+    return scored(spark, sf).select("area", "row", "col", F.round("score", 9).alias("score"))
 
 
 @query("g01_keep_fraction", sql("support", _SC, """
@@ -233,20 +233,17 @@ def g09(spark, sf):
     return G.scale_adaptive_gate(c, AREA, 0.5, 1.2, 0.8, 1500, 0.05, 0.6, 1.0, 0.5).select(*OUT)
 
 
-@query("g10_hybrid_branch", sql("grid", """
-f AS (SELECT area, avg((end_cls=pred_cls)::INT) AS rel, avg((pred_cls<>start_cls)::INT) AS ch FROM grid GROUP BY area),
-b AS (SELECT area, CASE WHEN rel < 0.30 THEN 'reliability' WHEN ch < 0.50 THEN 'low_change'
- WHEN ch < 0.52 THEN 'mild_support' ELSE 'high_change' END AS branch FROM f)""", """
+@query("g10_hybrid_branch", sql("grid", "trans", _loo(0.5, 500.0), """
+f AS (SELECT area, avg((pred_cls<>start_cls)::INT) AS ch FROM grid WHERE start_cls<>0 AND pred_cls<>0 GROUP BY area),
+b AS (SELECT area, CASE WHEN gg < 0.29 THEN 'reliability' WHEN ch < 0.44 THEN 'low_change'
+ WHEN ch < 0.46 THEN 'mild_support' ELSE 'high_change' END AS branch FROM f JOIN (SELECT area, max(g) AS gg FROM rel GROUP BY area) USING (area))""", """
 SELECT g.area, row, col, branch, CASE branch WHEN 'reliability' THEN pred_cls WHEN 'low_change' THEN start_cls
  WHEN 'mild_support' THEN end_cls ELSE pred_cls END AS gated_cls FROM grid g JOIN b ON b.area=g.area"""))
 def g10(spark, sf):
     g = B.grid(spark, sf)
-    c = M.contingency(g, AREA)
-    n = F.sum("n")
-    f = c.groupBy("area").agg(
-        (F.sum(F.when(F.col("end_cls") == F.col("pred_cls"), F.col("n")).otherwise(0)) / n).alias("reliability"),
-        (F.sum(F.when(F.col("pred_cls") != F.col("start_cls"), F.col("n")).otherwise(0)) / n).alias("change_fraction"))
-    b = G.hybrid_branch(f, 0.30, 0.50, 0.52)
+    rel = loo_reliability(spark, sf).groupBy("area").agg(F.max("global_reliability").alias("reliability"))
+    f = M.change_features(M.contingency(g, AREA), AREA).join(rel, "area")
+    b = G.hybrid_branch(f, 0.29, 0.44, 0.46)
     src = {"reliability": "pred_cls", "low_change": "start_cls", "mild_support": "end_cls", "high_change": "pred_cls"}
     return G.choose_branch(g, AREA, b, src).select("area", "row", "col", "branch", "gated_cls")
 
