@@ -17,8 +17,6 @@ from pyspark.sql.window import Window as W
 from ..functions.columns import f1_score, n_if, ratio, transition_label
 from .ranking import group_agg
 
-S, E, P, N = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls"), F.col("n")
-
 
 def contingency(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells -> (keys, start_cls, end_cls, pred_cls, n)."""
@@ -29,6 +27,7 @@ def contingency(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def binary_change(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """tp / fp / fn and precision, recall, F1 of predicted change (0 when undefined)."""
+    S, E, P, N = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls"), F.col("n")
     t, p = E != S, P != S
     out = cont.groupBy(*keys).agg(
         n_if(t & p, N).alias("tp"), n_if(~t & p, N).alias("fp"), n_if(t & ~p, N).alias("fn")
@@ -40,6 +39,7 @@ def binary_change(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def figure_of_merit(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Correctly predicted change over the union of true and predicted change; 1 if empty."""
+    S, E, P, N = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls"), F.col("n")
     t, p = E != S, P != S
     hit, union = n_if(t & (P == E), N), n_if(t | p, N)
     return cont.groupBy(*keys).agg(ratio(hit, union, 1.0).alias("fom"))
@@ -47,6 +47,7 @@ def figure_of_merit(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def transition_accuracy(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of truly changed cells with the right end class; 1 if none changed."""
+    S, E, P, N = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls"), F.col("n")
     t = E != S
     return cont.groupBy(*keys).agg(
         ratio(n_if(t & (P == E), N), n_if(t, N), 1.0).alias("transition_accuracy")
@@ -55,6 +56,7 @@ def transition_accuracy(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def class_balance(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per class: cells in the end map, cells in the prediction."""
+    E, P, N = F.col("end_cls"), F.col("pred_cls"), F.col("n")
     both = F.array(
         F.struct(E.alias("cls"), N.alias("t"), F.lit(0).cast("bigint").alias("p")),
         F.struct(P.alias("cls"), F.lit(0).cast("bigint").alias("t"), N.alias("p")),
@@ -81,6 +83,7 @@ def area_bias(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def allocation_disagreement(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """max(0, error rate - quantity disagreement)."""
+    E, P, N = F.col("end_cls"), F.col("pred_cls"), F.col("n")
     acc = cont.groupBy(*keys).agg(
         n_if(P == E, N).alias("_ok"), F.sum("n").alias("_all")
     )
@@ -96,6 +99,7 @@ def allocation_disagreement(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def metric_row(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All map-comparison metrics in one row per key, from one contingency table."""
+    S, E, P, N = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls"), F.col("n")
     t, p = E != S, P != S
     wide = cont.groupBy(*keys).agg(
         n_if(t & p, N).alias("tp"),
@@ -155,6 +159,7 @@ def method_contingency(
 
 def variant_metrics(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Metric dialect of the sensitivity study: only cells with an end label count."""
+    S, E, P, N = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls"), F.col("n")
     v, t, p = E > 0, E != S, P != S
     out = cont.groupBy(*keys).agg(
         n_if(v & t & p, N).alias("tp"),
@@ -178,6 +183,7 @@ def variant_metrics(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def validation_row(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Change scores, end accuracy, changed-cell accuracy and area bias (0 on empty)."""
+    S, E, P, N = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls"), F.col("n")
     t = E != S
     acc = cont.groupBy(*keys).agg(
         ratio(n_if(P == E, N), F.sum("n")).alias("end_accuracy"),
@@ -189,6 +195,7 @@ def validation_row(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def transition_confusion(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """True -> predicted transition labels of the truly changed cells."""
+    S, E, P = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls")
     return (
         cont.filter(E != S)
         .groupBy(
@@ -202,6 +209,7 @@ def transition_confusion(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def pixel_accuracy(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of cells equal to the end map, and of cells equal to the start map."""
+    S, E, P, N = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls"), F.col("n")
     return cont.groupBy(*keys).agg(
         ratio(n_if(P == E, N), F.sum("n")).alias("end_accuracy"),
         ratio(n_if(P == S, N), F.sum("n")).alias("start_accuracy"),
@@ -222,6 +230,7 @@ def transition_matrix(
     cont: DataFrame, keys: Sequence[str], known: Sequence[int], to: str = "end_cls"
 ) -> DataFrame:
     """(from, to, n) over known classes."""
+    S = F.col("start_cls")
     return (
         cont.filter(S.isin(list(known)) & F.col(to).isin(list(known)))
         .groupBy(*keys, S.alias("from_cls"), F.col(to).alias("to_cls"))
@@ -241,6 +250,7 @@ def period_summary(
     cont: DataFrame, keys: Sequence[str], urban: int, outside: Sequence[int] = (0,)
 ) -> DataFrame:
     """Changed, persistent, to-urban and from-urban cells, outside values excluded."""
+    S, E, N = F.col("start_cls"), F.col("end_cls"), F.col("n")
     out_vals = list(outside)
     inside = cont.filter(~S.isin(out_vals) & ~E.isin(out_vals))
     agg = inside.groupBy(*keys).agg(
@@ -306,6 +316,7 @@ def transition_prior(
 
 def candidate_hits(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Predicted-change cells per (from, to): total, exact hits, binary hits."""
+    S, E, P, N = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls"), F.col("n")
     ok = (S != 0) & (E != 0) & (P != 0) & (P != S)
     return (
         cont.filter(ok)
@@ -377,6 +388,7 @@ def class_count_ratio(
     cont: DataFrame, keys: Sequence[str], smoothing: float = 0.0
 ) -> DataFrame:
     """Observed over predicted cells per class on valid cells; 1 for a zero denominator."""
+    S, E, P = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls")
     bal = class_balance(cont.filter((S != 0) & (E != 0) & (P != 0)), keys)
     num, den = F.col("n_true") + F.lit(smoothing), F.col("n_pred") + F.lit(smoothing)
     return bal.select(*keys, "cls", F.when(den > 0, num / den).otherwise(1.0).alias("ratio"))
@@ -387,6 +399,7 @@ def collapse_expansion(
     min_start: float = 0.03, max_ratio: float = 0.30, min_growth: float = 0.03,
 ) -> DataFrame:
     """Does one class nearly vanish in the prediction while another expands?"""
+    S, P, N = F.col("start_cls"), F.col("pred_cls"), F.col("n")
     v = (S != 0) & (P != 0)
     a = cont.groupBy(*keys).agg(
         n_if(v, N).alias("n_valid"),
@@ -407,6 +420,7 @@ def collapse_expansion(
 
 def change_features(cont: DataFrame, keys: Sequence[str], selector: int = 5) -> DataFrame:
     """Per area: change share, selector-class shares, class entropy, class richness."""
+    S, P, N = F.col("start_cls"), F.col("pred_cls"), F.col("n")
     v = cont.filter((S != 0) & (P != 0))
     per = v.groupBy(*keys, "start_cls").agg(
         F.sum("n").alias("_n"),
@@ -439,6 +453,7 @@ def change_features(cont: DataFrame, keys: Sequence[str], selector: int = 5) ->
 
 def reciprocal_churn(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of predicted change that is mirrored by the opposite transition."""
+    S, P, N = F.col("start_cls"), F.col("pred_cls"), F.col("n")
     pair = cont.filter(P != S).groupBy(
         *keys, F.least(S, P).alias("a"), F.greatest(S, P).alias("b")
     ).agg(n_if(S < P, N).alias("_up"), n_if(S > P, N).alias("_down"))
@@ -456,6 +471,7 @@ def pair_evidence(
     min_fraction: float, min_expected: float,
 ) -> DataFrame:
     """Reciprocal share of gross change and prior-expected cells of each class pair."""
+    S, P = F.col("start_cls"), F.col("pred_cls")
     pred = cont.filter(P != S).groupBy(*keys, S.alias("from_cls"), P.alias("to_cls")).agg(
         F.sum("n").alias("_p")
     )
@@ -507,6 +523,7 @@ def class_weights(counts: DataFrame, lo: float = 0.25, hi: float = 4.0) -> DataF
 
 def positive_weight(cont: DataFrame, keys: Sequence[str], cap: float = 10.0) -> DataFrame:
     """min(cap, max(1, unchanged / changed)); 1 when nothing changed."""
+    S, E, N = F.col("start_cls"), F.col("end_cls"), F.col("n")
     a = cont.groupBy(*keys).agg(n_if(E != S, N).alias("pos"), n_if(E == S, N).alias("neg"))
     w = F.least(F.lit(cap), F.greatest(F.lit(1.0), F.col("neg") / F.col("pos")))
     return a.withColumn("pos_weight", F.when(F.col("pos") > 0, w).otherwise(1.0))
@@ -549,6 +566,7 @@ def counterfactual(cells: DataFrame, keys: Sequence[str], a: str, b: str) -> tup
 
 def top_transitions(cont: DataFrame, keys: Sequence[str], to: str, limit: int) -> DataFrame:
     """Most frequent changed transitions per key (count desc, then classes)."""
+    S = F.col("start_cls")
     t = cont.filter(S != F.col(to)).groupBy(
         *keys, S.alias("from_cls"), F.col(to).alias("to_cls")
     ).agg(F.sum("n").alias("n"))
@@ -584,6 +602,7 @@ def transition_fate(
     cells: DataFrame, keys: Sequence[str], prob: str, limit: int, k: int
 ) -> DataFrame:
     """Fate of the top true transitions: predicted class mix and true-end probability."""
+    S, E, P = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls")
     cont = contingency(cells, keys)
     top = top_transitions(cont, keys, "end_cls", limit)
     tk = [*keys, "from_cls", "to_cls"]
@@ -638,6 +657,7 @@ def distribution_delta(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataF
 
 def shifted_fate(cells: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Matches of the raw and of the shifted prediction for the top true transitions."""
+    S, E, P, N = F.col("start_cls"), F.col("end_cls"), F.col("pred_cls"), F.col("n")
     wide = cells.groupBy(*keys, "start_cls", "end_cls", "pred_cls", "shifted_cls").agg(
         F.count(F.lit(1)).alias("n")
     )

@@ -140,10 +140,16 @@ def group_agg(
     return out if aggs else out.drop("_one")
 
 
-def _sliced_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], limit: int
+def value_positions(
+    df: DataFrame, keys: Sequence[str], value: str, limit: int | None = None
 ) -> DataFrame:
-    """Rank distinct values, each covering the row positions first..last."""
+    """Distinct values per group with the sorted row positions they cover.
+
+    Returns (keys, _v, _m, _first, _last): value, multiplicity, first and last
+    1-based position.  Rows are counted per value before anything is sorted.
+    """
+    keys = list(keys)
+    limit = limit or group_row_limit(df)
     data = df.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null")
     tally = data.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_m"))
     ranked = group_rank(tally, keys, ["_v"], "_d", limit=limit)
@@ -154,8 +160,17 @@ def _sliced_quantiles(
     run = W.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = ranked.withColumn("_run", F.sum("_m").over(run)).join(per, [*keys, "_s"])
     last = F.col("_run") + F.col("_off")
-    ranked = ranked.withColumns({"_last": last, "_first": last - F.col("_m") + 1})
-    j = ranked.join(data.groupBy(*keys).agg(F.count("_v").alias("_cnt")), keys)
+    return ranked.select(
+        *keys, "_v", "_m", (last - F.col("_m") + 1).alias("_first"), last.alias("_last")
+    )
+
+
+def _sliced_quantiles(
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], limit: int
+) -> DataFrame:
+    """Exact interpolated quantiles from the positions of distinct values."""
+    ranked = value_positions(df, keys, value, limit)
+    j = ranked.join(ranked.groupBy(*keys).agg(F.sum("_m").alias("_cnt")), keys)
     parts = []
     for name, q in quantiles.items():
         pos = (F.col("_cnt") - 1) * F.lit(float(q))

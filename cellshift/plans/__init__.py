@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("mapmetrics", "neighbourhood", "gates", "catalog", "cells")
+_MODULES = ("mapmetrics", "neighbourhood", "gates", "catalog", "cells", "summaries", "inference")
 
 
 def load_queries():

@@ -140,3 +140,29 @@ def triple(spark: SparkSession, sf: str) -> DataFrame:
         "area", "row", "col", "start_cls", "if(area = 5, null, end_cls) as end_cls",
         "case when area = 6 and row >= 40 then null when area = 7 then 3 else pred_cls end as pred_cls",
     )
+
+
+METRICS = ("change_f1", "fom", "transition_accuracy", "allocation_disagreement")
+LOWER = ("allocation_disagreement",)
+
+
+def seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """Four metrics per method, seed and area; the last one is better when lower."""
+    v = F.col("value")
+    return metric_rows(spark, sf).groupBy("method", "seed", "area").agg(
+        (F.avg(v) / 500.0).alias("change_f1"), (F.max(v) / 500.0).alias("fom"),
+        ((F.count(v) % 8) / 8.0).alias("transition_accuracy"),
+        (F.min(v) / 500.0).alias("allocation_disagreement"),
+    )
+
+
+def advantages(spark: SparkSession, sf: str) -> DataFrame:
+    """Advantage per area of 'click' over 'error', with tier and stratum."""
+    from ..operators.summaries import seeded_deltas
+
+    d = seeded_deltas(seeded(spark, sf), ["seed", "area"], "click", "error", METRICS, LOWER)
+    avg = lambda m: F.avg(F.when(F.col("metric") == m, F.col("delta")))
+    return d.groupBy("area").agg(avg("change_f1").alias("primary_adv"), avg("fom").alias("spatial_adv")).selectExpr(
+        "area", "if(area % 3 = 1, 'tier2', 'tier1') as tier", "concat('stratum_', area % 5) as stratum",
+        "primary_adv", "spatial_adv",
+    )

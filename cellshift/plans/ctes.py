@@ -118,4 +118,32 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT area, row, col, start_cls, CASE WHEN area = 5 THEN NULL ELSE end_cls END AS end_cls,
   CASE WHEN area = 6 AND row >= 40 THEN NULL WHEN area = 7 THEN 3 ELSE pred_cls END AS pred_cls FROM grid""",
     ),
+    # per method, seed and area: four metrics, the last one better when lower
+    "seeded": (
+        ("metric_rows",),
+        """SELECT method, seed, area, avg(value) / 500.0 AS change_f1, max(value) / 500.0 AS fom,
+  (count(*) % 8) / 8.0 AS transition_accuracy, min(value) / 500.0 AS allocation_disagreement
+  FROM metric_rows GROUP BY method, seed, area""",
+    ),
+    "seeded_long": (
+        ("seeded",),
+        """SELECT method, seed, area, 'change_f1' AS metric, change_f1 AS value, 1 AS dir FROM seeded
+  UNION ALL SELECT method, seed, area, 'fom', fom, 1 FROM seeded
+  UNION ALL SELECT method, seed, area, 'transition_accuracy', transition_accuracy, 1 FROM seeded
+  UNION ALL SELECT method, seed, area, 'allocation_disagreement', allocation_disagreement, -1 FROM seeded""",
+    ),
+    # challenger 'click' minus baseline 'error' per seed, area and metric
+    "deltas": (
+        ("seeded_long",),
+        """SELECT a.seed, a.area, a.metric, a.dir, a.value AS cv, b.value AS bv, a.value - b.value AS delta
+  FROM seeded_long a JOIN seeded_long b USING (seed, area, metric)
+  WHERE a.method = 'click' AND b.method = 'error'""",
+    ),
+    # advantage per area of 'click' over 'error', with tier and stratum
+    "adv": (
+        ("deltas",),
+        """SELECT area, CASE area % 3 WHEN 0 THEN 'tier1' WHEN 1 THEN 'tier2' ELSE 'tier1' END AS tier,
+  'stratum_' || (area % 5) AS stratum, avg(delta) FILTER (metric = 'change_f1') AS primary_adv,
+  avg(delta) FILTER (metric = 'fom') AS spatial_adv FROM deltas GROUP BY area""",
+    ),
 }
