@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("mapmetrics", "neighbourhood", "gates", "catalog", "cells", "summaries", "inference")
+_MODULES = ("mapmetrics", "neighbourhood", "gates", "catalog", "cells", "summaries", "inference", "allocation")
 
 
 def load_queries():
