@@ -43,5 +43,6 @@ def distance(a, b, metric: str = "cosine") -> Column:
     if metric == "manhattan":
         return _sum(F.transform(subtract(a, b), F.abs))
     if metric == "cosine":
-        return F.lit(1.0) - dot(a, b) / F.greatest(norm(a) * norm(b), F.lit(1e-8))
+        eps = F.lit(1e-8)
+        return F.lit(1.0) - dot(a, b) / ((norm(a) + eps) * (norm(b) + eps))
     raise ValueError(f"unknown distance metric: {metric}")

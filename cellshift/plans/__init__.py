@@ -2,7 +2,10 @@
 
 from importlib import import_module
 
-_MODULES = ("mapmetrics", "neighbourhood", "gates", "catalog", "cells", "summaries", "inference", "allocation")
+_MODULES = (
+    "mapmetrics", "neighbourhood", "gates", "catalog", "cells", "summaries", "inference", "allocation",
+    "embeddings", "parcels",
+)
 
 
 def load_queries():
