@@ -3,7 +3,9 @@
 A candidate is a valid cell whose predicted class differs from its start class.
 Each gate ranks candidates once inside a key and compares the rank with a
 per-group budget; ranks come from ``group_rank`` and stay exact for huge areas.
-The gated class is column ``gated_cls``.
+The gated class is column ``gated_cls``.  ``sized_by`` may name a cheaper table
+with the same cells (keys, start and predicted class), so that measuring the
+groups does not recompute scores and supports.
 """
 
 from __future__ import annotations
@@ -41,11 +43,13 @@ def _check_fraction(name: str, value: float) -> None:
         raise ValueError(f"{name} must be in [0, 1]: {value}")
 
 
-def _ranked(cells: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, GroupStats]:
+def _ranked(
+    cells: DataFrame, keys: Sequence[str], order: Sequence[Column], sized_by: DataFrame | None = None
+) -> tuple[DataFrame, GroupStats]:
     """Rank candidates and others apart (``_c``), so no join back is needed."""
     flagged = cells.withColumn("_c", is_candidate())
     k = [*keys, "_c"]
-    stats = group_stats(flagged, k)
+    stats = group_stats(flagged if sized_by is None else sized_by.withColumn("_c", is_candidate()), k)
     return group_rank(flagged, k, [*order, *POS], "_rk", stats), stats
 
 
@@ -55,11 +59,12 @@ def _gated(kept: Column) -> Column:
 
 
 def keep_fraction(
-    cells: DataFrame, keys: Sequence[str], fraction: float, score: str = "score"
+    cells: DataFrame, keys: Sequence[str], fraction: float, score: str = "score",
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Keep the top round(n * fraction) candidates by score."""
     _check_fraction("fraction", fraction)
-    ranked, st = _ranked(cells, keys, [-F.col(score)])
+    ranked, st = _ranked(cells, keys, [-F.col(score)], sized_by)
     budget = st.sizes.filter("_c").select(*keys, half_even(F.col("n") * F.lit(fraction)).alias("_k"))
     out = join_small(ranked, budget, keys, st.groups)
     return out.withColumn("gated_cls", _gated(F.col("_c") & (F.col("_rk") <= F.col("_k")))).drop(
@@ -143,12 +148,12 @@ def _transition_budget(
 
 def reliability_gate(
     cells: DataFrame, keys: Sequence[str], rel: DataFrame, base: float = 0.8, slope: float = 0.55,
-    lo: float = 0.45, hi: float = 1.0, score: str = "score",
+    lo: float = 0.45, hi: float = 1.0, score: str = "score", sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Per transition keep a share that grows with its reliability against the global one."""
     _check_fraction("base", base)
     tk = [*keys, "start_cls", "pred_cls"]
-    st = group_stats(cells.filter(is_candidate()), tk)
+    st = group_stats((cells if sized_by is None else sized_by).filter(is_candidate()), tk)
     frac = F.lit(base) + F.lit(slope) * (F.col("_rel") - F.col("_g")) / F.greatest(F.col("_g"), F.lit(1e-6))
     budget = _transition_budget(st, keys, rel, half_even(F.col("n") * clamp(frac, lo, hi)))
     ranked = _rank_transitions(cells, tk, -F.col(score), st)
@@ -158,22 +163,30 @@ def reliability_gate(
 
 
 def _rank_transitions(cells: DataFrame, tk: list[str], order: Column, st: GroupStats) -> DataFrame:
-    """Rank per (key, start, pred); unchanged groups are left unranked."""
-    cand = group_rank(cells.filter(is_candidate()), tk, [order, *POS], "_rk", st)
-    rest = cells.filter(~is_candidate()).withColumn("_rk", F.lit(None).cast("bigint"))
-    return cand.unionByName(rest)
+    """Rank per (key, start, pred, candidate); only candidate groups have a budget."""
+    flagged = cells.withColumn("_c", is_candidate())
+    if st.slices == 0:
+        # non-candidates get a position group of their own, spread by raster row
+        spread = F.when(F.col("_c"), F.lit(-1)).otherwise(F.col("row"))
+        return group_rank(
+            flagged.withColumn("_sp", spread), [*tk, "_sp"], [order, *POS], "_rk", bound=st
+        ).drop("_c", "_sp")
+    cand = group_rank(flagged.filter("_c"), tk, [order, *POS], "_rk", st)
+    rest = flagged.filter("not _c").withColumn("_rk", F.lit(None).cast("bigint"))
+    return cand.unionByName(rest).drop("_c")
 
 
 def support_reversion(
     cells: DataFrame, keys: Sequence[str], threshold: float = 0.25, quantile: float = 0.4,
     max_fraction: float = 0.03, score: str = "score", support: str = "target_support",
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Revert weakly supported, low-scored candidates, up to a share of all candidates."""
     S, P = F.col("start_cls"), F.col("pred_cls")
     for n, v in (("threshold", threshold), ("quantile", quantile), ("max_fraction", max_fraction)):
         _check_fraction(n, v)
     cand = cells.filter(is_candidate())
-    st = group_stats(cand, keys)
+    st = group_stats(cells if sized_by is None else sized_by, keys)
     limits = group_agg(
         cand, keys, [half_even(F.count(F.lit(1)) * F.lit(max_fraction)).alias("_k")], score,
         {"_q": quantile}, stats=st,
@@ -181,20 +194,20 @@ def support_reversion(
     j = join_small(cells, limits, keys, st.groups)
     eligible = is_candidate() & (F.col(support) <= threshold) & (F.col(score) <= F.col("_q"))
     j = j.withColumn("_c", F.coalesce(eligible, F.lit(False)))
-    ranked = group_rank(j, [*keys, "_c"], [F.col(support), F.col(score), *POS], "_rk")
+    ranked = group_rank(j, [*keys, "_c"], [F.col(support), F.col(score), *POS], "_rk", bound=st)
     drop = F.col("_c") & (F.col("_rk") <= F.col("_k"))
     return ranked.withColumn("gated_cls", F.when(drop, S).otherwise(P)).drop("_c", "_k", "_q", "_rk")
 
 
 def exactness_reversion(
     cells: DataFrame, keys: Sequence[str], rel: DataFrame, max_revert: float = 0.4,
-    min_group: int = 100, order: Column | None = None,
+    min_group: int = 100, order: Column | None = None, sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """In large transition groups below the global exactness, revert the lowest-ranked cells."""
     S, P = F.col("start_cls"), F.col("pred_cls")
     _check_fraction("max_revert", max_revert)
     tk = [*keys, "start_cls", "pred_cls"]
-    st = group_stats(cells.filter(is_candidate()), tk)
+    st = group_stats((cells if sized_by is None else sized_by).filter(is_candidate()), tk)
     short = (F.col("_g") - F.col("_rel")) / F.greatest(F.col("_g"), F.lit(1e-6))
     weak = (F.col("n") >= min_group) & (F.col("_rel") < F.col("_g"))
     take = F.when(weak, half_even(F.col("n") * (F.lit(max_revert) * short))).otherwise(0)
@@ -268,7 +281,8 @@ def class_budget(
 
 
 def demand_gate(
-    cells: DataFrame, keys: Sequence[str], fractions: DataFrame, order: Column
+    cells: DataFrame, keys: Sequence[str], fractions: DataFrame, order: Column,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Keep min(round(valid * target), candidates) candidates with the highest ``order``.
 
@@ -276,8 +290,8 @@ def demand_gate(
     """
     S, P = F.col("start_cls"), F.col("pred_cls")
     flagged = cells.withColumn("_s", order)
-    ranked, st = _ranked(flagged, keys, [-F.col("_s")])
-    n_valid = cells.filter((S != 0) & (P != 0)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"))
+    ranked, st = _ranked(flagged, keys, [-F.col("_s")], sized_by)
+    n_valid = (cells if sized_by is None else sized_by).filter((S != 0) & (P != 0)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"))
     budget = n_valid.join(fractions, list(keys)).select(
         *keys, half_even(F.col("_v") * F.col("target_fraction")).alias("_k")
     )
@@ -289,6 +303,7 @@ def demand_gate(
 def scale_adaptive_gate(
     cells: DataFrame, keys: Sequence[str], quantile: float, small_mul: float, large_mul: float,
     threshold_pixels: int, p_min: float, p_max: float, w_target: float, w_source: float,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Keep every candidate scoring at least as high as the k-th one (ties kept).
 
@@ -300,15 +315,16 @@ def scale_adaptive_gate(
     cand = valid & (P != S)
     score = F.lit(w_target) * F.col("pred_box") - F.lit(w_source) * F.col("start_box")
     c = cells.withColumns({"_c": cand, "_s": score})
-    sizes = c.groupBy(*keys).agg(
+    base = (cells if sized_by is None else sized_by).withColumn("_c", cand)
+    sizes = base.groupBy(*keys).agg(
         F.sum(valid.cast("bigint")).alias("_v"), F.sum(cand.cast("bigint")).alias("_n")
     )
     mul = F.when(F.col("_v") < threshold_pixels, F.lit(small_mul)).otherwise(F.lit(large_mul))
     target = clamp(ratio(F.col("_n"), F.col("_v")) * F.lit(quantile) * mul, p_min, p_max)
     k = F.least(F.greatest(half_even(target * F.col("_v")), F.lit(0)), F.col("_n"))
     sizes = sizes.select(*keys, k.alias("_k"))
-    st = group_stats(c, [*keys, "_c"])
-    ranked = group_rank(c, [*keys, "_c"], [-F.col("_s"), *POS], "_rk", st)
+    st = group_stats(cells if sized_by is None else sized_by, keys)
+    ranked = group_rank(c, [*keys, "_c"], [-F.col("_s"), *POS], "_rk", bound=st)
     ranked = join_small(ranked, sizes, keys, st.groups)
     kth = ranked.filter(F.col("_c") & (F.col("_rk") == F.col("_k"))).select(*keys, F.col("_s").alias("_t"))
     out = join_small(ranked, kth, keys, st.groups)

@@ -63,15 +63,20 @@ def group_rank(
     out: str = "rk",
     stats: GroupStats | None = None,
     limit: int | None = None,
+    bound: GroupStats | None = None,
 ) -> DataFrame:
     """Add ``out`` = 1-based row number inside ``keys`` by ascending ``order``.
 
-    ``order`` must end in a key that is unique inside the group.
+    ``order`` must end in a key that is unique inside the group.  ``stats`` are
+    the sizes of these very groups; ``bound`` may give sizes of groups known to
+    be at least as large, which saves the measuring job while they all fit.
     """
     keys = list(keys)
     order = [col(o) for o in order]
-    stats = stats or group_stats(df, keys, limit)
-    if stats.slices == 0:
+    fits = bound is not None and bound.slices == 0
+    if not fits:
+        stats = stats or group_stats(df, keys, limit)
+    if fits or stats.slices == 0:
         plain = W.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.row_number().over(plain).cast("bigint"))
     return _sliced_rank(df, keys, order, out, stats)

@@ -4,7 +4,7 @@ from importlib import import_module
 
 _MODULES = (
     "mapmetrics", "neighbourhood", "gates", "catalog", "cells", "summaries", "inference", "allocation",
-    "embeddings", "parcels",
+    "embeddings", "parcels", "selection", "evaluate",
 )
 
 

@@ -62,7 +62,7 @@ r AS (SELECT area, row, col, row_number() OVER (PARTITION BY area ORDER BY score
 SELECT sc.area, sc.row, sc.col, CASE WHEN rk <= k THEN pred_cls ELSE start_cls END AS gated_cls
 FROM sc LEFT JOIN r USING (area,row,col) JOIN k ON k.area=sc.area"""))
 def g01(spark, sf):
-    return G.keep_fraction(scored(spark, sf), AREA, 0.6).select(*OUT)
+    return G.keep_fraction(scored(spark, sf), AREA, 0.6, sized_by=B.grid(spark, sf)).select(*OUT)
 
 
 _SWEEP = """
@@ -117,7 +117,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY area, start_cls, pred_cls ORDER
 SELECT sc.area, sc.row, sc.col, CASE WHEN rk <= k THEN sc.pred_cls ELSE sc.start_cls END AS gated_cls
 FROM sc LEFT JOIN r USING (area,row,col) LEFT JOIN k ON k.area=sc.area AND k.from_cls=sc.start_cls AND k.to_cls=sc.pred_cls"""))
 def g03(spark, sf):
-    return G.reliability_gate(scored(spark, sf), AREA, loo_reliability(spark, sf)).select(*OUT)
+    return G.reliability_gate(scored(spark, sf), AREA, loo_reliability(spark, sf), sized_by=B.grid(spark, sf)).select(*OUT)
 
 
 @query("g04_support_reversion", sql("support", _SC, """
@@ -127,7 +127,7 @@ e AS (SELECT sc.*, k, row_number() OVER (PARTITION BY sc.area ORDER BY target_su
 SELECT sc.area, sc.row, sc.col, CASE WHEN rk <= k THEN sc.start_cls ELSE sc.pred_cls END AS gated_cls
 FROM sc LEFT JOIN e USING (area,row,col)"""))
 def g04(spark, sf):
-    return G.support_reversion(scored(spark, sf), AREA, 0.25, 0.6, 0.05).select(*OUT)
+    return G.support_reversion(scored(spark, sf), AREA, 0.25, 0.6, 0.05, sized_by=B.grid(spark, sf)).select(*OUT)
 
 
 _EXACT_K = """
@@ -143,7 +143,7 @@ SELECT sc.area, sc.row, sc.col, CASE WHEN rk <= k THEN sc.start_cls ELSE sc.pred
 FROM sc LEFT JOIN r USING (area,row,col) LEFT JOIN k ON k.area=sc.area AND k.from_cls=sc.start_cls AND k.to_cls=sc.pred_cls"""))
 def g05(spark, sf):
     rel = loo_reliability(spark, sf, 1.0, 50.0)
-    return G.exactness_reversion(scored(spark, sf), AREA, rel, 0.4, 20).select(*OUT)
+    return G.exactness_reversion(scored(spark, sf), AREA, rel, 0.4, 20, sized_by=B.grid(spark, sf)).select(*OUT)
 
 
 @query("g06_spatial_exactness_reversion", sql("support", "trans", _SC, _loo(1.0, 50.0), _EXACT_K, """
@@ -154,7 +154,7 @@ FROM sc LEFT JOIN r USING (area,row,col) LEFT JOIN k ON k.area=sc.area AND k.fro
 def g06(spark, sf):
     order = F.col("score") + F.lit(0.75) * F.col("target_support") - F.lit(0.75) * F.col("source_support")
     rel = loo_reliability(spark, sf, 1.0, 50.0)
-    return G.exactness_reversion(scored(spark, sf), AREA, rel, 0.4, 20, order).select(*OUT)
+    return G.exactness_reversion(scored(spark, sf), AREA, rel, 0.4, 20, order, B.grid(spark, sf)).select(*OUT)
 
 
 @query("g06_group_support_stats", sql("support", _SC, """
@@ -216,7 +216,7 @@ def g08(spark, sf):
     v = B.grid(spark, sf).filter("start_cls <> 0 and pred_cls <> 0")
     frac = v.groupBy("area").agg(
         (F.avg((F.col("end_cls") != F.col("start_cls")).cast("int")) * 0.8).alias("target_fraction"))
-    return G.demand_gate(c, AREA, frac, order).select(*OUT)
+    return G.demand_gate(c, AREA, frac, order, B.grid(spark, sf)).select(*OUT)
 
 
 @query("g09_scale_adaptive", sql("grid", _REFLECT, """
@@ -230,7 +230,7 @@ SELECT b.area, row, col, CASE WHEN c AND (t IS NULL OR s < t) THEN start_cls ELS
 FROM b LEFT JOIN th ON th.area=b.area"""))
 def g09(spark, sf):
     c = H.uniform_class_support(B.grid(spark, sf), AREA, CLASSES)
-    return G.scale_adaptive_gate(c, AREA, 0.5, 1.2, 0.8, 1500, 0.05, 0.6, 1.0, 0.5).select(*OUT)
+    return G.scale_adaptive_gate(c, AREA, 0.5, 1.2, 0.8, 1500, 0.05, 0.6, 1.0, 0.5, B.grid(spark, sf)).select(*OUT)
 
 
 @query("g10_hybrid_branch", sql("grid", "trans", _loo(0.5, 500.0), """
