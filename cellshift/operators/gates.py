@@ -43,14 +43,26 @@ def _check_fraction(name: str, value: float) -> None:
         raise ValueError(f"{name} must be in [0, 1]: {value}")
 
 
-def _ranked(
-    cells: DataFrame, keys: Sequence[str], order: Sequence[Column], sized_by: DataFrame | None = None
+def rank_candidates(
+    cells: DataFrame, keys: Sequence[str], order: Sequence[Column | str], candidate: Column,
+    sized_by: DataFrame | None = None, stats: GroupStats | None = None,
 ) -> tuple[DataFrame, GroupStats]:
-    """Rank candidates and others apart (``_c``), so no join back is needed."""
-    flagged = cells.withColumn("_c", is_candidate())
-    k = [*keys, "_c"]
-    stats = group_stats(flagged if sized_by is None else sized_by.withColumn("_c", is_candidate()), k)
-    return group_rank(flagged, k, [*order, *POS], "_rk", stats), stats
+    """Add ``_c`` (is a candidate) and ``_rk``, the candidate's rank inside ``keys``.
+
+    Only candidate groups are measured.  While they fit a task, all cells go
+    through one window whose non-candidates are spread by raster row, so no join
+    back is needed; otherwise candidates are ranked in slices.  ``_rk`` has no
+    meaning where ``_c`` is false.
+    """
+    flagged = cells.withColumn("_c", F.coalesce(candidate, F.lit(False)))
+    st = stats or group_stats((cells if sized_by is None else sized_by).filter(candidate), keys)
+    full = [*order, *POS]
+    if st.slices == 0:
+        spread = F.when(F.col("_c"), F.lit(-1)).otherwise(F.col("row"))
+        one = group_rank(flagged.withColumn("_sp", spread), [*keys, "_c", "_sp"], full, "_rk", bound=st)
+        return one.drop("_sp"), st
+    cand = group_rank(flagged.filter("_c"), keys, full, "_rk", st)
+    return cand.unionByName(flagged.filter("not _c").withColumn("_rk", F.lit(None).cast("bigint"))), st
 
 
 def _gated(kept: Column) -> Column:
@@ -64,8 +76,8 @@ def keep_fraction(
 ) -> DataFrame:
     """Keep the top round(n * fraction) candidates by score."""
     _check_fraction("fraction", fraction)
-    ranked, st = _ranked(cells, keys, [-F.col(score)], sized_by)
-    budget = st.sizes.filter("_c").select(*keys, half_even(F.col("n") * F.lit(fraction)).alias("_k"))
+    ranked, st = rank_candidates(cells, keys, [-F.col(score)], is_candidate(), sized_by)
+    budget = st.sizes.select(*keys, half_even(F.col("n") * F.lit(fraction)).alias("_k"))
     out = join_small(ranked, budget, keys, st.groups)
     return out.withColumn("gated_cls", _gated(F.col("_c") & (F.col("_rk") <= F.col("_k")))).drop(
         "_c", "_k", "_rk"
@@ -83,9 +95,9 @@ def sweep_fractions(
     S, P = F.col("start_cls"), F.col("pred_cls")
     fr = sorted(fractions)
     valid = cells.filter((S != 0) & (F.col("end_cls") != 0) & (P != 0))
-    ranked, st = _ranked(valid, keys, [-F.col(score)])
+    ranked, st = rank_candidates(valid, keys, [-F.col(score)], is_candidate())
     ks = [half_even(F.col("n") * F.lit(float(f))).alias(f"_k{i}") for i, f in enumerate(fr)]
-    out = join_small(ranked, st.sizes.filter("_c").select(*keys, *ks), keys, st.groups)
+    out = join_small(ranked, st.sizes.select(*keys, *ks), keys, st.groups)
     first = F.lit(len(fr))
     for i in range(len(fr) - 1, -1, -1):
         first = F.when(F.col("_c") & (F.col("_rk") <= F.col(f"_k{i}")), F.lit(i)).otherwise(first)
@@ -156,24 +168,10 @@ def reliability_gate(
     st = group_stats((cells if sized_by is None else sized_by).filter(is_candidate()), tk)
     frac = F.lit(base) + F.lit(slope) * (F.col("_rel") - F.col("_g")) / F.greatest(F.col("_g"), F.lit(1e-6))
     budget = _transition_budget(st, keys, rel, half_even(F.col("n") * clamp(frac, lo, hi)))
-    ranked = _rank_transitions(cells, tk, -F.col(score), st)
+    ranked, _ = rank_candidates(cells, tk, [-F.col(score)], is_candidate(), stats=st)
     out = join_small(ranked, budget, tk, st.groups)
-    kept = is_candidate() & (F.col("_rk") <= F.col("_k"))
-    return out.withColumn("gated_cls", _gated(kept)).drop("_rk", "_k")
-
-
-def _rank_transitions(cells: DataFrame, tk: list[str], order: Column, st: GroupStats) -> DataFrame:
-    """Rank per (key, start, pred, candidate); only candidate groups have a budget."""
-    flagged = cells.withColumn("_c", is_candidate())
-    if st.slices == 0:
-        # non-candidates get a position group of their own, spread by raster row
-        spread = F.when(F.col("_c"), F.lit(-1)).otherwise(F.col("row"))
-        return group_rank(
-            flagged.withColumn("_sp", spread), [*tk, "_sp"], [order, *POS], "_rk", bound=st
-        ).drop("_c", "_sp")
-    cand = group_rank(flagged.filter("_c"), tk, [order, *POS], "_rk", st)
-    rest = flagged.filter("not _c").withColumn("_rk", F.lit(None).cast("bigint"))
-    return cand.unionByName(rest).drop("_c")
+    kept = F.col("_c") & (F.col("_rk") <= F.col("_k"))
+    return out.withColumn("gated_cls", _gated(kept)).drop("_rk", "_k", "_c")
 
 
 def support_reversion(
@@ -186,15 +184,16 @@ def support_reversion(
     for n, v in (("threshold", threshold), ("quantile", quantile), ("max_fraction", max_fraction)):
         _check_fraction(n, v)
     cand = cells.filter(is_candidate())
-    st = group_stats(cells if sized_by is None else sized_by, keys)
+    st = group_stats((cells if sized_by is None else sized_by).filter(is_candidate()), keys)
     limits = group_agg(
         cand, keys, [half_even(F.count(F.lit(1)) * F.lit(max_fraction)).alias("_k")], score,
         {"_q": quantile}, stats=st,
     )
     j = join_small(cells, limits, keys, st.groups)
     eligible = is_candidate() & (F.col(support) <= threshold) & (F.col(score) <= F.col("_q"))
-    j = j.withColumn("_c", F.coalesce(eligible, F.lit(False)))
-    ranked = group_rank(j, [*keys, "_c"], [F.col(support), F.col(score), *POS], "_rk", bound=st)
+    if st.slices:  # eligible groups are smaller than the measured candidate groups
+        st = group_stats(j.filter(eligible), keys)
+    ranked, _ = rank_candidates(j, keys, [F.col(support), F.col(score)], eligible, stats=st)
     drop = F.col("_c") & (F.col("_rk") <= F.col("_k"))
     return ranked.withColumn("gated_cls", F.when(drop, S).otherwise(P)).drop("_c", "_k", "_q", "_rk")
 
@@ -212,10 +211,11 @@ def exactness_reversion(
     weak = (F.col("n") >= min_group) & (F.col("_rel") < F.col("_g"))
     take = F.when(weak, half_even(F.col("n") * (F.lit(max_revert) * short))).otherwise(0)
     budget = _transition_budget(st, keys, rel, take)
-    ranked = _rank_transitions(cells, tk, F.col("score") if order is None else order, st)
+    by = F.col("score") if order is None else order
+    ranked, _ = rank_candidates(cells, tk, [by], is_candidate(), stats=st)
     out = join_small(ranked, budget, tk, st.groups)
-    drop = is_candidate() & (F.col("_rk") <= F.col("_k"))
-    return out.withColumn("gated_cls", F.when(drop, S).otherwise(P)).drop("_rk", "_k")
+    drop = F.col("_c") & (F.col("_rk") <= F.col("_k"))
+    return out.withColumn("gated_cls", F.when(drop, S).otherwise(P)).drop("_rk", "_k", "_c")
 
 
 def transition_group_stats(cells: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
@@ -244,10 +244,7 @@ def class_budget(
     S, P = F.col("start_cls"), F.col("pred_cls")
     _check_fraction("strength", strength)
     rank_by = F.col("score") if order is None else order
-    tk = [*keys, "pred_cls", "_c"]
-    flagged = cells.withColumn("_c", is_candidate())
-    st = group_stats(flagged, tk)
-    ranked = cut_lineage(group_rank(flagged, tk, [rank_by, *POS], "_rk", st))
+    ranked = cut_lineage(rank_candidates(cells, [*keys, "pred_cls"], [rank_by], is_candidate())[0])
     valid = (S != 0) & (P != 0)
     base = ranked.filter(valid).groupBy(*keys, F.col("pred_cls").alias("cls")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("_c").cast("bigint")).alias("cand")
@@ -290,7 +287,7 @@ def demand_gate(
     """
     S, P = F.col("start_cls"), F.col("pred_cls")
     flagged = cells.withColumn("_s", order)
-    ranked, st = _ranked(flagged, keys, [-F.col("_s")], sized_by)
+    ranked, st = rank_candidates(flagged, keys, [-F.col("_s")], is_candidate(), sized_by)
     n_valid = (cells if sized_by is None else sized_by).filter((S != 0) & (P != 0)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"))
     budget = n_valid.join(fractions, list(keys)).select(
         *keys, half_even(F.col("_v") * F.col("target_fraction")).alias("_k")
@@ -314,18 +311,16 @@ def scale_adaptive_gate(
     valid = F.col("end_cls") > 0
     cand = valid & (P != S)
     score = F.lit(w_target) * F.col("pred_box") - F.lit(w_source) * F.col("start_box")
-    c = cells.withColumns({"_c": cand, "_s": score})
-    base = (cells if sized_by is None else sized_by).withColumn("_c", cand)
-    sizes = base.groupBy(*keys).agg(
+    sizes = (cells if sized_by is None else sized_by).groupBy(*keys).agg(
         F.sum(valid.cast("bigint")).alias("_v"), F.sum(cand.cast("bigint")).alias("_n")
     )
     mul = F.when(F.col("_v") < threshold_pixels, F.lit(small_mul)).otherwise(F.lit(large_mul))
     target = clamp(ratio(F.col("_n"), F.col("_v")) * F.lit(quantile) * mul, p_min, p_max)
     k = F.least(F.greatest(half_even(target * F.col("_v")), F.lit(0)), F.col("_n"))
     sizes = sizes.select(*keys, k.alias("_k"))
-    st = group_stats(cells if sized_by is None else sized_by, keys)
-    ranked = group_rank(c, [*keys, "_c"], [-F.col("_s"), *POS], "_rk", bound=st)
-    ranked = join_small(ranked, sizes, keys, st.groups)
+    scored = cells.withColumn("_s", score)
+    ranked, st = rank_candidates(scored, keys, [-F.col("_s")], cand, sized_by)
+    ranked = join_small(ranked, sizes, keys)
     kth = ranked.filter(F.col("_c") & (F.col("_rk") == F.col("_k"))).select(*keys, F.col("_s").alias("_t"))
     out = join_small(ranked, kth, keys, st.groups)
     drop = F.col("_c") & (F.col("_t").isNull() | (F.col("_s") < F.col("_t")))

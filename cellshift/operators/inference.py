@@ -33,18 +33,18 @@ def clusters(rows: DataFrame, keys: Sequence[str], cluster: str, value: str) ->
 def _indexed(cl: DataFrame, keys: Sequence[str], cluster: str) -> tuple[DataFrame, DataFrame, int]:
     """Number the clusters per key; also per-key sizes."""
     st = group_stats(cl, keys)
-    idx = group_rank(cl, keys, [F.col(cluster)], "i", st)
-    return idx, st.sizes.withColumnRenamed("n", "k"), st.groups
+    idx = group_rank(cl, keys, [F.col(cluster)], "_i", st)
+    return idx, st.sizes.withColumnRenamed("n", "_sz"), st.groups
 
 
 def _draws(idx: DataFrame, sizes: DataFrame, groups: int, keys: Sequence[str], n_boot: int, seed, minus: int = 0) -> DataFrame:
     """One row per replicate and slot with the drawn cluster number (1-based)."""
-    slots = join_small(idx.select(*keys, "i"), sizes, keys, groups, "inner")
+    slots = join_small(idx.select(*keys, "_i"), sizes, keys, groups, "inner")
     if minus:
-        slots = slots.filter(F.col("i") <= F.col("k") - minus)
-    reps = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"))
-    u = hash_unit(seed, "b", "i")
-    return reps.withColumn("d", (F.floor(u * (F.col("k") - minus)) + 1).cast("bigint"))
+        slots = slots.filter(F.col("_i") <= F.col("_sz") - minus)
+    reps = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_b"))
+    u = hash_unit(seed, "_b", "_i")
+    return reps.withColumn("_d", (F.floor(u * (F.col("_sz") - minus)) + 1).cast("bigint"))
 
 
 def replicate_means(
@@ -52,12 +52,12 @@ def replicate_means(
 ) -> DataFrame:
     """Pooled mean per replicate: sum of drawn totals over sum of drawn sizes."""
     idx, sizes, groups = _indexed(cl, keys, cluster)
-    draws = _draws(idx, sizes, groups, keys, n_boot, seed).select(*keys, "b", F.col("d").alias("i"))
+    draws = _draws(idx, sizes, groups, keys, n_boot, seed).select(*keys, "_b", F.col("_d").alias("_i"))
     # count repeated draws first, so each cluster is joined once per replicate
-    tally = draws.groupBy(*keys, "b", "i").agg(F.count(F.lit(1)).alias("c"))
-    j = tally.join(idx, [*keys, "i"])
-    return j.groupBy(*keys, "b").agg(
-        (F.sum(F.col("c") * F.col("total")) / F.sum(F.col("c") * F.col("n"))).alias("mean")
+    tally = draws.groupBy(*keys, "_b", "_i").agg(F.count(F.lit(1)).alias("_c"))
+    j = tally.join(idx, [*keys, "_i"])
+    return j.groupBy(*keys, "_b").agg(
+        (F.sum(F.col("_c") * F.col("total")) / F.sum(F.col("_c") * F.col("n"))).alias("mean")
     )
 
 
@@ -101,23 +101,27 @@ def leave_one_out_bootstrap(
     cl = clusters(rows, keys, cluster, value)
     idx, sizes, groups = _indexed(cl, keys, cluster)
     draws = _draws(idx, sizes, groups, keys, n_boot, seed, minus=1)
-    tally = draws.groupBy(*keys, "b", F.col("d").alias("i")).agg(F.count(F.lit(1)).alias("c"))
-    slots = idx.select(*keys, "i", cluster, "total", "n")
-    prev = W.partitionBy(*keys).orderBy("i")
-    slots = slots.withColumns({"t1": F.lead("total").over(prev), "n1": F.lead("n").over(prev)})
-    grid = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("b"))
-    g = grid.join(tally, [*keys, "b", "i"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    w = W.partitionBy(*keys, "b").orderBy("i")
+    tally = draws.groupBy(*keys, "_b", F.col("_d").alias("_i")).agg(F.count(F.lit(1)).alias("_c"))
+    slots = idx.select(*keys, "_i", cluster, "total", "n")
+    after = slots.select(*keys, (F.col("_i") - 1).alias("_i"), F.col("total").alias("t1"), F.col("n").alias("n1"))
+    slots = slots.join(after, [*keys, "_i"], "left")
+    grid = slots.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_b"))
+    g = grid.join(tally, [*keys, "_b", "_i"], "left").withColumn("_c", F.coalesce("_c", F.lit(0)))
+    w = W.partitionBy(*keys, "_b").orderBy("_i")
     below = w.rowsBetween(W.unboundedPreceding, -1)
-    above = w.rowsBetween(0, W.unboundedFollowing)
-    zero = F.lit(0.0)
-    tot = F.coalesce(F.sum(F.col("c") * F.col("total")).over(below), zero) + F.coalesce(
-        F.sum(F.col("c") * F.coalesce("t1", zero)).over(above), zero
-    )
-    cnt = F.coalesce(F.sum(F.col("c") * F.col("n")).over(below), zero) + F.coalesce(
-        F.sum(F.col("c") * F.coalesce("n1", F.lit(0))).over(above), zero
-    )
-    means = g.select(*keys, F.col(cluster).alias("dropped"), "b", (tot / cnt).alias("mean"))
+    every = W.partitionBy(*keys, "_b")
+
+    def pooled(own: str, moved: str) -> Column:
+        """Slots before the dropped one as drawn, the others moved up by one."""
+        a = F.col("_c") * F.col(own)
+        b = F.col("_c") * F.coalesce(moved, F.lit(0))
+        zero = F.lit(0)
+        return F.coalesce(F.sum(a).over(below), zero) + (
+            F.sum(b).over(every) - F.coalesce(F.sum(b).over(below), zero)
+        )
+
+    tot, cnt = pooled("total", "t1"), pooled("n", "n1")
+    means = g.select(*keys, F.col(cluster).alias("dropped"), "_b", (tot / cnt).alias("mean"))
     return means.groupBy(*keys, "dropped").agg(
         F.percentile("mean", F.lit(0.025)).alias("ci_low"), F.percentile("mean", F.lit(0.975)).alias("ci_high")
     )
@@ -157,11 +161,11 @@ def permutation_test(
     """Sign-flip test of the mean: share of flipped means at least as far from zero."""
     v = rows.withColumn("_v", finite(F.col(value))).filter(F.col("_v").isNotNull())
     obs = v.groupBy(*keys).agg(F.avg("_v").alias("observed"), F.count("_v").alias("n"))
-    flips = v.select(*keys, unit, "_v", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("b"))
-    sign = F.when(F.substring(stable_hash(seed, "b", unit), 1, 1) < "8", 1.0).otherwise(-1.0)
-    per = flips.groupBy(*keys, "b").agg(F.round(F.avg(sign * F.col("_v")), 12).alias("m"))
+    flips = v.select(*keys, unit, "_v", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("_b"))
+    sign = F.when(F.substring(stable_hash(seed, "_b", unit), 1, 1) < "8", 1.0).otherwise(-1.0)
+    per = flips.groupBy(*keys, "_b").agg(F.round(F.avg(sign * F.col("_v")), 12).alias("_m"))
     j = per.join(obs, list(keys))
-    far = F.abs("m") >= F.abs(F.round("observed", 12))
+    far = F.abs("_m") >= F.abs(F.round("observed", 12))
     return j.groupBy(*keys).agg(
         F.first("observed").alias("observed"), F.first("n").alias("n"),
         F.avg(far.cast("double")).alias("p_value"),

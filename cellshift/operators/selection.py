@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.columns import clamp, half_even, n_if, stable_hash
 from . import mapmetrics as M
-from .gates import POS, is_candidate
+from .gates import is_candidate, rank_candidates
 from .ranking import group_rank, group_stats, join_small
 
 TOLERANCE = 1e-12
@@ -146,12 +146,9 @@ def evaluate_budgets(
     Cells are ranked once.  A cell is counted by the first of the key's sorted
     budgets that keeps it; parameters multiply the small contingency table only.
     """
-    flagged = cells.withColumns({"_c": is_candidate(), "_o": order})
-    k = [*keys, "_c"]
-    st = group_stats(cells if sized_by is None else sized_by, keys)
-    ranked = group_rank(flagged, k, [-F.col("_o"), *POS], "_rk", bound=st)
+    ranked, st = rank_candidates(cells, keys, [-order], is_candidate(), sized_by)
     ks = budgets.groupBy(*keys).agg(F.array_sort(F.collect_set("k")).alias("_ks"))
-    j = join_small(ranked, ks, keys, st.groups, "inner")
+    j = join_small(ranked, ks, keys, how="inner")
     first = F.when(F.col("_c"), F.size(F.filter("_ks", lambda x: x < F.col("_rk"))))
     cont = j.groupBy(*keys, "start_cls", "end_cls", "pred_cls", first.alias("_first")).agg(F.count(F.lit(1)).alias("n"))
     packed = budgets.join(ks, list(keys)).select(
