@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,17 +22,27 @@ def norm(a) -> Column:
     return F.sqrt(_sum(F.transform(col(a), lambda x: x.cast("double") * x.cast("double"))))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row.
+
+    Higher-order functions are interpreted, so a repeated or nested expression
+    would be computed again at every use; binding it as a lambda variable avoids
+    that.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def cosine(a, b, eps: float | None = None) -> Column:
     """Cosine similarity; NULL for a zero-norm side unless ``eps`` guards the norm."""
     den = norm(a) * norm(b)
     if eps is not None:
         return dot(a, b) / (den + F.lit(eps))
-    return F.when(den > 0, dot(a, b) / den)
+    return dot(a, b) / F.nullif(den, F.lit(0.0))
 
 
 def unit(a, floor: float = 1e-6) -> Column:
     n = F.greatest(norm(a), F.lit(floor))
-    return F.transform(col(a), lambda x: x.cast("double") / n)
+    return let(n, lambda size: F.transform(col(a), lambda x: x.cast("double") / size))
 
 
 def subtract(a, b) -> Column:

@@ -133,7 +133,7 @@ def stay_phase(
     c = c.withColumns({"_cap": here, "_m": -margin, "_s": -stay})
     c = c.withColumn("_in", (F.col("_cap") > 0) & F.col("_s").isNotNull())
     k = [*keys, "start_cls", "_in"]
-    ranked = group_rank(c.fillna({"_s": 0.0}), k, ["_m", "_s", *POS], "_rk")
+    ranked = group_rank(c.fillna({"_s": 0.0}), k, ["_m", "_s", *POS], "_rk", bound=group_stats(cells, [*keys, "start_cls"]))
     return ranked.withColumn("stays", F.col("_in") & (F.col("_rk") <= F.col("_cap"))).drop(
         "_open", "_cap", "_m", "_s", "_in", "_rk"
     )
@@ -155,10 +155,11 @@ def capacity_greedy(
         lambda x: F.struct((-x["score"]).alias("o"), x["cls"].alias("cls")),
     ))
     cells = cut_lineage(free.withColumn("_pref", pref))
+    bound = group_stats(cells, keys)  # proposals of a class are fewer than the free cells
     last = F.struct(F.lit(float("inf")).alias("o"), F.lit(2147483647).alias("row"), F.lit(2147483647).alias("col"))
     limits = opened.select(*keys, "cls", "cap", last.alias("lim"))
+    limits = cut_lineage(limits)
     for _ in range(max_rounds):
-        limits = cut_lineage(limits)
         proposals = _propose(cells, keys, limits)
         over = (
             proposals.filter("to_cls is not null").groupBy(*keys, F.col("to_cls").alias("cls"))
@@ -171,19 +172,19 @@ def capacity_greedy(
             return proposals.drop("_pref")
         ck = [*keys, "to_cls"]
         crowd = join_small(proposals, over.select(*keys, F.col("cls").alias("to_cls"), "cap"), ck, n_over, "inner")
-        ranked = group_rank(crowd, ck, [-F.col("score"), *POS], "_rk")
+        ranked = group_rank(crowd, ck, [-F.col("score"), *POS], "_rk", bound=bound)
         cut = ranked.filter("_rk = cap").select(
             *keys, F.col("to_cls").alias("cls"),
             F.struct((-F.col("score")).alias("o"), "row", "col").alias("_cut"),
         )
-        limits = limits.join(cut, [*keys, "cls"], "left").select(
+        limits = cut_lineage(limits.join(cut, [*keys, "cls"], "left").select(
             *keys, "cls", "cap", F.coalesce("_cut", "lim").alias("lim")
-        )
+        ))
     raise DemandError("allocation did not settle")
 
 
 def _propose(cells: DataFrame, keys: list[str], limits: DataFrame) -> DataFrame:
-    """Best class whose threshold the cell passes."""
+    """Best class whose threshold the cell passes; the limits are one row per open class."""
     packed = limits.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cls", "lim"))).alias("_lim"))
     c = join_small(cells, packed, keys)
 

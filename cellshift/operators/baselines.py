@@ -1,7 +1,8 @@
 """Baseline predictors that any model has to beat.
 
 Random choices are hash orders (``stable_hash``): repeatable and independent of
-partitioning.
+partitioning.  ``sized_by`` may name a cheaper table with the same cells for
+counting.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import half_even, hash_unit, stable_hash
 from .cells import leave_one_area_out
 from .demand import largest_remainder
-from .ranking import group_rank, group_stats, join_small
+from .ranking import GroupStats, group_rank, group_stats, join_small
 
 POS = ("row", "col")
 
@@ -25,9 +26,11 @@ def persistence(cells: DataFrame) -> DataFrame:
     return cells.withColumn("persistence_cls", F.col("start_cls"))
 
 
-def spatial_shuffle(cells: DataFrame, keys: Sequence[str], seed: int, cls: str = "pred_cls") -> DataFrame:
+def spatial_shuffle(
+    cells: DataFrame, keys: Sequence[str], seed: int, cls: str = "pred_cls", stats: GroupStats | None = None
+) -> DataFrame:
     """Permute the labels of an area: grid rank k receives the label of hash rank k."""
-    st = group_stats(cells, keys)
+    st = stats or group_stats(cells, keys)
     order = stable_hash(seed, *keys, *POS)
     by_grid = group_rank(cells, keys, list(POS), "_k", st)
     by_hash = group_rank(cells.select(*keys, *POS, F.col(cls).alias("shuffled_cls")), keys, [order, *POS], "_k", st)
@@ -50,15 +53,16 @@ def transition_quotas(cells: DataFrame, keys: Sequence[str], counts: DataFrame)
 
 
 def transition_prior(
-    cells: DataFrame, keys: Sequence[str], counts: DataFrame, seed: int
+    cells: DataFrame, keys: Sequence[str], counts: DataFrame, seed: int, sized_by: DataFrame | None = None
 ) -> DataFrame:
     """Assign end classes by quota to hash-ordered cells of each start class."""
-    quotas = transition_quotas(cells, keys, counts)
+    base = cells if sized_by is None else sized_by
+    quotas = transition_quotas(base, keys, counts)
     per = quotas.groupBy(*keys, F.col("from_cls").alias("start_cls")).agg(
         F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("_q")
     )
     tk = [*keys, "start_cls"]
-    st = group_stats(cells, tk)
+    st = group_stats(base, tk)
     ranked = group_rank(cells, tk, [stable_hash(seed, *keys, *POS), *POS], "_rk", st)
     j = join_small(ranked, per, tk, st.groups)
     return j.withColumn("prior_cls", _pick_by_position("_q", F.col("_rk") - 1, F.col("start_cls"))).drop("_q", "_rk")
@@ -80,12 +84,13 @@ def _pick_by_position(quota: str, position: Column, default: Column) -> Column:
 
 
 def temporal_prior(
-    cells: DataFrame, keys: Sequence[str], seed: int, shape: Sequence[str] = ()
+    cells: DataFrame, keys: Sequence[str], seed: int, shape: Sequence[str] = (),
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Change rate and changed-end classes of the other areas applied to hash-chosen cells."""
-    area = keys[0]
+    area, base = keys[0], cells if sized_by is None else sized_by
     ch = F.col("end_cls") != F.col("start_cls")
-    per = cells.groupBy(*shape, *keys).agg(
+    per = base.groupBy(*shape, *keys).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(ch.cast("double")).alias("_rate")
     )
     one = per.withColumn("_k", F.lit(1))
@@ -94,10 +99,10 @@ def temporal_prior(
     rate = one.join(tot, on).filter("_areas > 1").select(
         *keys, half_even((F.col("_sum") - F.col("_rate")) / (F.col("_areas") - 1) * F.col("_n")).alias("_take")
     )
-    hist = cells.filter(ch).groupBy(*shape, *keys, F.col("end_cls").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+    hist = base.filter(ch).groupBy(*shape, *keys, F.col("end_cls").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
     loo = leave_one_area_out(hist, list(shape), area, ["cls"])
     loo = loo.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("_h"))
-    st = group_stats(cells, keys)
+    st = group_stats(base, keys)
     ranked = group_rank(cells, keys, [stable_hash(seed, *keys, *POS), *POS], "_rk", st)
     j = join_small(ranked, rate.join(loo, list(keys)), keys, st.groups)
     others = F.filter("_h", lambda x: x["cls"] != F.col("start_cls"))

@@ -68,17 +68,20 @@ def semantic_decode(
     packed = protos.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("cls", "prototype"))).alias("_proto")
     )
-    c = join_small(cells, packed, keys).withColumn("_u", V.unit(vec))
+    c = join_small(cells, packed, keys)
 
-    def score(x: Column) -> Column:
-        p = F.ln(F.greatest(x["p"].cast("double"), F.lit(1e-8)))
-        proto = F.try_element_at(F.col("_proto"), x["cls"])
-        sim = F.when(proto.isNotNull(), V.dot(F.col("_u"), proto)).otherwise(0.0)
-        return F.struct((p + F.lit(strength) * sim).alias("s"), (-x["cls"]).alias("c"))
+    def scored(u: Column) -> Column:
+        def score(x: Column) -> Column:
+            p = F.ln(F.greatest(x["p"].cast("double"), F.lit(1e-8)))
+            proto = F.try_element_at(F.col("_proto"), x["cls"])
+            sim = F.coalesce(V.dot(u, proto), F.lit(0.0))
+            return F.struct((p + F.lit(strength) * sim).alias("s"), (-x["cls"]).alias("c"))
 
-    best = F.array_max(F.transform(probs, score))
+        return F.array_max(F.transform(probs, score))
+
+    best = V.let(V.unit(vec), scored)
     top = F.array_max(F.transform(probs, lambda x: F.struct(x["p"].alias("s"), (-x["cls"]).alias("c"))))
-    return c.withColumns({"local_cls": -best["c"], "global_cls": -top["c"]}).drop("_proto", "_u")
+    return c.withColumns({"local_cls": -best["c"], "global_cls": -top["c"]}).drop("_proto")
 
 
 def encoder_persistence(cells: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
@@ -156,12 +159,18 @@ def nearest_centre(units: DataFrame, centres: DataFrame, vec: str, max_centres:
     n = centres.count()
     if n > max_centres:
         raise ValueError(f"{n} centres exceed the limit of {max_centres}")
-    one = centres.agg(F.collect_list(F.struct("region", "centre")).alias("_c")).withColumn("_k", F.lit(1))
+    one = centres.withColumn("centre", V.unit("centre", 1e-12)).agg(
+        F.collect_list(F.struct("region", "centre")).alias("_c")
+    ).withColumn("_k", F.lit(1))
     j = units.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k")
-    sims = F.transform("_c", lambda x: F.struct(
-        F.coalesce(V.cosine(F.col(vec), x["centre"]), F.lit(0.0)).alias("s"), (-x["region"]).alias("r")
-    ))
-    return j.withColumn("region", -F.array_max(sims)["r"]).drop("_c", "_k")
+
+    def closest(u: Column) -> Column:
+        return F.array_max(F.transform("_c", lambda x: F.struct(
+            V.dot(u, x["centre"]).alias("s"), (-x["region"]).alias("r")
+        )))
+
+    best = V.let(V.unit(vec, 1e-12), closest)
+    return j.withColumn("region", -best["r"]).drop("_c", "_k")
 
 
 def region_sizes(assigned: DataFrame, centres: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DatetimeType, NumericType
 from pyspark.sql.window import Window as W
 
 from ..functions import vectors as V
@@ -45,17 +46,24 @@ def box_counts(
     sums = [
         F.sum((near[r] & m).cast("int")).alias(f"_v{r}_{k}") for r in radii for k, m in marks.items()
     ]
-    own = F.first(F.when(F.col("_dr") == 0, F.struct(F.lit(True).alias("_is"), *rest)), True)
-    col_sums = spread.groupBy(*keys, "row", "col").agg(own.alias("_own"), *sums)
+    here = F.col("_dr") == 0
+    col_sums = spread.groupBy(*keys, "row", "col").agg(
+        F.max(here).alias("_is"), *[_own(cells, c, here) for c in rest], *sums
+    )
     boxes = [
         F.sum(f"_v{r}_{k}").over(_along_row(keys, r)).alias(f"{prefix}{r}_{k}")
         for r in radii
         for k in marks
     ]
-    out = col_sums.select(*keys, "row", "col", "_own", *boxes).filter("_own is not null")
-    names = [f"{prefix}{r}_{k}" for r in radii for k in marks]
-    cols = [F.col(c) if c in (*keys, "row", "col") else F.col(f"_own.{c}") for c in cells.columns]
-    return out.select(*cols, *names)
+    out = col_sums.select(*cells.columns, "_is", *boxes).filter("_is")
+    return out.drop("_is")
+
+
+def _own(cells: DataFrame, name: str, here: Column) -> Column:
+    """The cell's own value among the copies; fixed-width types stay in hash aggregation."""
+    value = F.when(here, F.col(name))
+    fixed = isinstance(cells.schema[name].dataType, (NumericType, BooleanType, DatetimeType))
+    return (F.max(value) if fixed else F.first(value, True)).alias(name)
 
 
 def _pick(classes: Sequence[int], of: Column, make) -> Column:
@@ -175,7 +183,9 @@ def distance_affinity(
 
 def latent_affinity(cells: DataFrame, keys: Sequence[str], cls: str, vec: str) -> DataFrame:
     """Long (cell, neighbour class, mean of max(0, cosine)) over the 8 neighbours."""
-    spread = _spread(cells, keys, F.sequence(F.lit(-1), F.lit(1)))
+    # unit vectors first: a pair then costs one dot product; zero vectors stay zero
+    units = cells.select(*keys, "row", "col", cls, V.unit(vec, 1e-12).alias(vec))
+    spread = _spread(units, keys, F.sequence(F.lit(-1), F.lit(1)))
     src = F.struct(
         F.col("_src").alias("r"), F.col("col").alias("c"), F.col(cls).alias("k"), F.col(vec).alias("v")
     )
@@ -190,7 +200,7 @@ def latent_affinity(cells: DataFrame, keys: Sequence[str], cls: str, vec: str) -
         others,
         lambda x: F.struct(
             x["k"].alias("k"),
-            F.greatest(F.coalesce(V.cosine(F.col(vec), x["v"]), F.lit(0.0)), F.lit(0.0)).alias("s"),
+            F.greatest(V.dot(F.col(vec), x["v"]), F.lit(0.0)).alias("s"),
         ),
     )
     near = near.select(*keys, "row", "col", sims.alias("_s"))

@@ -71,39 +71,47 @@ def cap_ratio(cases: DataFrame, threshold: float, q: float, eps: float = 1e-6) -
     return a.select(F.coalesce("_h", "_a").alias("cap_ratio"), "n_high")
 
 
-def leave_one_out_quantile(cases: DataFrame, usable: Column, value: str, q: float, out: str) -> DataFrame:
-    """Per area the q-quantile of ``value`` over the other usable areas.
+def leave_one_out_quantile(
+    cases: DataFrame, usable: Column, value: str, quantiles: dict[str, float]
+) -> DataFrame:
+    """Per area the quantiles (name -> q) of ``value`` over the other usable areas.
 
     With n usable values sorted, leaving out rank k shifts the wanted positions
-    by at most one, so four order statistics answer every area.
+    by at most one, so four order statistics per quantile answer every area.
     """
     u = cases.filter(usable).select("area", F.col(value).alias("_v"), F.lit(1).alias("_k"))
-    ranked = group_rank(u, ["_k"], ["_v", "area"], "_r")
-    n = ranked.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    r = ranked.join(F.broadcast(n), "_k")
+    st = group_stats(u, ["_k"])
+    ranked = group_rank(u, ["_k"], ["_v", "area"], "_r", st)
+    r = ranked.join(F.broadcast(st.sizes.withColumnRenamed("n", "_n")), "_k")
 
-    def stats(drop: int) -> list[Column]:
-        """Order statistics for a reduced sample of n - drop values."""
+    def order_stats(name: str, q: float, drop: int) -> list[Column]:
+        """Order statistics around the q-position of a sample of n - drop values."""
         pos = (F.col("_n") - 1 - drop) * F.lit(float(q))
-        cols = []
-        for name, p in ((f"lo{drop}", F.floor(pos)), (f"hi{drop}", F.ceil(pos))):
-            for s in (0, 1):
-                cols.append(F.max(F.when(F.col("_r") == p + 1 + s, F.col("_v"))).alias(f"{name}{s}"))
-            cols.append(F.max(p).alias(f"p_{name}"))
-        cols.append(F.max(pos - F.floor(pos)).alias(f"f{drop}"))
+        cols = [F.max(pos - F.floor(pos)).alias(f"_{name}_f{drop}")]
+        for side, p in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            at = lambda s, p=p: F.max(F.when(F.col("_r") == p + 1 + s, F.col("_v")))
+            cols += [F.max(p).alias(f"_{name}_{side}{drop}_p"),
+                     at(0).alias(f"_{name}_{side}{drop}_0"), at(1).alias(f"_{name}_{side}{drop}_1")]
         return cols
 
-    s = r.groupBy("_k").agg(F.max("_n").alias("_n"), *stats(0), *stats(1))
+    s = r.groupBy("_k").agg(
+        F.max("_n").alias("_n"), *[c for n, q in quantiles.items() for d in (0, 1) for c in order_stats(n, q, d)]
+    )
     c = cases.withColumn("_k", F.lit(1)).join(ranked.select("area", "_r"), "area", "left").join(F.broadcast(s), "_k", "left")
-    all_q = F.col("lo00") + (F.col("hi00") - F.col("lo00")) * F.col("f0")
 
-    def shifted(name: str) -> Column:
-        return F.when(F.col("_r") <= F.col(f"p_{name}") + 1, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    def answer(name: str) -> Column:
+        def moved(side: str) -> Column:
+            p = f"_{name}_{side}1"
+            return F.when(F.col("_r") <= F.col(f"{p}_p") + 1, F.col(f"{p}_1")).otherwise(F.col(f"{p}_0"))
+
+        def between(lo: Column, hi: Column, drop: int) -> Column:
+            return lo + (hi - lo) * F.col(f"_{name}_f{drop}")
+
+        everyone = between(F.col(f"_{name}_lo0_0"), F.col(f"_{name}_hi0_0"), 0)
+        others = F.when(F.col("_n") > 1, between(moved("lo"), moved("hi"), 1))
+        return F.when(F.col("_r").isNull(), everyone).otherwise(others)
 
-    lo, hi = shifted("lo1"), shifted("hi1")
-    loo = F.when(F.col("_n") > 1, lo + (hi - lo) * F.col("f1"))
-    drop = [x for x in c.columns if x not in cases.columns]
-    return c.withColumn(out, F.when(F.col("_r").isNull(), all_q).otherwise(loo)).drop(*drop)
+    return c.select(*cases.columns, *[answer(n).alias(n) for n in quantiles])
 
 
 def target_fraction(

@@ -115,10 +115,10 @@ SELECT area, round(model, 6) AS model, round(shuffle, 6) AS shuffle, round(persi
  round(greatest(persistence, prior, temporal), 6) AS best_non_neural, round(model - greatest(persistence, prior, temporal), 6) AS primary_advantage,
  round(model - shuffle, 6) AS spatial_advantage FROM w"""))
 def e03(spark, sf):
-    g = B.grid(spark, sf)
-    g = Z.spatial_shuffle(g, AREA, 17)
-    g = Z.transition_prior(g, AREA, loo_counts(spark, sf), 18)
-    g = Z.temporal_prior(g, AREA, 19)
+    base = B.grid(spark, sf)
+    g = Z.spatial_shuffle(base, AREA, 17)
+    g = Z.transition_prior(g, AREA, loo_counts(spark, sf), 18, base)
+    g = Z.temporal_prior(g, AREA, 19, sized_by=base)
     names = {"model": "pred_cls", "shuffle": "shuffled_cls", "persistence": "start_cls", "prior": "prior_cls",
              "temporal": "temporal_cls"}
     c = M.method_contingency(g, AREA, names)

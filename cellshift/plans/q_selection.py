@@ -95,8 +95,7 @@ SELECT c.area, round((SELECT quantile_cont(r.ratio, 0.25) FROM rt r WHERE r.area
 def j05a(spark, sf):
     c = cases(spark, sf).withColumn("ratio", F.greatest("target", F.lit(0.0)) / F.greatest("predicted", F.lit(1e-6)))
     ok = F.col("predicted") > 1e-6
-    c = J.leave_one_out_quantile(c, ok, "ratio", 0.25, "q25")
-    c = J.leave_one_out_quantile(c, ok, "ratio", 0.6, "q60")
+    c = J.leave_one_out_quantile(c, ok, "ratio", {"q25": 0.25, "q60": 0.6})
     return r6(c.select("area", "q25", "q60"), "q25", "q60")
 
 
@@ -128,8 +127,7 @@ def loo_evaluation(spark, sf):
     share = lambda x: F.sum(F.when(F.col(x) != F.col("start_cls"), F.col("n")).otherwise(0)) / F.sum("n")
     ca = cont.groupBy("area").agg(share("pred_cls").alias("p"), share("end_cls").alias("t"), F.sum("n").alias("nv"))
     ca = ca.withColumn("ratio", F.col("t") / F.col("p"))
-    for q, name in ((0.25, "q25"), (0.75, "q75")):
-        ca = J.leave_one_out_quantile(ca, F.col("p") > 1e-6, "ratio", q, name)
+    ca = J.leave_one_out_quantile(ca, F.col("p") > 1e-6, "ratio", {"q25": 0.25, "q75": 0.75})
     params = F.array(*[
         F.struct(F.lit(f"{q}_{m}").alias("param"), F.col(n).alias("_r"), F.lit(m).alias("_m"))
         for q, n in ((0.25, "q25"), (0.75, "q75")) for m in (0.5, 0.8, 1.0)])

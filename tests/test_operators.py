@@ -363,7 +363,7 @@ def test_ridge_matches_numpy(spark):
 def test_leave_one_out_quantile(spark, q):
     vals = [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0]
     df = spark.createDataFrame([(i, v, i != 6) for i, v in enumerate(vals)], "area int, v double, ok boolean")
-    got = {r["area"]: r["q"] for r in J.leave_one_out_quantile(df, F.col("ok"), "v", q, "q").collect()}
+    got = {r["area"]: r["q"] for r in J.leave_one_out_quantile(df, F.col("ok"), "v", {"q": q}).collect()}
     for i in range(7):
         rest = [v for j, v in enumerate(vals) if j != i and j != 6]
         assert got[i] == pytest.approx(np.quantile(rest, q))
