@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,12 +81,3 @@ def change_code(start: Column, end: Column, pred: Column) -> Column:
     return (
         F.when(t & p, "hit").when(t, "miss").when(p, "false_alarm").otherwise("correct_rejection")
     )
-
-
-def array_literal(values: Iterable) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def name_list(items: Column, sep: str = ",") -> Column:
-    """Sorted, joined text of a collected set of strings."""
-    return F.array_join(F.array_sort(F.collect_set(items)), sep)

@@ -21,6 +21,7 @@ FARMLAND_PREFIXES = ("011", "012", "013")
 FOREST_PREFIXES = ("031", "032", "033")
 BARRIER_PREFIXES = ("10", "11", "20")
 METRES_PER_DEGREE = 111_320.0
+MAX_CLASSES = 10_000
 
 
 def tier(area: Column, status: Column, known: Sequence[str] = KNOWN_AREAS) -> Column:
@@ -195,6 +196,8 @@ def match_class_names(queries: DataFrame, classes: DataFrame) -> DataFrame:
     """Class id by name: exact match first, then containment either way, lowest id first."""
     q, n = F.col("query"), F.col("cls_name")
     hit = (q == n) | F.contains(n, q) | F.contains(q, n)
+    if classes.count() > MAX_CLASSES:
+        raise ValueError(f"a class table has at most {MAX_CLASSES} rows")
     j = queries.select("query").distinct().join(F.broadcast(classes), hit, "left")
     prio = F.struct(F.when(q == n, 0).otherwise(1).alias("p"), F.col("cls").alias("c"))
     return j.groupBy("query").agg(F.min(F.when(F.col("cls").isNotNull(), prio)).alias("_m")).select(

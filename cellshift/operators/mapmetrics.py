@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import f1_score, n_if, ratio, transition_label
-from .ranking import group_agg
+from .ranking import group_agg, join_small
 
 
 def contingency(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -607,13 +607,12 @@ def transition_fate(
     top = top_transitions(cont, keys, "end_cls", limit)
     tk = [*keys, "from_cls", "to_cls"]
     mix = cont.select(*keys, S.alias("from_cls"), E.alias("to_cls"), P.alias("cls"), "n").join(
-        F.broadcast(top.select(*tk)), tk
+        top.select(*tk), tk
     )
     mix = mix.groupBy(*tk, "cls").agg(F.sum("n").alias("n"))
     text = class_count_summary(mix, tk, k, "pred_mix")
-    chosen = cells.filter(S != E).select(
-        *keys, S.alias("from_cls"), E.alias("to_cls"), F.col(prob)
-    ).join(F.broadcast(top.select(*tk)), tk)
+    chosen = cells.filter(S != E).select(*keys, S.alias("from_cls"), E.alias("to_cls"), F.col(prob))
+    chosen = join_small(chosen, top.select(*tk), tk, how="inner")
     stats = group_agg(chosen, tk, [F.round(F.avg(prob), 6).alias("mean_prob")], prob,
                       {"median_prob": 0.5}).withColumn("median_prob", F.round("median_prob", 6))
     return top.join(text, tk).join(stats, tk)

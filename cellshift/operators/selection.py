@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from ..functions.columns import clamp, half_even, n_if, stable_hash
 from . import mapmetrics as M
 from .gates import is_candidate, rank_candidates
-from .ranking import group_rank, group_stats, join_small
+from .ranking import group_agg, group_rank, group_stats, join_small
 
 TOLERANCE = 1e-12
 
@@ -58,17 +58,17 @@ def change_ratios(cases: DataFrame, eps: float = 1e-6) -> DataFrame:
 
 def ratio_quantile(ratios: DataFrame, q: float) -> DataFrame:
     """One row with the q-quantile of the ratios."""
-    return ratios.agg(F.percentile("ratio", F.lit(q)).alias("base_ratio"), F.count(F.lit(1)).alias("n_usable"))
+    r = ratios.withColumn("_k", F.lit(1))
+    return group_agg(r, ["_k"], [F.count(F.lit(1)).alias("n_usable")], "ratio", {"base_ratio": q}).drop("_k")
 
 
 def cap_ratio(cases: DataFrame, threshold: float, q: float, eps: float = 1e-6) -> DataFrame:
     """Quantile of the ratios of cases at or above the threshold, or of all when there are none."""
-    r = change_ratios(cases, eps)
-    high = F.when(F.col("predicted") >= threshold, F.col("ratio"))
-    a = r.agg(
-        F.percentile(high, F.lit(q)).alias("_h"), F.percentile("ratio", F.lit(q)).alias("_a"), F.count(high).alias("n_high")
-    )
-    return a.select(F.coalesce("_h", "_a").alias("cap_ratio"), "n_high")
+    high = F.col("predicted") >= threshold
+    r = change_ratios(cases, eps).withColumns({"_k": F.lit(1), "_h": F.when(high, F.col("ratio"))})
+    a = group_agg(r, ["_k"], [F.count("_h").alias("n_high")], "ratio", {"_q": q})
+    h = group_agg(r, ["_k"], [], "_h", {"_qh": q})
+    return a.join(h, "_k").select(F.coalesce("_qh", "_q").alias("cap_ratio"), "n_high")
 
 
 def leave_one_out_quantile(

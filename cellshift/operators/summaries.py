@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.columns import finite, n_if
-from .ranking import group_agg
+from .ranking import group_agg, group_rank
 
 
 def long_metrics(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], lower: Sequence[str] = ()) -> DataFrame:
@@ -342,10 +341,9 @@ def focus_bundle(metrics: DataFrame, focus: str, others: Sequence[str]) -> DataF
     return wanted.withColumn("role", F.when(F.col("area") == focus, "focus").otherwise("comparison"))
 
 
-def top_n(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """First n rows per key by a full order (small report tables)."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+def ranked_report(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """Rank of every row per key by a full ascending order that ends in a unique column."""
+    return group_rank(rows, keys, order, "rank")
 
 
 def set_difference(a: DataFrame, b: DataFrame, col: str) -> DataFrame:

@@ -331,10 +331,10 @@ def e27(spark, sf):
 # ---- sorts and set operations ------------------------------------------------
 
 @query("k01_ranked_report", sql("adv", """
-SELECT area, row_number() OVER (PARTITION BY tier ORDER BY spatial_adv, primary_adv, area)::INT AS rank, tier FROM adv"""))
+SELECT area, row_number() OVER (PARTITION BY tier ORDER BY spatial_adv NULLS FIRST, primary_adv NULLS FIRST, area) AS rank, tier FROM adv"""))
 def k01(spark, sf):
-    order = [F.col("spatial_adv"), F.col("primary_adv"), F.col("area")]
-    return S.top_n(B.advantages(spark, sf), ["tier"], order, 1 << 30).select("area", "rank", "tier")
+    r = S.ranked_report(B.advantages(spark, sf), ["tier"], ["spatial_adv", "primary_adv", "area"])
+    return r.select("area", "rank", "tier")
 
 
 @query("k02_top_transitions", sql("grid", """

@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import name_list
-
 # fixed values: file name patterns and accepted contact states
 LABEL_NAME = r"^(.+)_lulc_(\d{4})\.npy$"
 PREDICTION_NAME = r"^(.+)_lulc_pred_(\d{4})_(\d{4})\.npy$"
@@ -415,8 +413,3 @@ def calibration_cases(
         .when(F.col("start_shape") != F.col("end_shape"), "shape_mismatch")
     )
     return j.select("path", "area", "start_year", "end_year", reason.alias("reason"))
-
-
-def area_list(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sorted comma-joined areas per key."""
-    return rows.groupBy(*keys).agg(name_list(F.col("area")).alias("areas"))
