@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import half_even, hash_unit, stable_hash
 from .cells import leave_one_area_out
 from .demand import largest_remainder
-from .ranking import GroupStats, group_rank, group_stats, join_small
+from .ranking import GroupStats, attach_row, group_rank, group_stats, join_small
 
 POS = ("row", "col")
 
@@ -93,10 +93,9 @@ def temporal_prior(
     per = base.groupBy(*shape, *keys).agg(
         F.count(F.lit(1)).alias("_n"), F.avg(ch.cast("double")).alias("_rate")
     )
-    one = per.withColumn("_k", F.lit(1))
-    on = [*shape] or ["_k"]
-    tot = one.groupBy(*on).agg(F.sum("_rate").alias("_sum"), F.count(F.lit(1)).alias("_areas"))
-    rate = one.join(tot, on).filter("_areas > 1").select(
+    tot = per.groupBy(*shape).agg(F.sum("_rate").alias("_sum"), F.count(F.lit(1)).alias("_areas"))
+    with_tot = per.join(tot, list(shape)) if shape else attach_row(per, tot)
+    rate = with_tot.filter("_areas > 1").select(
         *keys, half_even((F.col("_sum") - F.col("_rate")) / (F.col("_areas") - 1) * F.col("_n")).alias("_take")
     )
     hist = base.filter(ch).groupBy(*shape, *keys, F.col("end_cls").alias("cls")).agg(F.count(F.lit(1)).alias("n"))

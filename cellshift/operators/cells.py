@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import clamp, lookup
-from .ranking import join_small
+from .ranking import attach_row, attach_table, join_small
 
 # fixed values: areas used in development, land codes, metres per degree
 KNOWN_AREAS = (
@@ -362,9 +362,7 @@ def leave_one_area_out(counts: DataFrame, group: Sequence[str], area: str, on: S
     """
     total = counts.groupBy(*group, *on).agg(F.sum("n").alias("_t"))
     scope = counts.select(*group, area).distinct()
-    j = scope.join(total, list(group)) if group else scope.withColumn("_k", F.lit(1)).join(
-        F.broadcast(total.withColumn("_k", F.lit(1))), "_k"
-    ).drop("_k")
+    j = scope.join(total, list(group)) if group else attach_table(scope, total)
     j = j.join(counts, [*group, area, *on], "left")
     return j.select(
         *group, area, *on, (F.col("_t") - F.coalesce("n", F.lit(0))).cast("bigint").alias("n")
@@ -421,10 +419,10 @@ def versus_reference(
 
 def common_areas(rows: DataFrame) -> DataFrame:
     """Areas every candidate covers, from (candidate, area) rows."""
-    n = rows.select("candidate").distinct().agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
+    n = rows.agg(F.count_distinct("candidate").alias("_n"))
     per = rows.groupBy("area").agg(F.count_distinct("candidate").alias("n_candidates"))
-    j = per.withColumn("_k", F.lit(1)).join(F.broadcast(n), "_k")
-    return j.withColumn("is_common", F.col("n_candidates") == F.col("_n")).drop("_k", "_n")
+    j = attach_row(per, n)
+    return j.withColumn("is_common", F.col("n_candidates") == F.col("_n")).drop("_n")
 
 
 def shape_status(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window as W
 from ..functions import vectors as V
 from ..functions.columns import half_even, n_if, stable_hash
 from .cells import consecutive_years
-from .ranking import group_agg, group_rank, group_stats, join_small
+from .ranking import attach_row, group_agg, group_rank, group_stats, join_small
 
 POS = ("row", "col")
 
@@ -161,8 +161,8 @@ def nearest_centre(units: DataFrame, centres: DataFrame, vec: str, max_centres:
         raise ValueError(f"{n} centres exceed the limit of {max_centres}")
     one = centres.withColumn("centre", V.unit("centre", 1e-12)).agg(
         F.collect_list(F.struct("region", "centre")).alias("_c")
-    ).withColumn("_k", F.lit(1))
-    j = units.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k")
+    )
+    j = attach_row(units, one)
 
     def closest(u: Column) -> Column:
         return F.array_max(F.transform("_c", lambda x: F.struct(
@@ -170,7 +170,7 @@ def nearest_centre(units: DataFrame, centres: DataFrame, vec: str, max_centres:
         )))
 
     best = V.let(V.unit(vec, 1e-12), closest)
-    return j.withColumn("region", -best["r"]).drop("_c", "_k")
+    return j.withColumn("region", -best["r"]).drop("_c")
 
 
 def region_sizes(assigned: DataFrame, centres: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clamp, half_even, ratio
 from ..session import cut_lineage
 from . import mapmetrics as M
-from .ranking import GroupStats, group_agg, group_rank, group_stats, join_small
+from .ranking import GroupStats, attach_row, attach_table, group_agg, group_rank, group_stats, join_small
 
 POS = ("row", "col")
 
@@ -130,9 +130,8 @@ def leave_one_out_hits(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key: candidate hits of all the other keys, from totals minus own."""
     cols = ["n", "exact", "binary_hits"]
     total = hits.groupBy("from_cls", "to_cls").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
-    scope = hits.select(*keys).distinct().withColumn("_k", F.lit(1))
     # classes are few: one small row of transitions per key
-    grid = scope.join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    grid = attach_table(hits.select(*keys).distinct(), total)
     j = grid.join(hits, [*keys, "from_cls", "to_cls"], "left")
     return j.select(
         *keys, "from_cls", "to_cls", *[(F.col(f"_{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in cols]
@@ -148,9 +147,7 @@ def _transition_budget(
     only = [k for k in keys if k in rel.columns]
     g = rel.groupBy(*only).agg(F.max("global_reliability").alias("_g"))
     j = groups.join(rel.select(*on, "reliability"), on, "left")
-    j = j.join(g, only, "left") if only else j.withColumn("_j", F.lit(1)).join(
-        F.broadcast(g.withColumn("_j", F.lit(1))), "_j", "left"
-    ).drop("_j")
+    j = j.join(g, only, "left") if only else attach_row(j, g)
     j = j.withColumn("_g", F.coalesce("_g", F.lit(0.0)))
     j = j.withColumn("_rel", F.coalesce("reliability", "_g"))
     return j.select(
@@ -252,12 +249,10 @@ def class_budget(
     scope = cells.select(*keys).distinct()
     done = None
     for c in classes:
-        cur = scope.join(base.filter(F.col("cls") == c), list(keys), "left").join(
-            ratios.filter(F.col("cls") == c).select(*[k for k in keys if k in ratios.columns], "ratio")
-            if any(k in ratios.columns for k in keys)
-            else F.broadcast(ratios.filter(F.col("cls") == c).select("ratio")),
-            [k for k in keys if k in ratios.columns] or F.lit(True), "left",
-        )
+        cur = scope.join(base.filter(F.col("cls") == c), list(keys), "left")
+        on = [k for k in keys if k in ratios.columns]
+        mine = ratios.filter(F.col("cls") == c).select(*on, "ratio")
+        cur = cur.join(mine, on, "left") if on else attach_row(cur, mine)
         gained = F.lit(0)
         if done is not None:
             back = join_small(

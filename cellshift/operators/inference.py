@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import finite, hash_unit, n_if, stable_hash
-from .ranking import group_agg, group_rank, group_stats, join_small, value_positions
+from .ranking import attach_row, group_agg, group_rank, group_stats, join_small, value_positions
 
 Z_975 = 1.959963984540054  # fixed values: normal quantiles at 0.975 and 0.80
 Z_80 = 0.8416212335729143
@@ -298,12 +298,11 @@ def gate_report(
     strata = t1.groupBy("_k", "stratum").agg(F.avg(v).alias("_m")).groupBy("_k").agg(
         n_if(F.col("_m") > 0).alias("positive_strata")
     )
-    base = rows.select(F.lit(1).alias("_k")).limit(1)
-    j = (
-        base.join(p.select("_k", "n_clusters", F.col("ci_low").alias("primary_ci_low")), "_k", "left")
-        .join(s.select("_k", F.col("ci_low").alias("spatial_ci_low")), "_k", "left")
-        .join(strata, "_k", "left")
+    j = attach_row(
+        rows.agg(F.count(F.lit(1)).alias("n_rows")), p.select("n_clusters", F.col("ci_low").alias("primary_ci_low"))
     )
+    j = attach_row(j, s.select(F.col("ci_low").alias("spatial_ci_low")))
+    j = attach_row(j, strata.select("positive_strata"))
     ok = (F.col("primary_ci_low") > 0) & (F.col("spatial_ci_low") > 0) & (F.col("positive_strata") >= need_strata)
     status = (
         F.when(F.col("n_clusters").isNull(), "insufficient_tier1")

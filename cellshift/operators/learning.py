@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_unit
+from .ranking import attach_row
 
 
 def with_folds(rows: DataFrame, unit: Sequence[str], k: int, seed: int) -> DataFrame:
@@ -70,10 +71,10 @@ def _fold_scores(counts: DataFrame) -> DataFrame:
     c = counts.select(
         F.col("label").cast("int").alias("true_cls"), F.col("prediction").cast("int").alias("pred_cls"), "n"
     )
-    macro = confusion_report(c)[1].agg(F.avg("f1").alias("macro_f1")).withColumn("_k", F.lit(1))
+    macro = confusion_report(c)[1].agg(F.avg("f1").alias("macro_f1"))
     hit = F.sum(F.when(F.col("true_cls") == F.col("pred_cls"), F.col("n")).otherwise(0))
-    acc = c.agg((hit / F.sum("n")).alias("accuracy"), F.sum("n").alias("n_test")).withColumn("_k", F.lit(1))
-    return acc.join(macro, "_k").drop("_k")
+    acc = c.agg((hit / F.sum("n")).alias("accuracy"), F.sum("n").alias("n_test"))
+    return attach_row(acc, macro)
 
 
 def decoder_by_year(rows: DataFrame, years: Sequence[int], unit: Sequence[str], vec: str, cls: str, **kw) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import f1_score, n_if, ratio, transition_label
-from .ranking import group_agg, join_small
+from .ranking import attach_row, attach_table, group_agg, join_small
 
 
 def contingency(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -343,7 +343,7 @@ def add_totals(hits: DataFrame, keys: Sequence[str]) -> DataFrame:
     tot = hits.agg(
         F.sum("n").alias("g_n"), F.sum("exact").alias("g_exact"), F.sum("binary_hits").alias("g_binary")
     )
-    return hits.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    return attach_row(hits, tot)
 
 
 def transition_reliability(
@@ -480,8 +480,7 @@ def pair_evidence(
     directed = pairs.select("a", "b", F.inline(F.expr(
         "array(named_struct('from_cls', a, 'to_cls', b), named_struct('from_cls', b, 'to_cls', a))"
     )))
-    scope = cont.select(*keys).distinct().withColumn("_k", F.lit(1))
-    want = scope.join(F.broadcast(directed.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    want = attach_table(cont.select(*keys).distinct(), directed)
     j = (
         want.join(pred, [*keys, "from_cls", "to_cls"], "left")
         .join(starts, [*keys, "from_cls"], "left")
@@ -513,10 +512,10 @@ def class_bias(cont: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def class_weights(counts: DataFrame, lo: float = 0.25, hi: float = 4.0) -> DataFrame:
     """sqrt(median count / count) clipped, over classes with a positive count (cls, n)."""
-    pos = counts.filter(F.col("n") > 0).withColumn("_k", F.lit(1))
-    med = pos.groupBy("_k").agg(F.percentile("n", F.lit(0.5)).alias("_med"))
+    pos = counts.filter(F.col("n") > 0)
+    med = pos.agg(F.percentile("n", F.lit(0.5)).alias("_med"))
     w = F.sqrt(F.col("_med") / F.col("n"))
-    return pos.join(F.broadcast(med), "_k").select(
+    return attach_row(pos, med).select(
         "cls", "n", F.least(F.lit(hi), F.greatest(F.lit(lo), w)).alias("weight")
     )
 

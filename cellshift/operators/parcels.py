@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import n_if, ratio
 from ..session import cut_lineage
 from .cells import change_type, parcel_class
-from .ranking import group_agg, group_rank, group_stats, join_small
+from .ranking import attach_row, group_agg, group_rank, group_stats, join_small
 
 FARM, FOREST = "farmland", "forest"
 
@@ -157,10 +157,10 @@ def block_features(
         n_if(farm).alias("n_farm"), n_if(forest).alias("n_forest"),
         total(F.col("kind") == FARM, a).alias("all_farm_area"),
     )
-    rng = p.agg(F.min(s).alias("smin"), (F.max(s) - F.min(s)).alias("srange")).withColumn("_k", F.lit(1))
-    top = agg.agg(F.max("block_area").alias("amax")).withColumn("_k", F.lit(1))
-    b = agg.join(swaps, "block_id", "left").withColumn("swaps", F.coalesce("swaps", F.lit(0))).withColumn("_k", F.lit(1))
-    b = b.join(F.broadcast(rng), "_k").join(F.broadcast(top), "_k").drop("_k")
+    rng = p.agg(F.min(s).alias("smin"), (F.max(s) - F.min(s)).alias("srange"))
+    top = agg.agg(F.max("block_area").alias("amax"))
+    b = agg.join(swaps, "block_id", "left").withColumn("swaps", F.coalesce("swaps", F.lit(0)))
+    b = attach_row(attach_row(b, rng), top)
     if perimeters is not None:
         b = b.join(perimeters, "block_id", "left").withColumn(
             "compactness", compactness(F.col("block_area"), F.coalesce("perimeter", F.lit(0.0)))
@@ -216,8 +216,7 @@ def township_rollup(parcels: DataFrame, swaps: DataFrame) -> DataFrame:
 
 def investment_spread(rollup: DataFrame) -> DataFrame:
     """Entropy of swaps over townships against its maximum, and the largest share."""
-    t = rollup.agg(F.sum("swaps_used").alias("_t"), F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
-    r = rollup.withColumn("_k", F.lit(1)).join(F.broadcast(t), "_k")
+    r = attach_row(rollup, rollup.agg(F.sum("swaps_used").alias("_t"), F.count(F.lit(1)).alias("_n")))
     p = F.col("swaps_used") / (F.col("_t") + F.lit(1e-8))
     h = F.when(p > 0, -p * F.ln(p)).otherwise(0.0)
     return r.groupBy("_n").agg(F.sum(h).alias("_h"), F.max(p).alias("max_share")).select(

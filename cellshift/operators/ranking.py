@@ -56,6 +56,18 @@ def join_small(
     return df.join(F.broadcast(small) if rows <= MAX_BROADCAST_ROWS else small, list(keys), how)
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table as scalar values (NULL if it is empty)."""
+    value = row.select(F.struct("*").alias("_row")).scalar()
+    return df.withColumn("_row", value).select(*df.columns, "_row.*")
+
+
+def attach_table(df: DataFrame, small: DataFrame) -> DataFrame:
+    """Every row with every row of a class-sized table, sent as one array value."""
+    packed = small.agg(F.collect_list(F.struct(*small.columns)).alias("_table"))
+    return attach_row(df, packed).select(*df.columns, F.inline("_table"))
+
+
 def group_rank(
     df: DataFrame,
     keys: Sequence[str],

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 from ..functions.columns import clamp, half_even, n_if, stable_hash
 from . import mapmetrics as M
 from .gates import is_candidate, rank_candidates
-from .ranking import group_agg, group_rank, group_stats, join_small
+from .ranking import attach_row, group_agg, group_rank, group_stats, join_small
 
 TOLERANCE = 1e-12
 
@@ -68,7 +68,7 @@ def cap_ratio(cases: DataFrame, threshold: float, q: float, eps: float = 1e-6) -
     r = change_ratios(cases, eps).withColumns({"_k": F.lit(1), "_h": F.when(high, F.col("ratio"))})
     a = group_agg(r, ["_k"], [F.count("_h").alias("n_high")], "ratio", {"_q": q})
     h = group_agg(r, ["_k"], [], "_h", {"_qh": q})
-    return a.join(h, "_k").select(F.coalesce("_qh", "_q").alias("cap_ratio"), "n_high")
+    return attach_row(a, h.select("_qh")).select(F.coalesce("_qh", "_q").alias("cap_ratio"), "n_high")
 
 
 def leave_one_out_quantile(
@@ -82,7 +82,7 @@ def leave_one_out_quantile(
     u = cases.filter(usable).select("area", F.col(value).alias("_v"), F.lit(1).alias("_k"))
     st = group_stats(u, ["_k"])
     ranked = group_rank(u, ["_k"], ["_v", "area"], "_r", st)
-    r = ranked.join(F.broadcast(st.sizes.withColumnRenamed("n", "_n")), "_k")
+    r = attach_row(ranked, st.sizes.select(F.col("n").alias("_n")))
 
     def order_stats(name: str, q: float, drop: int) -> list[Column]:
         """Order statistics around the q-position of a sample of n - drop values."""
@@ -97,7 +97,7 @@ def leave_one_out_quantile(
     s = r.groupBy("_k").agg(
         F.max("_n").alias("_n"), *[c for n, q in quantiles.items() for d in (0, 1) for c in order_stats(n, q, d)]
     )
-    c = cases.withColumn("_k", F.lit(1)).join(ranked.select("area", "_r"), "area", "left").join(F.broadcast(s), "_k", "left")
+    c = attach_row(cases.join(ranked.select("area", "_r"), "area", "left"), s.drop("_k"))
 
     def answer(name: str) -> Column:
         def moved(side: str) -> Column:
@@ -236,12 +236,12 @@ def _deltas(rows: DataFrame, baseline: str, metrics: Sequence[str]) -> DataFrame
 def _baseline(rows: DataFrame, baseline: str, metrics: Sequence[str]) -> DataFrame:
     return rows.filter(F.col("candidate") == baseline).agg(
         F.count(F.lit(1)).alias("n_areas"), *[F.avg(m).alias(f"base_{m}") for m in metrics]
-    ).withColumn("_k", F.lit(1))
+    )
 
 
 def _finish(rules: DataFrame, base: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Turn summed deltas into means against the baseline."""
-    r = rules.withColumn("_k", F.lit(1)).join(F.broadcast(base), "_k").drop("_k")
+    r = attach_row(rules, base)
     cols = {f"delta_{m}": F.col(f"d_{m}") / F.col("n_areas") for m in metrics}
     r = r.withColumns(cols)
     r = r.withColumns({f"mean_{m}": F.col(f"base_{m}") + F.col(f"delta_{m}") for m in metrics})

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, n_if
-from .ranking import group_agg, group_rank
+from .ranking import attach_row, group_agg, group_rank
 
 
 def long_metrics(rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], lower: Sequence[str] = ()) -> DataFrame:
@@ -221,8 +221,7 @@ def planning_summary(rows: DataFrame, config: str, value: str, reference: str) -
     s = rows.groupBy(config).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean_value"), _std(value).alias("std_value")
     )
-    ref = s.filter(F.col(config) == reference).select(F.col("mean_value").alias("_ref"), F.lit(1).alias("_k"))
-    j = s.withColumn("_k", F.lit(1)).join(F.broadcast(ref), "_k", "left").drop("_k")
+    j = attach_row(s, s.filter(F.col(config) == reference).select(F.col("mean_value").alias("_ref")))
     return j.withColumn(
         "retention", F.when(F.col("_ref") != 0, F.col("mean_value") / F.col("_ref"))
     ).drop("_ref")
@@ -232,10 +231,9 @@ def transfer_summary(rows: DataFrame, config: str, value: str, references: Seque
     """Mean, deviation and difference of each configuration to every reference."""
     s = rows.groupBy(config).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean_value"), _std(value).alias("std_value")
-    ).withColumn("_k", F.lit(1))
+    )
     pick = lambda r: F.max(F.when(F.col(config) == r, F.col("mean_value")))
-    ref = s.groupBy("_k").agg(*[pick(r).alias(f"_{r}") for r in references])
-    j = s.join(F.broadcast(ref), "_k")
+    j = attach_row(s, s.agg(*[pick(r).alias(f"_{r}") for r in references]))
     return j.select(
         config, "n", "mean_value", "std_value",
         *[(F.col("mean_value") - F.col(f"_{r}")).alias(f"delta_vs_{r}") for r in references],

@@ -10,6 +10,7 @@ from ..operators import mapmetrics as M
 from ..operators import selection as J
 from ..operators import summaries as S
 from ..operators.cells import bbox_grid_size, size_class
+from ..operators.ranking import attach_row
 from . import bindings as B
 from .q_catalog import _BOXD, _SIZE, attributes, boxes
 from .q_gates import _SC, scored
@@ -65,8 +66,7 @@ q AS (SELECT quantile_cont(ratio, 0.25) AS b FROM rt)""", """
 SELECT area, round(least(0.6, greatest(0.02, predicted*(b*CASE WHEN n_valid < 180 THEN 1.0 ELSE 0.7 END::DOUBLE))), 6) AS fraction FROM cs, q"""))
 def j02b(spark, sf):
     c = cases(spark, sf)
-    q = J.ratio_quantile(J.change_ratios(c), 0.25).withColumn("_k", F.lit(1))
-    c = c.withColumn("_k", F.lit(1)).join(F.broadcast(q), "_k")
+    c = attach_row(c, J.ratio_quantile(J.change_ratios(c), 0.25))
     mul = J.scale_multiplier(F.col("n_valid"), 1.0, 180, 0.7)
     f = J.target_fraction(F.col("predicted"), F.col("base_ratio"), mul, F.lit(0.02), F.lit(0.6))
     return c.select("area", F.round(f, 6).alias("fraction"))
