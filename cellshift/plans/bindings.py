@@ -138,7 +138,7 @@ def triple(spark: SparkSession, sf: str) -> DataFrame:
     """Start, end and predicted grids with gaps: two areas lack cells on one side."""
     return grid(spark, sf).selectExpr(
         "area", "row", "col", "start_cls", "if(area = 5, null, end_cls) as end_cls",
-        "case when area = 6 and row >= 40 then null when area = 7 then 3 else pred_cls end as pred_cls",
+        "case when area = 6 and row >= 3 then null when area = 7 then 3 else pred_cls end as pred_cls",
     )
 
 

@@ -14,6 +14,10 @@ def r6(df, *names):
     return df.withColumns({n: F.round(n, 6) for n in names})
 
 
+def r10(df, *names):
+    return df.withColumns({n: F.round(n, 10) for n in names})
+
+
 def unit(text):
     """DuckDB text of ``hash_unit``: first 8 hex digits of an md5 as a fraction."""
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0)"
@@ -33,8 +37,8 @@ def _boot(name, source, keys, cluster, value, n_boot, seed):
  FROM {source} WHERE {value} IS NOT NULL {'GROUP BY ALL' if keys else ''})"""
 
 
-_CI = """n_rows, n_clusters, round(mean, 6) AS mean, round(median, 6) AS median,
- CASE WHEN n_clusters>=2 THEN round(ci_low, 6) END AS ci_low, CASE WHEN n_clusters>=2 THEN round(ci_high, 6) END AS ci_high"""
+_CI = """n_rows, n_clusters, round(mean, 10) AS mean, round(median, 10) AS median,
+ CASE WHEN n_clusters>=2 THEN round(ci_low, 10) END AS ci_low, CASE WHEN n_clusters>=2 THEN round(ci_high, 10) END AS ci_high"""
 CI_COLS = ("mean", "median", "ci_low", "ci_high")
 
 
@@ -42,14 +46,14 @@ CI_COLS = ("mean", "median", "ci_low", "ci_high")
        f"SELECT tier, {_CI} FROM bt JOIN bt_b USING (tier)"))
 def s01(spark, sf):
     b = I.bootstrap_mean(B.advantages(spark, sf), ["tier"], "area", "primary_adv", 300, 7)
-    return r6(b, *CI_COLS)
+    return r10(b, *CI_COLS)
 
 
 @query("s02_cluster_bootstrap", sql("deltas", _boot("bt", "deltas", ["metric"], "area", "delta", 300, 42),
        f"SELECT metric, {_CI} FROM bt JOIN bt_b USING (metric)"))
 def s02(spark, sf):
     b = I.cluster_bootstrap(deltas(spark, sf), ["metric"], "area", "delta", 300, 42)
-    return r6(b, *CI_COLS)
+    return r10(b, *CI_COLS)
 
 
 @query("s03_leave_one_out_bootstrap", sql("adv", f"""
@@ -144,7 +148,7 @@ def s10(spark, sf):
 
 @query("e25_matched_comparison", sql("deltas", "ad AS (SELECT metric, area, avg(delta*dir) AS advantage FROM deltas GROUP BY ALL)",
        _boot("bt", "ad", ["metric"], "area", "advantage", 200, 9), """
-SELECT metric, n_rows, n_clusters, round(mean, 6) AS mean, round(median, 6) AS median, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high,
+SELECT metric, n_rows, n_clusters, round(mean, 10) AS mean, round(median, 10) AS median, round(ci_low, 10) AS ci_low, round(ci_high, 10) AS ci_high,
  (SELECT sum((advantage>0)::INT) FROM ad a WHERE a.metric=bt.metric)::BIGINT AS n_positive,
  (SELECT sum((advantage<0)::INT) FROM ad a WHERE a.metric=bt.metric)::BIGINT AS n_negative FROM bt JOIN bt_b USING (metric)"""))
 def e25(spark, sf):
@@ -153,7 +157,7 @@ def e25(spark, sf):
         F.avg(F.when(F.col("higher"), F.col("delta")).otherwise(-F.col("delta"))).alias("advantage"))
     ci = I.cluster_bootstrap(adv, ["metric"], "area", "advantage", 200, 9)
     sg = I.sign_test(adv, ["metric"], "advantage").select("metric", "n_positive", "n_negative")
-    return r6(ci.join(sg, "metric"), *CI_COLS)
+    return r10(ci.join(sg, "metric"), *CI_COLS)
 
 
 _ATT = """

@@ -223,12 +223,13 @@ def step_rows(spark, sf):
 
 
 @query("e16_multistep_summary", sql("seeded", _STEP, """
-SELECT step, count(*) AS n, round(avg(persistence), 6) AS mean_persistence, round(avg(model), 6) AS mean_model, round(avg(advantage), 6) AS mean_advantage,
- round(stddev_samp(advantage), 6) AS sd_advantage, sum((advantage>0)::INT)::BIGINT AS n_pos, sum((advantage<0)::INT)::BIGINT AS n_neg,
- round(min(advantage), 6) AS min_advantage, round(max(advantage), 6) AS max_advantage FROM sa GROUP BY step"""))
+SELECT step, count(*) AS n, round(avg(persistence), 10) AS mean_persistence, round(avg(model), 10) AS mean_model, round(avg(advantage), 10) AS mean_advantage,
+ round(stddev_samp(advantage), 10) AS sd_advantage, sum((advantage>0)::INT)::BIGINT AS n_pos, sum((advantage<0)::INT)::BIGINT AS n_neg,
+ round(min(advantage), 10) AS min_advantage, round(max(advantage), 10) AS max_advantage FROM sa GROUP BY step"""))
 def e16(spark, sf):
-    return r6(S.multistep_summary(step_rows(spark, sf)), "mean_persistence", "mean_model", "mean_advantage",
-              "sd_advantage", "min_advantage", "max_advantage")
+    out = S.multistep_summary(step_rows(spark, sf))
+    return out.withColumns({c: F.round(c, 10) for c in (
+        "mean_persistence", "mean_model", "mean_advantage", "sd_advantage", "min_advantage", "max_advantage")})
 
 
 @query("e17_area_counts", sql("adv", """
@@ -387,8 +388,8 @@ def k06(spark, sf):
     return g.select(F.explode(F.array("start_cls", "end_cls", "pred_cls")).alias("cls")).distinct()
 
 
-@query("k07_distinct_thresholds", sql("seeded", "SELECT DISTINCT area, round(fom, 2) AS threshold FROM seeded WHERE method='click'"))
+@query("k07_distinct_thresholds", sql("seeded", "SELECT DISTINCT area, round(fom, 10) AS threshold FROM seeded WHERE method='click'"))
 def k07(spark, sf):
-    return B.seeded(spark, sf).filter("method = 'click'").select("area", F.round("fom", 2).alias("threshold")).distinct()
+    return B.seeded(spark, sf).filter("method = 'click'").select("area", F.round("fom", 10).alias("threshold")).distinct()
 
 
