@@ -345,7 +345,24 @@ def allocation(spark, sf):
     return A.allocate(scored(spark, sf), AREA, d)
 
 
-@query("i12_capacity_greedy")
+def _rounds(n=12):
+    """Deferred acceptance written out: propose, keep the best up to capacity, reject, repeat."""
+    parts = ["""
+fp AS (SELECT fc.area, fc.row, fc.col, fc.start_cls, su.cls, su.score, c.cap FROM fc JOIN su USING (area, row, col)
+ JOIN cap0 c ON c.area=fc.area AND c.cls=su.cls WHERE c.cap>0),
+rej0 AS (SELECT area, row, col, cls FROM fp WHERE false)"""]
+    for i in range(1, n + 1):
+        parts.append(f"""
+pp{i} AS (SELECT * FROM (SELECT fp.*, row_number() OVER (PARTITION BY fp.area, fp.row, fp.col ORDER BY score DESC, cls) AS pick
+ FROM fp ANTI JOIN rej{i - 1} USING (area, row, col, cls)) WHERE pick=1),
+rk{i} AS (SELECT *, row_number() OVER (PARTITION BY area, cls ORDER BY score DESC, row, col) AS rk FROM pp{i}),
+rej{i} AS (SELECT * FROM rej{i - 1} UNION SELECT area, row, col, cls FROM rk{i} WHERE rk > cap)""")
+    parts.append(f"chg AS (SELECT area, row, col, start_cls, cls AS alloc_cls, score FROM rk{n} WHERE rk <= cap)")
+    return ",".join(parts)
+
+
+@query("i12_capacity_greedy", sql("grid", _SUIT, _STAY, _GREEDY, _rounds(), """
+SELECT area, row, col, start_cls, alloc_cls, round(score, 6) AS alloc_score FROM chg"""))
 def i12(spark, sf):
     a = allocation(spark, sf).filter("phase = 'change'")
     return r6(a, "alloc_score").select("area", "row", "col", "start_cls", "alloc_cls", "alloc_score")
