@@ -39,7 +39,12 @@ cs AS (SELECT (o_custkey % 83)::INT AS area, avg((o_orderpriority >= '3')::INT)
 rt AS (SELECT *, greatest(target, 0.0)/greatest(predicted, 1e-6) AS ratio FROM cs WHERE predicted > 1e-6)"""
 
 
-@query("j01_change_fraction_ridge")
+@query("j01_change_fraction_ridge", sql(_CASES, """
+mo AS (SELECT avg(predicted) AS m1, avg(feature) AS m2, avg(target) AS my, count(*) AS n FROM cs),
+ce AS (SELECT predicted-m1 AS a, feature-m2 AS b, target-my AS y FROM cs, mo),
+sm AS (SELECT sum(a*a)+1e-3 AS aa, sum(b*b)+1e-3 AS bb, sum(a*b) AS ab, sum(a*y) AS ay, sum(b*y) AS yb FROM ce),
+w AS (SELECT (ay*bb-yb*ab)/(aa*bb-ab*ab) AS w1, (yb*aa-ay*ab)/(aa*bb-ab*ab) AS w2 FROM sm)""", """
+SELECT area, round(least(0.9, greatest(0.05, (my - w1*m1 - w2*m2) + predicted*w1 + feature*w2)), 6) AS fraction FROM cs, mo, w"""))
 def j01(spark, sf):
     c = cases(spark, sf)
     w = J.fit_ridge(c, ["predicted", "feature"], "target", 1e-3)
