@@ -186,6 +186,8 @@ def support_reversion(
         cand, keys, [half_even(F.count(F.lit(1)) * F.lit(max_fraction)).alias("_k")], score,
         {"_q": quantile}, stats=st,
     )
+    if st.slices:
+        limits = cut_lineage(limits)  # one row per key, used by several passes below
     j = join_small(cells, limits, keys, st.groups)
     eligible = is_candidate() & (F.col(support) <= threshold) & (F.col(score) <= F.col("_q"))
     if st.slices:  # eligible groups are smaller than the measured candidate groups

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import col
+from ..session import cut_lineage
 
 MAX_GROUP_ROWS = 4_000_000
 MAX_BROADCAST_ROWS = 200_000
@@ -102,7 +103,8 @@ def _sliced_rank(
         F.ceil(F.col("n") / F.lit(stats.limit)).cast("bigint").alias("_slices"),
     )
     names = [f"_o{i}" for i in range(len(order))]
-    src = df.withColumns(dict(zip(names, order)))
+    # read three times below (sample, slice sizes, ranks): write it once
+    src = cut_lineage(df.withColumns(dict(zip(names, order))))
     per_cut = F.floor(F.col("_n") / (F.col("_slices") * F.lit(_SAMPLE_PER_SLICE)))
     modulus = F.greatest(F.lit(1), per_cut).cast("bigint")
     sample = join_small(src, hot, keys, stats.slices, "inner").filter(

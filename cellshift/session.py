@@ -18,6 +18,7 @@ def build_session(app: str = "cellshift", cores: str | int = "*") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("CELLSHIFT_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
