@@ -101,7 +101,9 @@ def best_fit_plan(histogram: Iterable[tuple[int, int]], capacity: int) -> dict[s
     return dict(zip(("length", "rank", "sequence", "offset"), table.T))
 
 
-def pack(pieces: DataFrame, capacity: int, order: Sequence[str], length: str = "length") -> DataFrame:
+def pack(
+    pieces: DataFrame, capacity: int, order: Sequence[str], length: str = "length", bucket_rows: int = BUCKET_ROWS,
+) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: best-fit decreasing over all rows.
 
     ``order`` are columns that tell rows apart; rows equal in all of them and in length are interchangeable. A NULL
@@ -110,7 +112,7 @@ def pack(pieces: DataFrame, capacity: int, order: Sequence[str], length: str = "
     fits = F.col(length) > 0
     counts = {int(r[0]): r[1] for r in pieces.where(fits).groupBy(length).count().collect()}  # one row per length
     plan = best_fit_plan(counts.items(), capacity)
-    buckets = [max(1, -(-counts.get(i, 0) // BUCKET_ROWS)) for i in range(capacity + 1)]
+    buckets = [max(1, -(-counts.get(i, 0) // bucket_rows)) for i in range(capacity + 1)]
     if max(buckets) == 1:
         bucket = F.lit(0).cast("long")
     else:
@@ -124,7 +126,7 @@ def pack(pieces: DataFrame, capacity: int, order: Sequence[str], length: str = "
     ranked = part.withColumn("_rank", F.row_number().over(within).cast("long"))
     if max(buckets) > 1:
         ranked = ranked.join(base, [length, "_bucket"], "left").withColumn("_rank", F.col("_rank") + F.col("_base"))
-    ranked = ranked.drop("_bucket", "_base")
+    ranked = ranked.select(*pieces.columns, "_rank")
     shape = StructType(list(pieces.schema)).add("sequence_id", "long").add("offset", "long")
     names = pieces.columns
     keys = plan["length"] * (1 << 44) + plan["rank"]
