@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import orc_tokens, packing, tokens
+from . import orc_tokens, packing, quality, sharding, tokens
 from .store import shared_path, stored
 
 QUERIES: dict = {}
@@ -31,3 +32,22 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "orc")
     orc_tokens.write_tokens(_table(spark, sf_dir, "documents"), out, tokens.default_path(), end_id=2)
     return orc_tokens.with_crc32(orc_tokens.read_tokens(spark, out))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    measured = stored(quality.measures(docs, "text", "q").drop("text"), "quality")
+    judged = quality.judge(measured, "q", quality.fit(measured, "q"), "probability", "kept")
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *(f"q.{c}" for c in base), quality.base_failed("q").alias("base_failed"), "kept", "probability")
+
+
+@query
+def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    placed = sharding.feistel_shards(stored(rows, "sizes"), 40, seed=20)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
