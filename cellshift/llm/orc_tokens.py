@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .tokens import tokenizer
@@ -55,30 +56,32 @@ def write_tokens(
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id", keys: Sequence[int] | None = None) -> DataFrame:
-    """Documents of the files with ``start``, the ids of all documents before it; only ``keys`` if given.
-
-    The offsets of the files come from two narrow columns; the ids are read for the wanted documents alone.
-    """
+    """Documents of the files (key, ids, n_tokens, part, part_start); only ``keys`` if given, by pruned stripes."""
     rows = spark.read.orc(path)
-    sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # one row per file
+    return rows if keys is None else rows.where(F.col(key).isin(list(keys)))
+
+
+def with_start(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` of the files at ``path`` with ``start``, the ids of all documents before; two narrow columns are read."""
+    sizes = rows.sparkSession.read.orc(path).groupBy("part").agg(F.sum("n_tokens").alias("_n"))  # one row per file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    wanted = rows if keys is None else rows.where(F.col(key).isin(list(keys)))
-    return wanted.join(starts, "part").select(key, "ids", "n_tokens", (F.col("part_start") + F.col("_before")).alias("start"))
+    return rows.join(starts, "part").withColumn("start", F.col("part_start") + F.col("_before")).drop(
+        "part", "part_start", "_before")
 
 
-def with_crc32(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, start, n_tokens, ids_crc32) of documents read back: crc32 of the ids as little-endian 32-bit integers."""
-    kind = rows.schema[key].dataType.simpleString()
+def with_crc32(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``ids_crc32`` in place of ``ids``: crc32 of the ids as little-endian 32-bit integers."""
+    at = rows.columns.index("ids")
+    shape = StructType([f for f in rows.schema if f.name != "ids"]).add("ids_crc32", "long")
 
     def crc(batches):
         for b in batches:
-            ids = b.column(1)
-            raw = memoryview(np.ascontiguousarray(np.array(ids.values, dtype="<i4")).tobytes())
-            at = np.array(ids.offsets, np.int64)
-            sums = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1], at[1:])]
-            n = pa.array(np.diff(at))
+            ids = b.column(at)
+            raw = memoryview(np.array(ids.values, dtype="<i4").tobytes())
+            ends = np.array(ids.offsets, np.int64)
+            sums = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), n, pa.array(sums, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
+                [*(c for i, c in enumerate(b.columns) if i != at), pa.array(sums, pa.int64())], names=shape.names)
 
-    return rows.select(key, "ids", "start").mapInArrow(crc, f"`{key}` {kind}, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(crc, shape)

@@ -31,7 +31,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "orc")
     orc_tokens.write_tokens(_table(spark, sf_dir, "documents"), out, tokens.default_path(), end_id=2)
-    return orc_tokens.with_crc32(orc_tokens.read_tokens(spark, out))
+    return orc_tokens.with_start(orc_tokens.with_crc32(orc_tokens.read_tokens(spark, out)), out)
 
 
 @query
