@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import orc_tokens, packing, quality, sharding, tokens
+from . import orc_tokens, packing, quality, sharding, tokens, url_filter
 from .store import shared_path, stored
 
 QUERIES: dict = {}
@@ -51,3 +51,30 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.feistel_shards(stored(rows, "sizes"), 40, seed=20)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+URL_RULES = "VALUES ('com/', 'allow'), ('example.com/en/', 'block'), ('www.example.com/en/', 'allow'), ('net/es/', 'block'), ('net/fr/', 'block')"
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM {URL_RULES} AS t(rule, verdict)")
+    return url_filter.url_verdicts(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+ORACLES["op4_url_filter"] = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT row_number() OVER () AS n, page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), rules AS (
+  SELECT rule, verdict, regexp_extract(rule, '^[^/]*') AS h, regexp_extract(rule, '/.*$') AS p
+  FROM ({URL_RULES}) AS t(rule, verdict)
+), hit AS (
+  SELECT n, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN hit USING (n)
+"""
