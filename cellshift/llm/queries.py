@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import orc_tokens, packing, quality, sharding, tokens, url_filter
+from . import decontam, orc_tokens, packing, quality, sharding, tokens, url_filter
 from .store import shared_path, stored
 
 QUERIES: dict = {}
@@ -78,3 +78,8 @@ WITH parts AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN hit USING (n)
 """
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
