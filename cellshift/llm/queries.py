@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, orc_tokens, packing, quality, sharding, tokens, url_filter
+from . import chat, decontam, langid, orc_tokens, packing, quality, sharding, tokens, url_filter
 from .store import shared_path, stored
 
 QUERIES: dict = {}
@@ -95,3 +95,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_path(spark, "chat")
     chat.formatted(turns).write.parquet(out)
     return chat.read_back(spark.read.parquet(out))
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.fit(docs.where(fold != 2).select("text", "lang"))
+    return langid.predict(
+        docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")

@@ -22,7 +22,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
-    return _mix(h + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64))
+    return _mix(h + np.uint64((salt * 0x9E3779B97F4A7C15) % 2**64))
 
 
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -47,9 +47,10 @@ class _Powers:
     def need(self, n: int) -> None:
         if len(self.up) < n:
             size = max(n, SLICE_BYTES)
-            self.up, self.down = (
-                np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, step, np.uint64)]).astype(np.uint64))
-                for step in (_STEP, _UNSTEP))
+            self.up, self.down = np.full(size, _STEP, np.uint64), np.full(size, _UNSTEP, np.uint64)
+            for p in (self.up, self.down):
+                p[0] = 1
+                np.multiply.accumulate(p, out=p)
 
 
 _powers = _Powers()
