@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, orc_tokens, packing, quality, sharding, tokens, url_filter
+from . import chat, decontam, langid, orc_tokens, packing, quality, sharding, substring, tokens, url_filter
 from .store import shared_path, stored
 
 QUERIES: dict = {}
@@ -104,3 +104,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(fold != 2).select("text", "lang"))
     return langid.predict(
         docs.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = substring.deduplicated(docs, size=20, joined=True)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
