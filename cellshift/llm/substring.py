@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from .columns import fresh
+from .store import stored
 from .wordarrays import Words, as_long, slices, windows
 
 SIZE = 20
@@ -180,7 +181,7 @@ def deduplicated(
         F.min("k").alias("k"), F.max("k").alias("k2"), F.min("own").alias("own"), F.max("multi").alias("multi"))
     alone = half.where("k = k2 AND NOT multi").groupBy("own").agg(F.collect_list("h").alias("_alone"))
     firsts = tagged.groupBy(F.col(ka).alias("_fa"), F.col(kb).alias("_fb")).agg(F.min(own).alias("own"))
-    known = firsts.join(alone, "own", "left")
+    known = stored(firsts.join(alone, "own", "left"), "half-windows")
     mine = (F.col(own) == F.col("own")) & (F.col(ka).bitwiseXOR(F.col("_fa")) == 0) & (F.col(kb).bitwiseXOR(F.col("_fb")) == 0)
 
     def extend(batches):
