@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, orc_tokens, packing, quality, sharding, substring, tokens, url_filter
+from . import chat, decontam, langid, ngram_join, orc_tokens, packing, quality, sharding, substring, tokens, url_filter
 from .store import shared_path, stored
 
 QUERIES: dict = {}
@@ -111,3 +111,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     done = substring.deduplicated(docs, size=20, joined=True)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
