@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .store import stored
+from .store import drop, join_narrow, stored
 from .wordarrays import Words, as_long, lists, mix, slices, windows
 
 SHARE = 0.25  # of the hash range in which occurrences are counted; decides speed only
@@ -154,9 +154,10 @@ def jaccard_components(
                     names=["key", "n", "ka", "kb", "low"])
 
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    base = stored(plain.mapInArrow(sets, f"key {kind}, n long, ka long, kb long, low array<long>"), "shingle-sets")
+    sampled = stored(plain.mapInArrow(sets, f"key {kind}, n long, ka long, kb long, low array<long>"), "shingle-sets")
+    base = stored(sampled.drop("low"), "set-keys")
     reps = base.where("n > 0").groupBy("ka", "kb").agg(F.min("key").alias("rep"), F.min("n").alias("n"))
-    once = base.select("ka", F.explode("low").alias("h")).groupBy("h").agg(F.min("ka").alias("ka"), F.max("ka").alias("k2"))
+    once = sampled.select("ka", F.explode("low").alias("h")).groupBy("h").agg(F.min("ka").alias("ka"), F.max("ka").alias("k2"))
     lone = once.where("ka = k2").groupBy("ka").agg(F.count(F.lit(1)).alias("lone"))
     room = F.expr(f"n - (({percent} * n + 99) div 100)")
     left = reps.join(lone, "ka", "left").where(F.coalesce("lone", F.lit(0)) <= room).select("rep", "ka", "kb")
@@ -171,18 +172,27 @@ def jaccard_components(
                 yield pa.RecordBatch.from_arrays(
                     [as_long(a[same]), as_long(c[same]), lists(codes[mine].view(np.int64), n[same])], names=["ka", "kb", "codes"])
 
-    again = plain.join(left, F.col("key").eqNullSafe(F.col("rep"))).select("key", "text", "ka", "kb")
-    texts = stored(again.mapInArrow(full, "ka long, kb long, codes array<long>").dropDuplicates(["ka", "kb"]).withColumn(
+    again = join_narrow(plain, left, F.col("key").eqNullSafe(F.col("rep")), "inner", "partnered").select(
+        "key", "text", "ka", "kb")
+    drop(sampled)
+    texts = stored(again.mapInArrow(full, "ka long, kb long, codes array<long>").withColumn(
         "id", F.monotonically_increasing_id()), "candidates")
+    named = stored(texts.select("id", "ka", "kb"), "candidate-ids")
+    chosen = named.groupBy("ka", "kb").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("many"))
+    sets_left = texts.drop("ka", "kb")
+    if not chosen.where("many > 1").isEmpty():  # repeated rows of one key and text
+        named = stored(chosen.select("id", "ka", "kb"), "candidate-ids")
+        sets_left = sets_left.join(named.select("id"), "id")
 
     # shingles of the sets left, from short lists to long; those that occur once cannot be shared
-    each = texts.select("id", F.size("codes").alias("n"), F.explode("codes").alias("h"))
+    each = sets_left.select("id", F.size("codes").alias("n"), F.explode("codes").alias("h"))
     counted = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = each.join(counted, "h").groupBy("id").agg(
         F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("df", "h"))), lambda x: x["h"]).alias("codes"))
     # n - T + 1 shingles make the prefix; those that occur once come first in it
     shared = shared.withColumn("short", F.expr(f"n - (({percent} * n + 99) div 100) + 1 - (n - size(codes))")).where("short > 0")
     ordered = stored(shared, "ordered")
+    drop(texts)
     lists_ = ordered.select("id", "n", F.posexplode(F.slice("codes", 1, F.col("short").cast("int"))).alias("at", "h"))
     sizes = lists_.groupBy("h").agg(F.count(F.lit(1)).alias("many"), F.min("id").alias("least")).where("many > 1")
     posted = lists_.join(sizes, "h")
@@ -211,7 +221,8 @@ def jaccard_components(
 
     links = tasks.groupBy("block", "p", "q").applyInArrow(search, "src long, dst long")
     classes = connected_components(links).select(F.col("node").alias("id"), "component")
-    named = texts.select("id", "ka", "kb").join(classes, "id").join(reps.select("ka", "kb", "rep"), ["ka", "kb"])
+    drop(ordered)
+    named = named.join(classes, "id").join(reps.select("ka", "kb", "rep"), ["ka", "kb"])
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
     by_set = reps.select("ka", "kb", "rep").join(
         named.join(least, "component").select("ka", "kb", "least"), ["ka", "kb"], "left").select(

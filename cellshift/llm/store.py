@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+SMALL_ROWS = 1_000_000  # narrow rows (a few numbers each) that are broadcast at most
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the session's checkpoint folder (``spark.checkpoint.dir``)."""
@@ -20,3 +23,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(table: DataFrame) -> None:
+    """Delete the files of a table from ``stored`` that nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_narrow(df: DataFrame, narrow: DataFrame, on: Column, how: str, name: str) -> DataFrame:
+    """Join with a side of narrow rows, written and counted first: broadcast up to SMALL_ROWS, else shuffled."""
+    side = stored(narrow, name)
+    return df.join(F.broadcast(side) if side.count() <= SMALL_ROWS else side, on, how)
