@@ -46,7 +46,8 @@ def measures(df: DataFrame, text: str, out: str) -> DataFrame:
         twice, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-WINDOW).alias("at")),
         lambda a, x: F.struct((a["n"] + F.least(F.lit(WINDOW), x - a["at"])).alias("n"), x.alias("at")), lambda a: a["n"])
     long = lambda x: x.cast("long")
-    return d.withColumn(out, F.struct(
+    # a generator, so that a filter on the measures isn't pushed below and evaluated from scratch for each of them
+    return d.withColumn(out, F.explode(F.array(F.struct(
         long(F.size(words)).alias("n_words"),
         long(F.length(F.translate(t, SEPARATORS, ""))).alias("word_chars"),
         long(F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).alias("n_symbols"),
@@ -56,7 +57,7 @@ def measures(df: DataFrame, text: str, out: str) -> DataFrame:
         long(F.size(F.array_distinct(codes))).alias("n_distinct"),
         long(F.length(F.regexp_replace(t, "[^\\p{Lu}]+", ""))).alias("n_upper"),
         long(F.length(t) - F.length(F.translate(t, "!", ""))).alias("n_marks"),
-    )).select(*df.columns, out)
+    )))).select(*df.columns, out)
 
 
 def base_failed(q: str) -> Column:
