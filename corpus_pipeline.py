@@ -1,11 +1,63 @@
-"""Corpus pipeline: documents through the operators of cellshift.llm, stage by stage."""
+"""Corpus pipeline: documents through the operators of cellshift.llm, stage by stage.
+
+Quality rules drop texts that fail, near duplicates leave one document of each group, repeated passages stay once,
+documents with benchmark items go, and what is left is packed into token sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellshift.llm import decontam, ngram_join, packing, quality, substring, tokens
+from cellshift.llm.columns import fresh
+from cellshift.llm.store import join_narrow, stored
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are good with a posterior probability of at least one half."""
+    q, p, kept = (fresh(docs, x) for x in ("_measures", "_probability", "_kept"))
+    measured = quality.measures(docs, "text", q)
+    model = quality.fit(stored(measured.select(q), "quality"), q)
+    return quality.judge(measured, q, model, p, kept).where(kept).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles: the least doc_id.
+
+    Repeated rows of one doc_id and text leave one row; documents without shingles all stay.
+    """
+    group = stored(ngram_join.jaccard_components(docs, size=5, percent=80), "groups")
+    out = fresh(docs, "_gone")
+    gone = group.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(out)).distinct()
+    left = join_narrow(docs, gone, F.col("doc_id").eqNullSafe(F.col(out)), "left_anti", "gone")
+    again = group.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col(out))
+    repeated = again.select(F.col("doc_id").alias(out))
+    return join_narrow(left, repeated, same, "left_anti", "repeated").unionByName(
+        join_narrow(left, repeated, same, "left_semi", "repeated").dropDuplicates(["doc_id", "text"]))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without word runs of 50 or more that occur earlier; n_chars is counted anew where words went.
+
+    A document that loses all its words goes.
+    """
+    done = substring.deduplicated(docs, size=50)
+    changed = F.col("n_removed") > 0
+    columns = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(changed, F.length("kept").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+    return done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(
+        *(columns.get(c, F.col(c)) for c in docs.columns))
+
 
-from cellshift.llm import packing, tokens
-from cellshift.llm.store import stored
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than 80 % of the five-word shingles of every benchmark item."""
+    return decontam.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +66,15 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(stored(pieces, "pieces"), 2048, ["doc_id", "piece", "start", "ids_crc32"])
 
 
-STAGES = [("best-fit packing", pack_sequences)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("best-fit packing", pack_sequences),
+]
 
-ORACLE_SQL = None  # needs shingle joins and a tokenizer
+ORACLE_SQL = None  # a fitted model and a tokenizer; tests/llm holds the stages against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
