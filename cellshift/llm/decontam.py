@@ -141,12 +141,11 @@ def contaminated(
 
     One row per document row and item row. Shingles are five words, case and ASCII punctuation aside; a text of fewer
     words is one shingle, one without words or NULL has none and matches nothing. An empty table on either side gives
-    an empty result; key and item_key must differ.
+    an empty result. If both keys have one name, the item's gets ``item_`` in front.
     """
-    if key.lower() == item_key.lower():
-        raise ValueError("key and item_key must differ")
+    named = f"item_{item_key}" if key.lower() == item_key.lower() else item_key
     shape = StructType([
-        StructField(key, docs.schema[key].dataType), StructField(item_key, items.schema[item_key].dataType),
+        StructField(key, docs.schema[key].dataType), StructField(named, items.schema[item_key].dataType),
         *StructType().add("n_shared", "long").add("n_shingles", "long")])
     out = docs.sparkSession.createDataFrame([], shape)
     for table in item_blocks(items.select(item_key, item_text), item_text):

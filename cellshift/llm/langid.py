@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .columns import without
 from .wordarrays import FOLD, Words, buffers, slices
 
 ORDER = 3
@@ -219,10 +220,9 @@ def predict(docs: DataFrame, model: PpmModel, text: str = "text", out: str = "la
     """``docs`` with the language of the shortest code and its share of 2**-bits over all languages.
 
     ``und`` with score 0 for a NULL text, one without a letter, or a model without languages. Ties go to the first
-    language by name. Columns named as ``out`` or ``score`` raise.
+    language by name. Columns named as ``out`` or ``score`` are replaced.
     """
-    if {out.lower(), score.lower()} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"the input already has {out} or {score}")
+    docs = without(docs, out, score)
     shape = StructType(list(docs.schema)).add(out, "string").add(score, "double")
     at = docs.columns.index(text)
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from .columns import fresh, without
 from .tokens import tokenizer
 from .wordarrays import slices
 
@@ -106,9 +107,11 @@ def pack(
 ) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: best-fit decreasing over all rows.
 
-    ``order`` are columns that tell rows apart; rows equal in all of them and in length are interchangeable. A NULL
+    Columns named sequence_id or offset are replaced. ``order`` are columns that tell rows apart; rows equal in all of them and in length are interchangeable. A NULL
     or non-positive length gets NULL place. A length over ``capacity`` raises. An empty table stays empty.
     """
+    pieces = without(pieces, "sequence_id", "offset")
+    held, first, many, place_ = (fresh(pieces, x) for x in ("_bucket", "_base", "_n", "_rank"))
     fits = F.col(length) > 0
     counts = {int(r[0]): r[1] for r in pieces.where(fits).groupBy(length).count().collect()}  # one row per length
     plan = best_fit_plan(counts.items(), capacity)
@@ -118,15 +121,15 @@ def pack(
     else:
         sizes = F.expr("array(" + ",".join(map(str, buckets)) + ")")
         bucket = F.pmod(F.xxhash64(*order), F.coalesce(F.get(sizes, F.col(length).cast("int")), F.lit(1)))
-    part = pieces.withColumn("_bucket", bucket)
-    before = Window.partitionBy(length).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = part.groupBy(length, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
-        length, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy(length, "_bucket").orderBy(*order)
-    ranked = part.withColumn("_rank", F.row_number().over(within).cast("long"))
+    part = pieces.withColumn(held, bucket)
+    before = Window.partitionBy(length).orderBy(held).rowsBetween(Window.unboundedPreceding, -1)
+    base = part.groupBy(length, held).agg(F.count(F.lit(1)).alias(many)).select(
+        length, held, F.coalesce(F.sum(many).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy(length, held).orderBy(*order)
+    ranked = part.withColumn(place_, F.row_number().over(within).cast("long"))
     if max(buckets) > 1:
-        ranked = ranked.join(base, [length, "_bucket"], "left").withColumn("_rank", F.col("_rank") + F.col("_base"))
-    ranked = ranked.select(*pieces.columns, "_rank")
+        ranked = ranked.join(base, [length, held], "left").withColumn(place_, F.col(place_) + F.col(first))
+    ranked = ranked.select(*pieces.columns, place_)
     shape = StructType(list(pieces.schema)).add("sequence_id", "long").add("offset", "long")
     names = pieces.columns
     keys = plan["length"] * (1 << 44) + plan["rank"]

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import SEPARATORS, SPLIT, fresh
+from .columns import SEPARATORS, SPLIT, fresh, without
 
 WINDOW = 8
 
@@ -26,6 +26,7 @@ def measures(df: DataFrame, text: str, out: str) -> DataFrame:
     in 8-word windows found twice or more in the text), n_lines, n_distinct, n_upper, n_marks. Windows are compared by
     a 64-bit hash of their words.
     """
+    df = without(df, out)
     t, words, codes, wins, order, lines = (fresh(df, f"_{out}_{x}") for x in ("t", "w", "c", "v", "o", "l"))
     c = F.col
     d = df.withColumn(t, F.coalesce(c(text), F.lit("")))

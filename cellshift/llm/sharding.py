@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .columns import fresh
+from .columns import fresh, without
 
 ROUNDS = 8
 BUCKET_ROWS = 65_536  # rows that one task puts in order
@@ -55,26 +55,26 @@ def feistel_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
     Rows equal in all columns are interchangeable and counted before they are numbered, so a row repeated any number
     of times doesn't gather in one task. NULLs are values like others. Columns that cannot be grouped (maps) must be
-    taken out first. Existing columns named shard or slot raise.
+    taken out first. Existing columns named shard or slot are replaced.
     """
-    if {"shard", "slot"} & {c.lower() for c in df.columns}:
-        raise ValueError("the input already has shard or slot")
-    h, many, bucket, chunk = (fresh(df, x) for x in ("_hash", "_many", "_bucket", "_chunk"))
+    df = without(df, "shard", "slot")
+    h, many, bucket, chunk, at, base, no, p = (
+        fresh(df, x) for x in ("_hash", "_many", "_bucket", "_chunk", "_at", "_base", "_no", "_p"))
     kinds = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(many)).withColumn(h, F.xxhash64(F.lit(seed), *df.columns))
     total = df.count()
     bits = min(16, max(0, math.ceil(math.log2(max(total, 1) / BUCKET_ROWS)))) if total else 0
     kinds = kinds.withColumn(bucket, F.shiftrightunsigned(h, 64 - bits).cast("int") if bits else F.lit(0))
     before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    bases = kinds.groupBy(bucket).agg(F.sum(many).alias("_n")).select(  # at most 2**16 rows
-        bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    bases = kinds.groupBy(bucket).agg(F.sum(many).alias(no)).select(  # at most 2**16 rows
+        bucket, F.coalesce(F.sum(no).over(before), F.lit(0)).alias(base))
     inside = Window.partitionBy(bucket).orderBy(h, *df.columns).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = kinds.withColumn("_at", F.coalesce(F.sum(many).over(inside), F.lit(0)))
+    numbered = kinds.withColumn(at, F.coalesce(F.sum(many).over(inside), F.lit(0)))
     if bits:
-        numbered = numbered.join(bases, bucket).withColumn("_at", F.col("_at") + F.col("_base"))
+        numbered = numbered.join(bases, bucket).withColumn(at, F.col(at) + F.col(base))
     each = numbered.withColumn(chunk, F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1, F.lit(CHUNK).cast("long"))))
-    each = each.withColumn("_no", F.explode(F.sequence(
-        F.col("_at") + F.col(chunk), F.col("_at") + F.least(F.col(many), F.col(chunk) + CHUNK) - 1)))
-    placed = each.withColumn("_p", permuted(F.col("_no"), total, seed))
+    each = each.withColumn(no, F.explode(F.sequence(
+        F.col(at) + F.col(chunk), F.col(at) + F.least(F.col(many), F.col(chunk) + CHUNK) - 1)))
+    placed = each.withColumn(p, permuted(F.col(no), total, seed))
     return placed.select(
-        *df.columns, (F.col("_p") % shards).cast("int").alias("shard"),
-        _quotient(F.col("_p"), shards).alias("slot"))
+        *df.columns, (F.col(p) % shards).cast("int").alias("shard"),
+        _quotient(F.col(p), shards).alias("slot"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from .columns import fresh
+from .columns import fresh, without
 from .store import stored
 from .wordarrays import Words, as_long, slices, windows
 
@@ -145,22 +145,24 @@ def _cut_out(words: Words, gone: np.ndarray) -> pa.Array:
 
 def deduplicated(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, joined: bool = False,
+    names: tuple[str, str, str, str] = ("n_words", "n_removed", "removed", "kept"),
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed``, ``removed`` (word ranges [from, to)) and ``kept``, the text that stays.
 
+    ``names`` are the names of these four; columns that have them are replaced.
+
     A word goes when it is covered by a window of ``size`` words whose sequence also starts earlier: in a smaller key,
     or earlier in the same document. Words are runs of bytes other than space and \\x09-\\x0D, compared as they are.
     ``kept`` is the text without the removed words, or its kept words joined by one blank if ``joined``. NULL text has
     no words and an empty ``kept``. NULL keys come after all others, in the order of a hash of the text. Rows of one
     key and text count as one document and get the same result; of different texts under one key none is earlier.
-    Integer keys are expected to tell documents apart but for a few repeats. Columns of the added names raise.
+    Integer keys are expected to tell documents apart but for a few repeats.
     """
-    added = ("n_words", "n_removed", "removed", "kept")
-    if set(added) & {c.lower() for c in docs.columns}:
-        raise ValueError(f"the input already has one of {added}")
+    docs = without(docs, *names)
     if size < 2:
         raise ValueError("a window has two words at least")
-    own, ka, kb = (fresh(docs, x) for x in ("_own", "_ka", "_kb"))
+    own, ka, kb, o, fa, fb, la, le = (
+        fresh(docs, x) for x in ("_own", "_ka", "_kb", "own", "_fa", "_fb", "_alone", "_earliest"))
     body = F.coalesce(F.col(text), F.lit(""))
     tagged = docs.withColumn(ka, F.xxhash64(body)).withColumn(kb, F.xxhash64(F.lit(7), body))
     tagged = tagged.withColumn(own, F.coalesce(
@@ -179,10 +181,10 @@ def deduplicated(
 
     half = tagged.mapInArrow(represent, "h long, k long, own long, multi boolean").groupBy("h").agg(
         F.min("k").alias("k"), F.max("k").alias("k2"), F.min("own").alias("own"), F.max("multi").alias("multi"))
-    alone = half.where("k = k2 AND NOT multi").groupBy("own").agg(F.collect_list("h").alias("_alone"))
-    firsts = tagged.groupBy(F.col(ka).alias("_fa"), F.col(kb).alias("_fb")).agg(F.min(own).alias("own"))
-    known = stored(firsts.join(alone, "own", "left"), "half-windows")
-    mine = (F.col(own) == F.col("own")) & (F.col(ka).bitwiseXOR(F.col("_fa")) == 0) & (F.col(kb).bitwiseXOR(F.col("_fb")) == 0)
+    alone = half.where("k = k2 AND NOT multi").groupBy(F.col("own").alias(o)).agg(F.collect_list("h").alias(la))
+    firsts = tagged.groupBy(F.col(ka).alias(fa), F.col(kb).alias(fb)).agg(F.min(own).alias(o))
+    known = stored(firsts.join(alone, o, "left"), "half-windows")
+    mine = (F.col(own) == F.col(o)) & (F.col(ka).bitwiseXOR(F.col(fa)) == 0) & (F.col(kb).bitwiseXOR(F.col(fb)) == 0)
 
     def extend(batches):
         for whole in batches:
@@ -192,11 +194,11 @@ def deduplicated(
                 yield pa.RecordBatch.from_arrays(
                     [as_long(code[new]), b.column(width - 1).take(pa.array(row[new], pa.int64()))], names=["h", "own"])
 
-    least = tagged.join(known, mine).select(*columns, "own", "_fa", "_fb", "_alone").mapInArrow(
+    least = tagged.join(known, mine).select(*columns, o, fa, fb, la).mapInArrow(
         extend, "h long, own long").groupBy("h").agg(F.min("own").alias("own"))
-    told = known.join(least.groupBy("own").agg(F.collect_list("h").alias("_earliest")), "own", "left")
-    shape = StructType(list(docs.schema)).add("n_words", "long").add("n_removed", "long").add(
-        "removed", ArrayType(StructType().add("from", "integer").add("to", "integer"))).add("kept", "string")
+    told = known.join(least.groupBy(F.col("own").alias(o)).agg(F.collect_list("h").alias(le)), o, "left")
+    shape = StructType(list(docs.schema)).add(names[0], "long").add(names[1], "long").add(
+        names[2], ArrayType(StructType().add("from", "integer").add("to", "integer"))).add(names[3], "string")
 
     def finish(batches):
         for whole in batches:
@@ -222,4 +224,4 @@ def deduplicated(
                      pa.ListArray.from_arrays(pa.array(ranges), spans),
                      _joined(words, ~gone) if joined else _cut_out(words, gone)], names=shape.names)
 
-    return tagged.join(told, mine, "left").select(*columns, "own", "_alone", "_earliest").mapInArrow(finish, shape)
+    return tagged.join(told, mine, "left").select(*columns, o, la, le).mapInArrow(finish, shape)

@@ -16,7 +16,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import fresh
+from .columns import fresh, without
 from .store import stored
 
 #: A-Z, the letters that are lower-cased in hosts.
@@ -116,11 +116,10 @@ def url_verdicts(
 
     ``rules``: (rule, verdict), the rule being host and path start in one string, without a scheme; a rule without a
     slash fits any path. Of equally long rules the one with the longer host holds, of contradicting rows ``block``.
-    NULL or malformed urls have an empty host and path. Rows and their order of columns stay; columns of the same names
-    raise. Lists whose first filter would be over ``max_bits`` are joined on the distinct (host, path) instead.
+    NULL or malformed urls have an empty host and path. Rows stay; columns of the added names are
+    replaced. Lists whose first filter would be over ``max_bits`` are joined on the distinct (host, path) instead.
     """
-    if {"host", "path", "rule", "verdict"} & {c.lower() for c in pages.columns}:
-        raise ValueError("the input already has host, path, rule or verdict")
+    pages = without(pages, "host", "path", "rule", "verdict")
     rules = stored(rules.where(F.col("rule").isNotNull()).groupBy(F.col("rule").alias("key")).agg(
         F.max("verdict").alias("verdict")), "rules")
     cut = F.instr("key", "/")
@@ -135,9 +134,9 @@ def url_verdicts(
     if rules.count() * 45 > max_bits:
         each = d.select("host", "path").distinct().withColumn("key", F.explode(keys)).join(rules, "key")
         best = each.groupBy("host", "path").agg(F.max_by(F.struct("key", "verdict"), rank(F.col("key"))).alias("_hit"))
-        return d.join(best, ["host", "path"], "left").select(
-            *pages.columns, "host", "path", F.col("_hit.key").alias("rule"),
-            F.coalesce("_hit.verdict", F.lit(default)).alias("verdict"))
+        best = best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "_hit")
+        return d.alias("d").join(best.alias("b"), F.expr("d.host = b._h AND d.path = b._p"), "left").select(
+            "d.*", F.col("b._hit.key").alias("rule"), F.coalesce(F.col("b._hit.verdict"), F.lit(default)).alias("verdict"))
     every = d.select("host", "path").distinct().select(F.explode(keys).alias("key"))
     kinds = [r.verdict for r in rules.select("verdict").distinct().collect()]
     filters = {v: cascade(rules.where(F.col("verdict") == v).select("key"), every, 1000 * i) for i, v in enumerate(sorted(kinds))}

@@ -45,13 +45,14 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A document that loses all its words goes.
     """
-    done = substring.deduplicated(docs, size=50)
-    changed = F.col("n_removed") > 0
-    columns = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text")}
+    n, lost, spans, kept = names = tuple(fresh(docs, x) for x in ("_n", "_lost", "_spans", "_kept"))
+    done = substring.deduplicated(docs, size=50, names=names)
+    changed = F.col(lost) > 0
+    columns = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text")).alias("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(changed, F.length("kept").cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
-    return done.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words"))).select(
+        columns["n_chars"] = F.when(changed, F.length(kept).cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+    return done.where((F.col(lost) == 0) | (F.col(lost) < F.col(n))).select(
         *(columns.get(c, F.col(c)) for c in docs.columns))
 
 
