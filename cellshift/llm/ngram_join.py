@@ -132,12 +132,12 @@ def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85,
     pair_list: int = PAIR_LIST, tile: int = TILE,
 ) -> DataFrame:
-    """(key, n_shingles, component_id) for every row: the least key reachable by links, its own included.
+    """(key, n_shingles, component_id, text_hash) for every row: the least key reachable by links, its own included.
 
     Rows link when their sets of distinct ``size``-word shingles (A-Z lower-cased; a text of fewer words is one
     shingle) have a Jaccard similarity of ``percent``/100 or more. NULL texts and texts without words have no shingle
     and link with nothing. Repeated rows are rows of their own with the same result; a NULL key is never the least
-    unless no other is there. Shingles are compared by 64-bit hashes.
+    unless no other is there. ``text_hash`` is xxhash64 of the text, to tell rows of one key apart. Shingles are compared by 64-bit hashes.
     """
     kind = docs.schema[key].dataType.simpleString()
     edge = np.uint64(int(SHARE * 2**64))
@@ -149,12 +149,13 @@ def jaccard_components(
                 n, a, c = _set_keys(rows, codes, b.num_rows)
                 low = codes < edge
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(n.astype(np.int64)), as_long(a), as_long(c),
+                    [b.column(0), b.column(2), pa.array(n.astype(np.int64)), as_long(a), as_long(c),
                      lists(codes[low].view(np.int64), np.bincount(rows[low], minlength=b.num_rows))],
-                    names=["key", "n", "ka", "kb", "low"])
+                    names=["key", "hash", "n", "ka", "kb", "low"])
 
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sampled = stored(plain.mapInArrow(sets, f"key {kind}, n long, ka long, kb long, low array<long>"), "shingle-sets")
+    hashed = plain.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sampled = stored(hashed.mapInArrow(sets, f"key {kind}, hash long, n long, ka long, kb long, low array<long>"), "shingle-sets")
     base = stored(sampled.drop("low"), "set-keys")
     reps = base.where("n > 0").groupBy("ka", "kb").agg(F.min("key").alias("rep"), F.min("n").alias("n"))
     once = sampled.select("ka", F.explode("low").alias("h")).groupBy("h").agg(F.min("ka").alias("ka"), F.max("ka").alias("k2"))
@@ -227,6 +228,7 @@ def jaccard_components(
     by_set = reps.select("ka", "kb", "rep").join(
         named.join(least, "component").select("ka", "kb", "least"), ["ka", "kb"], "left").select(
         "ka", "kb", F.coalesce("least", "rep").alias("least"))
-    return base.select("key", "n", "ka", "kb").join(by_set, ["ka", "kb"], "left").select(
+    return base.join(by_set, ["ka", "kb"], "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("least", "key")).otherwise(F.col("key")).alias("component_id"))
+        F.when(F.col("n") > 0, F.coalesce("least", "key")).otherwise(F.col("key")).alias("component_id"),
+        F.col("hash").alias("text_hash"))

@@ -115,4 +115,4 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, percent=85)
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, percent=85).drop("text_hash")

@@ -28,16 +28,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Repeated rows of one doc_id and text leave one row; documents without shingles all stay.
     """
     group = stored(ngram_join.jaccard_components(docs, size=5, percent=80), "groups")
-    out = fresh(docs, "_gone")
-    gone = group.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(out)).distinct()
-    left = join_narrow(docs, gone, F.col("doc_id").eqNullSafe(F.col(out)), "left_anti", "gone")
-    again = group.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    key, code = fresh(docs, "_key"), fresh(docs, "_code")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(code))
+    rows = group.select(F.col("doc_id").alias(key), F.col("text_hash").alias(code), "n_shingles", "component_id")
+    gone = rows.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(key, code).distinct()
+    left = join_narrow(docs, gone, same, "left_anti", "gone")
+    again = rows.where("n_shingles > 0").groupBy(key, code).count().where("count > 1").select(key, code)
     if again.isEmpty():
         return left
-    same = F.col("doc_id").eqNullSafe(F.col(out))
-    repeated = again.select(F.col("doc_id").alias(out))
-    return join_narrow(left, repeated, same, "left_anti", "repeated").unionByName(
-        join_narrow(left, repeated, same, "left_semi", "repeated").dropDuplicates(["doc_id", "text"]))
+    return join_narrow(left, again, same, "left_anti", "repeated").unionByName(
+        join_narrow(left, again, same, "left_semi", "repeated").dropDuplicates(["doc_id", "text"]))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
