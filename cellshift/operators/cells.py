@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import vectors as V
 from ..functions.columns import clamp, lookup
 from .ranking import attach_row, attach_table, join_small
 
@@ -21,7 +22,6 @@ FARMLAND_PREFIXES = ("011", "012", "013")
 FOREST_PREFIXES = ("031", "032", "033")
 BARRIER_PREFIXES = ("10", "11", "20")
 METRES_PER_DEGREE = 111_320.0
-MAX_CLASSES = 10_000
 
 
 def tier(area: Column, status: Column, known: Sequence[str] = KNOWN_AREAS) -> Column:
@@ -192,17 +192,23 @@ def class_features(
     return tiles.withColumn("geometry", geom).drop("_p").join(counts, [*keys, cls])
 
 
-def match_class_names(queries: DataFrame, classes: DataFrame) -> DataFrame:
-    """Class id by name: exact match first, then containment either way, lowest id first."""
+def match_class_names(queries: DataFrame, classes: DataFrame, block: int = 10_000) -> DataFrame:
+    """Class id by name: exact match first, then containment either way, lowest id first.
+
+    Containment has no join key, so every distinct query meets every class; classes are sent in blocks of ``block``.
+    """
     q, n = F.col("query"), F.col("cls_name")
-    hit = (q == n) | F.contains(n, q) | F.contains(q, n)
-    if classes.count() > MAX_CLASSES:
-        raise ValueError(f"a class table has at most {MAX_CLASSES} rows")
-    j = queries.select("query").distinct().join(F.broadcast(classes), hit, "left")
+    names = queries.select("query").distinct()
     prio = F.struct(F.when(q == n, 0).otherwise(1).alias("p"), F.col("cls").alias("c"))
-    return j.groupBy("query").agg(F.min(F.when(F.col("cls").isNotNull(), prio)).alias("_m")).select(
-        "query", F.col("_m.c").alias("cls")
-    )
+    blocks = max(1, -(-classes.count() // block))
+    hits = None
+    for i in range(blocks):
+        part = classes if blocks == 1 else classes.filter(F.pmod(F.xxhash64("cls", "cls_name"), F.lit(blocks)) == i)
+        hit = names.join(F.broadcast(part), (q == n) | F.contains(n, q) | F.contains(q, n)).groupBy("query").agg(
+            F.min(prio).alias("_m"))
+        hits = hit if hits is None else hits.unionByName(hit)
+    best = hits.groupBy("query").agg(F.min("_m").alias("_m"))
+    return names.join(best, "query", "left").select("query", F.col("_m.c").alias("cls"))
 
 
 def one_hot_probability(
@@ -425,6 +431,60 @@ def common_areas(rows: DataFrame) -> DataFrame:
     return j.withColumn("is_common", F.col("n_candidates") == F.col("_n")).drop("_n")
 
 
+def advantage_with_delta(advantage: DataFrame, delta: DataFrame) -> DataFrame:
+    """(area, advantage, delta): mean advantage and mean accuracy delta of the areas that have both."""
+    return advantage.groupBy("area").agg(F.avg("advantage").alias("advantage")).join(
+        delta.groupBy("area").agg(F.avg("delta").alias("delta")), "area")
+
+
+def common_extent(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both cell tables cropped to the smaller height and the smaller width of each key; keys of one side drop."""
+    def ext(d: DataFrame, p: str) -> DataFrame:
+        return d.groupBy(*keys).agg(F.max("row").alias(f"{p}h"), F.max("col").alias(f"{p}w"))
+
+    least = ext(a, "_a").join(ext(b, "_b"), list(keys)).select(
+        *keys, F.least("_ah", "_bh").alias("_h"), F.least("_aw", "_bw").alias("_w"))
+    return tuple(
+        d.join(least, list(keys)).filter((F.col("row") <= F.col("_h")) & (F.col("col") <= F.col("_w"))).select(*d.columns)
+        for d in (a, b))
+
+
+def neighbour_pairs(cells: DataFrame, keys: Sequence[str], cols: Sequence[str], diagonal: bool = False) -> DataFrame:
+    """Each cell with each of its 4 (or 8) neighbours: (keys, row, col, cols, near_cols)."""
+    steps = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y or x) and (diagonal or not (y and x))]
+    offs = F.array(*[F.struct(F.lit(y).alias("_dy"), F.lit(x).alias("_dx")) for y, x in steps])
+    near = cells.select(*keys, "row", "col", *[F.col(c).alias(f"near_{c}") for c in cols], F.inline(offs)).select(
+        *keys, (F.col("row") + F.col("_dy")).alias("row"), (F.col("col") + F.col("_dx")).alias("col"), *[f"near_{c}" for c in cols])
+    return cells.select(*keys, "row", "col", *cols).join(near, [*keys, "row", "col"])
+
+
+def by_code_prefix(rows: DataFrame, code: str, units: DataFrame, prefix: str, lengths: Sequence[int]) -> DataFrame:
+    """Rows with the unit whose code is the longest prefix of theirs; one equi-join on the prefixes of ``lengths``."""
+    known = units.select(F.col(prefix)).distinct()
+    if len(lengths) == 1:
+        return rows.withColumn(prefix, F.substring(code, 1, lengths[0])).join(known, prefix)
+    tries = F.array_distinct(F.array(*[F.substring(code, 1, n) for n in lengths]))
+    hit = rows.select(code).distinct().select(code, F.explode(tries).alias(prefix)).join(known, prefix).groupBy(code).agg(
+        F.max_by(prefix, F.length(prefix)).alias(prefix))
+    return rows.join(hit, code)
+
+
+def step_deltas(steps: DataFrame, units: DataFrame, keys: Sequence[str], unit: str, vec: str = "z") -> DataFrame:
+    """Steps with ``delta_norm``, how far the vector of the chosen unit moves to its next year."""
+    y = consecutive_years(units, keys, [vec]).withColumn("delta_norm", V.norm(V.subtract(f"next_{vec}", vec)))
+    y = y.join(units.select(*keys, "year", "row", "col", unit), [*keys, "year", "row", "col"]) if unit not in y.columns else y
+    return steps.join(y.select(*keys, "year", unit, "delta_norm"), [*keys, "year", unit])
+
+
+def configuration_deltas(
+    rows: DataFrame, mode: str, full: str, keys: Sequence[str], value: str, sd: str | None = None
+) -> DataFrame:
+    """Other configurations against ``full`` over the keys both have: (mode, keys, delta = full - other, full_sd)."""
+    f = rows.filter(F.col(mode) == full).select(*keys, F.col(value).alias("_f"), *([F.col(sd).alias("full_sd")] if sd else []))
+    j = rows.filter(F.col(mode) != full).join(f, list(keys))
+    return j.select(mode, *keys, (F.col("_f") - F.col(value)).alias("delta"), *(["full_sd"] if sd else []))
+
+
 def shape_status(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """'ok' or 'shape_mismatch:HxW_vs_HxW' per key."""
     def ext(d: DataFrame, p: str) -> DataFrame:

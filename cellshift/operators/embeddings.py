@@ -151,26 +151,24 @@ def decay(cells: DataFrame, keys: Sequence[str], vec: str, threshold: float = 0.
     )
 
 
-def nearest_centre(units: DataFrame, centres: DataFrame, vec: str, max_centres: int = 10_000) -> DataFrame:
+def nearest_centre(units: DataFrame, centres: DataFrame, vec: str, block: int = 10_000) -> DataFrame:
     """Closest centre by cosine (lowest id wins ties).
 
-    Centres (region, centre) are a model of checked size, sent as one array row.
+    Centres (region, centre) are sent as array rows of at most ``block``; each block's best is compared with the last.
     """
-    n = centres.count()
-    if n > max_centres:
-        raise ValueError(f"{n} centres exceed the limit of {max_centres}")
-    one = centres.withColumn("centre", V.unit("centre", 1e-12)).agg(
-        F.collect_list(F.struct("region", "centre")).alias("_c")
-    )
-    j = attach_row(units, one)
-
-    def closest(u: Column) -> Column:
-        return F.array_max(F.transform("_c", lambda x: F.struct(
-            V.dot(u, x["centre"]).alias("s"), (-x["region"]).alias("r")
-        )))
-
-    best = V.let(V.unit(vec, 1e-12), closest)
-    return j.withColumn("region", -best["r"]).drop("_c")
+    blocks = max(1, -(-centres.count() // block))
+    unit = centres.withColumn("centre", V.unit("centre", 1e-12))
+    j = units.withColumn("_best", F.lit(None).cast("struct<s:double,r:bigint>"))
+    for i in range(blocks):
+        part = unit if blocks == 1 else unit.filter(F.pmod(F.xxhash64("region"), F.lit(blocks)) == i)
+        j = attach_row(j, part.agg(F.collect_list(F.struct("region", "centre")).alias("_c")))
+
+        def closest(u: Column) -> Column:
+            return F.array_max(F.transform("_c", lambda x: F.struct(
+                V.dot(u, x["centre"]).alias("s"), (-x["region"]).cast("bigint").alias("r"))))
+
+        j = j.withColumn("_best", F.greatest("_best", V.let(V.unit(vec, 1e-12), closest))).drop("_c")
+    return j.withColumn("region", (-F.col("_best.r")).cast(centres.schema["region"].dataType)).drop("_best")
 
 
 def region_sizes(assigned: DataFrame, centres: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import n_if, ratio
-from ..session import cut_lineage
+from . import components
 from .cells import change_type, parcel_class
 from .ranking import attach_row, group_agg, group_rank, group_stats, join_small
 
@@ -24,33 +24,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node id reachable over the edges.
-
-    Each round takes the smallest label among the neighbours and then jumps to
-    the label of that label, so paths halve; labels are written every round.
-    """
-    e = cut_lineage(both_ways(edges).distinct())
-    labels = cut_lineage(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
-    for _ in range(max_rounds):
-        near = e.join(labels.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(
-            F.min("component").alias("_m")
-        )
-        step = labels.join(near, "node", "left").select(
-            "node", "component", F.least("component", F.coalesce("_m", "component")).alias("_l")
-        )
-        step = cut_lineage(step)
-        heads = step.select("_l").distinct().join(
-            step.select(F.col("node").alias("_l"), F.col("_l").alias("_j")), "_l"
-        )
-        # few labels are left after the first rounds; broadcast only then
-        nxt = join_small(step, heads, ["_l"]).select("node", F.col("component").alias("_old"), "_j")
-        nxt = cut_lineage(nxt)
-        done = nxt.filter("_old <> _j").isEmpty()
-        labels = nxt.select("node", F.col("_j").alias("component"))
-        if done:
-            return labels
-    raise RuntimeError("components did not settle")
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node id reachable over the edges; nodes without an edge are their own."""
+    labels = components.connected_components(edges)
+    return nodes.select("node").distinct().join(labels, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"))
 
 
 def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -321,13 +321,16 @@ def c02(spark, sf):
 
 
 @query("c03_common_extent", sql("grid", """
-SELECT a.area, count(*) AS n_common, sum((a.start_cls=b.end_cls)::INT)::BIGINT AS n_equal FROM grid a JOIN grid b
-ON b.area=(a.area+1)%8 AND a.row=b.row AND a.col=b.col WHERE a.row < 30 AND b.col < 25 GROUP BY a.area"""))
+b AS (SELECT (area+7)%8 AS area, row, col - 3 AS col, end_cls FROM grid WHERE col >= 3),
+e AS (SELECT area, least((SELECT max(row) FROM grid g WHERE g.area=b.area), max(row)) AS h, least((SELECT max(col) FROM grid g WHERE g.area=b.area), max(col)) AS w FROM b GROUP BY area)""", """
+SELECT a.area, count(*) AS n_common, sum((a.start_cls=b.end_cls)::INT)::BIGINT AS n_equal FROM grid a JOIN b USING (area, row, col) JOIN e USING (area)
+WHERE a.row <= h AND a.col <= w GROUP BY a.area"""))
 def c03(spark, sf):
     g = B.grid(spark, sf)
-    other = g.filter("col < 25").select(((F.col("area") + 7) % 8).cast("int").alias("area"), "row", "col",
+    other = g.filter("col >= 3").select(((F.col("area") + 7) % 8).cast("int").alias("area"), "row", (F.col("col") - 3).alias("col"),
                                         F.col("end_cls").alias("o"))
-    j = g.filter("row < 30").join(other, ["area", "row", "col"])
+    a, b = C.common_extent(g, other, ["area"])
+    j = a.join(b, ["area", "row", "col"])
     return j.groupBy("area").agg(F.count("*").alias("n_common"), K.n_if(F.col("start_cls") == F.col("o")).alias("n_equal"))
 
 
@@ -388,10 +391,10 @@ def c08(spark, sf):
 
 
 @query("c08_missing_areas", sql("metric_rows", """
-SELECT DISTINCT area FROM metric_rows WHERE method='error' EXCEPT SELECT area FROM metric_rows WHERE method='click' AND seed=0 AND value > 50"""))
+SELECT DISTINCT area FROM metric_rows WHERE method='error' EXCEPT SELECT area FROM metric_rows WHERE method='click' AND seed=0"""))
 def c08b(spark, sf):
     m = B.metric_rows(spark, sf)
-    return C.missing_areas(m.filter("method = 'error'"), m.filter("method = 'click' and seed = 0 and value > 50"))
+    return C.missing_areas(m.filter("method = 'error'"), m.filter("method = 'click' and seed = 0"))
 
 
 @query("c09_versus_reference", sql("metric_rows", """
@@ -409,35 +412,31 @@ def c09(spark, sf):
 
 
 @query("c10_common_areas", sql("metric_rows", """
-r AS (SELECT DISTINCT method AS candidate, area FROM metric_rows WHERE seed = 1 AND value > 20),
+r AS (SELECT DISTINCT method || seed AS candidate, area FROM metric_rows),
 k AS (SELECT count(DISTINCT candidate) AS n FROM r)""", """
 SELECT area, count(DISTINCT candidate) AS n_candidates, count(DISTINCT candidate) = any_value(k.n) AS is_common FROM r, k GROUP BY area"""))
 def c10(spark, sf):
-    r = B.metric_rows(spark, sf).filter("seed = 1 and value > 20").select(F.col("method").alias("candidate"), "area").distinct()
+    r = B.metric_rows(spark, sf).select(F.concat("method", F.col("seed").cast("string")).alias("candidate"), "area").distinct()
     return C.common_areas(r)
 
 
 @query("c11_advantage_vs_delta", sql("metric_rows", """
 a AS (SELECT area, avg(value) AS adv FROM metric_rows WHERE method='click' GROUP BY area),
-d AS (SELECT area, avg(value) AS delta FROM metric_rows WHERE method='view' AND seed < 3 GROUP BY area)""",
+d AS (SELECT area, avg(value) AS delta FROM metric_rows WHERE method='view' GROUP BY area)""",
  "SELECT area, round(adv, 6) AS advantage, round(delta, 6) AS delta FROM a JOIN d USING (area)"))
 def c11(spark, sf):
     m = B.metric_rows(spark, sf)
-    a = m.filter("method = 'click'").groupBy("area").agg(F.avg("value").alias("advantage"))
-    d = m.filter("method = 'view' and seed < 3").groupBy("area").agg(F.avg("value").alias("delta"))
-    return r6(a.join(d, "area"), "advantage", "delta")
+    a = m.filter("method = 'click'").select("area", F.col("value").alias("advantage"))
+    d = m.filter("method = 'view'").select("area", F.col("value").alias("delta"))
+    return r6(C.advantage_with_delta(a, d), "advantage", "delta")
 
 
 @query("c12_neighbour_pairs", sql("vecs", """
 SELECT a.year, a.area, count(*) AS n_pairs, round(avg(list_cosine_similarity(a.z, b.z)), 6) AS mean_cosine FROM vecs a JOIN vecs b
 ON a.year=b.year AND a.area=b.area AND abs(a.row-b.row) + abs(a.col-b.col) = 1 GROUP BY ALL"""))
 def c12(spark, sf):
-    v = B.vecs(spark, sf)
-    offs = F.array(*[F.struct(F.lit(y).alias("dy"), F.lit(x).alias("dx")) for y, x in ((0, 1), (0, -1), (1, 0), (-1, 0))])
-    near = v.select("year", "area", F.inline(offs), "row", "col", F.col("z").alias("zn")).select(
-        "year", "area", (F.col("row") + F.col("dy")).alias("row"), (F.col("col") + F.col("dx")).alias("col"), "zn")
-    j = v.join(near, ["year", "area", "row", "col"])
-    return j.groupBy("year", "area").agg(F.count("*").alias("n_pairs"), F.round(F.avg(V.cosine("z", "zn")), 6).alias("mean_cosine"))
+    j = C.neighbour_pairs(B.vecs(spark, sf), ["year", "area"], ["z"])
+    return j.groupBy("year", "area").agg(F.count("*").alias("n_pairs"), F.round(F.avg(V.cosine("z", "near_z")), 6).alias("mean_cosine"))
 
 
 @query("c13_block_adjacency", sql("parcels", "edges", """
@@ -456,12 +455,11 @@ def c14(spark, sf):
     codes = B.table(spark, sf, "part").selectExpr(
         "concat('5002271', lpad(cast(p_partkey % 23 as string), 2, '0'), lpad(cast(p_partkey % 1000 as string), 3, '0')) as code")
     towns = spark.range(15).selectExpr("concat('5002271', lpad(cast(id as string), 2, '0')) as town_code")
-    j = codes.withColumn("town_code", F.substring("code", 1, 9)).join(F.broadcast(towns), "town_code")
-    return j.groupBy("town_code").agg(F.count("*").alias("n"))
+    return C.by_code_prefix(codes, "code", towns, "town_code", (9,)).groupBy("town_code").agg(F.count("*").alias("n"))
 
 
 @query("c15_manifest_match", sql("labels_t", "areas", """
-m AS (SELECT 'area_' || area_id AS a, area_id, stratum FROM areas WHERE area_id < 50)""", """
+m AS (SELECT 'area_' || area_id AS a, area_id, stratum FROM areas)""", """
 SELECT l.area, l.year AS start_year, l.year + 1 AS end_year, coalesce(l.year = 2020 + area_id % 3, false) AS matched,
  CASE WHEN l.year = 2020 + area_id % 3 THEN stratum END AS stratum FROM labels_t l LEFT JOIN m ON m.a = l.area"""))
 def c15(spark, sf):
@@ -469,22 +467,21 @@ def c15(spark, sf):
 
     reg = parse_labels(B.files(spark, sf)).select("area", F.col("year").alias("start_year")).distinct().withColumn(
         "end_year", F.col("start_year") + 1)
-    m = B.areas(spark, sf).filter("area_id < 50").selectExpr(
+    m = B.areas(spark, sf).selectExpr(
         "concat('AREA_', area_id) as area", "array(cast(2020 + area_id % 3 as int), cast(2021 + area_id % 3 as int)) as years", "stratum")
     return C.manifest_match(reg, m, ["stratum"])
 
 
 @query("c16_step_deltas", sql("vecs", "steps", """
-s AS (SELECT episode, t, action % 50 AS cell, reward FROM steps WHERE episode < 40)""", """
+s AS (SELECT episode, t, action // 50 AS area, episode % 4 AS year, action % 50 AS cell, reward FROM steps)""", """
 SELECT episode, t, cell::INT AS cell, reward, round(list_distance(a.z, b.z), 6) AS delta_norm
-FROM s JOIN vecs a ON a.area=0 AND a.year=0 AND a.row*10+a.col=cell JOIN vecs b ON b.area=0 AND b.year=1 AND b.row=a.row AND b.col=a.col"""))
+FROM s JOIN vecs a ON a.area=s.area AND a.year=s.year AND a.row*10+a.col=cell JOIN vecs b ON b.area=a.area AND b.year=a.year+1 AND b.row=a.row AND b.col=a.col"""))
 def c16(spark, sf):
-    s = B.steps(spark, sf).filter("episode < 40").selectExpr("episode", "t", "action % 50 as cell", "reward")
-    y = C.consecutive_years(B.vecs(spark, sf), AREA, ["z"]).filter("area = 0 and year = 0").withColumn(
-        "cell", F.col("row") * 10 + F.col("col"))
-    d = V.subtract("next_z", "z")
-    return s.join(y, "cell").select(
-        "episode", F.col("t").cast("bigint").alias("t"), "cell", "reward", F.round(V.norm(d), 6).alias("delta_norm"))
+    s = B.steps(spark, sf).selectExpr(
+        "episode", "t", "cast(action div 50 as int) as area", "cast(episode % 4 as int) as year", "action % 50 as cell", "reward")
+    units = B.vecs(spark, sf).withColumn("cell", F.col("row") * 10 + F.col("col"))
+    return C.step_deltas(s, units, ["area"], "cell").select(
+        "episode", F.col("t").cast("bigint").alias("t"), "cell", "reward", F.round("delta_norm", 6).alias("delta_norm"))
 
 
 @query("c17_configuration_pairing", sql("metric_rows", """
@@ -493,9 +490,7 @@ SELECT o.mode, o.area, round(f.m - o.m, 6) AS delta, round(f.s, 6) AS full_sd FR
 def c17(spark, sf):
     k = B.metric_rows(spark, sf).groupBy(F.col("method").alias("mode"), "area").agg(
         F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    full = k.filter("mode = 'click'").select("area", F.col("m").alias("fm"), F.col("s").alias("full_sd"))
-    j = k.filter("mode <> 'click'").join(full, "area")
-    return r6(j.withColumn("delta", F.col("fm") - F.col("m")), "delta", "full_sd").select("mode", "area", "delta", "full_sd")
+    return r6(C.configuration_deltas(k, "mode", "click", ["area"], "m", "s"), "delta", "full_sd")
 
 
 @query("c18_comparison_protocol", sql("labels_t", """

@@ -366,20 +366,20 @@ def k04(spark, sf):
 
 
 @query("k05_area_set_difference", sql("metric_rows", """
-a AS (SELECT DISTINCT area FROM metric_rows WHERE method='click' AND value > 150),
-b AS (SELECT DISTINCT area FROM metric_rows WHERE method='error' AND value > 150)""", """
+a AS (SELECT DISTINCT area FROM metric_rows WHERE method='click' AND seed=0),
+b AS (SELECT DISTINCT area FROM metric_rows WHERE method='error' AND seed=1)""", """
 SELECT area, 'left' AS side FROM (SELECT area FROM a EXCEPT SELECT area FROM b)
 UNION ALL SELECT area, 'right' FROM (SELECT area FROM b EXCEPT SELECT area FROM a)"""))
 def k05(spark, sf):
-    m = B.metric_rows(spark, sf).filter("value > 150")
-    return S.set_difference(m.filter("method = 'click'"), m.filter("method = 'error'"), "area")
+    m = B.metric_rows(spark, sf)
+    return S.set_difference(m.filter("method = 'click' and seed = 0"), m.filter("method = 'error' and seed = 1"), "area")
 
 
 @query("k05_area_intersection", sql("metric_rows", """
-SELECT area FROM metric_rows WHERE method='click' AND value > 150 INTERSECT SELECT area FROM metric_rows WHERE method='error' AND value > 150"""))
+SELECT area FROM metric_rows WHERE method='click' AND seed=0 INTERSECT SELECT area FROM metric_rows WHERE method='error' AND seed=1"""))
 def k05b(spark, sf):
-    m = B.metric_rows(spark, sf).filter("value > 150")
-    return m.filter("method = 'click'").select("area").intersect(m.filter("method = 'error'").select("area"))
+    m = B.metric_rows(spark, sf)
+    return m.filter("method = 'click' and seed = 0").select("area").intersect(m.filter("method = 'error' and seed = 1").select("area"))
 
 
 @query("k06_class_union", sql("grid", "SELECT start_cls AS cls FROM grid UNION SELECT end_cls FROM grid UNION SELECT pred_cls FROM grid"))

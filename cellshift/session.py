@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +35,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cellshift-ckpt-"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors reach."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so that iterative plans stay short."""
     ensure_checkpoint_dir(df.sparkSession)

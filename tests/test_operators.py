@@ -405,6 +405,14 @@ def test_always_baseline_rule_is_the_fallback(spark):
 
 # ---- graph, catalog, cells -----------------------------------------------------------
 
+def test_components_of_a_descending_chain(spark):
+    n = 10_000
+    edges = spark.createDataFrame([(0, 2 * n)] + [(2 * n - i, 2 * n - i - 1) for i in range(n)], "src bigint, dst bigint")
+    nodes = edges.selectExpr("explode(array(src, dst)) as node").distinct()
+    got = {r["node"]: r["component"] for r in P.connected_components(nodes, edges).collect()}
+    assert set(got.values()) == {0} and len(got) == n + 2
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     nodes = spark.range(n + 3).select(F.col("id").alias("node"))
