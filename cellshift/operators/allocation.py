@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import cut_lineage
+from . import flow
 from .demand import DemandError, remaining_demand
 from .ranking import group_rank, group_stats, join_small
 
 POS = ("row", "col")
+OWN_BONUS = 1e-6  # fixed value: what a cell's own class gains in the change phase
 
 
 def change_pressure(cells: DataFrame, keys: Sequence[str], start_vec: str, forecast_vec: str) -> DataFrame:
@@ -141,7 +143,6 @@ def stay_phase(
 
 def capacity_greedy(
     free: DataFrame, keys: Sequence[str], capacity: DataFrame, allowed: Sequence[tuple[int, int]] | None = None,
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """Assign free cells to classes greedily by (score desc, row, col, class).
 
@@ -159,7 +160,7 @@ def capacity_greedy(
     last = F.struct(F.lit(float("inf")).alias("o"), F.lit(2147483647).alias("row"), F.lit(2147483647).alias("col"))
     limits = opened.select(*keys, "cls", "cap", last.alias("lim"))
     limits = cut_lineage(limits)
-    for _ in range(max_rounds):
+    while True:
         proposals = _propose(cells, keys, limits)
         over = (
             proposals.filter("to_cls is not null").groupBy(*keys, F.col("to_cls").alias("cls"))
@@ -180,7 +181,6 @@ def capacity_greedy(
         limits = cut_lineage(limits.join(cut, [*keys, "cls"], "left").select(
             *keys, "cls", "cap", F.coalesce("_cut", "lim").alias("lim")
         ))
-    raise DemandError("allocation did not settle")
 
 
 def _propose(cells: DataFrame, keys: list[str], limits: DataFrame) -> DataFrame:
@@ -203,10 +203,8 @@ def allocate(
 ) -> DataFrame:
     """Stay phase, change phase, then leftovers; adds ``alloc_cls``, ``phase`` and ``alloc_score``.
 
-    With every transition allowed this equals the cell-by-cell greedy exactly.
-    With restricted transitions no residual-flow check interleaves, so a demand
-    that needs look-ahead may stay partly unmet; ``feasibility`` reports when a
-    demand can be met at all.
+    Equals the cell-by-cell greedy exactly. With restricted transitions a stay or a change is taken only while the rest
+    of the demand can still be met by the cells left; a demand that cannot be met at all is filled in row-major order.
     """
     keys = list(keys)
     cells = cells.withColumn("_edit", F.lit(True) if can_edit is None else can_edit)
@@ -214,28 +212,30 @@ def allocate(
     if not rem.filter("infeasible").isEmpty():
         raise DemandError("fixed cells exceed the demand of a class")
     edit = cells.filter("_edit")
-    staged = cut_lineage(stay_phase(edit, keys, rem.select(*keys, "cls", "remaining"), allowed))
-    stayed = staged.filter("stays").groupBy(*keys, F.col("start_cls").alias("cls")).agg(F.count(F.lit(1)).alias("_n"))
-    cap = rem.join(stayed, [*keys, "cls"], "left").select(
-        *keys, "cls", (F.col("remaining") - F.coalesce("_n", F.lit(0))).alias("cap")
-    )
-    moved = capacity_greedy(staged.filter("not stays").drop("stays"), keys, cap, allowed)
+    if allowed is None:
+        staged = cut_lineage(stay_phase(edit, keys, rem.select(*keys, "cls", "remaining"), allowed))
+        stays, movers = staged.filter("stays").drop("stays"), staged.filter("not stays").drop("stays")
+        stayed = stays.groupBy(*keys, F.col("start_cls").alias("cls")).agg(F.count(F.lit(1)).alias("_n"))
+        cap = rem.join(stayed, [*keys, "cls"], "left").select(
+            *keys, "cls", (F.col("remaining") - F.coalesce("_n", F.lit(0))).alias("cap"))
+        moved = capacity_greedy(movers, keys, cap, allowed)
+        done = moved.filter("to_cls is not null")
+        left = cut_lineage(moved.filter("to_cls is null").drop("to_cls", "score"))
+        used = done.groupBy(*keys, F.col("to_cls").alias("cls")).agg(F.count(F.lit(1)).alias("_n"))
+        cap2 = cap.join(used, [*keys, "cls"], "left").select(
+            *keys, "cls", (F.col("cap") - F.coalesce("_n", F.lit(0))).alias("cap"))
+    else:
+        stays, done, left, cap2 = _restricted(edit, keys, rem, allowed)
     base = [c for c in cells.columns if c != "_edit"]
-    done = moved.filter("to_cls is not null")
-    left = cut_lineage(moved.filter("to_cls is null").drop("to_cls", "score"))
     parts = [
         cells.filter("not _edit").select(*base, F.col("start_cls").alias("alloc_cls"), F.lit("fixed").alias("phase"),
                                          F.lit(None).cast("double").alias("alloc_score")),
-        staged.filter("stays").select(*base, F.col("start_cls").alias("alloc_cls"), F.lit("stay").alias("phase"),
+        stays.select(*base, F.col("start_cls").alias("alloc_cls"), F.lit("stay").alias("phase"),
                                       F.lit(None).cast("double").alias("alloc_score")),
         done.select(*base, F.col("to_cls").alias("alloc_cls"), F.lit("change").alias("phase"),
                     F.col("score").alias("alloc_score")),
     ]
     if not left.isEmpty():
-        used = done.groupBy(*keys, F.col("to_cls").alias("cls")).agg(F.count(F.lit(1)).alias("_n"))
-        cap2 = cap.join(used, [*keys, "cls"], "left").select(
-            *keys, "cls", (F.col("cap") - F.coalesce("_n", F.lit(0))).alias("cap")
-        )
         parts.append(_leftovers(left, keys, cap2, allowed, base))
     out = parts[0]
     for p in parts[1:]:
@@ -243,6 +243,29 @@ def allocate(
     return out
 
 
+def _restricted(edit: DataFrame, keys: list[str], rem: DataFrame, allowed: Sequence[tuple[int, int]]):
+    """(staying cells, changed cells, cells left, what is still wanted) under the flow test before every step."""
+    wanted = rem.filter("remaining > 0").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cls", "remaining"))).alias("_open"))
+    cells = cut_lineage(join_small(edit, wanted, keys))
+    wants = lambda c: F.coalesce(F.try_element_at("_open", c), F.lit(0)) > 0
+    state = flow.start_state(cells, keys, rem, allowed)
+    stay = _score_of(F.col("start_cls"))
+    others = F.filter("suit", lambda x: (x["cls"] != F.col("start_cls")) & wants(x["cls"]) & _allowed(F.col("start_cls"), x["cls"], allowed))
+    margin = F.coalesce(stay - F.array_max(F.transform(others, lambda x: x["score"])), F.lit(float("inf")))
+    one = F.when(wants(F.col("start_cls")) & stay.isNotNull(), F.array(F.struct(
+        (-margin).alias("o1"), (-stay).alias("o2"), F.col("start_cls").alias("cls"), stay.alias("score"))))
+    stays, free, state = flow.greedy_phase(cells, keys, state, one, allowed)
+    own = F.col("start_cls")
+    many = F.array_sort(F.transform(
+        F.filter("suit", lambda x: _allowed(own, x["cls"], allowed)),
+        lambda x: F.struct(
+            (-(x["score"] + F.when(x["cls"] == own, OWN_BONUS).otherwise(0.0))).alias("o1"), F.lit(0.0).alias("o2"), x["cls"].alias("cls"),
+            (x["score"] + F.when(x["cls"] == own, OWN_BONUS).otherwise(0.0)).alias("score"))))
+    done, left, state = flow.greedy_phase(free, keys, state, many, allowed)
+    cap = state.select(*keys, F.explode("want").alias("cls", "cap"))
+    return stays.drop("_open", "to_cls", "score"), done.drop("_open"), cut_lineage(left.drop("_open")), cap
+
+
 def _leftovers(left: DataFrame, keys: list[str], cap: DataFrame, allowed, base: list[str]) -> DataFrame:
     """Cells in row-major order take the lowest open class; none open -> stay, a violation."""
     flat = left.withColumn("_suit", F.col("suit")).withColumn(
@@ -274,39 +297,10 @@ def selected_transitions(allocated: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def feasibility(
-    supply: DataFrame, need: DataFrame, keys: Sequence[str], classes: Sequence[int],
-    allowed: Sequence[tuple[int, int]],
+    supply: DataFrame, need: DataFrame, keys: Sequence[str], allowed: Sequence[tuple[int, int]],
 ) -> DataFrame:
-    """Can the needs be met under allowed transitions?  Hall's condition over class subsets.
-
-    ``supply`` is (keys, cls, n) of free cells by start class, ``need``
-    (keys, cls, n) by target class.  For every set of target classes the needs
-    must not exceed the supply of the start classes that may enter it; subsets
-    are few because classes are few.
-    """
-    cls = [int(c) for c in classes]
-    if len(cls) > 11:
-        raise DemandError("at most 11 classes")
-    pairs = {(int(a), int(b)) for a, b in allowed} | {(c, c) for c in cls}
-    s = supply.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("cls") == c, F.col("n"))), F.lit(0)).alias(f"s{c}") for c in cls])
-    d = need.groupBy(*keys).agg(*[F.coalesce(F.sum(F.when(F.col("cls") == c, F.greatest("n", F.lit(0)))), F.lit(0)).alias(f"d{c}") for c in cls])
-    j = s.join(d, list(keys), "full_outer").fillna(0)
-    sources = {b: sum(1 << i for i, a in enumerate(cls) if (a, b) in pairs) for b in cls}
-    idx = F.explode(F.sequence(F.lit(1), F.lit((1 << len(cls)) - 1))).alias("_set")
-    j = j.select("*", idx)
-    bit = lambda i: F.col("_set").bitwiseAND(F.lit(1 << i)) != 0
-    want = sum((F.when(bit(i), F.col(f"d{c}")).otherwise(0) for i, c in enumerate(cls)), F.lit(0))
-    reach = F.lit(0)
-    for i, b in enumerate(cls):
-        reach = reach.bitwiseOR(F.when(bit(i), F.lit(sources[b])).otherwise(F.lit(0)))
-    j = j.withColumn("_reach", reach)
-    have = sum(
-        (F.when(F.col("_reach").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"s{c}")).otherwise(0) for i, c in enumerate(cls)),
-        F.lit(0),
-    )
-    return j.groupBy(*keys).agg(F.max(want - have).cast("bigint").alias("shortfall")).withColumn(
-        "feasible", F.col("shortfall") <= 0
-    )
+    """Can the needs (keys, cls, n) be met by the free cells (keys, cls, n) under allowed transitions? By maximum flow."""
+    return flow.flow_shortfall(supply, need, keys, allowed)
 
 
 # ---- balanced swaps ----------------------------------------------------------

@@ -385,10 +385,17 @@ st AS (SELECT unnest(range(1,64)) AS m),
 w AS (SELECT area, m, sum(n) AS need FROM st, d WHERE (m >> cls) & 1 = 1 GROUP BY ALL),
 r AS (SELECT DISTINCT m, f FROM st, al WHERE (m >> t) & 1 = 1),
 h AS (SELECT area, m, sum(n) AS have FROM r JOIN s ON s.cls=f GROUP BY ALL)""", """
-SELECT area, max(need - coalesce(have,0))::BIGINT AS shortfall, max(need - coalesce(have,0)) <= 0 AS feasible FROM w LEFT JOIN h USING (area, m) GROUP BY area"""))
+SELECT area, greatest(0, max(need - coalesce(have,0)))::BIGINT AS shortfall, max(need - coalesce(have,0)) <= 0 AS feasible FROM w LEFT JOIN h USING (area, m) GROUP BY area"""))
 def i13(spark, sf):
     c = cont(spark, sf)
-    return A.feasibility(D.class_counts(c, AREA, "start_cls"), D.class_counts(c, AREA, "end_cls"), AREA, CLASSES, ALLOWED)
+    return A.feasibility(D.class_counts(c, AREA, "start_cls"), D.class_counts(c, AREA, "end_cls"), AREA, ALLOWED)
+
+
+@query("i12_restricted")
+def i12c(spark, sf):
+    d = D.derive_demand(cont(spark, sf), AREA, "observed_end")
+    a = A.allocate(scored(spark, sf), AREA, d, allowed=ALLOWED)
+    return r6(a, "alloc_score").select("area", "row", "col", "start_cls", "alloc_cls", "phase", "alloc_score")
 
 
 @query("i14_balanced_swaps")

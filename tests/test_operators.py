@@ -13,6 +13,7 @@ from cellshift.operators import allocation as A
 from cellshift.operators import baselines as Z
 from cellshift.operators import cells as C
 from cellshift.operators import demand as D
+from cellshift.operators import flow as FL
 from cellshift.operators import gates as G
 from cellshift.operators import inference as I
 from cellshift.operators import mapmetrics as M
@@ -244,15 +245,106 @@ def test_allocation_rejects_fixed_overflow(spark):
         A.allocate(df.withColumn("start_cls", F.lit(0)), ["area"], d, can_edit=F.lit(False))
 
 
+def can_meet(have, want, allowed):
+    """Hall's condition over all sets of wanted classes."""
+    cls = [c for c, n in want.items() if n > 0]
+    for k in range(1, len(cls) + 1):
+        for some in itertools.combinations(cls, k):
+            reach = sum(n for c, n in have.items() if any(c == t or (c, t) in allowed for t in some))
+            if reach < sum(want[t] for t in some):
+                return False
+    return True
+
+
+def greedy_restricted(cells, demand, allowed):
+    """Cell by cell, with the test that the rest can still be met before every step."""
+    left, have, out = dict(demand), {}, {}
+    for _, _, _, s, _ in cells:
+        have[s] = have.get(s, 0) + 1
+    ok = lambda a, b: a == b or (a, b) in allowed
+
+    def take(s, t):
+        if left.get(t, 0) > 0 and can_meet({**have, s: have[s] - 1}, {**left, t: left[t] - 1}, allowed):
+            have[s] -= 1
+            left[t] -= 1
+            return True
+        return False
+
+    order = []
+    for _, r, c, s, suit in cells:
+        sc = dict(suit)
+        if left.get(s, 0) > 0:
+            change = [v for k, v in sc.items() if k != s and demand.get(k, 0) > 0 and ok(s, k)]
+            order.append((-(sc[s] - max(change)) if change else -math.inf, -sc[s], r, c, s))
+    for _, _, r, c, s in sorted(order):
+        if take(s, s):
+            out[r, c] = s
+    start = {(r, c): s for _, r, c, s, _ in cells}
+    pairs = sorted((-(v + 1e-6 * (k == s)), r, c, k) for _, r, c, s, suit in cells if (r, c) not in out for k, v in suit
+                   if left.get(k, 0) > 0 and ok(s, k))
+    for _, r, c, k in pairs:
+        if (r, c) not in out and take(start[r, c], k):
+            out[r, c] = k
+    for r, c in sorted(start):
+        if (r, c) not in out:
+            s = start[r, c]
+            out[r, c] = next((k for k in sorted(left) if left[k] > 0 and ok(s, k)), s)
+            if left.get(out[r, c], 0) > 0 and ok(s, out[r, c]):
+                left[out[r, c]] -= 1
+    return out
+
+
+@pytest.mark.parametrize("seed,slices", [(1, 1000), (2, 3), (3, 1000), (4, 3), (5, 1000), (6, 2)])
+def test_restricted_allocation_equals_sequential_greedy(spark, seed, slices, monkeypatch):
+    monkeypatch.setattr(FL, "SLICES", slices)
+    rows, df = suit_cells(spark, seed, ties=seed % 2 == 0)
+    rng = np.random.default_rng(seed + 500)
+    allowed = {(int(a), int(b)) for a, b in rng.integers(0, 4, (5, 2)) if a != b}
+    demand, want = [], {}
+    for a in range(2):
+        mine = [x for x in rows if x[0] == a]
+        if seed % 3 == 0:  # a demand that cannot always be met
+            n = rng.multinomial(len(mine), [0.1, 0.2, 0.3, 0.4])
+        else:  # one that can: every cell moves along an allowed pair or stays
+            to = [int(rng.choice([s] + [b for x, b in sorted(allowed) if x == s])) for _, _, _, s, _ in mine]
+            n = [to.count(i) for i in range(4)]
+        demand += [(a, i, int(x)) for i, x in enumerate(n)]
+        want.update({(a, *k): v for k, v in greedy_restricted(mine, {i: int(x) for i, x in enumerate(n)}, allowed).items()})
+    d = spark.createDataFrame(demand, "area int, cls int, n bigint")
+    out = A.allocate(df, ["area"], d, allowed=sorted(allowed))
+    assert {(r["area"], r["row"], r["col"]): r["alloc_cls"] for r in out.collect()} == want
+    if seed % 3:
+        assert A.allocation_result(out, ["area"], d).filter("violated").count() == 0
+
+
+def test_restricted_stay_is_refused_for_the_rest(spark):
+    suit = [(1, 0.1), (2, 0.9), (3, 0.5)]
+    df = spark.createDataFrame([(0, 0, 0, 2, suit), (0, 0, 1, 1, suit)],
+                               "area int, row int, col int, start_cls int, suit array<struct<cls:int,score:double>>")
+    d = spark.createDataFrame([(0, 2, 1), (0, 3, 1)], "area int, cls int, n bigint")
+    out = A.allocate(df, ["area"], d, allowed=[(2, 3), (1, 2)])
+    assert sorted(r["alloc_cls"] for r in out.collect()) == [2, 3]
+    assert A.allocation_result(out, ["area"], d).filter("violated").count() == 0
+
+
+def test_flow_of_many_classes(spark):
+    n = 14
+    supply = spark.createDataFrame([(0, i, 10) for i in range(n)], "area int, cls int, n bigint")
+    need = spark.createDataFrame([(0, i, 10) for i in range(n)], "area int, cls int, n bigint")
+    assert one(A.feasibility(supply, need, ["area"], [(i, (i + 1) % n) for i in range(n)]))["feasible"]
+    more = spark.createDataFrame([(0, 0, 25)] + [(0, i, 5) for i in range(1, n)], "area int, cls int, n bigint")
+    assert one(A.feasibility(supply, more, ["area"], [(1, 0)]))["shortfall"] == 25 - 15
+
+
 def test_restricted_allocation_reports_violations(spark):
     _, df = suit_cells(spark, 5, 3, 3, areas=1)
     df = df.withColumn("start_cls", F.lit(0))
     d = spark.createDataFrame([(0, 0, 0), (0, 1, 4), (0, 2, 5), (0, 3, 0)], "area int, cls int, n bigint")
     out = A.allocate(df, ["area"], d, allowed=[(0, 1)])
     n = {r["phase"]: r["count"] for r in out.groupBy("phase").count().collect()}
-    assert n == {"change": 4, "violation": 5}
+    assert n == {"leftover": 4, "violation": 5}
     ok = A.feasibility(D.class_counts(df.groupBy("area", "start_cls").agg(F.count("*").alias("n")), ["area"], "start_cls"), d,
-                       ["area"], range(4), [(0, 1)])
+                       ["area"], [(0, 1)])
     assert one(ok)["feasible"] is False and one(ok)["shortfall"] == 5
 
 
