@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 200_000  # pieces whose ids a worker remembers
 
 # Letters a-z and Latin-1, single digits, and runs of ASCII punctuation are pre-tokenised alike in any surroundings,
 # so their ids can be looked up; words with anything else (an apostrophe, other scripts, control characters) are

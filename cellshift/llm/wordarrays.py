@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21  # text handled at once; one longer text is handled alone, whole
+SLICE_BYTES = 1 << 20  # text handled at once; one longer text is handled alone, whole
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -38,6 +39,13 @@ _STEP = 0x5851F42D4C957F2D | 1
 _UNSTEP = pow(_STEP, -1, 2**64)
 
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # another C library
+    _libc = None
+
+
 class _Powers:
     """Powers of the hash step and of its inverse modulo 2**64, grown as needed."""
 
@@ -78,6 +86,14 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
         yield batch.slice(at, min(to, n) - at)
         at = to
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are kept between tasks and stages of quite different needs."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 class Words:
