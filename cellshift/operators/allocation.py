@@ -279,6 +279,31 @@ def _leftovers(left: DataFrame, keys: list[str], cap: DataFrame, allowed, base:
     )
 
 
+def allocate_to_change(
+    cells: DataFrame, keys: Sequence[str], demand: DataFrame, target: DataFrame, can_edit: Column | None = None,
+    allowed: Sequence[tuple[int, int]] | None = None, min_margin: float | None = None, min_base: float | None = None,
+    **gates,
+) -> DataFrame:
+    """``allocate`` and then balanced swaps until (keys, target_change) cells have changed, phase ``swap``.
+
+    A swap changes two cells and no class total, so the demand stays met; fixed cells never move. ``gates`` go to
+    ``swap_sides``. A negative target raises.
+    """
+    keys = list(keys)
+    if not target.filter("target_change < 0").isEmpty():
+        raise DemandError("target_change must not be negative")
+    done = cut_lineage(allocate(cells, keys, demand, can_edit, allowed))
+    changed = done.groupBy(*keys).agg(F.sum((F.col("alloc_cls") != F.col("start_cls")).cast("long")).alias("_n"))
+    budgets = target.join(changed, keys).select(
+        *keys, F.greatest(F.lit(0), F.floor((F.col("target_change") - F.col("_n")) / 2)).cast("bigint").alias("n_swaps"))
+    moved = balanced_swaps(swap_sides(done, keys, allowed=allowed, **gates), keys, budgets, min_margin, min_base)
+    j = done.join(moved.select(*keys, *POS, F.col("to_cls").alias("_to")), [*keys, *POS], "left")
+    return j.select(
+        *[c for c in done.columns if c not in ("alloc_cls", "phase", "alloc_score")],
+        F.coalesce("_to", "alloc_cls").alias("alloc_cls"), F.when(F.col("_to").isNotNull(), "swap").otherwise(F.col("phase")).alias("phase"),
+        F.when(F.col("_to").isNotNull(), _score_of(F.col("_to"))).otherwise(F.col("alloc_score")).alias("alloc_score"))
+
+
 def allocation_result(allocated: DataFrame, keys: Sequence[str], demand: DataFrame, cls: str = "alloc_cls") -> DataFrame:
     """Target, achieved and unmet cells per class."""
     a = allocated.groupBy(*keys, F.col(cls).alias("cls")).agg(F.count(F.lit(1)).alias("_a"))
@@ -309,9 +334,12 @@ def swap_sides(
     cells: DataFrame, keys: Sequence[str], cls: str = "alloc_cls", allowed: Sequence[tuple[int, int]] | None = None,
     bonus: str | None = None, min_side_base: float | None = None, min_target_nb: float | None = None,
     evidence: Sequence[tuple[int, int]] = (), min_pair_side: float | None = None, base: str = "suit", nb: str | None = None,
+    can_edit: Column | None = None,
 ) -> DataFrame:
     """Long (cell, a, b, s, m, base): stable cells of class a and their worth as class b.
 
+    Cells outside ``can_edit`` and cells in phase ``fixed`` stay out.
+
     Gates that look at one side only are row filters here; ``m`` is the gain over
     staying and ``base`` the score without neighbourhood terms, for pair gates.
     ``bonus``/``nb``/``base`` are columns: MAP, MAP and array of struct(cls, score).
@@ -320,7 +348,10 @@ def swap_sides(
         return F.coalesce(F.try_element_at(F.col(col), c), F.lit(0.0))
 
     base_of = F.map_from_entries(F.transform(base, lambda x: F.struct(x["cls"], x["score"])))
-    c = cells.filter(F.col(cls) == F.col("start_cls")).withColumn("_base", base_of)
+    free = F.lit(True) if can_edit is None else can_edit
+    if "phase" in cells.columns:
+        free = free & (F.col("phase") != "fixed")
+    c = cells.filter((F.col(cls) == F.col("start_cls")) & free).withColumn("_base", base_of)
     long = c.select(
         *keys, *POS, F.col("start_cls").alias("a"), "_base", *[x for x in (bonus, nb) if x],
         _score_of(F.col("start_cls")).alias("_stay"), F.explode("suit").alias("_t"),
@@ -397,7 +428,7 @@ def _block_swaps(rows: list[tuple], budget: int, min_margin: float, min_base: fl
 
 def balanced_swaps(
     sides: DataFrame, keys: Sequence[str], budgets: DataFrame, min_margin: float | None = None,
-    min_base: float | None = None, block: int = 2_000, max_block: int = 200_000,
+    min_base: float | None = None, block: int = 2_000,
 ) -> DataFrame:
     """Swap stable cells of two classes by best pair score until the change budget is used.
 
@@ -439,9 +470,7 @@ def balanced_swaps(
         nxt = left.join(per, keys).filter("not _done").select(*keys, (F.col("n_swaps") - F.col("_t")).alias("n_swaps"), "_t")
         nxt = cut_lineage(nxt)
         if not nxt.filter("_t = 0").isEmpty():
-            if block >= max_block:
-                raise DemandError("swap lists need blocks above the configured size")
-            block = min(block * 4, max_block)
+            block *= 4
         left = nxt.drop("_t")
         sides = cut_lineage(sides.join(swaps.select(*keys, *POS).distinct(), [*keys, *POS], "left_anti"))
     if done is None:

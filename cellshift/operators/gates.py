@@ -24,6 +24,7 @@ POS = ("row", "col")
 
 
 def is_candidate(valid: Column | None = None) -> Column:
+    """A predicted change of a cell in the mask ``valid``; without a mask, of a cell with both classes known."""
     S, P = F.col("start_cls"), F.col("pred_cls")
     v = (S != 0) & (P != 0) if valid is None else valid
     return v & (P != S)
@@ -72,11 +73,11 @@ def _gated(kept: Column) -> Column:
 
 def keep_fraction(
     cells: DataFrame, keys: Sequence[str], fraction: float, score: str = "score",
-    sized_by: DataFrame | None = None,
+    sized_by: DataFrame | None = None, valid: Column | None = None
 ) -> DataFrame:
     """Keep the top round(n * fraction) candidates by score."""
     _check_fraction("fraction", fraction)
-    ranked, st = rank_candidates(cells, keys, [-F.col(score)], is_candidate(), sized_by)
+    ranked, st = rank_candidates(cells, keys, [-F.col(score)], is_candidate(valid), sized_by)
     budget = st.sizes.select(*keys, half_even(F.col("n") * F.lit(fraction)).alias("_k"))
     out = join_small(ranked, budget, keys, st.groups)
     return out.withColumn("gated_cls", _gated(F.col("_c") & (F.col("_rk") <= F.col("_k")))).drop(
@@ -85,7 +86,7 @@ def keep_fraction(
 
 
 def sweep_fractions(
-    cells: DataFrame, keys: Sequence[str], fractions: Sequence[float], score: str = "score"
+    cells: DataFrame, keys: Sequence[str], fractions: Sequence[float], score: str = "score", valid: Column | None = None
 ) -> DataFrame:
     """Metric rows per keep fraction from one ranking and one pass of counting.
 
@@ -94,8 +95,8 @@ def sweep_fractions(
     """
     S, P = F.col("start_cls"), F.col("pred_cls")
     fr = sorted(fractions)
-    valid = cells.filter((S != 0) & (F.col("end_cls") != 0) & (P != 0))
-    ranked, st = rank_candidates(valid, keys, [-F.col(score)], is_candidate())
+    known = cells.filter(((S != 0) & (P != 0) if valid is None else valid) & (F.col("end_cls") != 0))
+    ranked, st = rank_candidates(known, keys, [-F.col(score)], is_candidate(valid))
     ks = [half_even(F.col("n") * F.lit(float(f))).alias(f"_k{i}") for i, f in enumerate(fr)]
     out = join_small(ranked, st.sizes.select(*keys, *ks), keys, st.groups)
     first = F.lit(len(fr))
@@ -157,15 +158,15 @@ def _transition_budget(
 
 def reliability_gate(
     cells: DataFrame, keys: Sequence[str], rel: DataFrame, base: float = 0.8, slope: float = 0.55,
-    lo: float = 0.45, hi: float = 1.0, score: str = "score", sized_by: DataFrame | None = None,
+    lo: float = 0.45, hi: float = 1.0, score: str = "score", sized_by: DataFrame | None = None, valid: Column | None = None
 ) -> DataFrame:
     """Per transition keep a share that grows with its reliability against the global one."""
     _check_fraction("base", base)
     tk = [*keys, "start_cls", "pred_cls"]
-    st = group_stats((cells if sized_by is None else sized_by).filter(is_candidate()), tk)
+    st = group_stats((cells if sized_by is None else sized_by).filter(is_candidate(valid)), tk)
     frac = F.lit(base) + F.lit(slope) * (F.col("_rel") - F.col("_g")) / F.greatest(F.col("_g"), F.lit(1e-6))
     budget = _transition_budget(st, keys, rel, half_even(F.col("n") * clamp(frac, lo, hi)))
-    ranked, _ = rank_candidates(cells, tk, [-F.col(score)], is_candidate(), stats=st)
+    ranked, _ = rank_candidates(cells, tk, [-F.col(score)], is_candidate(valid), stats=st)
     out = join_small(ranked, budget, tk, st.groups)
     kept = F.col("_c") & (F.col("_rk") <= F.col("_k"))
     return out.withColumn("gated_cls", _gated(kept)).drop("_rk", "_k", "_c")
@@ -174,14 +175,14 @@ def reliability_gate(
 def support_reversion(
     cells: DataFrame, keys: Sequence[str], threshold: float = 0.25, quantile: float = 0.4,
     max_fraction: float = 0.03, score: str = "score", support: str = "target_support",
-    sized_by: DataFrame | None = None,
+    sized_by: DataFrame | None = None, valid: Column | None = None
 ) -> DataFrame:
     """Revert weakly supported, low-scored candidates, up to a share of all candidates."""
     S, P = F.col("start_cls"), F.col("pred_cls")
     for n, v in (("threshold", threshold), ("quantile", quantile), ("max_fraction", max_fraction)):
         _check_fraction(n, v)
-    cand = cells.filter(is_candidate())
-    st = group_stats((cells if sized_by is None else sized_by).filter(is_candidate()), keys)
+    cand = cells.filter(is_candidate(valid))
+    st = group_stats((cells if sized_by is None else sized_by).filter(is_candidate(valid)), keys)
     limits = group_agg(
         cand, keys, [half_even(F.count(F.lit(1)) * F.lit(max_fraction)).alias("_k")], score,
         {"_q": quantile}, stats=st,
@@ -189,7 +190,7 @@ def support_reversion(
     if st.slices:
         limits = cut_lineage(limits)  # one row per key, used by several passes below
     j = join_small(cells, limits, keys, st.groups)
-    eligible = is_candidate() & (F.col(support) <= threshold) & (F.col(score) <= F.col("_q"))
+    eligible = is_candidate(valid) & (F.col(support) <= threshold) & (F.col(score) <= F.col("_q"))
     if st.slices:  # eligible groups are smaller than the measured candidate groups
         st = group_stats(j.filter(eligible), keys)
     ranked, _ = rank_candidates(j, keys, [F.col(support), F.col(score)], eligible, stats=st)
@@ -199,28 +200,28 @@ def support_reversion(
 
 def exactness_reversion(
     cells: DataFrame, keys: Sequence[str], rel: DataFrame, max_revert: float = 0.4,
-    min_group: int = 100, order: Column | None = None, sized_by: DataFrame | None = None,
+    min_group: int = 100, order: Column | None = None, sized_by: DataFrame | None = None, valid: Column | None = None
 ) -> DataFrame:
     """In large transition groups below the global exactness, revert the lowest-ranked cells."""
     S, P = F.col("start_cls"), F.col("pred_cls")
     _check_fraction("max_revert", max_revert)
     tk = [*keys, "start_cls", "pred_cls"]
-    st = group_stats((cells if sized_by is None else sized_by).filter(is_candidate()), tk)
+    st = group_stats((cells if sized_by is None else sized_by).filter(is_candidate(valid)), tk)
     short = (F.col("_g") - F.col("_rel")) / F.greatest(F.col("_g"), F.lit(1e-6))
     weak = (F.col("n") >= min_group) & (F.col("_rel") < F.col("_g"))
     take = F.when(weak, half_even(F.col("n") * (F.lit(max_revert) * short))).otherwise(0)
     budget = _transition_budget(st, keys, rel, take)
     by = F.col("score") if order is None else order
-    ranked, _ = rank_candidates(cells, tk, [by], is_candidate(), stats=st)
+    ranked, _ = rank_candidates(cells, tk, [by], is_candidate(valid), stats=st)
     out = join_small(ranked, budget, tk, st.groups)
     drop = F.col("_c") & (F.col("_rk") <= F.col("_k"))
     return out.withColumn("gated_cls", F.when(drop, S).otherwise(P)).drop("_rk", "_k", "_c")
 
 
-def transition_group_stats(cells: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+def transition_group_stats(cells: DataFrame, keys: Sequence[str], order: Column, valid: Column | None = None) -> DataFrame:
     """Candidate groups per transition: size, mean supports, range of the rank score."""
     S, P = F.col("start_cls"), F.col("pred_cls")
-    return cells.filter(is_candidate()).groupBy(
+    return cells.filter(is_candidate(valid)).groupBy(
         *keys, S.alias("from_cls"), P.alias("to_cls")
     ).agg(
         F.count(F.lit(1)).alias("n"),
@@ -232,7 +233,7 @@ def transition_group_stats(cells: DataFrame, keys: Sequence[str], order: Column)
 
 def class_budget(
     cells: DataFrame, keys: Sequence[str], ratios: DataFrame, classes: Sequence[int],
-    strength: float = 0.1, min_over: int = 100, order: Column | None = None,
+    strength: float = 0.1, min_over: int = 100, order: Column | None = None, valid: Column | None = None
 ) -> DataFrame:
     """Revert changed cells of over-budget classes, one class after the other.
 
@@ -243,7 +244,7 @@ def class_budget(
     S, P = F.col("start_cls"), F.col("pred_cls")
     _check_fraction("strength", strength)
     rank_by = F.col("score") if order is None else order
-    ranked = cut_lineage(rank_candidates(cells, [*keys, "pred_cls"], [rank_by], is_candidate())[0])
+    ranked = cut_lineage(rank_candidates(cells, [*keys, "pred_cls"], [rank_by], is_candidate(valid))[0])
     valid = (S != 0) & (P != 0)
     base = ranked.filter(valid).groupBy(*keys, F.col("pred_cls").alias("cls")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("_c").cast("bigint")).alias("cand")
@@ -276,7 +277,7 @@ def class_budget(
 
 def demand_gate(
     cells: DataFrame, keys: Sequence[str], fractions: DataFrame, order: Column,
-    sized_by: DataFrame | None = None,
+    sized_by: DataFrame | None = None, valid: Column | None = None
 ) -> DataFrame:
     """Keep min(round(valid * target), candidates) candidates with the highest ``order``.
 
@@ -284,7 +285,7 @@ def demand_gate(
     """
     S, P = F.col("start_cls"), F.col("pred_cls")
     flagged = cells.withColumn("_s", order)
-    ranked, st = rank_candidates(flagged, keys, [-F.col("_s")], is_candidate(), sized_by)
+    ranked, st = rank_candidates(flagged, keys, [-F.col("_s")], is_candidate(valid), sized_by)
     n_valid = (cells if sized_by is None else sized_by).filter((S != 0) & (P != 0)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"))
     budget = n_valid.join(fractions, list(keys)).select(
         *keys, half_even(F.col("_v") * F.col("target_fraction")).alias("_k")

@@ -23,6 +23,9 @@ Z_975 = 1.959963984540054  # fixed values: normal quantiles at 0.975 and 0.80
 Z_80 = 0.8416212335729143
 
 
+ARRAY_CLUSTERS = 20_000  # clusters of a key that one replicate draws from an array; more are joined by number
+
+
 def clusters(rows: DataFrame, keys: Sequence[str], cluster: str, value: str) -> DataFrame:
     """(keys, cluster, total, n) of the finite values."""
     v = rows.withColumn("_v", finite(F.col(value))).filter(F.col("_v").isNotNull())
@@ -52,6 +55,21 @@ def replicate_means(
 ) -> DataFrame:
     """Pooled mean per replicate: sum of drawn totals over sum of drawn sizes."""
     idx, sizes, groups = _indexed(cl, keys, cluster)
+    most = sizes.agg(F.max("_sz")).first()[0] or 0
+    if most <= ARRAY_CLUSTERS:
+        packed = idx.groupBy(*keys).agg(F.transform(
+            F.array_sort(F.collect_list(F.struct("_i", F.col("total").cast("double").alias("t"), F.col("n").cast("double").alias("m")))),
+            lambda x: F.struct(x["t"].alias("t"), x["m"].alias("m"))).alias("_all"))
+        reps = packed.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 50)))).select(
+            *keys, "_all", F.explode(F.sequence(F.col("_chunk") * 50 + 1, F.least(F.col("_chunk") * 50 + 50, F.lit(n_boot)))).alias("_b"))
+        k = F.size("_all")
+
+        def add(acc: Column, i: Column) -> Column:
+            d = F.get(F.col("_all"), F.floor(hash_unit(seed, "_b", i) * k).cast("int"))
+            return F.struct((acc["t"] + d["t"]).alias("t"), (acc["m"] + d["m"]).alias("m"))
+
+        zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("m"))
+        return reps.select(*keys, "_b", F.aggregate(F.sequence(F.lit(1), k), zero, add, lambda a: a["t"] / a["m"]).alias("mean"))
     draws = _draws(idx, sizes, groups, keys, n_boot, seed).select(*keys, "_b", F.col("_d").alias("_i"))
     # count repeated draws first, so each cluster is joined once per replicate
     tally = draws.groupBy(*keys, "_b", "_i").agg(F.count(F.lit(1)).alias("_c"))
@@ -62,7 +80,7 @@ def replicate_means(
 
 
 def cluster_bootstrap(
-    rows: DataFrame, keys: Sequence[str], cluster: str, value: str, n_boot: int = 1000, seed: int = 42
+    rows: DataFrame, keys: Sequence[str], cluster: str, value: str, n_boot: int = 5000, seed: int = 42
 ) -> DataFrame:
     """Mean and 2.5/97.5 % limits per key; fewer than two clusters give a NULL interval."""
     keys = list(keys)
@@ -83,7 +101,7 @@ def cluster_bootstrap(
     return j.withColumns({c: F.when(two, F.col(c)) for c in ("ci_low", "ci_high")})
 
 
-def bootstrap_mean(rows: DataFrame, keys: Sequence[str], unit: str, value: str, n_boot: int = 1000, seed: int = 42) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, keys: Sequence[str], unit: str, value: str, n_boot: int = 5000, seed: int = 42) -> DataFrame:
     """Bootstrap of the mean with single rows as the sampling unit (``unit`` is unique)."""
     return cluster_bootstrap(rows, keys, unit, value, n_boot, seed)
 
@@ -127,19 +145,20 @@ def leave_one_out_bootstrap(
     )
 
 
-def _binomial_tail(n: Column, k: Column) -> Column:
-    """P(X <= k) for X ~ Binomial(n, 1/2), summed from logarithms."""
-    start = F.struct(
-        (n * F.lit(math.log(0.5))).cast("double").alias("lt"),
-        F.exp(n * F.lit(math.log(0.5))).cast("double").alias("s"),
-    )
-
-    def step(acc: Column, i: Column) -> Column:
-        lt = acc["lt"] + F.ln((n - i + 1) / i)
-        return F.struct(lt.alias("lt"), (acc["s"] + F.exp(lt)).alias("s"))
-
-    ks = F.when(k >= 1, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(ks, start, step, lambda acc: acc["s"])
+@F.pandas_udf("double")
+def _binomial_tail(n: pd.Series, k: pd.Series) -> pd.Series:
+    """P(X <= k) for X ~ Binomial(n, 1/2), summed from logarithms in pieces of fixed size; one row per group."""
+    out = []
+    for trials, most in zip(n, k):
+        last = trials * math.log(0.5)
+        total = math.exp(last)
+        for at in range(1, int(most) + 1, 1_000_000):
+            i = np.arange(at, min(at + 1_000_000, int(most) + 1), dtype=np.float64)
+            logs = last + np.cumsum(np.log((trials - i + 1) / i))
+            total += float(np.exp(logs).sum())
+            last = float(logs[-1])
+        out.append(total)
+    return pd.Series(out, dtype="float64")
 
 
 def sign_test(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -30,10 +30,13 @@ def region_partition(cells: DataFrame, vec: str, k: int, seed: int = 42) -> tupl
     return model.transform(data).drop("_f"), table
 
 
-def fit_decoder(rows: DataFrame, vec: str, cls: str, max_iter: int = 30):
-    """Multinomial logistic regression on vectors with integer classes."""
-    data = rows.select(array_to_vector(F.col(vec)).alias("features"), F.col(cls).cast("double").alias("label"))
-    return LogisticRegression(maxIter=max_iter, regParam=1e-3).fit(data)
+def fit_decoder(rows: DataFrame, vec: str, cls: str, max_iter: int = 1000, c: float = 1.0):
+    """Multinomial logistic regression on vectors with integer classes; ``c`` weighs the data against the L2 penalty."""
+    data = rows.select(array_to_vector(F.col(vec)).alias("features"), F.col(cls).cast("double").alias("label")).cache()
+    n = data.count()
+    model = LogisticRegression(maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False, tol=1e-4).fit(data)
+    data.unpersist()
+    return model
 
 
 def decode(model, cells: DataFrame, vec: str) -> DataFrame:
@@ -46,7 +49,7 @@ def decode(model, cells: DataFrame, vec: str) -> DataFrame:
 
 
 def decoder_cv(
-    rows: DataFrame, unit: Sequence[str], vec: str, cls: str, k: int = 5, seed: int = 42, max_iter: int = 30
+    rows: DataFrame, unit: Sequence[str], vec: str, cls: str, k: int = 5, seed: int = 42, max_iter: int = 1000
 ) -> DataFrame:
     """Accuracy and macro-F1 per hash fold."""
     data = with_folds(rows, unit, k, seed)

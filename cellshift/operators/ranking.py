@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import col
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_path
 
 MAX_GROUP_ROWS = 4_000_000
-MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_ROWS = 10_000
 _SAMPLE_PER_SLICE = 64
 
 
@@ -52,9 +52,16 @@ def join_small(
     df: DataFrame, small: DataFrame, keys: Sequence[str], rows: int | None = None,
     how: str = "left",
 ) -> DataFrame:
-    """Join a per-group table, broadcast only when its counted rows allow it."""
-    rows = small.count() if rows is None else rows
-    return df.join(F.broadcast(small) if rows <= MAX_BROADCAST_ROWS else small, list(keys), how)
+    """Join a per-group table: known few rows are broadcast, others are written once and joined by their bytes.
+
+    The written table's size decides between broadcast and shuffle (``spark.sql.autoBroadcastJoinThreshold``), so a
+    table of wide rows is never sent whole, and its lineage isn't run a second time just to be counted.
+    """
+    if rows is not None and rows <= MAX_BROADCAST_ROWS:
+        return df.join(F.broadcast(small), list(keys), how)
+    path = shared_path(small.sparkSession, "small")
+    small.write.parquet(path)
+    return df.join(small.sparkSession.read.schema(small.schema).parquet(path), list(keys), how)
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:

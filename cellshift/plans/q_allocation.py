@@ -407,14 +407,30 @@ def i14(spark, sf):
 
 
 @query("i14_swap_sides", sql("grid", _SUIT, """
-SELECT s.area, s.row, s.col, s.start_cls AS a, s.cls AS b, round(s.score, 6) AS s, round(s.score - t.score, 6) AS m
-FROM su s JOIN su t ON t.area=s.area AND t.row=s.row AND t.col=s.col AND t.cls=s.start_cls JOIN grid g ON g.area=s.area AND g.row=s.row AND g.col=s.col
-WHERE s.cls<>s.start_cls AND g.end_cls=g.start_cls AND s.score >= 0.8"""))
+w AS (SELECT *, max(score) FILTER (cls = start_cls) OVER (PARTITION BY area, row, col) AS stay FROM su)""", """
+SELECT area, row, col, start_cls AS a, cls AS b, round(score, 6) AS s, round(score - stay, 6) AS m
+FROM w JOIN (SELECT area, row, col, end_cls FROM grid) USING (area, row, col) WHERE cls<>start_cls AND end_cls=start_cls AND score >= 0.8"""))
 def i14b(spark, sf):
     s = A.swap_sides(scored(spark, sf), AREA, cls="end_cls", min_side_base=0.8)
     return r6(s, "s", "m").drop("base")
 
 
+@query("i15_allocation_driver", sql("grid", """
+f AS (SELECT area, end_cls AS cls, count(*) AS n FROM grid GROUP BY ALL), h AS (SELECT area, start_cls AS cls, count(*) AS n FROM grid GROUP BY ALL),
+b AS (SELECT f.area, sum(greatest(0, f.n - coalesce(h.n, 0))) AS base FROM f LEFT JOIN h USING (area, cls) GROUP BY f.area)""", """
+SELECT area, (base + 20)::BIGINT AS n_changed, 10::BIGINT AS n_pairs, 0::BIGINT AS unmet FROM b"""))
+def i15b(spark, sf):
+    d = D.derive_demand(cont(spark, sf), AREA, "observed_end")
+    base = D.class_counts(cont(spark, sf), AREA, "start_cls").withColumnRenamed("n", "h").join(d, ["area", "cls"], "full_outer").groupBy(
+        "area").agg(F.sum(F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - F.coalesce("h", F.lit(0)))).alias("b"))
+    a = A.allocate_to_change(scored(spark, sf), AREA, d, base.select("area", (F.col("b") + 21).alias("target_change")))
+    bad = A.allocation_result(a, AREA, d).groupBy("area").agg(F.sum("unmet").cast("bigint").alias("unmet"))
+    n = a.groupBy("area").agg(
+        F.sum((F.col("alloc_cls") != F.col("start_cls")).cast("bigint")).alias("n_changed"),
+        (F.sum((F.col("phase") == "swap").cast("bigint")) / 2).cast("bigint").alias("n_pairs"))
+    return n.join(bad, "area")
+
+
 @query("i15_allocation_result", sql("grid", """
 SELECT area, end_cls AS cls, count(*) AS target, count(*) AS achieved, 0::BIGINT AS unmet, false AS violated FROM grid GROUP BY ALL"""))
 def i15(spark, sf):

@@ -45,10 +45,17 @@ def a04(spark, sf):
     return C.area_sources(C.parse_embeddings(B.files(spark, sf)), ["cache_b", "cache_a"], 3)
 
 
-@query("a05_grid_to_cells", sql("grid", "SELECT area, row, col, start_cls AS cls FROM grid"))
+@query("a05_grid_to_cells", sql("grid", "SELECT area, 0 AS row, col, start_cls AS cls, row AS band FROM grid"))
 def a05(spark, sf):
-    rows = C.cells_to_grid_rows(B.grid(spark, sf), ["area"], "start_cls")
-    return rows.select("area", "row", F.posexplode("values").alias("col", "cls"))
+    g = B.grid(spark, sf).groupBy("area", F.col("row").alias("band")).agg(
+        F.array(F.transform(F.array_sort(F.collect_list(F.struct("col", "start_cls"))), lambda x: x["start_cls"])).alias("grid"))
+    return C.grid_to_cells(g, ["area", "band"]).select("area", "row", "col", "cls", "band")
+
+
+@query("a05_round_trip", sql("grid", "SELECT area, row, col, start_cls AS cls FROM grid WHERE (row + col) % 7 <> 3"))
+def a05c(spark, sf):
+    holed = B.grid(spark, sf).filter("(row + col) % 7 <> 3")
+    return C.grid_rows_to_cells(C.cells_to_grid_rows(holed, ["area"], "start_cls"), ["area"])
 
 
 @query("a05_cells_to_grid_rows", sql("grid", """
@@ -78,6 +85,37 @@ def a06(spark, sf):
     return C.registry_violations(registry_rows(spark, sf)).select("area", "reason")
 
 
+def registry_document(spark, sf):
+    """A registry as one JSON document, every field present."""
+    from ..session import shared_path
+
+    path = shared_path(spark, "registry")
+    rows = B.areas(spark, sf).selectExpr(
+        "area", "2020 as start_year", "2021 as end_year", "'tier2' as tier", "stratum", "array(1.0D, 2.0D, 3.0D, 4.0D) as bbox",
+        "'survey' as data_source", "if(contact_status = 'unclear', 'uncertain', contact_status) as development_contact_status",
+        "'seen' as contact_evidence", "'test' as expected_role", "concat(area, '_a') as label_start_path",
+        "concat(area, '_b') as label_end_path", "concat(area, '_p') as prediction_path", "'ok' as qc_status")
+    C.write_document(rows, path)
+    return path
+
+
+@query("a06_read_registry", sql("areas", """
+SELECT area, 'tier2' AS tier, CASE WHEN contact_status='unclear' THEN 'uncertain' ELSE contact_status END AS status, area || '_p' AS prediction_path FROM areas"""))
+def a06b(spark, sf):
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    schema = StructType([StructField(c, StringType()) for c in (
+        "area", "tier", "development_contact_status", "contact_evidence", "prediction_path")])
+    r = C.read_registry(spark, registry_document(spark, sf), schema)
+    return r.select("area", "tier", F.col("development_contact_status").alias("status"), "prediction_path")
+
+
+@query("a06_missing_fields", sql("areas", "SELECT count(*) AS n, 'missing_field:notes' AS reason FROM areas"))
+def a06c(spark, sf):
+    lacks = C.missing_fields(spark, registry_document(spark, sf), "rows", (*C.REGISTRY_FIELDS, "notes", "zone"))
+    return lacks.groupBy("reason").agg(F.count("*").alias("n")).select("n", "reason")
+
+
 def holdouts(spark, sf):
     """Raw manifest rows: mixed-case names, repeated years, some faulty."""
     return B.areas(spark, sf).selectExpr(
@@ -85,13 +123,20 @@ def holdouts(spark, sf):
         "if(area_id % 17 = 0, array(1.0D, 2.0D), array(100.0D, 30.0D, 101.0D, 31.0D)) as bbox", "stratum",
         "array(cast(2021 + area_id % 2 as int), 2020, cast(2021 + area_id % 2 as int)) as years",
         "if(contact_status = 'unclear', 'odd', contact_status) as development_contact_status",
-        "if(area_id % 19 = 0, '', 'survey') as contact_evidence", "contact_status", "nation")
+        "if(area_id % 19 = 0, '', 'survey') as contact_evidence", "contact_status", "nation", "area_id")
 
 
 @query("a07_read_holdouts", sql("areas", """
-SELECT 'area_' || (area_id % 90) AS area, stratum, array_to_string(list_sort(list_distinct([2020, 2021 + area_id % 2])), ',') AS years FROM areas"""))
+SELECT 'area_' || (area_id % 90) AS area, stratum, array_to_string(list_sort(list_distinct([2020, 2021 + area_id % 2])), ',') AS years FROM areas
+WHERE area_id % 17 <> 0 AND area_id % 19 <> 0 AND area_id < 90"""))
 def a07(spark, sf):
-    h = C.normalise_holdouts(holdouts(spark, sf))
+    from ..session import shared_path
+
+    path = shared_path(spark, "holdouts")
+    C.write_document(holdouts(spark, sf).filter("area_id % 17 <> 0 and area_id % 19 <> 0 and area_id < 90").selectExpr(
+        "area", "bbox", "stratum", "years", "'s' as data_source", "'r' as selection_reason", "'none' as development_contact_status",
+        "contact_evidence", "'e' as expected_role", "'n' as notes"), path, "areas")
+    h = C.read_holdouts(spark, path)
     return h.select("area", "stratum", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
 
 
@@ -182,7 +227,20 @@ def a14(spark, sf):
 @query("a15_csv_fields", sql("areas", """
 SELECT area, '{"tier":"' || tier || '","stratum":"' || stratum || '"}' AS tags FROM areas"""))
 def a15(spark, sf):
-    return B.areas(spark, sf).select("area", F.to_json(F.struct("tier", "stratum")).alias("tags"))
+    from ..session import shared_path
+
+    path = shared_path(spark, "report")
+    C.write_table(B.areas(spark, sf).select("area", F.struct("tier", "stratum").alias("tags")), path, "csv")
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+@query("a15_json_document", sql("areas", "SELECT area, tier FROM areas"))
+def a15b(spark, sf):
+    from ..session import shared_path
+
+    path = shared_path(spark, "document")
+    C.write_document(B.areas(spark, sf).select("area", "tier"), path)
+    return spark.read.schema("rows array<struct<area:string,tier:string>>").option("multiLine", True).json(path).select(F.inline("rows"))
 
 
 @query("a16_load_steps", sql("steps", """

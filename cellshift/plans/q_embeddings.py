@@ -215,13 +215,21 @@ def v15(spark, sf):
 
 @query("v16_decoder_cv")
 def v16(spark, sf):
-    cv = L.decoder_cv(B.vecs(spark, sf), UNIT, "z", "cls", k=3, max_iter=10)
+    cv = L.decoder_cv(B.vecs(spark, sf), UNIT, "z", "cls")
     return cv.select("fold", "n_test", F.round("accuracy", 4).alias("accuracy"), F.round("macro_f1", 4).alias("macro_f1"))
 
 
+@query("v16_by_year")
+def v16b(spark, sf):
+    v = E.area_sample(B.vecs(spark, sf), ["year", "area"], 800, 5)
+    years = sorted(r.year for r in v.select("year").distinct().collect())
+    cv = L.decoder_by_year(v, years, UNIT, "z", "cls")
+    return cv.select("year", F.round("cv_accuracy", 4).alias("cv_accuracy"), F.round("cv_macro_f1", 4).alias("cv_macro_f1"))
+
+
 @query("v17_decode")
 def v17(spark, sf):
-    model = L.fit_decoder(B.vecs(spark, sf), "z", "cls", 10)
+    model = L.fit_decoder(B.vecs(spark, sf), "z", "cls")
     return L.decode(model, B.vecs(spark, sf), "z").select(*UNIT, "cls", "decoded_cls")
 
 
@@ -256,5 +264,5 @@ def s11p(spark, sf):
     o = B.table(spark, sf, "orders").selectExpr(
         "o_orderkey", "cast(o_custkey as double) as x1", "o_totalprice as x2",
         "cast(if((o_custkey + o_totalprice / 100) % 7 < 3, 1, 0) as int) as treated")
-    p = L.cross_fitted_propensity(o, ["o_orderkey"], ["x1", "x2"], "treated", k=2, max_iter=5)
+    p = L.cross_fitted_propensity(o, ["o_orderkey"], ["x1", "x2"], "treated")
     return I.average_effect(I.stratified_effect(p, "treated", "x2", "propensity"))

@@ -42,29 +42,29 @@ _CI = """n_rows, n_clusters, round(mean, 10) AS mean, round(median, 10) AS media
 CI_COLS = ("mean", "median", "ci_low", "ci_high")
 
 
-@query("s01_bootstrap_mean", sql("adv", _boot("bt", "adv", ["tier"], "area", "primary_adv", 300, 7),
+@query("s01_bootstrap_mean", sql("adv", _boot("bt", "adv", ["tier"], "area", "primary_adv", 5000, 7),
        f"SELECT tier, {_CI} FROM bt JOIN bt_b USING (tier)"))
 def s01(spark, sf):
-    b = I.bootstrap_mean(B.advantages(spark, sf), ["tier"], "area", "primary_adv", 300, 7)
+    b = I.bootstrap_mean(B.advantages(spark, sf), ["tier"], "area", "primary_adv", 5000, 7)
     return r10(b, *CI_COLS)
 
 
-@query("s02_cluster_bootstrap", sql("deltas", _boot("bt", "deltas", ["metric"], "area", "delta", 300, 42),
+@query("s02_cluster_bootstrap", sql("deltas", _boot("bt", "deltas", ["metric"], "area", "delta", 5000, 42),
        f"SELECT metric, {_CI} FROM bt JOIN bt_b USING (metric)"))
 def s02(spark, sf):
-    b = I.cluster_bootstrap(deltas(spark, sf), ["metric"], "area", "delta", 300, 42)
+    b = I.cluster_bootstrap(deltas(spark, sf), ["metric"], "area", "delta", 5000, 42)
     return r10(b, *CI_COLS)
 
 
 @query("s03_leave_one_out_bootstrap", sql("adv", f"""
 c AS (SELECT tier, area, primary_adv AS total, 1 AS n FROM adv WHERE primary_adv IS NOT NULL),
 i AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY area) AS i, count(*) OVER (PARTITION BY tier) AS k FROM c),
-d AS (SELECT tier, b, floor({unit("'43|' || b || '|' || i")} * (k-1))::BIGINT + 1 AS d FROM i, (SELECT unnest(range(1, 101)) AS b) WHERE i <= k-1),
+d AS (SELECT tier, b, floor({unit("'43|' || b || '|' || i")} * (k-1))::BIGINT + 1 AS d FROM i, (SELECT unnest(range(1, 1001)) AS b) WHERE i <= k-1),
 x AS (SELECT d.tier, o.area AS dropped, b, CASE WHEN d.d >= o.i THEN d.d+1 ELSE d.d END AS pick FROM d JOIN i o ON o.tier=d.tier),
 m AS (SELECT x.tier, dropped, b, sum(total)/sum(n) AS m FROM x JOIN i ON i.tier=x.tier AND i.i=pick GROUP BY ALL)""", """
 SELECT tier, dropped, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m GROUP BY ALL"""))
 def s03(spark, sf):
-    out = I.leave_one_out_bootstrap(B.advantages(spark, sf), ["tier"], "area", "primary_adv", 100, 43)
+    out = I.leave_one_out_bootstrap(B.advantages(spark, sf), ["tier"], "area", "primary_adv", 1000, 43)
     return r6(out, "ci_low", "ci_high")
 
 
@@ -84,10 +84,10 @@ def s04(spark, sf):
 @query("s05_permutation_test", sql("adv", """
 o AS (SELECT tier, avg(primary_adv) AS observed, count(primary_adv) AS n FROM adv GROUP BY tier),
 p AS (SELECT tier, b, round(avg(CASE WHEN substr(md5('11|' || b || '|' || area),1,1) < '8' THEN 1.0 ELSE -1.0 END * primary_adv), 12) AS m
- FROM adv, (SELECT unnest(range(1,301)) AS b) WHERE primary_adv IS NOT NULL GROUP BY ALL)""", """
+ FROM adv, (SELECT unnest(range(1,5001)) AS b) WHERE primary_adv IS NOT NULL GROUP BY ALL)""", """
 SELECT tier, round(any_value(observed), 6) AS observed, any_value(n) AS n, round(avg((abs(m) >= abs(round(observed, 12)))::INT), 6) AS p_value FROM p JOIN o USING (tier) GROUP BY tier"""))
 def s05(spark, sf):
-    p = I.permutation_test(B.advantages(spark, sf), ["tier"], "area", "primary_adv", 300, 11)
+    p = I.permutation_test(B.advantages(spark, sf), ["tier"], "area", "primary_adv", 5000, 11)
     return r6(p, "observed", "p_value")
 
 
@@ -137,27 +137,27 @@ def s09(spark, sf):
 
 
 @query("s10_gate_report", sql("adv", "t1 AS (SELECT * FROM adv WHERE tier='tier1')",
-       _boot("bp", "t1", [], "area", "primary_adv", 300, 5), _boot("bs", "t1", [], "area", "spatial_adv", 300, 6), """
+       _boot("bp", "t1", [], "area", "primary_adv", 5000, 5), _boot("bs", "t1", [], "area", "spatial_adv", 5000, 6), """
 ps AS (SELECT sum((m>0)::INT)::BIGINT AS positive_strata FROM (SELECT stratum, avg(primary_adv) AS m FROM t1 GROUP BY stratum))""", """
 SELECT round(bp.ci_low, 6) AS primary_ci_low, round(bs.ci_low, 6) AS spatial_ci_low, positive_strata,
  CASE WHEN bp.ci_low>0 AND bs.ci_low>0 AND positive_strata>=3 THEN 'pass' ELSE 'fail' END AS status FROM bp, bs, ps"""))
 def s10(spark, sf):
-    g = I.gate_report(B.advantages(spark, sf), "area", "primary_adv", "spatial_adv", 300, 5)
+    g = I.gate_report(B.advantages(spark, sf), "area", "primary_adv", "spatial_adv", 5000, 5)
     return r6(g, "primary_ci_low", "spatial_ci_low")
 
 
 @query("e25_matched_comparison", sql("deltas", "ad AS (SELECT metric, area, avg(delta*dir) AS advantage FROM deltas GROUP BY ALL)",
-       _boot("bt", "ad", ["metric"], "area", "advantage", 200, 9), """
-SELECT metric, n_rows, n_clusters, round(mean, 10) AS mean, round(median, 10) AS median, round(ci_low, 10) AS ci_low, round(ci_high, 10) AS ci_high,
+       _boot("bt", "ad", ["metric"], "area", "advantage", 5000, 9), """
+SELECT metric, n_rows, n_clusters, round(mean, 8) AS mean, round(median, 8) AS median, round(ci_low, 8) AS ci_low, round(ci_high, 8) AS ci_high,
  (SELECT sum((advantage>0)::INT) FROM ad a WHERE a.metric=bt.metric)::BIGINT AS n_positive,
  (SELECT sum((advantage<0)::INT) FROM ad a WHERE a.metric=bt.metric)::BIGINT AS n_negative FROM bt JOIN bt_b USING (metric)"""))
 def e25(spark, sf):
     d = deltas(spark, sf)
     adv = d.groupBy("metric", "area").agg(
         F.avg(F.when(F.col("higher"), F.col("delta")).otherwise(-F.col("delta"))).alias("advantage"))
-    ci = I.cluster_bootstrap(adv, ["metric"], "area", "advantage", 200, 9)
+    ci = I.cluster_bootstrap(adv, ["metric"], "area", "advantage", 5000, 9)
     sg = I.sign_test(adv, ["metric"], "advantage").select("metric", "n_positive", "n_negative")
-    return r10(ci.join(sg, "metric"), *CI_COLS)
+    return ci.join(sg, "metric").withColumns({c: F.round(c, 8) for c in CI_COLS})
 
 
 _ATT = """

@@ -128,13 +128,21 @@ def grid_to_cells(grids: DataFrame, keys: Sequence[str], grid: str = "grid") ->
 
 
 def cells_to_grid_rows(cells: DataFrame, keys: Sequence[str], cls: str = "cls") -> DataFrame:
-    """One row per raster row with its classes in column order.
+    """One row per raster row: value i is the class of column i, NULL where the cell is missing.
 
     A raster row is the largest unit kept in one value; whole rasters are not
-    assembled.
+    assembled. A row ends at its last cell.
     """
-    pairs = F.array_sort(F.collect_list(F.struct("col", F.col(cls).alias("v"))))
-    return cells.groupBy(*keys, "row").agg(F.transform(pairs, lambda x: x["v"]).alias("values"))
+    at = F.map_from_entries(F.collect_list(F.struct("col", F.col(cls).alias("v"))))
+    rows = cells.groupBy(*keys, "row").agg(at.alias("_at"), F.max("col").alias("_last"))
+    return rows.select(*keys, "row", F.transform(
+        F.sequence(F.lit(0), F.col("_last").cast("int")), lambda c: F.try_element_at("_at", c.cast(cells.schema["col"].dataType))
+    ).alias("values"))
+
+
+def grid_rows_to_cells(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The cells of rows from ``cells_to_grid_rows``; holes give no cell."""
+    return rows.select(*keys, "row", F.posexplode("values").alias("col", "cls")).filter("cls is not null")
 
 
 def fail_if_any(violations: DataFrame, what: str, limit: int = 5) -> None:
@@ -144,6 +152,33 @@ def fail_if_any(violations: DataFrame, what: str, limit: int = 5) -> None:
         raise CatalogError(f"{what}: {[r.asDict() for r in rows]}")
 
 
+# fixed values: the fields that a registry row and a holdout area must have
+REGISTRY_FIELDS = (
+    "area", "start_year", "end_year", "tier", "stratum", "bbox", "data_source", "development_contact_status",
+    "contact_evidence", "expected_role", "label_start_path", "label_end_path", "prediction_path", "qc_status",
+)
+HOLDOUT_FIELDS = (
+    "area", "bbox", "stratum", "years", "data_source", "selection_reason", "development_contact_status",
+    "contact_evidence", "expected_role", "notes",
+)
+
+
+def missing_fields(spark: SparkSession, path: str, array: str, required: Sequence[str]) -> DataFrame:
+    """(row_index, reason): rows of the document's array that lack a required field, with the first one by name."""
+    text = spark.read.text(path, wholetext=True)
+    rows = F.from_json("value", f"{array} array<map<string,string>>")[array]
+    lacks = F.filter(
+        F.array(*[F.lit(f) for f in sorted(required)]), lambda f: ~F.coalesce(F.map_contains_key("r", f), F.lit(False)))
+    return text.select(F.posexplode(rows).alias("row_index", "r")).select("row_index", F.get(lacks, 0).alias("_f")).filter(
+        "_f is not null").select("row_index", F.concat(F.lit("missing_field:"), "_f").alias("reason"))
+
+
+def write_document(rows: DataFrame, path: str, array: str = "rows") -> None:
+    """One JSON document {"<array>": [...]} of a report-sized table, rows in the order of their JSON text."""
+    one = F.concat_ws(",", F.array_sort(F.collect_list(F.to_json(F.struct("*")))))
+    rows.agg(F.concat(F.lit('{"' + array + '":['), one, F.lit("]}")).alias("value")).coalesce(1).write.text(path)
+
+
 def registry_violations(registry: DataFrame) -> DataFrame:
     """Rows breaking the registry contract, with the first reason that applies."""
     text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
@@ -159,6 +194,7 @@ def registry_violations(registry: DataFrame) -> DataFrame:
 
 def read_registry(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Registry rows from a JSON document {"rows": [...]}; contract breaches raise."""
+    fail_if_any(missing_fields(spark, path, "rows", REGISTRY_FIELDS), "registry rows")
     wrapped = T.StructType([T.StructField("rows", T.ArrayType(schema))])
     doc = spark.read.schema(wrapped).option("multiLine", "true").json(path)
     rows = doc.select(F.posexplode("rows").alias("row_index", "r")).select("row_index", "r.*")
@@ -192,6 +228,7 @@ def holdout_violations(h: DataFrame) -> DataFrame:
 
 
 def read_holdouts(spark: SparkSession, path: str) -> DataFrame:
+    fail_if_any(missing_fields(spark, path, "areas", HOLDOUT_FIELDS), "holdout areas")
     wrapped = T.StructType([T.StructField("areas", T.ArrayType(HOLDOUT_SCHEMA))])
     doc = spark.read.schema(wrapped).option("multiLine", "true").json(path)
     h = normalise_holdouts(doc.select(F.inline("areas")))
@@ -298,7 +335,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", fields: Sequence
             if isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType))
         ]
         out = out.withColumns({c: F.to_json(c) for c in nested}) if nested else out
-        out.write.mode("overwrite").option("header", "true").csv(path)
+        out.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
     else:
         out.write.mode("overwrite").format(fmt).save(path)
 
