@@ -142,6 +142,23 @@ def bbox_grid_size(xmin: Column, ymin: Column, xmax: Column, ymax: Column, scale
     return F.greatest(F.lit(1), width).cast("bigint"), F.greatest(F.lit(1), height).cast("bigint")
 
 
+# fixed values: macro-regions and their provinces
+MACRO_REGIONS = {
+    "华北": ("北京市", "天津市", "河北省", "山西省", "内蒙古自治区"),
+    "东北": ("辽宁省", "吉林省", "黑龙江省"),
+    "华东": ("上海市", "江苏省", "浙江省", "安徽省", "福建省", "江西省", "山东省", "台湾省"),
+    "华中": ("河南省", "湖北省", "湖南省"),
+    "华南": ("广东省", "广西壮族自治区", "海南省", "香港特别行政区", "澳门特别行政区"),
+    "西南": ("重庆市", "四川省", "贵州省", "云南省", "西藏自治区"),
+    "西北": ("陕西省", "甘肃省", "青海省", "宁夏回族自治区", "新疆维吾尔自治区"),
+}
+NO_REGION = "未分区"
+
+
+def macro_region(province: Column) -> Column:
+    return lookup({p: r for r, names in MACRO_REGIONS.items() for p in names}, province, NO_REGION)
+
+
 def size_class(n_pixels: Column) -> Column:
     return F.when(n_pixels < 10_000, "small").when(n_pixels < 40_000, "medium").otherwise("large")
 

@@ -307,12 +307,16 @@ def required_n(summary: DataFrame) -> DataFrame:
 
 
 def gate_report(
-    rows: DataFrame, cluster: str, primary: str, spatial: str, n_boot: int, seed: int, need_strata: int = 3
+    rows: DataFrame, cluster: str, primary: str, spatial: str, embedding: str, n_boot: int, seed: int, need_strata: int = 3
 ) -> DataFrame:
-    """Tier-1 intervals above zero and enough positive strata -> pass / fail / insufficient."""
+    """Tier-1 intervals above zero and enough positive strata -> pass / fail / insufficient, with the three gates.
+
+    The embedding interval is reported and gates nothing.
+    """
     t1 = rows.filter("tier = 'tier1'").withColumn("_k", F.lit(1))
     p = cluster_bootstrap(t1, ["_k"], cluster, primary, n_boot, seed)
     s = cluster_bootstrap(t1, ["_k"], cluster, spatial, n_boot, seed + 1)
+    e = cluster_bootstrap(t1, ["_k"], cluster, embedding, n_boot, seed + 2)
     v = finite(F.col(primary))
     strata = t1.groupBy("_k", "stratum").agg(F.avg(v).alias("_m")).groupBy("_k").agg(
         n_if(F.col("_m") > 0).alias("positive_strata")
@@ -321,14 +325,21 @@ def gate_report(
         rows.agg(F.count(F.lit(1)).alias("n_rows")), p.select("n_clusters", F.col("ci_low").alias("primary_ci_low"))
     )
     j = attach_row(j, s.select(F.col("ci_low").alias("spatial_ci_low")))
+    j = attach_row(j, e.select(F.col("ci_low").alias("embedding_ci_low"), F.col("ci_high").alias("embedding_ci_high")))
     j = attach_row(j, strata.select("positive_strata"))
-    ok = (F.col("primary_ci_low") > 0) & (F.col("spatial_ci_low") > 0) & (F.col("positive_strata") >= need_strata)
+    gates = {
+        "primary_gate_pass": F.coalesce(F.col("primary_ci_low") > 0, F.lit(False)),
+        "spatial_gate_pass": F.coalesce(F.col("spatial_ci_low") > 0, F.lit(False)),
+        "strata_gate_pass": F.coalesce(F.col("positive_strata") >= need_strata, F.lit(False)),
+    }
+    ok = gates["primary_gate_pass"] & gates["spatial_gate_pass"] & gates["strata_gate_pass"]
     status = (
         F.when(F.col("n_clusters").isNull(), "insufficient_tier1")
         .when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail")
     )
     return j.select(
-        "primary_ci_low", "spatial_ci_low", F.coalesce("positive_strata", F.lit(0)).alias("positive_strata"),
+        "primary_ci_low", "spatial_ci_low", "embedding_ci_low", "embedding_ci_high",
+        F.coalesce("positive_strata", F.lit(0)).alias("positive_strata"), *[v.alias(k) for k, v in gates.items()],
         status.alias("status"),
     )
 

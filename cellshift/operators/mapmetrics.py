@@ -665,4 +665,15 @@ def shifted_fate(cells: DataFrame, keys: Sequence[str], limit: int) -> DataFrame
         n_if(P == E, N).alias("raw_matches"),
         n_if(F.col("shifted_cls") == E, N).alias("shifted_matches"),
     )
-    return top.join(hits, tk)
+    out = top.join(hits, tk)
+    for col, name in (("pred_cls", "raw_top"), ("shifted_cls", "shifted_top")):
+        out = out.join(_class_text(wide.withColumnsRenamed({"start_cls": "from_cls", "end_cls": "to_cls"}), tk, col, name), tk)
+    return out
+
+
+def _class_text(counts: DataFrame, keys: Sequence[str], cls: str, out: str, limit: int = 4) -> DataFrame:
+    """"class:count;..." of the most frequent classes per key, smaller class first among equals."""
+    n = counts.groupBy(*keys, F.col(cls).alias("_c")).agg(F.sum("n").alias("_n"))
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("m"), F.col("_c").alias("c")))), 1, limit)
+    return n.groupBy(*keys).agg(F.array_join(
+        F.transform(ranked, lambda x: F.concat_ws(":", x["c"].cast("string"), (-x["m"]).cast("string"))), ";").alias(out))

@@ -289,6 +289,23 @@ def stratum_focus(rows: DataFrame, stratum: str, tier: str) -> DataFrame:
     )
 
 
+def stratum_intervals(rows: DataFrame, stratum: str, tier: str, n_boot: int = 5000, seed: int = 42) -> DataFrame:
+    """Per batch: lower bootstrap limits of the mean primary and spatial advantage of one stratum over its areas."""
+    from .inference import cluster_bootstrap
+
+    f = rows.filter((F.col("stratum") == stratum) & (F.col("tier") == tier))
+    p = cluster_bootstrap(f, ["batch"], "area", "primary_adv", n_boot, seed).select("batch", F.col("ci_low").alias("primary_ci_low"))
+    s = cluster_bootstrap(f, ["batch"], "area", "spatial_adv", n_boot, seed + 1).select("batch", F.col("ci_low").alias("spatial_ci_low"))
+    return p.join(s, "batch", "full_outer")
+
+
+def stratum_ranking(rows: DataFrame, stratum: str, tier: str) -> DataFrame:
+    """Rows of one stratum per batch, lowest spatial advantage first: (batch, rank, area, spatial_adv, primary_adv)."""
+    f = rows.filter((F.col("stratum") == stratum) & (F.col("tier") == tier))
+    return group_rank(f, ["batch"], ["spatial_adv", "primary_adv", "area"], "rank").select(
+        "batch", "rank", "area", "spatial_adv", "primary_adv")
+
+
 def win_loss(
     rows: DataFrame, keys: Sequence[str], metrics: Sequence[str], model: str, lower: Sequence[str], changed: str
 ) -> DataFrame:
@@ -314,6 +331,12 @@ def grid_summary(rows: DataFrame, cell: Sequence[str], metrics: Sequence[str]) -
     return rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *cols)
 
 
+def metric_ranges(summary: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """(metric, low, high, spread) of the cell means of ``grid_summary``."""
+    long = summary.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"mean_{m}").alias("v")) for m in metrics])))
+    return long.groupBy("metric").agg(F.min("v").alias("low"), F.max("v").alias("high"), (F.max("v") - F.min("v")).alias("spread"))
+
+
 def multistep_disclosure(areas: DataFrame, recorded: DataFrame) -> DataFrame:
     """Recorded steps of an area, else one 1-step row, with a status."""
     j = areas.join(recorded.select("area", "step", F.col("advantage").alias("_rec")), "area", "left")

@@ -138,6 +138,17 @@ def b12(spark, sf):
         F.round((F.col("ymin") + F.col("ymax")) / 2.0, 6).alias("center_lat"))
 
 
+_PROVINCES = sorted(p for names in C.MACRO_REGIONS.values() for p in names) + ["Atlantis"]
+
+
+@query("b12_macro_region", sql("areas", "p AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in _PROVINCES) + f"]) AS province, unnest(range({len(_PROVINCES)})) AS i)",
+       "r AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{r}')" for r, ps in C.MACRO_REGIONS.items() for p in ps) + ") x(province, region))", f"""
+SELECT area, province, coalesce(region, '{C.NO_REGION}') AS region FROM areas JOIN p ON i = area_id % {len(_PROVINCES)} LEFT JOIN r USING (province)"""))
+def b12b(spark, sf):
+    a = B.areas(spark, sf).withColumn("province", F.get(F.array(*map(F.lit, _PROVINCES)), (F.col("area_id") % len(_PROVINCES)).cast("int")))
+    return a.select("area", "province", C.macro_region(F.col("province")).alias("region"))
+
+
 BBOX = (100.0, 30.0, 104.0, 40.0)
 SUB = (101.03, 33.2, 102.57, 37.45)
 

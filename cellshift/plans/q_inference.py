@@ -137,13 +137,27 @@ def s09(spark, sf):
 
 
 @query("s10_gate_report", sql("adv", "t1 AS (SELECT * FROM adv WHERE tier='tier1')",
-       _boot("bp", "t1", [], "area", "primary_adv", 5000, 5), _boot("bs", "t1", [], "area", "spatial_adv", 5000, 6), """
+       _boot("bp", "t1", [], "area", "primary_adv", 5000, 5), _boot("bs", "t1", [], "area", "spatial_adv", 5000, 6),
+       _boot("be", "(SELECT area, primary_adv - spatial_adv AS emb_adv FROM t1)", [], "area", "emb_adv", 5000, 7), """
 ps AS (SELECT sum((m>0)::INT)::BIGINT AS positive_strata FROM (SELECT stratum, avg(primary_adv) AS m FROM t1 GROUP BY stratum))""", """
-SELECT round(bp.ci_low, 6) AS primary_ci_low, round(bs.ci_low, 6) AS spatial_ci_low, positive_strata,
- CASE WHEN bp.ci_low>0 AND bs.ci_low>0 AND positive_strata>=3 THEN 'pass' ELSE 'fail' END AS status FROM bp, bs, ps"""))
+SELECT round(bp.ci_low, 6) AS primary_ci_low, round(bs.ci_low, 6) AS spatial_ci_low, round(be.ci_low, 6) AS embedding_ci_low,
+ round(be.ci_high, 6) AS embedding_ci_high, positive_strata, coalesce(bp.ci_low>0, false) AS primary_gate_pass,
+ coalesce(bs.ci_low>0, false) AS spatial_gate_pass, positive_strata>=3 AS strata_gate_pass,
+ CASE WHEN bp.ci_low>0 AND bs.ci_low>0 AND positive_strata>=3 THEN 'pass' ELSE 'fail' END AS status FROM bp, bs, be, ps"""))
 def s10(spark, sf):
-    g = I.gate_report(B.advantages(spark, sf), "area", "primary_adv", "spatial_adv", 5000, 5)
-    return r6(g, "primary_ci_low", "spatial_ci_low")
+    a = B.advantages(spark, sf).withColumn("emb_adv", F.col("primary_adv") - F.col("spatial_adv"))
+    g = I.gate_report(a, "area", "primary_adv", "spatial_adv", "emb_adv", 5000, 5)
+    return r6(g, "primary_ci_low", "spatial_ci_low", "embedding_ci_low", "embedding_ci_high")
+
+
+@query("e19_intervals", sql("adv", "b AS (SELECT *, CASE WHEN area < 50 THEN 'first' ELSE 'second' END AS batch FROM adv WHERE stratum='stratum_2' AND tier='tier1')",
+       _boot("bp", "b", ["batch"], "area", "primary_adv", 5000, 3), _boot("bs", "b", ["batch"], "area", "spatial_adv", 5000, 4), """
+SELECT batch, round(bp.ci_low, 6) AS primary_ci_low, round(bs.ci_low, 6) AS spatial_ci_low FROM bp JOIN bs USING (batch)"""))
+def e19c(spark, sf):
+    from ..operators import summaries as S
+
+    rows = B.advantages(spark, sf).withColumn("batch", F.expr("if(area < 50, 'first', 'second')"))
+    return r6(S.stratum_intervals(rows, "stratum_2", "tier1", 5000, 3), "primary_ci_low", "spatial_ci_low")
 
 
 @query("e25_matched_comparison", sql("deltas", "ad AS (SELECT metric, area, avg(delta*dir) AS advantage FROM deltas GROUP BY ALL)",

@@ -148,9 +148,13 @@ def b22(spark, sf):
 tt AS (SELECT area, start_cls AS f, end_cls AS t, count(*) AS n FROM grid WHERE start_cls<>end_cls GROUP BY ALL),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY n DESC, f, t) AS rank FROM tt) WHERE rank <= 3),
 m AS (SELECT area, row+1 AS row, col AS col, pred_cls AS mv FROM grid WHERE pred_cls<>start_cls),
-s AS (SELECT g.*, coalesce(m.mv, g.start_cls) AS sh FROM grid g LEFT JOIN m USING (area,row,col))""", """
-SELECT top.area, f AS from_cls, t AS to_cls, n, rank::INT AS rank, sum((pred_cls=t)::INT)::BIGINT AS raw_matches,
- sum((sh=t)::INT)::BIGINT AS shifted_matches FROM top JOIN s ON s.area=top.area AND start_cls=f AND end_cls=t
+s AS (SELECT g.*, coalesce(m.mv, g.start_cls) AS sh FROM grid g LEFT JOIN m USING (area,row,col)),
+x AS (SELECT area, start_cls AS f, end_cls AS t, pred_cls AS c, 'raw' AS k FROM s UNION ALL SELECT area, start_cls, end_cls, sh, 'shifted' FROM s),
+y AS (SELECT area, f, t, k, c, count(*) AS n, row_number() OVER (PARTITION BY area, f, t, k ORDER BY count(*) DESC, c) AS r FROM x GROUP BY area, f, t, k, c),
+z AS (SELECT area, f, t, string_agg(c || ':' || n, ';' ORDER BY r) FILTER (k='raw') AS raw_top, string_agg(c || ':' || n, ';' ORDER BY r) FILTER (k='shifted') AS shifted_top
+ FROM y WHERE r <= 4 GROUP BY area, f, t)""", """
+SELECT top.area, top.f AS from_cls, top.t AS to_cls, top.n, rank::INT AS rank, sum((pred_cls=top.t)::INT)::BIGINT AS raw_matches,
+ sum((sh=top.t)::INT)::BIGINT AS shifted_matches, raw_top, shifted_top FROM top JOIN z USING (area, f, t) JOIN s ON s.area=top.area AND start_cls=top.f AND end_cls=top.t
 GROUP BY ALL"""))
 def d31(spark, sf):
     from ..operators import mapmetrics as M

@@ -163,11 +163,16 @@ def j06(spark, sf):
 
 
 @query("e23_parameter_summary", sql("support", _SC, _LOOEVAL, """
-SELECT param, count(*) AS n, round(avg(change_f1), 6) AS mean_change_f1, round(stddev_samp(change_f1), 6) AS std_change_f1, round(avg(fom), 6) AS mean_fom,
- round(stddev_samp(fom), 6) AS std_fom FROM ev GROUP BY param"""))
+SELECT param, count(*) AS n, """ + ", ".join(f"round(avg({m}), 6) AS mean_{m}, round(stddev_samp({m}), 6) AS std_{m}" for m in TUNE) + """ FROM ev GROUP BY param"""))
 def e23(spark, sf):
-    g = S.grid_summary(loo_evaluation(spark, sf), ["param"], ["change_f1", "fom"])
-    return r6(g, "mean_change_f1", "std_change_f1", "mean_fom", "std_fom")
+    g = S.grid_summary(loo_evaluation(spark, sf), ["param"], TUNE)
+    return r6(g, *[f"{p}_{m}" for p in ("mean", "std") for m in TUNE])
+
+
+@query("e23_metric_ranges", sql("support", _SC, _LOOEVAL, " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, round(min(mean_{m}), 6) AS low, round(max(mean_{m}), 6) AS high, round(max(mean_{m}) - min(mean_{m}), 6) AS spread FROM ps" for m in TUNE)))
+def e23b(spark, sf):
+    return r6(S.metric_ranges(S.grid_summary(loo_evaluation(spark, sf), ["param"], TUNE), TUNE), "low", "high", "spread")
 
 
 def candidates(spark, sf):

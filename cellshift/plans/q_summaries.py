@@ -257,12 +257,24 @@ def e18(spark, sf):
 
 @query("e19_stratum_focus", sql("adv", """
 b AS (SELECT *, CASE WHEN area < 50 THEN 'first' ELSE 'second' END AS batch FROM adv WHERE stratum='stratum_2' AND tier='tier1')""", """
-SELECT batch, count(*) AS n, round(avg(primary_adv), 6) AS mean_primary, round(avg(spatial_adv), 6) AS mean_spatial,
+SELECT batch, count(*) AS n, round(avg(primary_adv), 9) AS mean_primary, round(avg(spatial_adv), 9) AS mean_spatial,
  sum((spatial_adv<0)::INT)::BIGINT AS n_negative, sum((spatial_adv>0)::INT)::BIGINT AS n_positive,
  first(area ORDER BY spatial_adv, primary_adv, area) AS lowest_area, last(area ORDER BY spatial_adv, primary_adv, area) AS best_area FROM b GROUP BY batch"""))
 def e19(spark, sf):
     rows = B.advantages(spark, sf).withColumn("batch", F.expr("if(area < 50, 'first', 'second')"))
-    return r6(S.stratum_focus(rows, "stratum_2", "tier1"), "mean_primary", "mean_spatial")
+    f = S.stratum_focus(rows, "stratum_2", "tier1")
+    return f.withColumns({c: F.round(c, 9) for c in ("mean_primary", "mean_spatial")})
+
+
+_E19 = "b AS (SELECT *, CASE WHEN area < 50 THEN 'first' ELSE 'second' END AS batch FROM adv WHERE stratum='stratum_2' AND tier='tier1')"
+
+
+@query("e19_ranked_rows", sql("adv", _E19, """
+SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY spatial_adv NULLS FIRST, primary_adv NULLS FIRST, area) AS rank, area,
+ round(spatial_adv, 6) AS spatial_adv, round(primary_adv, 6) AS primary_adv FROM b"""))
+def e19b(spark, sf):
+    rows = B.advantages(spark, sf).withColumn("batch", F.expr("if(area < 50, 'first', 'second')"))
+    return r6(S.stratum_ranking(rows, "stratum_2", "tier1"), "spatial_adv", "primary_adv")
 
 
 @query("e20_win_loss", sql("seeded_long", """
