@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import n_if, ratio
+from ..session import cut_lineage
 from . import components
 from .cells import change_type, parcel_class
 from .ranking import attach_row, group_agg, group_rank, group_stats, join_small
@@ -238,24 +239,41 @@ def plan_score(
 def greedy_block_swaps(
     parcels: DataFrame, edges: DataFrame, max_swaps: int, farm_weight: float = 0.0, forest_weight: float = 0.0
 ) -> DataFrame:
-    """Per block pair the steepest farmland with the flattest forest while the slope improves.
+    """Per block swap the steepest farmland with the flattest forest, up to ``max_swaps`` times while slope improves.
 
-    Ranks use the initial farmland-neighbour counts; the k-th farmland meets the
-    k-th forest parcel, and pairs stop at the first that does not improve.
+    After each swap the farmland-neighbour counts of the block's parcels are those of the new map, so later choices see
+    earlier ones; a parcel is swapped once. Blocks do not see each other's swaps of the same step. One round per swap:
+    the best parcel of each side is an aggregate per block, whatever its size.
     """
-    p = farmland_neighbours(parcels, edges)
-    nb = F.col("farm_neighbours")
-    key = F.when(
-        F.col("kind") == FARM, -(F.col("slope") - F.lit(farm_weight) * nb)
-    ).otherwise(F.col("slope") - F.lit(forest_weight) * nb)
-    p = p.filter(F.col("kind").isin(FARM, FOREST)).withColumn("_o", key)
-    r = group_rank(p, ["block_id", "kind"], ["_o", "parcel_id"], "k").filter(F.col("k") <= max_swaps)
-    side = lambda kind, pre: r.filter(F.col("kind") == kind).select(
-        "block_id", "k", F.col("parcel_id").alias(f"{pre}_parcel"), F.col("slope").alias(f"{pre}_slope")
-    )
-    pairs = side(FARM, "farm").join(side(FOREST, "forest"), ["block_id", "k"])
-    bad = pairs.filter("farm_slope <= forest_slope").groupBy("block_id").agg(F.min("k").alias("_stop"))
-    return pairs.join(bad, "block_id", "left").filter("_stop is null or k < _stop").drop("_stop")
+    p = farmland_neighbours(parcels, edges).filter(F.col("kind").isin(FARM, FOREST))
+    left = cut_lineage(p.select("block_id", "parcel_id", "kind", "slope", F.col("farm_neighbours").cast("long").alias("nb")))
+    home = parcels.select("parcel_id", "block_id")
+    inner = cut_lineage(
+        both_ways(edges).distinct().join(home.toDF("src", "block_id"), "src").join(home.toDF("dst", "_b"), "dst")
+        .filter("block_id = _b").select("block_id", "src", "dst"))
+    done = None
+    for k in range(1, max_swaps + 1):
+        farm = F.when(F.col("kind") == FARM, F.struct(
+            (F.col("slope") - F.lit(farm_weight) * F.col("nb")).alias("o"), (-F.col("parcel_id")).alias("i"), F.col("slope").alias("s")))
+        forest = F.when(F.col("kind") == FOREST, F.struct(
+            (F.col("slope") - F.lit(forest_weight) * F.col("nb")).alias("o"), F.col("parcel_id").alias("i"), F.col("slope").alias("s")))
+        best = left.groupBy("block_id").agg(F.max(farm).alias("_f"), F.min(forest).alias("_o"))
+        pairs = cut_lineage(best.filter(F.col("_f.s") > F.col("_o.s")).select(
+            "block_id", F.lit(k).alias("k"), (-F.col("_f.i")).alias("farm_parcel"), F.col("_f.s").alias("farm_slope"),
+            F.col("_o.i").alias("forest_parcel"), F.col("_o.s").alias("forest_slope")))
+        done = pairs if done is None else done.unionByName(pairs)
+        if k == max_swaps or pairs.isEmpty():
+            break
+        moved = pairs.select("block_id", F.inline(F.array(
+            F.struct(F.col("farm_parcel").alias("src"), F.lit(-1).alias("_d")), F.struct(F.col("forest_parcel").alias("src"), F.lit(1).alias("_d")))))
+        change = moved.join(inner, ["block_id", "src"]).groupBy(F.col("dst").alias("parcel_id")).agg(F.sum("_d").alias("_d"))
+        # a block without a pair is at its end
+        left = cut_lineage(
+            left.join(pairs.select("block_id"), "block_id", "left_semi")
+            .join(moved.select(F.col("src").alias("parcel_id")), "parcel_id", "left_anti")
+            .join(change, "parcel_id", "left")
+            .select("block_id", "parcel_id", "kind", "slope", (F.col("nb") + F.coalesce("_d", F.lit(0))).alias("nb")))
+    return done
 
 
 def swappable_blocks(parcels: DataFrame) -> DataFrame:

@@ -50,12 +50,26 @@ def p03(spark, sf):
 _NB = """
 nb AS (SELECT bw.src AS parcel_id, count(*) AS c FROM bw JOIN k ON k.parcel_id=bw.dst WHERE kind='farmland' GROUP BY bw.src),
 kn AS (SELECT k.*, coalesce(c,0) AS nbr FROM k LEFT JOIN nb USING (parcel_id))"""
-_PAIRS = """
-rk AS (SELECT *, row_number() OVER (PARTITION BY block_id, kind ORDER BY CASE WHEN kind='farmland' THEN -(slope - 0.5::DOUBLE*nbr) ELSE slope - 0.25::DOUBLE*nbr END, parcel_id) AS rn FROM kn WHERE kind<>'barrier'),
-pr AS (SELECT f.block_id, f.rn AS k, f.parcel_id AS farm_parcel, f.slope AS farm_slope, o.parcel_id AS forest_parcel, o.slope AS forest_slope
- FROM rk f JOIN rk o ON o.block_id=f.block_id AND o.rn=f.rn AND f.kind='farmland' AND o.kind='forest' WHERE f.rn <= 4),
-st AS (SELECT block_id, min(k) AS stop FROM pr WHERE farm_slope <= forest_slope GROUP BY block_id),
-sw AS (SELECT pr.* FROM pr LEFT JOIN st USING (block_id) WHERE stop IS NULL OR k < stop)"""
+def _pairs(n=4):
+    """The rounds written out: best farmland and forest of each block, swap, count neighbours of the block anew."""
+    parts = ["""
+ib AS (SELECT bw.src, bw.dst, a.block_id FROM bw JOIN k a ON a.parcel_id=src JOIN k b ON b.parcel_id=dst AND b.block_id=a.block_id),
+s0 AS (SELECT block_id, parcel_id, kind, slope, nbr FROM kn WHERE kind<>'barrier')"""]
+    for i in range(1, n + 1):
+        parts.append(f"""
+f{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY slope - 0.5::DOUBLE*nbr DESC, parcel_id) AS r FROM s{i - 1} WHERE kind='farmland') WHERE r=1),
+o{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY slope - 0.25::DOUBLE*nbr, parcel_id) AS r FROM s{i - 1} WHERE kind='forest') WHERE r=1),
+p{i} AS (SELECT f.block_id, {i} AS k, f.parcel_id AS farm_parcel, f.slope AS farm_slope, o.parcel_id AS forest_parcel, o.slope AS forest_slope
+ FROM f{i} f JOIN o{i} o USING (block_id) WHERE f.slope > o.slope),
+m{i} AS (SELECT block_id, farm_parcel AS src, -1 AS d FROM p{i} UNION ALL SELECT block_id, forest_parcel, 1 FROM p{i}),
+c{i} AS (SELECT dst AS parcel_id, sum(d) AS d FROM m{i} JOIN ib USING (block_id, src) GROUP BY dst),
+s{i} AS (SELECT s.block_id, s.parcel_id, s.kind, s.slope, s.nbr + coalesce(c.d, 0) AS nbr FROM s{i - 1} s JOIN p{i} USING (block_id)
+ LEFT JOIN c{i} c ON c.parcel_id=s.parcel_id WHERE s.parcel_id NOT IN (SELECT src FROM m{i}))""")
+    parts.append("\nsw AS (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, n + 1)) + ")")
+    return ",".join(parts)
+
+
+_PAIRS = _pairs()
 
 
 def swaps(spark, sf):
