@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
 
-CACHE = 200_000  # pieces whose ids a worker remembers
+CACHE = 300_000  # pieces whose ids a worker remembers, and as many again from before
 
 # Letters a-z and Latin-1, single digits, and runs of ASCII punctuation are pre-tokenised alike in any surroundings,
 # so their ids can be looked up; words with anything else (an apostrophe, other scripts, control characters) are
@@ -39,14 +40,27 @@ class WordTokenizer:
         self.chars = _byte_chars()
         outer = self
 
+        def pack(ids: list[int]) -> bytes:
+            return struct.pack(f"<{len(ids)}I", *ids)
+
         class Pieces(dict):
+            """New pieces; a full table becomes the old one, whose pieces come back when they are met again."""
+
             def __missing__(self, piece: str) -> bytes:
+                ids = outer.old.get(piece)
+                if ids is None:
+                    word = piece if piece.isascii() else "".join([outer.chars[b] for b in piece.encode()])
+                    ids = pack([t.id for t in outer.model.tokenize(word)])
                 if len(self) >= CACHE:
+                    outer.old = dict(self)
                     self.clear()
-                word = piece if piece.isascii() else "".join(outer.chars[b] for b in piece.encode())
-                self[piece] = ids = np.array([t.id for t in outer.lib.model.tokenize(word)], "<u4").tobytes()
+                self[piece] = ids
                 return ids
 
+        self.model = self.lib.model
+        if hasattr(self.model, "_resize_cache"):  # the library's own cache only costs time below this one
+            self.model._resize_cache(0)
+        self.old: dict[str, bytes] = {}
         self.pieces = Pieces()
 
     def _whole(self, text: str) -> bytes:
