@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import finite, hash_unit, n_if, stable_hash
@@ -145,7 +146,7 @@ def leave_one_out_bootstrap(
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _binomial_tail(n: pd.Series, k: pd.Series) -> pd.Series:
     """P(X <= k) for X ~ Binomial(n, 1/2), summed from logarithms in pieces of fixed size; one row per group."""
     out = []
@@ -235,7 +236,7 @@ def t_two_sided(t: float, df: float) -> float:
 
 def with_t_p_value(summary: DataFrame) -> DataFrame:
     """Add ``t_p`` to the one-row-per-group output of ``one_sample``."""
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def p(t: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series(
             [t_two_sided(a, b - 1) if pd.notna(a) and b > 1 else None for a, b in zip(t, n)], dtype="float64"
@@ -283,7 +284,7 @@ def signed_rank_p(w: float, n: int, ties: float) -> float:
 
 def with_wilcoxon_p(summary: DataFrame) -> DataFrame:
     """Add ``wilcoxon_p`` to the one-row-per-group output of ``wilcoxon``."""
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def p(a: pd.Series, b: pd.Series, n: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series([signed_rank_p(min(x, y), int(k), q) for x, y, k, q in zip(a, b, n, t)], dtype="float64")
 

@@ -307,6 +307,49 @@ def conjunctive_rules(rows: DataFrame, baseline: str, fields: Sequence[str], met
     return _finish(out, _baseline(rows, baseline, metrics), metrics)
 
 
+def best_conjunction(
+    rows: DataFrame, baseline: str, fields: Sequence[str], k: int, higher: Sequence[str], lower: Sequence[str] = (),
+    max_share: float | None = None, min_count: int = 1,
+) -> DataFrame:
+    """The best feasible rule of one to ``k`` conditions: (alternate, conditions, n_alternate, delta_metric...).
+
+    A condition is (axis, s): areas whose axis value is at most s. Only the last condition of a rule is swept, by prefix
+    sums over the areas that meet the ones before, and only thresholds that are values of those areas are tried: any
+    other gives the same areas. Feasible as in ``feasible_rules``; best by the mean of ``higher`` metrics in turn, then
+    lower ones, more alternates, alternate, fewer conditions, then the conditions themselves. Empty if none is feasible.
+    """
+    metrics = [*higher, *lower]
+    names = [f"d_{m}" for m in metrics]
+    axes = _axes(rows, fields).select("axis", "area", F.col("s")).filter("s is not null")
+    given = axes.select(F.struct("axis", "s").alias("c")).distinct()
+    holds = given.join(axes.withColumnRenamed("s", "_v"), F.col("c.axis") == F.col("axis")).filter("_v <= c.s").select("c", "area")
+    points = _deltas(rows, baseline, metrics)
+    before = points.select("area").distinct().withColumn("conditions", F.array().cast("array<struct<axis:string,s:double>>"))
+    best = None
+    order = [F.round(f"delta_{m}", 12).desc() for m in higher] + [F.round(f"delta_{m}", 12).asc() for m in lower]
+    order += [F.desc("n_alternate"), F.desc("alternate"), F.size("conditions"), F.col("conditions")]
+    n = rows.filter(F.col("candidate") == baseline).agg(F.count(F.lit(1)).alias("n_areas"))
+    for size in range(1, k + 1):
+        w = W.partitionBy("alternate", "conditions", "axis").orderBy("s").rangeBetween(W.unboundedPreceding, 0)
+        last = F.element_at("conditions", -1)
+        grown = before.join(axes, "area").filter(
+            F.lit(True) if size == 1 else (F.col("axis") > last["axis"]) | ((F.col("axis") == last["axis"]) & (F.col("s") > last["s"])))
+        swept = grown.join(points, "area").select(
+            "alternate", F.concat("conditions", F.array(F.struct("axis", "s"))).alias("conditions"),
+            F.count(F.lit(1)).over(w).alias("n_alternate"), *[F.sum(c).over(w).alias(c) for c in names]).dropDuplicates(
+            ["alternate", "conditions"])
+        r = attach_row(swept, n)
+        r = r.select("alternate", "conditions", "n_alternate", (F.col("n_alternate") / F.col("n_areas")).alias("alternate_share"),
+                     *[(F.col(f"d_{m}") / F.col("n_areas")).alias(f"delta_{m}") for m in metrics])
+        top = feasible_rules(r, higher, lower, max_share, min_count).filter("feasible").orderBy(*order).limit(1)
+        best = top if best is None else best.unionByName(top)
+        if size < k:
+            last = F.element_at("conditions", -1)
+            after = F.lit(True) if size == 1 else F.col("c") > last
+            before = before.join(holds, "area").filter(after).select("area", F.concat("conditions", F.array("c")).alias("conditions"))
+    return best.orderBy(*order).limit(1).drop("feasible")
+
+
 def feasible_rules(
     rules: DataFrame, higher: Sequence[str], lower: Sequence[str], max_share: float | None = None, min_count: int = 0
 ) -> DataFrame:

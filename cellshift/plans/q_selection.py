@@ -254,6 +254,17 @@ def j10(spark, sf):
     return r.select("alternate", "axis1", "axis2", "s1", "s2", "n_alternate", F.round("delta_fom", 9).alias("delta_fom"))
 
 
+@query("j10_best_rule")
+def j10b(spark, sf):
+    m = B.metric_rows(spark, sf)
+    rows = m.groupBy(F.col("method").alias("candidate"), "area").agg(
+        F.round(F.avg("value") / 500.0, 6).alias("fom"), F.round(F.avg(F.col("value") % 1), 6).alias("allocation_disagreement"),
+        F.round(F.avg("user_id") / 150.0, 6).alias("feature"))
+    best = J.best_conjunction(rows, "error", ["feature"], 2, ["fom"], ["allocation_disagreement"], max_share=0.75, min_count=2)
+    return r6(best, "delta_fom", "delta_allocation_disagreement").select(
+        "alternate", "n_alternate", "delta_fom", "delta_allocation_disagreement", F.to_json("conditions").alias("conditions"))
+
+
 def target_features(spark, sf):
     return M.change_features(M.contingency(B.grid(spark, sf), AREA), AREA)
 

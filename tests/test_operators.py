@@ -579,3 +579,35 @@ def test_summary_of_an_empty_group(spark):
 def test_group_stats_counts_slices(spark):
     st = group_stats(spark.range(100).selectExpr("id % 2 as k"), ["k"], limit=20)
     assert (st.groups, st.slices) == (2, 6)
+
+
+@pytest.mark.parametrize("seed,k", [(1, 1), (2, 2), (3, 3), (4, 3)])
+def test_best_conjunction_equals_brute_force(spark, seed, k):
+    rng = np.random.default_rng(seed)
+    rows = [(c, a, float(np.round(rng.random(), 3)), float(np.round(rng.random(), 3)), float(np.round(rng.random(), 2)))
+            for c in ("base", "x", "y") for a in range(6)]
+    df = spark.createDataFrame(rows, "candidate string, area int, fom double, err double, feature double")
+    got = J.best_conjunction(df, "base", ["feature"], k, ["fom"], ["err"], max_share=0.7, min_count=2).collect()
+    by = {(c, a): (f, e, v) for c, a, f, e, v in rows}
+    conditions = [(f"{c}|feature|{op}", v if op == "le" else -v) for c in ("base", "x", "y") for op in ("le", "ge")
+                  for v in {by[c, a][2] for a in range(6)}]
+    meets = {cd: {a for a in range(6) if (by[cd[0].split("|")[0], a][2] if cd[0].endswith("le") else -by[cd[0].split("|")[0], a][2]) <= cd[1]}
+             for cd in conditions}
+    best = None
+    for size in range(1, k + 1):
+        for some in itertools.combinations(sorted(set(conditions)), size):
+            areas = set.intersection(*(meets[c] for c in some))
+            if len(areas) < 2 or len(areas) / 6 > 0.7 + 1e-12:
+                continue
+            for alt in ("x", "y"):
+                df_, de = (sum(by[alt, a][i] - by["base", a][i] for a in areas) / 6 for i in (0, 1))
+                if df_ >= -1e-12 and de <= 1e-12:
+                    key = (-round(df_, 12), round(de, 12), -len(areas))
+                    best = min(best, key) if best else key
+    if best is None:
+        assert got == []
+    else:
+        r = got[0]
+        assert (-round(r["delta_fom"], 12), round(r["delta_err"], 12), -r["n_alternate"]) == pytest.approx(best)
+        cd = [(c["axis"], c["s"]) for c in r["conditions"]]
+        assert len(set.intersection(*(meets[c] for c in cd))) == r["n_alternate"]
