@@ -263,7 +263,8 @@ def _restricted(edit: DataFrame, keys: list[str], rem: DataFrame, allowed: Seque
             (x["score"] + F.when(x["cls"] == own, OWN_BONUS).otherwise(0.0)).alias("score"))))
     done, left, state = flow.greedy_phase(free, keys, state, many, allowed)
     cap = state.select(*keys, F.explode("want").alias("cls", "cap"))
-    return stays.drop("_open", "to_cls", "score"), done.drop("_open"), cut_lineage(left.drop("_open")), cap
+    done = done.withColumns({"to_cls": F.col("_to"), "score": F.col("_won")}).drop("_open", "_to", "_won")
+    return stays.drop("_open", "_to", "_won"), done, cut_lineage(left.drop("_open")), cap
 
 
 def _leftovers(left: DataFrame, keys: list[str], cap: DataFrame, allowed, base: list[str]) -> DataFrame:

@@ -118,7 +118,7 @@ def start_state(cells: DataFrame, keys: Sequence[str], remaining: DataFrame, may
 def greedy_phase(
     cells: DataFrame, keys: Sequence[str], state: DataFrame, choices: Column, may: Iterable[Pair],
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(taken cells with to_cls and score, cells left, state after) of one greedy phase.
+    """(taken cells with _to and _won, the class and its score, cells left, state after) of one greedy phase.
 
     ``choices`` is each cell's ARRAY of struct(o1, o2, cls, score), best first; all choices of all cells are taken in the
     order (o1, o2, row, col, cls) as far as the cell is free and the pair open.
@@ -185,14 +185,14 @@ def greedy_phase(
             state = cut_lineage(found.unionByName(state.join(found.select(*keys), keys, "left_anti")))
             width //= SLICES
         j = join_small(live, state.select(*keys, F.col("start").alias("_start")), keys)
-        got = j.filter("_rk <= _start").select(*base, F.col("_b").alias("to_cls"), F.col("_pick.score").alias("score"))
+        got = j.filter("_rk <= _start").select(*base, F.col("_b").alias("_to"), F.col("_pick.score").alias("_won"))
         taken = got if taken is None else taken.unionByName(got)
         left = cut_lineage(j.filter("_rk > _start").select(*base, "_choices"))
         state = cut_lineage(state.withColumns({"start": F.lit(0).cast("bigint"), "whole": F.lit(False)}))
         if left.isEmpty():
             break
     if taken is None:
-        taken = cells.limit(0).withColumns({"to_cls": F.lit(None).cast("int"), "score": F.lit(None).cast("double")})
+        taken = cells.limit(0).withColumns({"_to": F.lit(None).cast("int"), "_won": F.lit(None).cast("double")})
     return taken, rest, state
 
 
