@@ -362,6 +362,27 @@ def focus_bundle(metrics: DataFrame, focus: str, others: Sequence[str]) -> DataF
     return wanted.withColumn("role", F.when(F.col("area") == focus, "focus").otherwise("comparison"))
 
 
+def focus_report(cells: DataFrame, focus: int, others: Sequence[int], prob: str) -> tuple[DataFrame, DataFrame]:
+    """Diagnostics of a focus area next to its comparison areas; a focus without cells is an error.
+
+    First table, one row per area: role, best shift of the prediction with its scores, decode accuracies, and the most
+    frequent true transition. Second table: confidence in the true end class by (area, class), with the role.
+    """
+    from . import mapmetrics as M
+    from . import neighbourhood as H
+
+    chosen = cells.filter(F.col("area").isin([focus, *others]))
+    if chosen.filter(F.col("area") == focus).isEmpty():
+        raise ValueError(f"no cells of the focus area {focus}")
+    role = F.when(F.col("area") == focus, "focus").otherwise("comparison").alias("role")
+    cont = M.contingency(chosen, ["area"])
+    top = M.top_transitions(cont, ["area"], "end_cls", 1).drop("rank").withColumnsRenamed(
+        {"from_cls": "top_from", "to_cls": "top_to", "n": "top_n"})
+    rows = H.best_shift(chosen, ["area"]).join(M.pixel_accuracy(cont, ["area"]), "area", "left").join(top, "area", "left")
+    confidence = M.confidence_by_true_class(chosen, ["area"], "end_cls", prob, "pred_cls")
+    return rows.select("*", role), confidence.select("*", role)
+
+
 def ranked_report(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """Rank of every row per key by a full ascending order that ends in a unique column."""
     return group_rank(rows, keys, order, "rank")

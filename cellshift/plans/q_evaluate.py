@@ -8,11 +8,12 @@ from ..operators import allocation as A
 from ..operators import demand as D
 from ..operators import mapmetrics as M
 from ..operators.neighbourhood import shift_prediction
+from ..operators.summaries import focus_report
 from . import bindings as B
 from .evaluate import evaluate_methods, failure_records
 from .q_allocation import _GREEDY, _STAY, _SUIT, _rounds, scored
 from .q_mapmetrics import METRIC_COLS
-from .registry import query, sql
+from .registry import ORACLES, query, sql
 
 AREA = ["area"]
 METHODS = {"direct": "pred_cls", "persistence": "start_cls", "external": "shifted_cls"}
@@ -71,3 +72,24 @@ def e22c(spark, sf):
     a = A.allocate(c, AREA, d)
     cont = M.method_contingency(a, AREA, {"direct": "pred_cls", "allocated": "alloc_cls", "persistence": "start_cls"})
     return r6(M.metric_row(cont, ["method", "area"]), *METRIC_COLS)
+
+
+FOCUS, OTHERS = 3, (1, 5)
+_ROLE = "CASE WHEN area=3 THEN 'focus' ELSE 'comparison' END AS role"
+
+
+def focus(spark, sf):
+    g = B.grid(spark, sf).withColumn("p", F.col("score") / 600000.0)
+    return focus_report(g, FOCUS, OTHERS, "p")
+
+
+@query("e27_focus_report", f"""
+SELECT area, raw_f1, best_f1, best_dy, best_dx, end_accuracy, start_accuracy, from_cls AS top_from, to_cls AS top_to, n AS top_n, {_ROLE}
+FROM ({ORACLES['h07_best_shift']}) JOIN ({ORACLES['d11_pixel_accuracy']}) USING (area) JOIN ({ORACLES['k03_first_per_area']}) USING (area) WHERE area IN (3, 1, 5)""")
+def e27_report(spark, sf):
+    return r6(focus(spark, sf)[0], "raw_f1", "best_f1", "end_accuracy", "start_accuracy")
+
+
+@query("e27_focus_confidence", f"SELECT *, {_ROLE} FROM ({ORACLES['d32_true_end_confidence']}) WHERE area IN (3, 1, 5)")
+def e27_confidence(spark, sf):
+    return r6(focus(spark, sf)[1], "mean_prob", "median_prob")
