@@ -7,6 +7,8 @@ import struct
 
 import numpy as np
 
+from . import wordarrays
+
 CACHE = 300_000  # pieces whose ids a worker remembers, and as many again from before
 
 # Letters a-z and Latin-1, single digits, and runs of ASCII punctuation are pre-tokenised alike in any surroundings,
@@ -89,6 +91,7 @@ def tokenizer(path: str) -> WordTokenizer:
     if path not in _loaded:
         _loaded.clear()
         _loaded[path] = WordTokenizer(path)
+        wordarrays.idle.append(_loaded.clear)
     return _loaded[path]
 
 
