@@ -191,6 +191,17 @@ def test_language_odd_and_empty(odd, none):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(none)).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("max_cells", [0, 200])
+def test_language_model_too_large_for_memory(docs, odd, max_cells):
+    """A small bound must not lose counts: predictions and scores are those of the model in memory."""
+    few = docs.where("doc_id % 40 = 0")
+    for train, text in ((few, few), (docs.where("doc_id % 40 = 1"), odd)):
+        full, bound = langid.fit(train), langid.fit(train, max_cells=max_cells)
+        cols = ("doc_id", "text", "lang_pred", "score")
+        assert rows(langid.predict(text, bound), *cols) == rows(langid.predict(text, full), *cols)
+        assert langid.predict(text, bound).columns == langid.predict(text, full).columns
+
+
 # 4 urls
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("org", "block")]
