@@ -140,6 +140,21 @@ def a07(spark, sf):
     return h.select("area", "stratum", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
 
 
+@query("a07_read_holdouts_all", sql("areas", """
+SELECT 'area_' || area_id AS area, stratum, array_to_string(list_sort(list_distinct([2020, 2021 + area_id % 2])), ',') AS years FROM areas"""))
+def a07c(spark, sf):
+    """A manifest of all areas under names of their own, none faulty; a07_holdout_violations has the faulty ones."""
+    from ..session import shared_path
+
+    path = shared_path(spark, "holdouts")
+    C.write_document(holdouts(spark, sf).selectExpr(
+        "concat('Area_', area_id) as area", "array(100.0D, 30.0D, 101.0D, 31.0D) as bbox", "stratum", "years", "'s' as data_source",
+        "'r' as selection_reason", "'none' as development_contact_status", "'survey' as contact_evidence", "'e' as expected_role",
+        "'n' as notes"), path, "areas")
+    h = C.read_holdouts(spark, path)
+    return h.select("area", "stratum", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
+
+
 @query("a07_holdout_violations", sql("areas", """
 h AS (SELECT 'area_' || (area_id % 90) AS area, CASE WHEN area_id % 17 = 0 THEN 'bbox_needs_four_numbers'
  WHEN contact_status='unclear' THEN 'invalid_contact_status' WHEN area_id % 19 = 0 THEN 'missing_evidence' END AS reason FROM areas)""", """
