@@ -341,6 +341,16 @@ def a20(spark, sf):
     return C.candidate_violations(candidate_rows(spark, sf).filter("parameter_index < 2"))
 
 
+@query("a20_candidate_violations_all", sql("metric_rows", """
+r AS (SELECT method AS candidate, area::VARCHAR AS area, seed FROM metric_rows)""", """
+SELECT candidate, '' AS area, 'several_parameter_indices' AS reason FROM r GROUP BY candidate HAVING count(DISTINCT seed) > 1
+UNION ALL SELECT candidate, area, 'blank_area' FROM r WHERE trim(coalesce(area, '')) = ''
+UNION ALL SELECT candidate, area, 'duplicate_area' FROM r GROUP BY candidate, area HAVING count(*) > 1"""))
+def a20c(spark, sf):
+    """The rows of all seeds."""
+    return C.candidate_violations(candidate_rows(spark, sf))
+
+
 @query("a20_candidate_metrics", sql("metric_rows", """
 SELECT method AS candidate, area::VARCHAR AS area, 3 AS parameter_index, round(avg(value), 6) AS value FROM metric_rows WHERE seed=3 GROUP BY ALL"""))
 def a20b(spark, sf):

@@ -313,6 +313,15 @@ def e24(spark, sf):
     return r6(S.multistep_disclosure(areas, step_rows(spark, sf).filter("area % 4 = 1")), "advantage")
 
 
+@query("e24_multistep_disclosure_all", sql("adv", "seeded", _STEP, """
+SELECT a.area, coalesce(step, 1) AS step, round(coalesce(sa.advantage, primary_adv), 6) AS advantage,
+ CASE WHEN step IS NULL THEN 'one_step_only' ELSE 'recorded' END AS status FROM adv a LEFT JOIN sa USING (area)"""))
+def e24b(spark, sf):
+    """The recorded steps of all areas; an area has none if one of the two methods is missing in the data."""
+    areas = B.advantages(spark, sf).select("area", F.col("primary_adv").alias("advantage"))
+    return r6(S.multistep_disclosure(areas, step_rows(spark, sf)), "advantage")
+
+
 @query("e26_redecode_delta", sql("grid", """
 p AS (SELECT area, sum((start_cls<>end_cls)::INT) AS ch, avg((pred_cls=end_cls)::INT) AS pub FROM grid GROUP BY area),
 mg AS (SELECT area, (CASE end_cls WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 3 ELSE 0 END) AS t,
