@@ -130,7 +130,7 @@ def _runs(merged):
 
 def jaccard_components(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85,
-    pair_list: int = PAIR_LIST, tile: int = TILE,
+    pair_list: int = PAIR_LIST, tile: int = TILE, leader: bool = False,
 ) -> DataFrame:
     """(key, n_shingles, component_id, text_hash) for every row: the least key reachable by links, its own included.
 
@@ -138,6 +138,7 @@ def jaccard_components(
     shingle) have a Jaccard similarity of ``percent``/100 or more. NULL texts and texts without words have no shingle
     and link with nothing. Repeated rows are rows of their own with the same result; a NULL key is never the least
     unless no other is there. ``text_hash`` is xxhash64 of the text, to tell rows of one key apart. Shingles are compared by 64-bit hashes.
+    With ``leader``, (leader_key, leader_hash) too: the first row of those that are linked, by key (NULL last) and text_hash.
     """
     kind = docs.schema[key].dataType.simpleString()
     edge = np.uint64(int(SHARE * 2**64))
@@ -157,7 +158,9 @@ def jaccard_components(
     hashed = plain.withColumn("hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     sampled = stored(hashed.mapInArrow(sets, f"key {kind}, hash long, n long, ka long, kb long, low array<long>"), "shingle-sets")
     base = stored(sampled.drop("low"), "set-keys")
-    reps = base.where("n > 0").groupBy("ka", "kb").agg(F.min("key").alias("rep"), F.min("n").alias("n"))
+    head = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
+    first = [F.min(head).alias("first")] if leader else []
+    reps = base.where("n > 0").groupBy("ka", "kb").agg(F.min("key").alias("rep"), F.min("n").alias("n"), *first)
     once = sampled.select("ka", F.explode("low").alias("h")).groupBy("h").agg(F.min("ka").alias("ka"), F.max("ka").alias("k2"))
     lone = once.where("ka = k2").groupBy("ka").agg(F.count(F.lit(1)).alias("lone"))
     room = F.expr(f"n - (({percent} * n + 99) div 100)")
@@ -223,12 +226,15 @@ def jaccard_components(
     links = tasks.groupBy("block", "p", "q").applyInArrow(search, "src long, dst long")
     classes = connected_components(links).select(F.col("node").alias("id"), "component")
     drop(ordered)
-    named = named.join(classes, "id").join(reps.select("ka", "kb", "rep"), ["ka", "kb"])
-    least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    by_set = reps.select("ka", "kb", "rep").join(
-        named.join(least, "component").select("ka", "kb", "least"), ["ka", "kb"], "left").select(
-        "ka", "kb", F.coalesce("least", "rep").alias("least"))
+    lead = ["first"] if leader else []
+    named = named.join(classes, "id").join(reps.select("ka", "kb", "rep", *lead), ["ka", "kb"])
+    least = named.groupBy("component").agg(F.min("rep").alias("least"), *(F.min(c).alias("lead") for c in lead))
+    by_set = reps.select("ka", "kb", "rep", *lead).join(
+        named.join(least, "component").select("ka", "kb", "least", *(["lead"] if leader else [])), ["ka", "kb"], "left").select(
+        "ka", "kb", F.coalesce("least", "rep").alias("least"), *(F.coalesce("lead", c).alias("lead") for c in lead))
+    own = F.coalesce(F.col("lead"), head) if leader else None
     return base.join(by_set, ["ka", "kb"], "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("least", "key")).otherwise(F.col("key")).alias("component_id"),
-        F.col("hash").alias("text_hash"))
+        F.col("hash").alias("text_hash"),
+        *([own["key"].alias("leader_key"), own["hash"].alias("leader_hash")] if leader else []))

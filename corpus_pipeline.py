@@ -23,15 +23,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles: the least doc_id.
+    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles: the least by doc_id and hash of the text.
 
     Repeated rows of one doc_id and text leave one row; documents without shingles all stay.
     """
-    group = stored(ngram_join.jaccard_components(docs, size=5, percent=80), "groups")
+    group = stored(ngram_join.jaccard_components(docs, size=5, percent=80, leader=True), "groups")
     key, code = fresh(docs, "_key"), fresh(docs, "_code")
     same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(code))
-    rows = group.select(F.col("doc_id").alias(key), F.col("text_hash").alias(code), "n_shingles", "component_id")
-    gone = rows.where(~F.col(key).eqNullSafe(F.col("component_id"))).select(key, code).distinct()
+    rows = group.select(F.col("doc_id").alias(key), F.col("text_hash").alias(code), "n_shingles", "leader_key", "leader_hash")
+    first = F.col(key).eqNullSafe(F.col("leader_key")) & (F.col(code) == F.col("leader_hash"))
+    gone = rows.where(~first).select(key, code).distinct()
     left = join_narrow(docs, gone, same, "left_anti", "gone")
     again = rows.where("n_shingles > 0").groupBy(key, code).count().where("count > 1").select(key, code)
     if again.isEmpty():

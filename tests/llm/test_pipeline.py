@@ -30,6 +30,17 @@ def test_near_duplicates_leave_one(spark, docs, odd):
         assert set(kept) == want and len([x for x in kept if brute.words(x[1])]) == len({x for x in kept if brute.words(x[1])})
 
 
+def test_near_duplicates_of_one_id_or_none_leave_one(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    copies = lambda w: [" ".join(w), " ".join([*w[:59], "new"]), " ".join(w).upper()]
+    rows = [(7, x) for x in copies(base)] + [(None, x) for x in copies(other)] * 2 + [(None, None), (None, "")]
+    rows += [(7, "a text of its own " + " ".join(f"u{i}" for i in range(40)))]  # another group under the same id
+    kept = [tuple(r) for r in cp.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    assert [sum(k == (i, x) for k in kept for x in set(t)) for i, t in ((7, copies(base)), (None, copies(other)))] == [1, 1]
+    assert (7, rows[-1][1]) in kept and (None, None) in kept and (None, "") in kept and len(kept) == 5
+
+
 def test_passages_stay_once(spark, docs):
     t = docs.where("doc_id < 300")
     rows = [(r.doc_id, r.text) for r in t.select("doc_id", "text").collect()]
