@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, ngram_join, orc_tokens, packing, quality, sharding, substring, tokens, url_filter
+from . import (
+    chat, concat, decontam, langid, ngram_join, orc_tokens, packing, quality, sharding, substring, tokens, url_filter, whitening,
+)
 from .store import shared_path, stored
 
 QUERIES: dict = {}
@@ -118,6 +120,18 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, percent=85).drop("text_hash")
 
 
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened_components(_table(spark, sf_dir, "embeddings"), "embedding", 32)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op13_concat_cut_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = concat.token_runs(_table(spark, sf_dir, "documents"), tokens.default_path(), end_id=2)
+    return concat.cut(stored(runs, "runs"), 4096)
+
+
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLES["op2_ngram_jaccard_join"] = f"""
