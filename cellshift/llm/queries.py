@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, concat, decontam, langid, ngram_join, orc_tokens, packing, quality, sharding, substring, tokens, url_filter, whitening,
+    chat, collocations, concat, decontam, langid, ngram_join, orc_tokens, packing, quality, sharding, substring, tokens, url_filter, whitening,
 )
 from .store import shared_path, stored
 
@@ -120,6 +120,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), size=4, percent=85).drop("text_hash")
 
 
+@query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 @query
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whitened_components(_table(spark, sf_dir, "embeddings"), "embedding", 32)
@@ -190,3 +195,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     + len(regexp_extract_all(chr(10) || text, '\n\\*(?:<turn |</turn>)')))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+ORACLES["op11_phrase_collocations"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS t FROM documents
+), p AS (SELECT i, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d
+), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p
+), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m))
+), f AS MATERIALIZED (SELECT lang, g, any_value(m) AS m, count(*) AS f FROM g GROUP BY lang, g HAVING count(*) >= 100
+), c AS (SELECT lang, g, m, f AS a, string_split(g, ' ') AS x FROM f WHERE m > 1
+), inner_ AS (
+  SELECT DISTINCT c.lang, array_to_string(c.x[i:i + k - 1], ' ') AS g, c.a AS f
+  FROM (SELECT lang, x, m, a, k, unnest(range(1, m - k + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS k) WHERE k < m) AS c
+), kept AS (
+  SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = c.lang AND i.g = c.g AND i.f >= c.a)
+), cut AS (
+  SELECT kept.lang, kept.g, a, k, p.f AS l, q.f AS r, n.n, ((1000::HUGEINT * a * n.n) // (p.f::HUGEINT * q.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept) AS kept JOIN n USING (lang)
+  JOIN f p ON p.lang = kept.lang AND p.g = array_to_string(x[1:k], ' ')
+  JOIN f q ON q.lang = kept.lang AND q.g = array_to_string(x[k + 1:], ' ')
+), least AS (
+  SELECT lang, g AS phrase, a, l, r, n, score FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM least QUALIFY rank <= 2000
+"""
