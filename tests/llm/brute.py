@@ -88,3 +88,28 @@ def contained(docs, items, percent):
         own = norm(t)
         out += [(k, i, len(s & own), len(s)) for i, s in sets if s and 100 * len(s & own) >= percent * len(s)]
     return sorted(out, key=str)
+
+
+def collocations(rows, least, top):
+    """[(lang, rank, phrase, a, l, r, n, score)] for (lang, text) rows."""
+    f, total = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang or "und"] += len(w)
+            for m in range(1, 6):
+                f[lang or "und"].update(tuple(w[i : i + m]) for i in range(len(w) - m + 1))
+    out = []
+    for lang, counts in f.items():
+        often = {p: a for p, a in counts.items() if len(p) > 1 and a >= least}
+        inside = {
+            q[i : i + k] for q, a in often.items() for k in range(2, len(q)) for i in range(len(q) - k + 1)
+            if a >= counts[q[i : i + k]]}
+        found = []
+        for p, a in often.items():
+            if p not in inside:
+                n = total[lang]
+                s, _, x, y = min((1000 * a * n // (counts[p[:k]] * counts[p[k:]]), k, counts[p[:k]], counts[p[k:]]) for k in range(1, len(p)))
+                found.append((-s, -a, " ".join(p).encode(), x, y, n))
+        out += [(lang, i + 1, p.decode(), -a, x, y, n, -s) for i, (s, a, p, x, y, n) in enumerate(sorted(found)[:top])]
+    return sorted(out)
