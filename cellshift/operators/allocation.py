@@ -14,12 +14,13 @@ result.  State between rounds is one small table (area, class, threshold).
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import vectors as V
 from ..session import cut_lineage
@@ -379,101 +380,151 @@ def swap_sides(
     )
 
 
-def _block_swaps(rows: list[tuple], budget: int, min_margin: float, min_base: float) -> tuple[list, bool]:
-    """Greedy swaps inside one block of list heads.
+SLICE_ROWS = 400  # cells of one side that a swap task takes
 
-    ``rows`` hold (a, b, rank, more, row, col, s, m, base), where ``more`` says
-    the list goes on after its last row.  A pair is taken only while no pair with
-    an unseen cell could beat it; the flag tells whether the block was decisive.
+
+def _pair_off(left: pd.DataFrame, right: pd.DataFrame, budget: int, min_margin: float, min_base: float) -> list[tuple]:
+    """Greedy swaps between two lists, both by (s desc, row, col), ignoring all other lists.
+
+    Returns at most ``budget`` (score, left cell, right cell) by (score desc, earlier cell, later cell).
     """
-    lists: dict[tuple[int, int], list] = {}
-    tails: dict[tuple[int, int], float] = {}
-    for a, b, _, more, r, c, s, m, base in sorted(rows, key=lambda x: x[2]):
-        lists.setdefault((a, b), []).append((s, (r, c), m, base))
-        if more:
-            tails[a, b] = s
-    heads = {k: v[0][0] for k, v in lists.items()}
-    bound = float("-inf")
-    for (a, b), tail in tails.items():
-        if (b, a) in heads:
-            bound = max(bound, tail + heads[b, a])
-    heap: list = []
-
-    def push(a: int, b: int, i: int, j: int) -> None:
-        left, right = lists[a, b], lists[b, a]
-        if i < len(left) and j < len(right):
-            x, y = left[i], right[j]
-            lo, hi = sorted((x[1], y[1]))
-            heapq.heappush(heap, (-(x[0] + y[0]), lo, hi, a, b, i, j))
-
-    for a, b in lists:
-        if a < b and (b, a) in lists:
-            for i in range(len(lists[a, b])):
-                push(a, b, i, 0)
-    used: set = set()
+    def plus(column: str) -> np.ndarray:
+        return left[column].to_numpy(float)[:, None] + right[column].to_numpy(float)[None, :]
+
+    score = plus("s")
+    score[(plus("m") < min_margin) | (plus("base") < min_base)] = -np.inf
+    rows, cols = (list(zip(x["row"].tolist(), x["col"].tolist())) for x in (left, right))
     taken: list = []
-    while heap and len(taken) < budget:
-        neg, _, _, a, b, i, j = heapq.heappop(heap)
-        if -neg <= bound:
-            return taken, False
-        x, y = lists[a, b][i], lists[b, a][j]
-        if x[1] in used:
-            continue
-        if y[1] not in used and x[2] + y[2] >= min_margin and x[3] + y[3] >= min_base:
-            used.update((x[1], y[1]))
-            taken.append((x[1], y[1], a, b))
-            continue
-        push(a, b, i, j + 1)
-    return taken, len(taken) >= budget or not tails
+    if not score.size:
+        return taken
+    best = score.argmax(axis=1)  # the first of equal ones is the earliest cell
+    value = score[np.arange(len(best)), best]
+    while len(taken) < budget and value.max() > -np.inf:
+        i = min(np.flatnonzero(value == value.max()).tolist(), key=lambda k: sorted((rows[k], cols[best[k]])))
+        j = best[i]
+        taken.append((float(value[i]), rows[i], cols[j]))
+        score[i], score[:, j] = -np.inf, -np.inf
+        again = np.flatnonzero(best == j)
+        best[again] = score[again].argmax(axis=1)
+        value[again] = score[again, best[again]]
+    return taken
+
+
+def _order(score: Column, x: Column, y: Column) -> Column:
+    """Place of a pair among all pairs: score desc, earlier cell, later cell."""
+    cells = F.array_sort(F.array(x, y))
+    return F.struct((-score).alias("o"), cells[0].alias("lo"), cells[1].alias("hi"))
+
+
+def _rank_pairs(live: DataFrame, keys: list[str], bound) -> DataFrame:
+    """The k-th best cell of (a, b) with the k-th best of (b, a): what pairing off one class pair alone gives."""
+    cell = F.struct("row", "col")
+    ranked = group_rank(live, [*keys, "a", "b"], [-F.col("s"), *POS], "_rk", bound=bound)
+    one = ranked.filter("a < b").select(*keys, "a", "b", "_rk", F.col("s").alias("_s"), cell.alias("_x"))
+    two = ranked.filter("a > b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "_rk", F.col("s").alias("_t"), cell.alias("_y"))
+    return one.join(two, [*keys, "a", "b", "_rk"]).select(
+        *keys, "a", "b", "_x", "_y", _order(F.col("_s") + F.col("_t"), F.col("_x"), F.col("_y")).alias("_order"))
+
+
+def _slice_pairs(live: DataFrame, keys: list[str], left: DataFrame, mm: float, mb: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs found, first pair that may be unseen by area): slices in view paired off, one task for each two slices.
+
+    In view are the slices p and q of the two lists, counted among those with live cells, with p + q <= _depth.
+    """
+    lk = [*keys, "a", "b"]
+    cell = F.struct("row", "col")
+    slices = live.groupBy(*lk, "_slice").agg(F.min(F.struct((-F.col("s")).alias("o"), cell.alias("at"))).alias("_top"))
+    nth = F.row_number().over(W.partitionBy(*lk).orderBy("_slice")) - 1
+    by_list = slices.withColumn("_i", nth).join(left.select(*keys, "_depth", "_want"), keys).filter("_i <= _depth + 1")
+    one = by_list.filter("a < b").select(*keys, "a", "b", "_depth", "_want", F.col("_i").alias("_p"), F.col("_slice").alias("_s1"), F.col("_top").alias("_t1"))
+    two = by_list.filter("a > b").select(
+        *keys, F.col("b").alias("a"), F.col("a").alias("b"), F.col("_i").alias("_q"), F.col("_slice").alias("_s2"), F.col("_top").alias("_t2"))
+    blocks = cut_lineage(one.join(two, lk).filter("_p + _q <= _depth + 1"))
+    unseen = blocks.filter("_p + _q > _depth").groupBy(*keys).agg(F.min(_order(
+        -(F.col("_t1.o") + F.col("_t2.o")), F.col("_t1.at"), F.col("_t2.at"))).alias("_unseen"))
+    seen = blocks.filter("_p + _q <= _depth")
+    sent = [
+        live.join(seen.select(
+            *keys, F.col(x).alias("a"), F.col(y).alias("b"), F.col(n).alias("_slice"), F.col("a").alias("_u"), F.col("b").alias("_v"),
+            "_s1", "_s2", "_want"), [*lk, "_slice"])
+        for x, y, n in (("a", "b", "_s1"), ("b", "a", "_s2"))]
+    kinds = {f.name: f.dataType.simpleString() for f in live.schema.fields}
+    shape = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", a int, b int, score double, r1 int, c1 int, r2 int, c2 int"
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = (int(x) for x in key[len(keys) : len(keys) + 2])
+        both = [pdf[pdf["a"] == k].sort_values(["s", "row", "col"], ascending=[False, True, True]) for k in (u, v)]
+        got = _pair_off(*both, int(pdf["_want"].iloc[0]), mm, mb)
+        recs = [(*key[: len(keys)], u, v, score, *x, *y) for score, x, y in got]
+        return pd.DataFrame(recs, columns=[*keys, "a", "b", "score", "r1", "c1", "r2", "c2"])
+
+    x, y = (F.struct(F.col(r).alias("row"), F.col(c).alias("col")) for r, c in (("r1", "c1"), ("r2", "c2")))
+    found = sent[0].unionByName(sent[1]).groupBy(*keys, "_u", "_v", "_s1", "_s2").applyInPandas(run, shape)
+    return found.select(*keys, "a", "b", x.alias("_x"), y.alias("_y"), _order(F.col("score"), x, y).alias("_order")), unseen
 
 
 def balanced_swaps(
     sides: DataFrame, keys: Sequence[str], budgets: DataFrame, min_margin: float | None = None,
-    min_base: float | None = None, block: int = 2_000,
+    min_base: float | None = None, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Swap stable cells of two classes by best pair score until the change budget is used.
 
-    ``sides`` comes from ``swap_sides``; ``budgets`` is (keys, n_swaps).  Each
-    round looks at the first ``block`` cells of every (area, a, b) list, takes
-    the pairs no unseen cell can beat, removes their cells and goes on; the block
-    grows when a round decides nothing.  Returns (keys, row, col, from_cls, to_cls).
+    ``sides`` comes from ``swap_sides``; ``budgets`` is (keys, n_swaps). Pairs go by (score desc, earlier cell, later
+    cell). Returns (keys, row, col, from_cls, to_cls), equal to taking one pair after the other.
+
+    Each round pairs off every class pair as if there were no others. Removing a cell from a list only lowers the pairs
+    that come after, so all pairs that go before the area's limit are final: the first pair with a cell that an earlier
+    pair has as well. Each round takes the pairs before the limit and removes their cells. Without pair conditions the
+    pairs are those of equal rank. With conditions, lists are ranked once and cut into slices, two slices are paired off in
+    a task of bounded size, and the limit is also the best pair that slices not yet in view could hold; a round that takes
+    none brings more slices into view.
     """
     keys = list(keys)
     spark = sides.sparkSession
-    sides = cut_lineage(sides)
-    left = cut_lineage(budgets.filter("n_swaps > 0"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sides.schema.fields if f.name in keys)
-    out_schema = schema + ", row int, col int, from_cls int, to_cls int, decisive boolean"
     mm = float("-inf") if min_margin is None else float(min_margin)
     mb = float("-inf") if min_base is None else float(min_base)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["a", "b", "_rk", "_more", "row", "col", "s", "m", "base"]
-        rows = list(pdf[cols].itertuples(index=False, name=None))
-        taken, decisive = _block_swaps(rows, int(pdf["n_swaps"].iloc[0]), mm, mb)
-        recs = [(*key, *p, f, t, decisive) for x, y, a, b in taken for p, f, t in ((x, a, b), (y, b, a))]
-        recs = recs or [(*key, -1, -1, -1, -1, decisive)]
-        return pd.DataFrame(recs, columns=[*keys, "row", "col", "from_cls", "to_cls", "decisive"])
-
-    done = None
+    plain = min_margin is None and min_base is None
     lk = [*keys, "a", "b"]
+    left = cut_lineage(budgets.filter("n_swaps > 0").select(
+        *keys, F.col("n_swaps").cast("bigint").alias("_want"), F.lit(0).cast("bigint").alias("_depth")))
+    live = cut_lineage(sides.join(left.select(*keys, "_want"), keys))
+    if not plain:  # cells that no cell of the other side can make up for never swap
+        other = live.groupBy(*keys, F.col("b").alias("a"), F.col("a").alias("b")).agg(F.max("m").alias("_om"), F.max("base").alias("_ob"))
+        live = live.join(other, lk).filter((F.col("m") + F.col("_om") >= mm) & (F.col("base") + F.col("_ob") >= mb)).drop("_om", "_ob")
+    live = group_rank(live, lk, [-F.col("s"), *POS], "_rk")
+    if plain:  # each swap uses up one cell of a list at most
+        live = live.filter(F.col("_rk") <= F.col("_want"))
+    live = cut_lineage(live.withColumn("_slice", F.floor((F.col("_rk") - 1) / slice_rows)).drop("_rk", "_want"))
+    bound = group_stats(live, keys)
+    done = None
     while not left.isEmpty():
-        live = join_small(sides, left, keys, how="inner")
-        st = group_stats(live, lk)
-        ranked = group_rank(live, lk, [-F.col("s"), *POS], "_rk", st).filter(F.col("_rk") <= block)
-        ranked = join_small(ranked, st.sizes, lk, st.groups).withColumn("_more", F.col("n") > block)
-        got = cut_lineage(ranked.groupBy(*keys).applyInPandas(run, out_schema))
-        swaps = got.filter("row >= 0").drop("decisive")
+        if plain:
+            found, unseen = _rank_pairs(live, keys, bound), left.select(*keys, F.lit(None).alias("_unseen"))
+        else:
+            found, unseen = _slice_pairs(live, keys, left, mm, mb)
+        found = cut_lineage(found)
+        # orders of one cell: at most one for each task that has it
+        second = F.get(F.array_sort(F.collect_list("_order")), F.lit(1))
+        clash = found.select(*keys, F.explode(F.array("_x", "_y")).alias("_cell"), "_order").groupBy(*keys, "_cell").agg(
+            second.alias("_clash")).groupBy(*keys).agg(F.min("_clash").alias("_clash"))
+        state = cut_lineage(left.join(clash, keys, "left").join(unseen, keys, "left"))
+        final = F.col("_clash").isNull() | (F.col("_order") < F.col("_clash"))
+        if not plain:
+            final = final & (F.col("_unseen").isNull() | (F.col("_order") < F.col("_unseen")))
+        got = cut_lineage(group_rank(found.join(state, keys).filter(final), keys, ["_order"], "_rk", bound=bound).filter(
+            "_rk <= _want").select(*keys, "a", "b", "_x", "_y"))
+        swaps = got.select(*keys, F.inline(F.array(*(
+            F.struct(F.col(x)["row"].alias("row"), F.col(x)["col"].alias("col"), F.col(f).alias("from_cls"), F.col(t).alias("to_cls"))
+            for x, f, t in (("_x", "a", "b"), ("_y", "b", "a"))))))
         done = swaps if done is None else done.unionByName(swaps)
-        per = got.groupBy(*keys).agg(
-            F.bool_or("decisive").alias("_done"), (F.sum((F.col("row") >= 0).cast("int")) / 2).cast("bigint").alias("_t")
-        )
-        nxt = left.join(per, keys).filter("not _done").select(*keys, (F.col("n_swaps") - F.col("_t")).alias("n_swaps"), "_t")
-        nxt = cut_lineage(nxt)
-        if not nxt.filter("_t = 0").isEmpty():
-            block *= 4
-        left = nxt.drop("_t")
-        sides = cut_lineage(sides.join(swaps.select(*keys, *POS).distinct(), [*keys, *POS], "left_anti"))
+        taken = F.coalesce("_t", F.lit(0))
+        # without more slices and without a clash everything found is final
+        left = cut_lineage(state.join(got.groupBy(*keys).agg(F.count(F.lit(1)).alias("_t")), keys, "left").filter(
+            (taken < F.col("_want")) & (F.col("_clash").isNotNull() | F.col("_unseen").isNotNull())).select(
+            *keys, (F.col("_want") - taken).alias("_want"), F.when(taken == 0, 2 * F.col("_depth") + 1).otherwise(F.col("_depth")).alias("_depth")))
+        if not left.isEmpty():
+            live = cut_lineage(live.join(left.select(*keys), keys, "left_semi").join(swaps.select(*keys, *POS), [*keys, *POS], "left_anti"))
     if done is None:
-        return spark.createDataFrame([], out_schema).drop("decisive")
+        kinds = {f.name: f.dataType.simpleString() for f in sides.schema.fields}
+        return spark.createDataFrame([], ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", row int, col int, from_cls int, to_cls int")
     return done

@@ -368,8 +368,8 @@ def i12(spark, sf):
     return r6(a, "alloc_score").select("area", "row", "col", "start_cls", "alloc_cls", "alloc_score")
 
 
-@query("i12_change_totals", sql("grid", _SUIT, _STAY, _GREEDY, """
-SELECT area, cls AS alloc_cls, cap::BIGINT AS n FROM cap0 WHERE cap > 0"""))
+@query("i12_change_totals", sql("grid", _SUIT, _STAY, _GREEDY, _rounds(), """
+SELECT area, alloc_cls, count(*) AS n FROM chg GROUP BY ALL"""))
 def i12b(spark, sf):
     a = allocation(spark, sf).filter("phase = 'change'")
     return a.groupBy("area", "alloc_cls").agg(F.count("*").alias("n"))
@@ -398,7 +398,34 @@ def i12c(spark, sf):
     return r6(a, "alloc_score").select("area", "row", "col", "start_cls", "alloc_cls", "phase", "alloc_score")
 
 
-@query("i14_balanced_swaps")
+_DONE = """
+al AS (SELECT area, row, col, start_cls, start_cls AS alloc_cls FROM sr WHERE rk <= cap UNION ALL SELECT area, row, col, start_cls, alloc_cls FROM chg)"""
+
+
+def _swaps(budget: str, floor: float, margin: float, most: int) -> str:
+    """One pair after the other. A cell needs no more partners than there are swaps: each swap uses one of them up at most."""
+    return f"""
+sd AS (SELECT al.area, al.row, al.col, al.row*100000+al.col AS pos, al.start_cls AS a, su.cls AS b, su.score AS s,
+  su.score - max(su.score) FILTER (su.cls=al.start_cls) OVER (PARTITION BY al.area, al.row, al.col) AS m
+ FROM al JOIN su USING (area, row, col) WHERE al.alloc_cls=al.start_cls),
+sf AS (SELECT * FROM sd WHERE a<>b AND s >= {floor}),
+pq AS (SELECT x.area, x.pos AS p, y.pos AS q, x.a AS u, x.b AS v, x.s + y.s AS score FROM sf x JOIN sf y ON x.area=y.area AND x.a=y.b AND x.b=y.a AND x.a<x.b
+ WHERE x.m + y.m >= {margin} QUALIFY row_number() OVER (PARTITION BY x.area, x.a, x.b, x.pos ORDER BY y.s DESC, y.pos) <= {most + 1}),
+pr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY area ORDER BY score DESC, least(p,q), greatest(p,q)) AS o FROM pq),
+bud AS ({budget}),
+rs AS (
+ SELECT area, n_swaps, 0 AS k, []::BIGINT[] AS used FROM bud
+ UNION ALL
+ SELECT rs.area, n_swaps, k + 1, list_append(list_append(used, arg_min(p, o)), arg_min(q, o)) FROM rs JOIN pr USING (area)
+ WHERE k < n_swaps AND NOT list_contains(used, p) AND NOT list_contains(used, q) GROUP BY rs.area, n_swaps, k, used),
+lk AS (SELECT area, arg_max(used, k) AS used, max(k) AS k FROM rs GROUP BY area),
+pk AS (SELECT area, used[2*i-1] AS p, used[2*i] AS q FROM (SELECT area, used, unnest(range(1, k + 1)) AS i FROM lk)),
+sw AS (SELECT area, unnest([p, q]) AS pos, unnest([u, v]) AS from_cls, unnest([v, u]) AS to_cls FROM pk JOIN pr USING (area, p, q))"""
+
+
+@query("i14_balanced_swaps", sql("grid", _SUIT, _STAY, _GREEDY, _rounds(), _DONE, _swaps(
+    "SELECT DISTINCT area, 40 AS n_swaps FROM grid", 0.2, 0.1, 40), """
+SELECT area, (pos // 100000)::INT AS row, (pos % 100000)::INT AS col, from_cls, to_cls FROM sw"""))
 def i14(spark, sf):
     a = allocation(spark, sf)
     sides = A.swap_sides(a, AREA, min_side_base=0.2)
@@ -415,30 +442,55 @@ def i14b(spark, sf):
     return r6(s, "s", "m").drop("base")
 
 
-@query("i15_allocation_driver", sql("grid", """
-f AS (SELECT area, end_cls AS cls, count(*) AS n FROM grid GROUP BY ALL), h AS (SELECT area, start_cls AS cls, count(*) AS n FROM grid GROUP BY ALL),
-b AS (SELECT f.area, sum(greatest(0, f.n - coalesce(h.n, 0))) AS base FROM f LEFT JOIN h USING (area, cls) GROUP BY f.area)""", """
-SELECT area, (base + 20)::BIGINT AS n_changed, 10::BIGINT AS n_pairs, 0::BIGINT AS unmet FROM b"""))
+@query("i15_allocation_driver", sql("grid", _SUIT, _STAY, _GREEDY, _rounds(), _DONE, """
+h AS (SELECT area, start_cls AS cls, count(*) AS n FROM grid GROUP BY ALL),
+tg AS (SELECT dm.area, sum(greatest(0, dm.n - coalesce(h.n, 0)))::BIGINT + 21 AS target FROM dm LEFT JOIN h USING (area, cls) GROUP BY dm.area),
+ch AS (SELECT area, sum((alloc_cls<>start_cls)::INT) AS n FROM al GROUP BY area)""", _swaps(
+    "SELECT area, greatest(0, (target - n) // 2)::BIGINT AS n_swaps FROM tg JOIN ch USING (area)", -9.0, -9.0, 64), """
+fin AS (SELECT al.area, al.row, al.col, al.start_cls, coalesce(to_cls, alloc_cls) AS cls, to_cls FROM al LEFT JOIN sw ON sw.area=al.area AND pos=al.row*100000+al.col),
+got AS (SELECT area, cls, count(*) AS n FROM fin GROUP BY ALL),
+bad AS (SELECT area, sum(greatest(0, dm.n - coalesce(got.n, 0)))::BIGINT AS unmet FROM dm LEFT JOIN got USING (area, cls) GROUP BY area)""", """
+SELECT area, sum((fin.cls<>fin.start_cls)::INT)::BIGINT AS n_changed, (count(to_cls) / 2)::BIGINT AS n_pairs, round(coalesce(sum(score) FILTER (to_cls IS NOT NULL), 0.0), 6) AS swap_score, any_value(unmet) AS unmet
+FROM fin JOIN bad USING (area) JOIN su USING (area, row, col) WHERE su.cls=fin.cls GROUP BY area"""))
 def i15b(spark, sf):
     d = D.derive_demand(cont(spark, sf), AREA, "observed_end")
     base = D.class_counts(cont(spark, sf), AREA, "start_cls").withColumnRenamed("n", "h").join(d, ["area", "cls"], "full_outer").groupBy(
         "area").agg(F.sum(F.greatest(F.lit(0), F.coalesce("n", F.lit(0)) - F.coalesce("h", F.lit(0)))).alias("b"))
     a = A.allocate_to_change(scored(spark, sf), AREA, d, base.select("area", (F.col("b") + 21).alias("target_change")))
     bad = A.allocation_result(a, AREA, d).groupBy("area").agg(F.sum("unmet").cast("bigint").alias("unmet"))
+    swapped = F.col("phase") == "swap"
     n = a.groupBy("area").agg(
         F.sum((F.col("alloc_cls") != F.col("start_cls")).cast("bigint")).alias("n_changed"),
-        (F.sum((F.col("phase") == "swap").cast("bigint")) / 2).cast("bigint").alias("n_pairs"))
+        (F.sum(swapped.cast("bigint")) / 2).cast("bigint").alias("n_pairs"),
+        F.round(F.sum(F.when(swapped, F.col("alloc_score")).otherwise(0.0)), 6).alias("swap_score"))
     return n.join(bad, "area")
 
 
-@query("i15_allocation_result", sql("grid", """
-SELECT area, end_cls AS cls, count(*) AS target, count(*) AS achieved, 0::BIGINT AS unmet, false AS violated FROM grid GROUP BY ALL"""))
+@query("i15_allocation_result", sql("grid", _SUIT, _STAY, _GREEDY, _rounds(), _DONE, """
+got AS (SELECT area, alloc_cls AS cls, count(*) AS n FROM al GROUP BY ALL)""", """
+SELECT area, cls, coalesce(dm.n, 0)::BIGINT AS target, coalesce(got.n, 0)::BIGINT AS achieved, greatest(0, coalesce(dm.n, 0) - coalesce(got.n, 0))::BIGINT AS unmet,
+ coalesce(dm.n, 0) <> coalesce(got.n, 0) AS violated FROM dm FULL JOIN got USING (area, cls)"""))
 def i15(spark, sf):
     d = D.derive_demand(cont(spark, sf), AREA, "observed_end")
     return A.allocation_result(A.allocate(scored(spark, sf), AREA, d), AREA, d).withColumn(
         "unmet", F.col("unmet").cast("bigint"))
 
 
+_MASKED = [part.replace("grid", "eg") for part in (_SUIT, _STAY, _GREEDY, _rounds(), _DONE)]
+
+
+@query("i15_masked_allocation", sql("grid", "eg AS (SELECT * FROM grid WHERE NOT (start_cls = 0 OR row < 5))", *_MASKED, """
+SELECT area, row, col, start_cls, start_cls AS alloc_cls, 'fixed' AS phase FROM grid WHERE start_cls = 0 OR row < 5
+UNION ALL SELECT area, row, col, start_cls, start_cls, 'stay' FROM sr WHERE rk <= cap
+UNION ALL SELECT area, row, col, start_cls, alloc_cls, 'change' FROM chg"""))
+def i15c(spark, sf):
+    """An exclusion zone (the first rows) and an immutable class stay as they are; the demand counts them."""
+    can = D.editable(F.col("start_cls"), F.col("row") < 5, [0])
+    g = scored(spark, sf)
+    d = g.groupBy("area", F.when(can, F.col("end_cls")).otherwise(F.col("start_cls")).alias("cls")).agg(F.count("*").alias("n"))
+    return A.allocate(g, AREA, d, can_edit=can).select("area", "row", "col", "start_cls", "alloc_cls", "phase")
+
+
 @query("i16_markov_row", sql("grid", "SELECT area, " + ", ".join(
     f"sum((end_cls={c})::INT)::BIGINT AS type{i}" for i, c in enumerate(CLASSES, 1)) + " FROM grid GROUP BY area"))
 def i16(spark, sf):

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -348,7 +349,7 @@ def test_restricted_allocation_reports_violations(spark):
     assert one(ok)["feasible"] is False and one(ok)["shortfall"] == 5
 
 
-def greedy_swaps(cells, budget, min_margin):
+def greedy_swaps(cells, budget, min_margin, min_base=-99.0):
     """All pairs, best sum first: the small brute force."""
     cand = []
     for x, y in itertools.combinations(sorted(cells), 2):
@@ -356,7 +357,7 @@ def greedy_swaps(cells, budget, min_margin):
         if s1 == s2:
             continue
         total, stay = a[s2] + b[s1], a[s1] + b[s2]
-        if total - stay >= min_margin:
+        if total - stay >= min_margin and total >= min_base:
             cand.append((-total, (r1, c1), (r2, c2), s1, s2))
     used, out = set(), {}
     for _, p, q, s1, s2 in sorted(cand):
@@ -368,14 +369,33 @@ def greedy_swaps(cells, budget, min_margin):
     return out
 
 
-@pytest.mark.parametrize("block,margin", [(2_000, -9.0), (3, -9.0), (3, 0.2)])
-def test_swaps_equal_brute_force(spark, block, margin):
-    rows, df = suit_cells(spark, 7, 5, 6, 3, areas=1)
-    df = df.withColumn("alloc_cls", F.col("start_cls"))
-    sides = A.swap_sides(df, ["area"])
-    b = spark.createDataFrame([(0, 6)], "area int, n_swaps bigint")
-    got = {(r["row"], r["col"]): r["to_cls"] for r in A.balanced_swaps(sides, ["area"], b, min_margin=margin, block=block).collect()}
-    assert got == greedy_swaps([(r, c, s, suit) for _, r, c, s, suit in rows], 6, margin)
+@pytest.mark.parametrize("slice_rows,margin,base", [(2_000, None, None), (2_000, -0.1, 0.9), (4, 0.2, None), (2, 9.0, None)])
+def test_swaps_equal_brute_force(spark, slice_rows, margin, base):
+    """Twenty random areas with many equal scores; several rounds and slices each."""
+    rng = random.Random(11)
+    rows, budgets, expected = [], [], {}
+    for area in range(20):
+        cells = [(r, c, rng.randint(0, 3), [(k, rng.randint(0, 6) / 8) for k in range(4)]) for r in range(5) for c in range(5)]
+        rows += [(area, *x) for x in cells]
+        budgets.append((area, rng.choice([0, 1, 4, 12])))
+        m = -99.0 if margin is None else margin
+        expected |= {(area, *p): t for p, t in greedy_swaps(cells, budgets[-1][1], m, -99.0 if base is None else base).items()}
+    df = spark.createDataFrame(rows, "area int, row int, col int, start_cls int, suit array<struct<cls:int,score:double>>")
+    sides = A.swap_sides(df.withColumn("alloc_cls", F.col("start_cls")), ["area"])
+    b = spark.createDataFrame(budgets, "area int, n_swaps bigint")
+    got = A.balanced_swaps(sides, ["area"], b, min_margin=margin, min_base=base, slice_rows=slice_rows).collect()
+    assert {(r["area"], r["row"], r["col"]): r["to_cls"] for r in got} == expected
+
+
+def test_swaps_of_one_area_over_many_slices(spark):
+    rng = random.Random(12)
+    rows = [(0, r, c, rng.randint(0, 1), [(k, rng.random()) for k in range(2)]) for r in range(40) for c in range(40)]
+    df = spark.createDataFrame(rows, "area int, row int, col int, start_cls int, suit array<struct<cls:int,score:double>>")
+    sides = A.swap_sides(df.withColumn("alloc_cls", F.col("start_cls")), ["area"])
+    b = spark.createDataFrame([(0, 300)], "area int, n_swaps bigint")
+    got = A.balanced_swaps(sides, ["area"], b, slice_rows=100)
+    assert got.count() == 600
+    assert {(r["row"], r["col"]): r["to_cls"] for r in got.collect()} == greedy_swaps([(r, c, s, suit) for _, r, c, s, suit in rows], 300, -99.0)
 
 
 # ---- baselines ---------------------------------------------------------------------
