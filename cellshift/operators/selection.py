@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import clamp, half_even, n_if, stable_hash
+from ..session import cut_lineage
 from . import mapmetrics as M
 from .gates import is_candidate, rank_candidates
 from .ranking import attach_row, group_agg, group_rank, group_stats, join_small
@@ -307,47 +309,131 @@ def conjunctive_rules(rows: DataFrame, baseline: str, fields: Sequence[str], met
     return _finish(out, _baseline(rows, baseline, metrics), metrics)
 
 
+BITMAP_BYTES = 1 << 28  # what a task holds of all conditions' area bitmaps and of the gains
+
+
 def best_conjunction(
     rows: DataFrame, baseline: str, fields: Sequence[str], k: int, higher: Sequence[str], lower: Sequence[str] = (),
-    max_share: float | None = None, min_count: int = 1,
+    max_share: float | None = None, min_count: int = 1, target: DataFrame | None = None, target_min: int | None = None,
+    target_max: int | None = None,
 ) -> DataFrame:
     """The best feasible rule of one to ``k`` conditions: (alternate, conditions, n_alternate, delta_metric...).
 
-    A condition is (axis, s): areas whose axis value is at most s. Only the last condition of a rule is swept, by prefix
-    sums over the areas that meet the ones before, and only thresholds that are values of those areas are tried: any
-    other gives the same areas. Feasible as in ``feasible_rules``; best by the mean of ``higher`` metrics in turn, then
-    lower ones, more alternates, alternate, fewer conditions, then the conditions themselves. Empty if none is feasible.
+    A condition is (axis, s): areas whose axis value is at most s. Feasible as in ``feasible_rules``, and, with ``target``
+    (candidate, area, fields of unlabelled areas), switching ``target_min`` to ``target_max`` of its areas
+    (``target_count``). Best by the mean of ``higher`` metrics in turn, then lower ones, more alternates, alternate, fewer
+    conditions, then the conditions themselves. Empty if none is feasible.
+
+    Branch and bound by number of conditions: each condition is a bitmap of areas, a task joins the conditions so far with
+    all later ones at once. A rule so far goes on with an alternate only if it holds enough areas, and if the gains of
+    its best areas, as many as the share allows, could still reach the best feasible rule found.
     """
     metrics = [*higher, *lower]
-    names = [f"d_{m}" for m in metrics]
-    axes = _axes(rows, fields).select("axis", "area", F.col("s")).filter("s is not null")
-    given = axes.select(F.struct("axis", "s").alias("c")).distinct()
-    holds = given.join(axes.withColumnRenamed("s", "_v"), F.col("c.axis") == F.col("axis")).filter("_v <= c.s").select("c", "area")
+    axes = _axes(rows, fields).select("axis", "area", "s").filter("s is not null and not isnan(s)")
     points = _deltas(rows, baseline, metrics)
-    before = points.select("area").distinct().withColumn("conditions", F.array().cast("array<struct<axis:string,s:double>>"))
+    spark = rows.sparkSession
+    n_areas = rows.filter(F.col("candidate") == baseline).count()
+    n_points = points.select("area").distinct().count()
+    n_conditions = axes.select("axis", "s").distinct().count()
+    aims = None if target is None else _axes(target, fields).select("axis", "area", "s").filter("s is not null and not isnan(s)")
+    n_targets = 0 if aims is None else aims.select("area").distinct().count()
+    size = n_conditions * (n_points + n_targets + 32) + 8 * n_points * len(metrics) * points.select("alternate").distinct().count()
+    if size > BITMAP_BYTES:
+        raise ValueError(f"{n_conditions} conditions over {n_points + n_targets} areas need {size} bytes in a task, over {BITMAP_BYTES}")
+    d = points.toPandas().dropna() if n_points else points.limit(0).toPandas()  # bounded by the check above, as all below
+    place = {x: i for i, x in enumerate(sorted(d["area"].unique()))}
+    named = sorted(d["alternate"].unique())
+    gains = np.zeros((len(named), len(metrics), len(place)))
+    there = np.zeros((len(named), len(place)), bool)
+    for i, name in enumerate(named):
+        own = d[d["alternate"] == name]
+        at = own["area"].map(place).to_numpy(int)
+        gains[i][:, at] = own[[f"d_{m}" for m in metrics]].to_numpy(float).T
+        there[i, at] = True
+    held = axes.toPandas()
+    conditions = sorted(set(zip(held["axis"], held["s"])))
+
+    def bitmaps(table, of: dict) -> np.ndarray:
+        out = np.zeros((len(conditions), len(of)), bool)
+        by_axis = {a: (g["area"].map(of), g["s"].to_numpy()) for a, g in table[table["area"].isin(of)].groupby("axis")}
+        for i, (axis, s) in enumerate(conditions):
+            if axis in by_axis:
+                at, v = by_axis[axis]
+                out[i, at.to_numpy(int)[v <= s]] = True
+        return out
+
+    met = bitmaps(held, place)
+    aimed = np.zeros((len(conditions), 0), bool)
+    if aims is not None:
+        t = aims.toPandas()
+        aimed = bitmaps(t, {x: i for i, x in enumerate(sorted(t["area"].unique()))})
+    kind_of = [axis for axis, _ in conditions]
+    after = np.array([kind_of.index(a) + kind_of.count(a) for a in kind_of], int)  # first condition of the next axis
+    most = n_areas if max_share is None else int(np.floor((max_share + TOLERANCE) * n_areas))
+    low, high = target_min or 0, n_targets if target_max is None else target_max
+    shared = spark.sparkContext.broadcast((met, aimed, gains, there, after))  # of the checked size
+    n_higher = len(higher)
+
+    def grow(best: float, last: bool):
+        def run(batches):
+            met, aimed, gains, there, after = shared.value
+            for b in batches:
+                rules, going = [], []
+                for so_far, alternates in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    first = int(after[so_far[-1]]) if so_far else 0
+                    here = met[first:] & (met[so_far].all(axis=0) if so_far else True)
+                    aim = (aimed[first:] & (aimed[so_far].all(axis=0) if so_far else True)).sum(axis=1)
+                    if not len(here):
+                        continue
+                    able = aim >= low
+                    onward: dict[int, list[int]] = {}
+                    for a in alternates:
+                        areas = here & there[a]
+                        count = areas.sum(axis=1)
+                        delta = areas @ gains[a].T / n_areas
+                        ok = (count >= min_count) & (count <= most) & able & (aim <= high)
+                        ok &= (delta[:, :n_higher] >= -TOLERANCE).all(axis=1) & (delta[:, n_higher:] <= TOLERANCE).all(axis=1)
+                        at = np.flatnonzero(ok)
+                        if len(at):
+                            v = np.round(delta[at], 12)
+                            v[:, n_higher:] *= -1
+                            i = at[np.lexsort((at, -count[at], *(-v[:, m] for m in range(v.shape[1] - 1, -1, -1))))[0]]
+                            rules.append((a, [*so_far, first + int(i)], int(count[i]), int(aim[i]), [float(x) for x in delta[i]]))
+                        if not last:
+                            top = np.sort(np.where(areas, np.maximum(gains[a][0], 0.0), 0.0), axis=1)[:, ::-1][:, :most]
+                            reach = top.sum(axis=1) / n_areas >= max(best, -TOLERANCE) - 1e-9
+                            for i in np.flatnonzero((count >= max(min_count, 1)) & able & reach).tolist():
+                                onward.setdefault(first + i, []).append(a)
+                    going += [([*so_far, i], alive) for i, alive in onward.items()]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([*(r[0] for r in rules), *(None for _ in going)], pa.int32()),
+                    pa.array([*(r[1] for r in rules), *(g[0] for g in going)], pa.list_(pa.int32())),
+                    pa.array([*(r[2] for r in rules), *(None for _ in going)], pa.int64()),
+                    pa.array([*(r[3] for r in rules), *(None for _ in going)], pa.int64()),
+                    pa.array([*(r[4] for r in rules), *(None for _ in going)], pa.list_(pa.float64())),
+                    pa.array([*(None for _ in rules), *(g[1] for g in going)], pa.list_(pa.int32()))],
+                    names=["a", "at", "n", "aim", "delta", "alive"])
+        return run
+
+    order = [F.round(F.get("delta", F.lit(i)), 12).desc() for i in range(n_higher)]
+    order += [F.round(F.get("delta", F.lit(n_higher + i)), 12).asc() for i in range(len(lower))]
+    order += [F.desc("n"), F.desc("a"), F.size("at"), F.col("at")]
+    shape = "a int, at array<int>, n long, aim long, delta array<double>, alive array<int>"
+    level = spark.createDataFrame([([], list(range(len(named))))], "at array<int>, alive array<int>")
     best = None
-    order = [F.round(f"delta_{m}", 12).desc() for m in higher] + [F.round(f"delta_{m}", 12).asc() for m in lower]
-    order += [F.desc("n_alternate"), F.desc("alternate"), F.size("conditions"), F.col("conditions")]
-    n = rows.filter(F.col("candidate") == baseline).agg(F.count(F.lit(1)).alias("n_areas"))
-    for size in range(1, k + 1):
-        w = W.partitionBy("alternate", "conditions", "axis").orderBy("s").rangeBetween(W.unboundedPreceding, 0)
-        last = F.element_at("conditions", -1)
-        grown = before.join(axes, "area").filter(
-            F.lit(True) if size == 1 else (F.col("axis") > last["axis"]) | ((F.col("axis") == last["axis"]) & (F.col("s") > last["s"])))
-        swept = grown.join(points, "area").select(
-            "alternate", F.concat("conditions", F.array(F.struct("axis", "s"))).alias("conditions"),
-            F.count(F.lit(1)).over(w).alias("n_alternate"), *[F.sum(c).over(w).alias(c) for c in names]).dropDuplicates(
-            ["alternate", "conditions"])
-        r = attach_row(swept, n)
-        r = r.select("alternate", "conditions", "n_alternate", (F.col("n_alternate") / F.col("n_areas")).alias("alternate_share"),
-                     *[(F.col(f"d_{m}") / F.col("n_areas")).alias(f"delta_{m}") for m in metrics])
-        top = feasible_rules(r, higher, lower, max_share, min_count).filter("feasible").orderBy(*order).limit(1)
-        best = top if best is None else best.unionByName(top)
-        if size < k:
-            last = F.element_at("conditions", -1)
-            after = F.lit(True) if size == 1 else F.col("c") > last
-            before = before.join(holds, "area").filter(after).select("area", F.concat("conditions", F.array("c")).alias("conditions"))
-    return best.orderBy(*order).limit(1).drop("feasible")
+    for i in range(k):
+        reach = float("-inf") if best is None else best.delta[0]
+        grown = cut_lineage(level.mapInArrow(grow(reach, i == k - 1), shape))
+        rule = grown.filter("a is not null").orderBy(*order).limit(1).collect()  # one row
+        both = spark.createDataFrame([r for r in (best, *rule) if r is not None], shape)
+        best = both.orderBy(*order).first()
+        level = grown.filter("alive is not null").select("at", "alive").repartition(spark.sparkContext.defaultParallelism, "at")
+    kind = "array<struct<axis:string,s:double>>"
+    out = [] if best is None else [(
+        named[best.a], [conditions[i] for i in best["at"]], best.n, best.n / n_areas, best.aim, *best.delta)]
+    done = spark.createDataFrame(out, f"alternate string, conditions {kind}, n_alternate long, alternate_share double, target_count long, "
+                                 + ", ".join(f"delta_{m} double" for m in metrics))
+    return done if target is not None else done.drop("target_count")
 
 
 def feasible_rules(
@@ -414,38 +500,46 @@ def split_areas(areas: DataFrame, fraction: float, seed: int) -> DataFrame:
 def stratified_sample(
     units: DataFrame, sample_size: int, max_per_province: int, seed: str, id_cols: Sequence[str]
 ) -> DataFrame:
-    """Round-robin over (region, size_class) groups in hash order with a cap per province.
+    """Round-robin over (region, size_class) groups in hash order with a cap per province; adds ``selection_rank``.
 
-    At most ``max_per_province`` units of one province can be taken, so only the
-    first that many of each (group, province) can ever be chosen.  That exact
-    reduction leaves a table bounded by groups x provinces x cap, which one task
-    walks through.
+    A unit's turn is (its place among its group's units, its group). A province takes the units with its first turns.
+    When a unit comes too late for its province, those behind it in its group move up, so all turns before the first
+    late one are final, and with them the provinces that they fill: each round drops all later units of those provinces.
+    No province takes more than its cap from a group, and at most sample_size / cap provinces get full, so the first
+    2 x sample_size units left of a group hold all that it can give; nothing larger is moved after that cut.
     """
     key = F.sha2(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_cols]), 256)
-    u = units.withColumn("selection_key", key)
-    gp = ["region", "size_class", "province"]
-    top = group_rank(u, gp, ["selection_key", *id_cols], "_rk").filter(F.col("_rk") <= max_per_province)
-    top = top.select("region", "size_class", "province", "selection_key", *[c for c in id_cols if c not in gp]).withColumn("_k", F.lit(1))
-    fields = [f for f in top.schema.fields if f.name != "_k"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", selection_rank int"
-
-    def walk(pdf):
-        pdf = pdf.drop(columns="_k").sort_values(["region", "size_class", "selection_key"])
-        queues = {g: list(rows.index) for g, rows in pdf.groupby(["region", "size_class"], sort=True)}
-        province, used, chosen = pdf["province"].to_dict(), {}, []
-        progress = True
-        while progress and len(chosen) < sample_size:
-            progress = False
-            for rows in queues.values():
-                while rows and used.get(province[rows[0]], 0) >= max_per_province:
-                    rows.pop(0)
-                if rows and len(chosen) < sample_size:
-                    row = rows.pop(0)
-                    used[province[row]] = used.get(province[row], 0) + 1
-                    chosen.append(row)
-                    progress = True
-        out = pdf.loc[chosen].copy()
-        out["selection_rank"] = range(1, len(chosen) + 1)
-        return out
-
-    return top.groupBy("_k").applyInPandas(walk, schema)
+    group, place = ["region", "size_class"], ["province", *group_cols(id_cols)]
+    u = units.select(*group, *place, key.alias("selection_key"))
+    order = ["selection_key", *id_cols]
+    top = group_rank(u, [*group, "province"], order, "_rk").filter(F.col("_rk") <= max_per_province).drop("_rk")
+    top = group_rank(top, group, order, "_rk").filter(F.col("_rk") <= 2 * sample_size)
+    live = cut_lineage(top)
+    in_group = W.partitionBy(*group).orderBy("_rk")
+    turn = F.struct("_k", *group)
+    while True:
+        turns = live.withColumn("_k", F.row_number().over(in_group))
+        turns = turns.withColumn("_c", F.row_number().over(W.partitionBy("province").orderBy("_k", *group)))
+        turns = cut_lineage(turns)
+        late = turns.filter(F.col("_c") > max_per_province).agg(F.min(turn).alias("_late"))
+        final = attach_row(turns, late).filter(F.col("_late").isNull() | (turn < F.col("_late")))
+        row = late.select(F.col("_late").isNotNull(), final.agg(F.count(F.lit(1)).alias("n")).scalar()).first()
+        if not row[0] or row[1] >= sample_size:
+            break
+        full = final.filter(F.col("_c") == max_per_province).select("province")
+        ahead = attach_row(turns, late).filter(turn >= F.col("_late"))
+        live = cut_lineage(final.select(*top.columns).unionByName(
+            ahead.join(full, "province", "left_anti").select(*top.columns)))
+    # rank of a turn: all turns of earlier rounds, then its place in its round
+    sizes = final.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))  # at most 2 x sample_size rounds
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = final.withColumn("_at", F.row_number().over(W.partitionBy("_k").orderBy(*group))).join(
+        sizes.select("_k", before.alias("_before")), "_k")
+    rank = (F.col("_before") + F.col("_at")).cast("int")
+    return ranked.withColumn("selection_rank", rank).filter(F.col("selection_rank") <= sample_size).select(
+        *group, *place, "selection_key", "selection_rank")
+
+
+def group_cols(id_cols: Sequence[str]) -> list[str]:
+    """Identifying columns that aren't among region, size_class and province."""
+    return [c for c in id_cols if c not in ("region", "size_class", "province")]

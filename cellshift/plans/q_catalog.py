@@ -127,22 +127,8 @@ def holdouts(spark, sf):
 
 
 @query("a07_read_holdouts", sql("areas", """
-SELECT 'area_' || (area_id % 90) AS area, stratum, array_to_string(list_sort(list_distinct([2020, 2021 + area_id % 2])), ',') AS years FROM areas
-WHERE area_id % 17 <> 0 AND area_id % 19 <> 0 AND area_id < 90"""))
-def a07(spark, sf):
-    from ..session import shared_path
-
-    path = shared_path(spark, "holdouts")
-    C.write_document(holdouts(spark, sf).filter("area_id % 17 <> 0 and area_id % 19 <> 0 and area_id < 90").selectExpr(
-        "area", "bbox", "stratum", "years", "'s' as data_source", "'r' as selection_reason", "'none' as development_contact_status",
-        "contact_evidence", "'e' as expected_role", "'n' as notes"), path, "areas")
-    h = C.read_holdouts(spark, path)
-    return h.select("area", "stratum", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
-
-
-@query("a07_read_holdouts_all", sql("areas", """
 SELECT 'area_' || area_id AS area, stratum, array_to_string(list_sort(list_distinct([2020, 2021 + area_id % 2])), ',') AS years FROM areas"""))
-def a07c(spark, sf):
+def a07(spark, sf):
     """A manifest of all areas under names of their own, none faulty; a07_holdout_violations has the faulty ones."""
     from ..session import shared_path
 
@@ -334,20 +320,11 @@ def candidate_rows(spark, sf):
 
 
 @query("a20_candidate_violations", sql("metric_rows", """
-r AS (SELECT method AS candidate, area::VARCHAR AS area, seed FROM metric_rows WHERE seed < 2)""", """
-SELECT candidate, '' AS area, 'several_parameter_indices' AS reason FROM r GROUP BY candidate HAVING count(DISTINCT seed) > 1
-UNION ALL SELECT candidate, area, 'duplicate_area' FROM r GROUP BY candidate, area HAVING count(*) > 1"""))
-def a20(spark, sf):
-    return C.candidate_violations(candidate_rows(spark, sf).filter("parameter_index < 2"))
-
-
-@query("a20_candidate_violations_all", sql("metric_rows", """
 r AS (SELECT method AS candidate, area::VARCHAR AS area, seed FROM metric_rows)""", """
 SELECT candidate, '' AS area, 'several_parameter_indices' AS reason FROM r GROUP BY candidate HAVING count(DISTINCT seed) > 1
 UNION ALL SELECT candidate, area, 'blank_area' FROM r WHERE trim(coalesce(area, '')) = ''
 UNION ALL SELECT candidate, area, 'duplicate_area' FROM r GROUP BY candidate, area HAVING count(*) > 1"""))
-def a20c(spark, sf):
-    """The rows of all seeds."""
+def a20(spark, sf):
     return C.candidate_violations(candidate_rows(spark, sf))
 
 

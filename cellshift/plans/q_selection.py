@@ -176,16 +176,15 @@ def e23b(spark, sf):
 
 
 def candidates(spark, sf):
-    """Candidate x area metrics and one selection feature (areas folded to twelve)."""
-    m = B.metric_rows(spark, sf).withColumn("area", (F.col("area") % 12).cast("int"))
-    return m.groupBy(F.col("method").alias("candidate"), "area").agg(
+    """Candidate x area metrics and one selection feature."""
+    return B.metric_rows(spark, sf).groupBy(F.col("method").alias("candidate"), "area").agg(
         F.round(F.avg("value") / 500.0, 6).alias("fom"), F.round(F.stddev_samp("value") / 500.0, 6).alias("change_f1"),
         F.round(F.avg(F.col("value") % 1), 6).alias("allocation_disagreement"),
         F.round(F.avg("user_id") / 150.0, 6).alias("feature"))
 
 
 _CAND = """
-cd AS (SELECT method AS candidate, area % 12 AS area, round(avg(value)/500.0, 6) AS fom, round(stddev_samp(value)/500.0, 6) AS change_f1,
+cd AS (SELECT method AS candidate, area, round(avg(value)/500.0, 6) AS fom, round(stddev_samp(value)/500.0, 6) AS change_f1,
  round(avg(value % 1), 6) AS allocation_disagreement, round(avg(user_id)/150.0, 6) AS feature FROM metric_rows GROUP BY 1, 2)"""
 
 
@@ -247,22 +246,63 @@ cp AS (SELECT a.axis AS axis1, a.s AS s1, b.axis AS axis2, b.s AS s2, a.area FRO
 al AS (SELECT a.candidate AS alternate, a.area, a.fom - b.fom AS d FROM cd a JOIN cd b ON a.area=b.area AND b.candidate='error' AND a.candidate<>'error'),
 gr AS (SELECT a.axis AS axis1, a.s AS s1, b.axis AS axis2, b.s AS s2 FROM th a JOIN th b ON (a.axis<b.axis OR (a.axis=b.axis AND a.s<b.s))),
 sm AS (SELECT alternate, axis1, axis2, s1, s2, count(*) AS n, sum(d) AS d FROM cp JOIN al ON al.area=cp.area GROUP BY ALL)""", """
-SELECT q.alternate, gr.axis1, gr.axis2, gr.s1, gr.s2, coalesce(n, 0)::BIGINT AS n_alternate, round(coalesce(d, 0.0)/12, 9) AS delta_fom
-FROM gr CROSS JOIN (SELECT DISTINCT alternate FROM al) q LEFT JOIN sm ON sm.alternate=q.alternate AND sm.axis1=gr.axis1 AND sm.axis2=gr.axis2 AND sm.s1=gr.s1 AND sm.s2=gr.s2"""))
+SELECT alternate, axis1, axis2, count(*) AS n_rules, sum(n_alternate)::BIGINT AS n_alternate, round(min(delta_fom), 9) AS least_delta_fom, round(max(delta_fom), 9) AS best_delta_fom FROM (
+SELECT q.alternate, gr.axis1, gr.axis2, coalesce(n, 0) AS n_alternate, coalesce(d, 0.0)/(SELECT count(DISTINCT area) FROM cd WHERE candidate='error') AS delta_fom
+FROM gr CROSS JOIN (SELECT DISTINCT alternate FROM al) q LEFT JOIN sm ON sm.alternate=q.alternate AND sm.axis1=gr.axis1 AND sm.axis2=gr.axis2 AND sm.s1=gr.s1 AND sm.s2=gr.s2) GROUP BY ALL"""))
 def j10(spark, sf):
+    """Every rule of two conditions, told by pair of axes: how many, how many areas they switch, and what they gain."""
     r = J.conjunctive_rules(candidates(spark, sf), "error", ["feature"], ("fom",))
-    return r.select("alternate", "axis1", "axis2", "s1", "s2", "n_alternate", F.round("delta_fom", 9).alias("delta_fom"))
+    return r.groupBy("alternate", "axis1", "axis2").agg(
+        F.count("*").alias("n_rules"), F.sum("n_alternate").alias("n_alternate"),
+        F.round(F.min("delta_fom"), 9).alias("least_delta_fom"), F.round(F.max("delta_fom"), 9).alias("best_delta_fom"))
+
+
+_BEST_RULE = """
+ax AS MATERIALIZED (SELECT candidate || '|feature|' || op AS axis, area, CASE WHEN op='le' THEN feature ELSE -feature END AS s FROM cd, (VALUES ('le'),('ge')) x(op)),
+th AS MATERIALIZED (SELECT axis, s, row_number() OVER (ORDER BY axis, s) AS i FROM (SELECT DISTINCT axis, s FROM ax)),
+na AS (SELECT count(DISTINCT area) AS n FROM cd WHERE candidate='error'),
+al AS (SELECT a.candidate AS alternate, a.area, a.fom - b.fom AS d, a.allocation_disagreement - b.allocation_disagreement AS e
+ FROM cd a JOIN cd b ON a.area=b.area AND b.candidate='error' AND a.candidate<>'error'),
+cn AS (SELECT i, area FROM th JOIN ax ON ax.axis=th.axis AND ax.s<=th.s),
+r1 AS (SELECT alternate, i, NULL::BIGINT AS j, count(*) AS n, sum(d) AS d, sum(e) AS e FROM cn JOIN al USING (area) GROUP BY ALL),
+r2 AS (SELECT alternate, a.i, b.i AS j, count(*) AS n, sum(d) AS d, sum(e) AS e FROM cn a JOIN cn b ON a.area=b.area AND a.i<b.i JOIN al ON al.area=a.area GROUP BY ALL),
+rr AS (SELECT *, d/na.n AS df, e/na.n AS de, r.n/na.n AS share FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2) r, na)"""
+
+
+def best_rule_of(spark, sf, **bounds):
+    best = J.best_conjunction(
+        candidates(spark, sf), "error", ["feature"], 2, ["fom"], ["allocation_disagreement"], max_share=0.75, min_count=2, **bounds)
+    cond = lambda i: F.get("conditions", F.lit(i))
+    return r6(best, "delta_fom", "delta_allocation_disagreement").select(
+        "alternate", "n_alternate", "delta_fom", "delta_allocation_disagreement", cond(0)["axis"].alias("axis1"), cond(0)["s"].alias("s1"),
+        cond(1)["axis"].alias("axis2"), cond(1)["s"].alias("s2"), *(["target_count"] if bounds else []))
+
 
+_BEST_OF = """FROM rr JOIN th a ON a.i=rr.i LEFT JOIN th b ON b.i=rr.j {join} WHERE df >= -1e-12 AND de <= 1e-12 AND share <= 0.75 + 1e-12 AND rr.n >= 2 {where}
+ORDER BY round(df, 12) DESC, round(de, 12), rr.n DESC, alternate DESC, rr.j IS NOT NULL, rr.i, rr.j LIMIT 1"""
+_BEST_COLS = """SELECT alternate, rr.n AS n_alternate, round(df, 6) AS delta_fom, round(de, 6) AS delta_allocation_disagreement,
+ a.axis AS axis1, a.s AS s1, b.axis AS axis2, b.s AS s2"""
 
-@query("j10_best_rule")
+
+@query("j10_best_rule", sql("metric_rows", _CAND, _BEST_RULE, _BEST_COLS + " " + _BEST_OF.format(join="", where="")))
 def j10b(spark, sf):
-    m = B.metric_rows(spark, sf)
-    rows = m.groupBy(F.col("method").alias("candidate"), "area").agg(
-        F.round(F.avg("value") / 500.0, 6).alias("fom"), F.round(F.avg(F.col("value") % 1), 6).alias("allocation_disagreement"),
-        F.round(F.avg("user_id") / 150.0, 6).alias("feature"))
-    best = J.best_conjunction(rows, "error", ["feature"], 2, ["fom"], ["allocation_disagreement"], max_share=0.75, min_count=2)
-    return r6(best, "delta_fom", "delta_allocation_disagreement").select(
-        "alternate", "n_alternate", "delta_fom", "delta_allocation_disagreement", F.to_json("conditions").alias("conditions"))
+    return best_rule_of(spark, sf)
+
+
+@query("j10_best_rule_with_targets", sql("metric_rows", _CAND, _BEST_RULE, """
+tf AS (SELECT method AS candidate, user_id AS area, round(avg(user_id % 7)/7.0 + avg(seed)/50.0 + avg(area)/200.0, 6) AS feature FROM metric_rows GROUP BY 1, 2),
+tx AS (SELECT candidate || '|feature|' || op AS axis, area, CASE WHEN op='le' THEN feature ELSE -feature END AS s FROM tf, (VALUES ('le'),('ge')) x(op)),
+tn AS (SELECT i, area FROM th JOIN tx ON tx.axis=th.axis AND tx.s<=th.s),
+t1 AS (SELECT i, NULL::BIGINT AS j, count(*) AS tc FROM tn GROUP BY i),
+t2 AS (SELECT a.i, b.i AS j, count(*) AS tc FROM tn a JOIN tn b ON a.area=b.area AND a.i<b.i GROUP BY ALL),
+tt AS (SELECT * FROM t1 UNION ALL SELECT * FROM t2)""",
+_BEST_COLS + ", coalesce(tc, 0)::BIGINT AS target_count " + _BEST_OF.format(
+    join="LEFT JOIN tt ON tt.i=rr.i AND tt.j IS NOT DISTINCT FROM rr.j", where="AND coalesce(tc, 0) BETWEEN 3 AND 6")))
+def j10c(spark, sf):
+    """Only rules that switch three to six of the unlabelled target areas."""
+    target = B.metric_rows(spark, sf).groupBy(F.col("method").alias("candidate"), F.col("user_id").alias("area")).agg(
+        F.round(F.avg(F.col("user_id") % 7) / 7.0 + F.avg("seed") / 50.0 + F.avg("area") / 200.0, 6).alias("feature"))
+    return best_rule_of(spark, sf, target=target, target_min=3, target_max=6)
 
 
 def target_features(spark, sf):
@@ -312,7 +352,19 @@ def sample_units(spark, sf):
     return u.withColumns({"size_class": size_class(px), "region": F.concat(F.lit("R"), (F.substring("province", 8, 2).cast("int") % 4).cast("string"))})
 
 
-@query("j14_stratified_sample")
+@query("j14_stratified_sample", sql(_BOXD, f"u AS (SELECT record_index, province, {_SIZE} FROM bx)", """
+e AS (SELECT record_index, province, 'R' || (substr(province, 8, 2)::INT % 4) AS region,
+  CASE WHEN width_px*height_px < 10000 THEN 'small' WHEN width_px*height_px < 40000 THEN 'medium' ELSE 'large' END AS size_class,
+  sha256('seed-1|' || record_index || '|' || province || '|' || town) AS key
+ FROM u JOIN bx USING (record_index, province) WHERE width_px*height_px BETWEEN 2500 AND 80000 AND width_px >= 32 AND height_px >= 32),
+o AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY region, size_class) AS g, row_number() OVER (ORDER BY region, size_class, key, record_index) AS o FROM e),
+st AS (SELECT 0 AS i, 0::BIGINT AS g, []::BIGINT[] AS os, []::VARCHAR[] AS provinces
+ UNION ALL
+ SELECT i + 1, arg_min(o.g, (CASE WHEN o.g <= st.g THEN 1000000000 ELSE 0 END) + o), list_append(os, arg_min(o, (CASE WHEN o.g <= st.g THEN 1000000000 ELSE 0 END) + o)),
+  list_append(provinces, arg_min(province, (CASE WHEN o.g <= st.g THEN 1000000000 ELSE 0 END) + o))
+ FROM st JOIN o ON NOT list_contains(os, o) AND len(list_filter(provinces, lambda x: x = province)) < 2 WHERE i < 40 GROUP BY i, st.g, os, provinces),
+ch AS (SELECT unnest(os) AS o, unnest(range(1, i + 1)) AS selection_rank FROM (SELECT * FROM st ORDER BY i DESC LIMIT 1))""", """
+SELECT record_index, region, size_class, province, selection_rank::INT AS selection_rank FROM ch JOIN o USING (o)"""))
 def j14(spark, sf):
     s = J.stratified_sample(sample_units(spark, sf), 40, 2, "seed-1", ["record_index", "province", "town"])
     return s.select("record_index", "region", "size_class", "province", "selection_rank")

@@ -305,18 +305,9 @@ def e23(spark, sf):
 
 
 @query("e24_multistep_disclosure", sql("adv", "seeded", _STEP, """
-rec AS (SELECT area, step, advantage FROM sa WHERE area % 4 = 1)""", """
-SELECT a.area, coalesce(step, 1) AS step, round(coalesce(rec.advantage, primary_adv), 6) AS advantage,
- CASE WHEN step IS NULL THEN 'one_step_only' ELSE 'recorded' END AS status FROM adv a LEFT JOIN rec USING (area)"""))
-def e24(spark, sf):
-    areas = B.advantages(spark, sf).select("area", F.col("primary_adv").alias("advantage"))
-    return r6(S.multistep_disclosure(areas, step_rows(spark, sf).filter("area % 4 = 1")), "advantage")
-
-
-@query("e24_multistep_disclosure_all", sql("adv", "seeded", _STEP, """
 SELECT a.area, coalesce(step, 1) AS step, round(coalesce(sa.advantage, primary_adv), 6) AS advantage,
  CASE WHEN step IS NULL THEN 'one_step_only' ELSE 'recorded' END AS status FROM adv a LEFT JOIN sa USING (area)"""))
-def e24b(spark, sf):
+def e24(spark, sf):
     """The recorded steps of all areas; an area has none if one of the two methods is missing in the data."""
     areas = B.advantages(spark, sf).select("area", F.col("primary_adv").alias("advantage"))
     return r6(S.multistep_disclosure(areas, step_rows(spark, sf)), "advantage")

@@ -481,31 +481,44 @@ def test_leave_one_out_quantile(spark, q):
         assert got[i] == pytest.approx(np.quantile(rest, q))
 
 
-def test_stratified_sample_brute_force(spark):
-    import hashlib
-
-    rng = np.random.default_rng(9)
-    units = [(i, f"R{rng.integers(0, 3)}", ["small", "large"][rng.integers(0, 2)], f"P{rng.integers(0, 8)}") for i in range(150)]
-    key = lambda u: hashlib.sha256(f"s|{u[0]}".encode()).hexdigest()
+def walk_round_robin(units, sample_size, cap, key):
+    """One turn after the other: (id, region, size_class, province) rows."""
     groups = {}
     for u in sorted(units, key=key):
         groups.setdefault((u[1], u[2]), []).append(u)
     used, chosen, go = {}, [], True
-    while go and len(chosen) < 14:
+    while go and len(chosen) < sample_size:
         go = False
         for g in sorted(groups):
             while groups[g]:
                 u = groups[g].pop(0)
-                if used.get(u[3], 0) < 2:
+                if used.get(u[3], 0) < cap:
                     used[u[3]] = used.get(u[3], 0) + 1
                     chosen.append(u[0])
                     go = True
                     break
-            if len(chosen) >= 14:
+            if len(chosen) >= sample_size:
                 break
+    return chosen
+
+
+@pytest.mark.parametrize("seed,provinces,size,cap", [(9, 8, 14, 2), (1, 3, 100, 5), (2, 40, 60, 1), (3, 6, 25, 7), (4, 1, 10, 3), (5, 12, 1, 1)])
+def test_stratified_sample_equals_the_walk(spark, seed, provinces, size, cap):
+    import hashlib
+
+    rng = np.random.default_rng(seed)
+    units = [(i, f"R{int(rng.integers(0, 3) * rng.random())}", ["small", "large"][rng.integers(0, 2)], f"P{int(rng.integers(0, provinces) * rng.random())}")
+             for i in range(150)]
+    key = lambda u: hashlib.sha256(f"s|{u[0]}".encode()).hexdigest()
     df = spark.createDataFrame(units, "id int, region string, size_class string, province string")
-    got = J.stratified_sample(df, 14, 2, "s", ["id"]).orderBy("selection_rank").collect()
-    assert [r["id"] for r in got] == chosen
+    got = J.stratified_sample(df, size, cap, "s", ["id"]).orderBy("selection_rank").collect()
+    assert [r["id"] for r in got] == walk_round_robin(units, size, cap, key)
+    assert [r["selection_rank"] for r in got] == list(range(1, len(got) + 1))
+
+
+def test_stratified_sample_of_nothing(spark):
+    df = spark.createDataFrame([], "id int, region string, size_class string, province string")
+    assert J.stratified_sample(df, 5, 2, "s", ["id"]).count() == 0
 
 
 def test_always_baseline_rule_is_the_fallback(spark):
@@ -631,3 +644,52 @@ def test_best_conjunction_equals_brute_force(spark, seed, k):
         assert (-round(r["delta_fom"], 12), round(r["delta_err"], 12), -r["n_alternate"]) == pytest.approx(best)
         cd = [(c["axis"], c["s"]) for c in r["conditions"]]
         assert len(set.intersection(*(meets[c] for c in cd))) == r["n_alternate"]
+
+
+@pytest.mark.parametrize("seed,k,bounds", [(1, 1, (None, None)), (2, 2, (None, None)), (3, 3, (None, None)), (4, 3, (1, 2)), (5, 2, (2, None)), (6, 3, (None, 0))])
+def test_best_conjunction_of_three_fields_and_target_counts(spark, seed, k, bounds):
+    rng = np.random.default_rng(seed)
+    names, fields, n = ("base", "x"), ("f", "g", "h"), 5
+    rows = [(c, a, float(rng.integers(0, 9) / 8), float(rng.integers(0, 9) / 8), *(float(rng.integers(0, 4)) for _ in fields))
+            for c in names for a in range(n)]
+    target = [(c, a, *(float(rng.integers(0, 4)) for _ in fields)) for c in names for a in range(4)]
+    head = "candidate string, area int, "
+    df = spark.createDataFrame(rows, head + "fom double, err double, f double, g double, h double")
+    tf = spark.createDataFrame(target, head + "f double, g double, h double")
+    got = J.best_conjunction(df, "base", list(fields), k, ["fom"], ["err"], max_share=0.8, min_count=1, target=tf,
+                             target_min=bounds[0], target_max=bounds[1]).collect()
+    by = {(r[0], r[1]): r[2:] for r in rows}
+    aim = {(r[0], r[1]): r[2:] for r in target}
+    signed = lambda v, op: v if op == "le" else -v
+    conditions = sorted({(f"{c}|{f}|{op}", signed(by[c, a][2 + i], op)) for c in names for i, f in enumerate(fields) for op in ("le", "ge")
+                         for a in range(n)})
+
+    def meets(cd, table, of, skip):
+        c, f, op = cd[0].split("|")
+        return {a for a in range(of) if signed(table[c, a][skip + fields.index(f)], op) <= cd[1]}
+
+    held = {cd: (meets(cd, by, n, 2), meets(cd, aim, 4, 0)) for cd in conditions}
+    best = None
+    for size in range(1, k + 1):
+        for some in itertools.combinations(conditions, size):
+            areas = set.intersection(*(held[c][0] for c in some))
+            aims = len(set.intersection(*(held[c][1] for c in some)))
+            if not areas or len(areas) > 0.8 * n + 1e-9 or aims < (bounds[0] or 0) or (bounds[1] is not None and aims > bounds[1]):
+                continue
+            d, e = (sum(by["x", a][i] - by["base", a][i] for a in areas) / n for i in (0, 1))
+            if d >= -1e-12 and e <= 1e-12:
+                key = (-round(d, 12), round(e, 12), -len(areas), size, some, aims)
+                best = min(best, key) if best else key
+    if best is None:
+        assert got == []
+    else:
+        (r,) = got
+        assert (r["n_alternate"], r["target_count"], [tuple(c) for c in r["conditions"]]) == (-best[2], best[5], list(best[4]))
+        assert (r["delta_fom"], r["delta_err"]) == pytest.approx((-best[0], best[1]))
+
+
+def test_rule_search_tells_when_its_bitmaps_are_too_large(spark, monkeypatch):
+    monkeypatch.setattr(J, "BITMAP_BYTES", 10)
+    df = spark.createDataFrame([("base", 1, 0.1, 0.2), ("x", 1, 0.3, 0.4)], "candidate string, area int, fom double, f double")
+    with pytest.raises(ValueError, match="bytes"):
+        J.best_conjunction(df, "base", ["f"], 1, ["fom"])
