@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import n_if, ratio
-from ..session import cut_lineage
+from ..session import cut_lineage, discard, written
 from . import components
 from .cells import change_type, parcel_class
 from .ranking import attach_row, group_agg, group_rank, group_stats, join_small
@@ -54,29 +54,66 @@ def farmland_patches(parcels: DataFrame, edges: DataFrame, min_area: float) -> D
     return p.filter(F.col("area_m2") >= min_area)
 
 
+def bounded_clusters(nodes: DataFrame, edges: DataFrame, at: Sequence[str], most: int) -> DataFrame:
+    """(node, cluster): connected clusters of at most ``most`` nodes, by merging neighbours; a cluster is its least node.
+
+    Rounds of reciprocal nearest neighbours: of the adjacent clusters that fit together, each looks for the one of least
+    merging cost (the growth of the squared distances to the centroid over the ``at`` columns); two that choose each other
+    merge. Equal costs go by a hash of the two, so a chain of equal costs takes a logarithmic number of rounds. Two
+    clusters that don't fit together never will, so their edges are dropped for good; the rest contract.
+    """
+    sums = [F.sum(x).alias(x) for x in at]
+    size = written(nodes.select(F.col("node").alias("c"), F.lit(1).cast("bigint").alias("n"), *[F.col(x).cast("double").alias(x) for x in at]), "clusters")
+    member = size.select(F.col("c").alias("node"), F.col("c").alias("cluster"))
+    left = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
+    done: list[DataFrame] = []
+    while True:
+        one, two = (size.select(F.col("c").alias(k), F.col("n").alias(f"n_{k}"), *[F.col(x).alias(f"{x}_{k}") for x in at]) for k in ("a", "b"))
+        fits = left.join(one, "a").join(two, "b").filter(F.col("n_a") + F.col("n_b") <= most)
+        apart = sum((F.pow(F.col(f"{x}_a") / F.col("n_a") - F.col(f"{x}_b") / F.col("n_b"), 2.0) for x in at), F.lit(0.0))
+        cost = F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b")) * apart
+        mark = F.md5(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string")))
+        costed = written(fits.select("a", "b", F.struct(cost.alias("cost"), mark.alias("mark"), "a", "b").alias("e")), "links")
+        best = costed.select(F.explode(F.array("a", "b")).alias("c"), "e").groupBy("c").agg(F.min("e").alias("e"))
+        merged = written(best.groupBy("e").agg(F.count(F.lit(1)).alias("k")).filter("k = 2").select(F.col("e.a").alias("to"), F.col("e.b").alias("c")), "merged")
+        discard(*done)
+        if merged.isEmpty():
+            return member
+        sizes = written(size.join(merged, "c", "left").select(F.coalesce("to", "c").alias("c"), "n", *at).groupBy("c").agg(
+            F.sum("n").alias("n"), *sums), "clusters")
+        members = written(member.join(merged.withColumnRenamed("c", "cluster"), "cluster", "left").select("node", F.coalesce("to", "cluster").alias("cluster")), "members")
+        left = costed.select("a", "b")
+        for k in ("a", "b"):
+            left = left.join(merged.withColumnRenamed("c", k), k, "left").select(*(F.coalesce("to", k).alias(k) if c == k else F.col(c) for c in ("a", "b")))
+        left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+        discard(size, *([member] if done else []))
+        size, member, done = sizes, members, [costed, merged]
+
+
 def define_blocks(
-    parcels: DataFrame, edges: DataFrame, order: Sequence[str], max_parcels: int = 30, min_parcels: int = 3,
+    parcels: DataFrame, edges: DataFrame, at: Sequence[str], max_parcels: int = 30, min_parcels: int = 3,
     min_area: float = 5_000.0,
 ) -> DataFrame:
-    """Blocks of swappable parcels: components, large ones cut along ``order``, small ones dropped.
+    """Blocks of swappable parcels: components, large ones cut into connected clusters, small ones dropped.
 
-    Cutting follows the rank of the parcels in ``order`` (coordinates), in even
-    pieces of at most ``max_parcels``.
+    A component of more than ``max_parcels`` falls into ``bounded_clusters`` over the coordinates ``at``; ``piece`` is the
+    least parcel of the cluster. Every block is connected and has at most ``max_parcels`` parcels.
     """
-    comp = swappable_components(parcels, edges)
-    p = parcels.join(comp, "parcel_id")
-    st = group_stats(p, ["component"])
-    r = group_rank(p, ["component"], [*order, "parcel_id"], "_rk", st)
-    r = join_small(r, st.sizes, ["component"], st.groups)
-    pieces = F.ceil(F.col("n") / F.lit(max_parcels))
-    r = r.withColumn("piece", F.floor((F.col("_rk") - 1) * pieces / F.col("n")).cast("int"))
+    comp = cut_lineage(swappable_components(parcels, edges))
+    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    large = cut_lineage(comp.join(sizes.filter(F.col("_n") > max_parcels), "component", "left_semi"))
+    nodes = parcels.join(large.select("parcel_id"), "parcel_id", "left_semi").select(F.col("parcel_id").alias("node"), *at)
+    cut = bounded_clusters(nodes, edges_within(edges, nodes), at, max_parcels)
+    placed = comp.join(cut.select(F.col("node").alias("parcel_id"), "cluster"), "parcel_id", "left").select(
+        "parcel_id", "component", F.coalesce("cluster", "component").alias("piece"))
+    r = parcels.join(placed, "parcel_id")
     b = r.groupBy("component", "piece").agg(
         F.count(F.lit(1)).alias("n_parcels"), F.sum("area_m2").alias("block_area")
     ).filter((F.col("n_parcels") >= min_parcels) & (F.col("block_area") >= min_area))
     b = group_rank(b.withColumn("_k", F.lit(1)), ["_k"], ["component", "piece"], "_id").withColumn(
         "block", (F.col("_id") - 1)
     ).drop("_k", "_id")
-    return r.drop("_rk", "n").join(b, ["component", "piece"])
+    return r.join(b, ["component", "piece"])
 
 
 def farmland_neighbours(parcels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -36,14 +36,31 @@ def p02(spark, sf):
     return p.withColumn("area_m2", F.round("area_m2", 2))
 
 
-@query("p03_define_blocks", sql("parcels", "edges", _KIND, _CC.format(cond=_SWAP), """
-r AS (SELECT k.*, component, row_number() OVER (PARTITION BY component ORDER BY k.parcel_id) AS rk, count(*) OVER (PARTITION BY component) AS n FROM comp JOIN k USING (parcel_id)),
-pc AS (SELECT *, floor((rk-1)*ceil(n/30.0)/n)::INT AS piece FROM r),
+def _merges(n=18, most=30):
+    """The merging rounds written out; further rounds than needed change nothing."""
+    parts = [f"""
+lg AS (SELECT parcel_id, component FROM comp QUALIFY count(*) OVER (PARTITION BY component) > {most}),
+e0 AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src<>dst AND src IN (SELECT parcel_id FROM lg) AND dst IN (SELECT parcel_id FROM lg)),
+m0 AS MATERIALIZED (SELECT parcel_id, parcel_id AS c FROM lg)"""]
+    for i in range(1, n + 1):
+        parts.append(f"""
+z{i} AS MATERIALIZED (SELECT c, count(*) AS n, sum(parcel_id::DOUBLE) AS x, sum(slope::DOUBLE) AS y FROM m{i - 1} JOIN k USING (parcel_id) GROUP BY c),
+f{i} AS MATERIALIZED (SELECT a, b, p.n*q.n/(p.n+q.n) * (pow(p.x/p.n - q.x/q.n, 2) + pow(p.y/p.n - q.y/q.n, 2)) AS cost, md5(a || '|' || b) AS mark
+ FROM e{i - 1} JOIN z{i} p ON p.c=a JOIN z{i} q ON q.c=b WHERE p.n+q.n <= {most}),
+h{i} AS (SELECT c, a, b FROM (SELECT a AS c, * FROM f{i} UNION ALL SELECT b, * FROM f{i}) QUALIFY row_number() OVER (PARTITION BY c ORDER BY cost, mark, a, b) = 1),
+g{i} AS MATERIALIZED (SELECT a AS t, b AS c FROM h{i} GROUP BY a, b HAVING count(*) = 2),
+m{i} AS MATERIALIZED (SELECT parcel_id, coalesce(t, m.c) AS c FROM m{i - 1} m LEFT JOIN g{i} USING (c)),
+e{i} AS MATERIALIZED (SELECT DISTINCT least(u, v) AS a, greatest(u, v) AS b FROM (SELECT coalesce(p.t, f.a) AS u, coalesce(q.t, f.b) AS v FROM f{i} f LEFT JOIN g{i} p ON p.c=f.a LEFT JOIN g{i} q ON q.c=f.b) WHERE u<>v)""")
+    return ",".join(parts)
+
+
+@query("p03_define_blocks", sql("parcels", "edges", _KIND, _CC.format(cond=_SWAP), _merges(), """
+pc AS (SELECT comp.parcel_id, component, coalesce(m18.c, component) AS piece, area_m2 FROM comp JOIN k USING (parcel_id) LEFT JOIN m18 USING (parcel_id)),
 b AS (SELECT component, piece, count(*) AS n_parcels, sum(area_m2) AS block_area FROM pc GROUP BY ALL HAVING count(*)>=3 AND sum(area_m2)>=2000),
 i AS (SELECT *, row_number() OVER (ORDER BY component, piece) - 1 AS block FROM b)""", """
 SELECT pc.parcel_id, pc.component, pc.piece, i.block, i.n_parcels FROM pc JOIN i USING (component, piece)"""))
 def p03(spark, sf):
-    b = P.define_blocks(B.parcels(spark, sf), B.edges(spark, sf), ["parcel_id"], 30, 3, 2000.0)
+    b = P.define_blocks(B.parcels(spark, sf).withColumn("x", F.col("parcel_id")), B.edges(spark, sf), ["x", "slope"], 30, 3, 2000.0)
     return b.select("parcel_id", "component", "piece", "block", "n_parcels")
 
 

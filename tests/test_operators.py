@@ -693,3 +693,37 @@ def test_rule_search_tells_when_its_bitmaps_are_too_large(spark, monkeypatch):
     df = spark.createDataFrame([("base", 1, 0.1, 0.2), ("x", 1, 0.3, 0.4)], "candidate string, area int, fom double, f double")
     with pytest.raises(ValueError, match="bytes"):
         J.best_conjunction(df, "base", ["f"], 1, ["fom"])
+
+
+def test_blocks_are_connected_and_bounded(spark):
+    """A U of two long arms, a path of equal steps, a grid and a star, as components of one table."""
+    rng, most = np.random.default_rng(3), 10
+    at, edges = [], []
+
+    def add(points, links):
+        edges.extend((len(at) + a, len(at) + b) for a, b in links)
+        at.extend(points)
+
+    add([(0.0, y) for y in range(20)] + [(1.0, y) for y in range(19, -1, -1)], [(i, i + 1) for i in range(39)])
+    add([(float(i), 50.0) for i in range(50)], [(i, i + 1) for i in range(49)])
+    add([(float(x), 99.0 + y) for x in range(8) for y in range(8)],
+        [(8 * x + y, 8 * u + v) for x in range(8) for y in range(8) for u, v in ((x + 1, y), (x, y + 1)) if u < 8 and v < 8])
+    add([tuple(200 + rng.random(2)) for _ in range(30)], [(0, i) for i in range(1, 30)])
+    p = spark.createDataFrame([(i, "0110", float(x), float(y), 1000.0) for i, (x, y) in enumerate(at)],
+                              "parcel_id bigint, dlbm string, x double, y double, area_m2 double")
+    e = spark.createDataFrame([*edges, edges[0][::-1], edges[0]], "src bigint, dst bigint")
+    got = P.define_blocks(p.repartition(5), e, ["x", "y"], most, 1, 0.0).collect()
+    assert sorted(r["parcel_id"] for r in got) == list(range(len(at)))
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r["block"], set()).add(r["parcel_id"])
+    for members in blocks.values():
+        seen, todo = set(), [min(members)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [b if a == x else a for a, b in edges if x in (a, b) and {a, b} <= members]
+        assert seen == members and len(members) <= most
+    of = {x: b for b, members in blocks.items() for x in members}
+    assert all(of[a] == of[b] or len(blocks[of[a]] | blocks[of[b]]) > most for a, b in edges)  # nothing more fits together
