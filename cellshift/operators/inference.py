@@ -7,14 +7,16 @@ cluster before any replicate is made.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import finite, hash_unit, n_if, stable_hash
@@ -24,6 +26,8 @@ Z_975 = 1.959963984540054  # fixed values: normal quantiles at 0.975 and 0.80
 Z_80 = 0.8416212335729143
 
 
+CHUNK = 50  # replicates of a key that a task makes at once
+DROPS = 256  # clusters of a key whose intervals a task makes at once
 ARRAY_CLUSTERS = 20_000  # clusters of a key that one replicate draws from an array; more are joined by number
 
 
@@ -51,26 +55,64 @@ def _draws(idx: DataFrame, sizes: DataFrame, groups: int, keys: Sequence[str], n
     return reps.withColumn("_d", (F.floor(u * (F.col("_sz") - minus)) + 1).cast("bigint"))
 
 
+def _packed(idx: DataFrame, keys: Sequence[str], *more: str) -> DataFrame:
+    """One row per key: its clusters' totals (_t), sizes (_m) and ``more`` columns as arrays in cluster order."""
+    one = F.struct("_i", F.col("total").cast("double").alias("t"), F.col("n").cast("double").alias("m"), *more)
+    rows = idx.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("_all"))
+    return rows.select(*keys, *(
+        F.col(f"_all.{c}").alias(n) for c, n in (("t", "_t"), ("m", "_m"), *((c, c) for c in more))))
+
+
+def _units(seed: int, replicate: int, n: int) -> np.ndarray:
+    """``hash_unit(seed, replicate, i)`` for i = 1..n."""
+    md5, head = hashlib.md5, f"{seed}|{replicate}|"
+    return np.array([int(md5(f"{head}{i}".encode()).hexdigest()[:8], 16) for i in range(1, n + 1)], float) / 4294967296.0
+
+
+def _doubles(column: pa.Array, row: int) -> np.ndarray:
+    return np.asarray(column[row].values, float)
+
+
 def replicate_means(
     cl: DataFrame, keys: Sequence[str], cluster: str, n_boot: int, seed: int
 ) -> DataFrame:
-    """Pooled mean per replicate: sum of drawn totals over sum of drawn sizes."""
+    """Pooled mean per replicate: sum of drawn totals over sum of drawn sizes.
+
+    A task takes a chunk of replicates of a key and its clusters as arrays; the draws of a replicate are made once for all
+    keys of the batch.
+    """
+    keys = list(keys)
     idx, sizes, groups = _indexed(cl, keys, cluster)
     most = sizes.agg(F.max("_sz")).first()[0] or 0
     if most <= ARRAY_CLUSTERS:
-        packed = idx.groupBy(*keys).agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("_i", F.col("total").cast("double").alias("t"), F.col("n").cast("double").alias("m")))),
-            lambda x: F.struct(x["t"].alias("t"), x["m"].alias("m"))).alias("_all"))
-        reps = packed.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // 50)))).select(
-            *keys, "_all", F.explode(F.sequence(F.col("_chunk") * 50 + 1, F.least(F.col("_chunk") * 50 + 50, F.lit(n_boot)))).alias("_b"))
-        k = F.size("_all")
-
-        def add(acc: Column, i: Column) -> Column:
-            d = F.get(F.col("_all"), F.floor(hash_unit(seed, "_b", i) * k).cast("int"))
-            return F.struct((acc["t"] + d["t"]).alias("t"), (acc["m"] + d["m"]).alias("m"))
-
-        zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("m"))
-        return reps.select(*keys, "_b", F.aggregate(F.sequence(F.lit(1), k), zero, add, lambda a: a["t"] / a["m"]).alias("mean"))
+        packed = _packed(idx, keys)
+        chunks = packed.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit((n_boot - 1) // CHUNK))))
+        chunks = chunks.repartition((n_boot - 1) // CHUNK + 1, "_chunk")  # small rows, much work: a fixed number of tasks
+        shape = StructType([packed.schema[k] for k in keys]).add("_b", "integer").add("mean", "double")
+
+        def run(batches):
+            chunk, units = None, {}
+            for b in batches:
+                t, m, at = (b.column(b.schema.get_field_index(c)) for c in ("_t", "_m", "_chunk"))
+                row, rep, mean = [], [], []
+                for r in range(b.num_rows):
+                    total, size = _doubles(t, r), _doubles(m, r)
+                    n = len(total)
+                    if at[r].as_py() != chunk:
+                        chunk, units = at[r].as_py(), {}
+                    for k in range(chunk * CHUNK + 1, min(chunk * CHUNK + CHUNK, n_boot) + 1):
+                        if len(units.get(k, ())) < n:
+                            units[k] = _units(seed, k, n)
+                        d = (units[k][:n] * n).astype(np.int64)
+                        row.append(r)
+                        rep.append(k)
+                        mean.append(total[d].sum() / size[d].sum())
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(b.column(b.schema.get_field_index(k)).take(take) for k in keys), pa.array(rep, pa.int32()), pa.array(mean, pa.float64())],
+                    names=[*keys, "_b", "mean"])
+
+        return chunks.mapInArrow(run, shape)
     draws = _draws(idx, sizes, groups, keys, n_boot, seed).select(*keys, "_b", F.col("_d").alias("_i"))
     # count repeated draws first, so each cluster is joined once per replicate
     tally = draws.groupBy(*keys, "_b", "_i").agg(F.count(F.lit(1)).alias("_c"))
@@ -113,12 +155,46 @@ def leave_one_out_bootstrap(
     """Bootstrap interval with each cluster dropped in turn.
 
     All drops share the draws among k-1 slots: dropping cluster d moves the slots
-    from d upwards by one.  Prefix sums over the slots then give every drop of a
-    replicate from k rows, instead of k resamplings of k-1 clusters.
+    from d upwards by one.  Prefix sums over the counted draws then give every drop
+    of a replicate at once, instead of k resamplings of k-1 clusters. A task takes a
+    block of drops of a key with all replicates, so only the intervals leave it.
     """
     keys = list(keys)
     cl = clusters(rows, keys, cluster, value)
     idx, sizes, groups = _indexed(cl, keys, cluster)
+    if (sizes.agg(F.max("_sz")).first()[0] or 0) <= ARRAY_CLUSTERS:
+        packed = _packed(idx.withColumn("dropped", F.col(cluster)), keys, "dropped")
+        last = F.greatest(F.lit(0), F.ceil(F.size("dropped") / F.lit(DROPS)).cast("int") - 1)
+        blocks = packed.withColumn("_block", F.explode(F.sequence(F.lit(0), last)))
+        blocks = blocks.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys, "_block")
+        shape = StructType([packed.schema[k] for k in keys]).add("dropped", packed.schema["dropped"].dataType.elementType)
+        shape = shape.add("ci_low", "double").add("ci_high", "double")
+
+        def run(batches):
+            for b in batches:
+                t, m, names, block = (b.column(b.schema.get_field_index(c)) for c in ("_t", "_m", "dropped", "_block"))
+                for r in range(b.num_rows):
+                    total, size = _doubles(t, r), _doubles(m, r)
+                    n, first = len(total), block[r].as_py() * DROPS
+                    if n < 2:
+                        continue
+                    to = min(first + DROPS, n)
+                    means = np.empty((n_boot, to - first))
+                    for k in range(n_boot):
+                        c = np.bincount((_units(seed, k + 1, n - 1) * (n - 1)).astype(np.int64), minlength=n - 1)
+                        sums = []
+                        for v in (total, size):
+                            below = np.concatenate([[0.0], np.cumsum(c * v[:-1])])  # slots before the dropped one as drawn
+                            moved = np.concatenate([[0.0], np.cumsum(c * v[1:])])  # the others moved up by one
+                            sums.append(below + (moved[-1] - moved))
+                        means[k] = (sums[0] / sums[1])[first:to]
+                    low, high = np.quantile(means, [0.025, 0.975], axis=0)
+                    take = pa.array(np.full(to - first, r))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(b.column(b.schema.get_field_index(x)).take(take) for x in keys), names[r].values.slice(first, to - first),
+                         pa.array(low), pa.array(high)], names=shape.names)
+
+        return blocks.mapInArrow(run, shape)
     draws = _draws(idx, sizes, groups, keys, n_boot, seed, minus=1)
     tally = draws.groupBy(*keys, "_b", F.col("_d").alias("_i")).agg(F.count(F.lit(1)).alias("_c"))
     slots = idx.select(*keys, "_i", cluster, "total", "n")
