@@ -480,6 +480,50 @@ def oracle_best(rows: DataFrame, order: Sequence[tuple[str, bool]]) -> DataFrame
     return rows.groupBy("area").agg(best).select("area", F.col("_b.candidate").alias("best"))
 
 
+AUDIT_METRICS = (("fom", True), ("change_f1", True), ("transition_accuracy", True), ("allocation_disagreement", False))
+
+
+def bank_contingency(cells: DataFrame, area: str, candidates: dict[str, str], nodata: int = 0) -> DataFrame:
+    """(candidate, area, start_cls, end_cls, pred_cls, n) of a bank of predictions: all that its metrics need of the cells.
+
+    Cells without start, end or predicted class count for no metric of that candidate.
+    """
+    cont = M.method_contingency(cells, [area], candidates).withColumnRenamed("method", "candidate")
+    known = [F.col(c) != nodata for c in ("start_cls", "end_cls", "pred_cls")]
+    return cont.filter(known[0] & known[1] & known[2])
+
+
+def composite_metrics(cont: DataFrame, decisions: DataFrame, area: str = "area") -> DataFrame:
+    """Metrics per area of the prediction that takes each area from the candidate decided on: (area, candidate, metrics).
+
+    ``decisions`` is (area, candidate). Only contingency rows are read, so any number of rules costs no pass over cells.
+    """
+    chosen = cont.join(decisions.select(area, "candidate"), [area, "candidate"])
+    return M.metric_row(chosen, [area, "candidate"])
+
+
+def bank_audit(cont: DataFrame, area: str = "area", order: Sequence[tuple[str, bool]] = AUDIT_METRICS) -> DataFrame:
+    """Metrics of every candidate and area, its predicted change, and whether it is the area's best (``is_best``).
+
+    Best by the metrics in turn as in ``oracle_best``, then the first candidate by name.
+    """
+    rows = M.metric_row(cont, [area, "candidate"])
+    moved = cont.groupBy(area, "candidate").agg(
+        (F.sum(F.when(F.col("pred_cls") != F.col("start_cls"), F.col("n")).otherwise(0)) / F.sum("n")).alias("predicted_change_fraction"))
+    best = oracle_best(rows.withColumnRenamed(area, "area"), order).withColumnRenamed("area", area)
+    return rows.join(moved, [area, "candidate"]).join(best, area).withColumn("is_best", F.col("candidate") == F.col("best")).drop("best")
+
+
+def bank_headroom(audit: DataFrame, metrics: Sequence[tuple[str, bool]] = AUDIT_METRICS) -> DataFrame:
+    """Per candidate its mean metrics, how many areas it is best in, and what always taking the best would gain."""
+    means = [F.avg(m).alias(f"mean_{m}") for m, _ in metrics]
+    by = audit.groupBy("candidate").agg(F.count(F.lit(1)).alias("n_areas"), n_if(F.col("is_best")).alias("n_best"), *means)
+    top = audit.filter("is_best").agg(*[F.avg(m).alias(f"oracle_{m}") for m, _ in metrics])
+    out = attach_row(by, top)
+    return out.withColumns({
+        f"headroom_{m}": (F.col(f"oracle_{m}") - F.col(f"mean_{m}")) * F.lit(1 if up else -1) for m, up in metrics})
+
+
 def split_areas(areas: DataFrame, fraction: float, seed: int) -> DataFrame:
     """Mark hash-chosen calibration areas: at least one if the fraction is positive, never all."""
     if not 0.0 <= fraction < 1.0:

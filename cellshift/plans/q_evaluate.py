@@ -54,6 +54,8 @@ _ALLOC = """
 am AS (SELECT g.area, g.start_cls, g.end_cls, g.pred_cls, coalesce(chg.alloc_cls, g.start_cls) AS alloc_cls FROM grid g LEFT JOIN chg USING (area, row, col)),
 m AS (SELECT 'direct' AS method, area, start_cls, end_cls, pred_cls AS p FROM am UNION ALL SELECT 'persistence', area, start_cls, end_cls, start_cls FROM am
  UNION ALL SELECT 'allocated', area, start_cls, end_cls, alloc_cls FROM am),
+"""
+METRIC_ROWS = """
 mb AS (SELECT method, area, count(*) AS n_cells, sum((end_cls<>start_cls AND p<>start_cls)::INT) AS tp, sum((end_cls=start_cls AND p<>start_cls)::INT) AS fp,
  sum((end_cls<>start_cls AND p=start_cls)::INT) AS fn, sum((end_cls<>start_cls AND p=end_cls)::INT) AS hit,
  sum((end_cls<>start_cls OR p<>start_cls)::INT) AS un, sum((end_cls<>start_cls)::INT) AS tr, sum((end_cls=p)::INT) AS ok FROM m GROUP BY ALL),
@@ -62,7 +64,7 @@ mq AS (SELECT method, area, sum(abs(t - p)) / (2.0 * sum(t))::DOUBLE AS q FROM (
 mr AS (SELECT *, CASE WHEN tp+fp=0 THEN 0.0 ELSE tp/(tp+fp) END::DOUBLE AS pr, CASE WHEN tp+fn=0 THEN 0.0 ELSE tp/(tp+fn) END::DOUBLE AS rc FROM mb JOIN mq USING (method, area))"""
 
 
-@query("e22_allocation_evaluation", sql("grid", _SUIT, _STAY, _GREEDY, _rounds(), _ALLOC, """
+@query("e22_allocation_evaluation", sql("grid", _SUIT, _STAY, _GREEDY, _rounds(), _ALLOC + METRIC_ROWS, """
 SELECT method, area, n_cells, round(pr, 6) AS change_precision, round(rc, 6) AS change_recall, round(CASE WHEN pr+rc=0 THEN 0.0 ELSE 2*pr*rc/(pr+rc) END, 6) AS change_f1,
  round(CASE WHEN un=0 THEN 1.0 ELSE hit/un END::DOUBLE, 6) AS fom, round(CASE WHEN tr=0 THEN 1.0 ELSE hit/tr END::DOUBLE, 6) AS transition_accuracy,
  round(q, 6) AS quantity_disagreement, round(greatest(0.0, (1.0 - ok/n_cells) - q)::DOUBLE, 6) AS allocation_disagreement FROM mr"""))

@@ -15,6 +15,7 @@ from . import bindings as B
 from .q_catalog import _BOXD, _SIZE, attributes, boxes
 from .q_gates import _SC, scored
 from .q_mapmetrics import METRIC_COLS
+from .q_evaluate import METRIC_ROWS as _METRIC_ROWS
 from .registry import query, sql
 
 AREA = ["area"]
@@ -337,6 +338,56 @@ def j12(spark, sf):
     return J.oracle_best(candidates(spark, sf), [("fom", True), ("change_f1", True), ("allocation_disagreement", False)])
 
 
+BANK = {"direct": "pred_cls", "halfway": "half_cls", "persistence": "start_cls"}
+_BANK = """
+gh AS (SELECT *, CASE WHEN row % 2 = 0 THEN pred_cls ELSE start_cls END AS half_cls FROM grid),
+am AS (SELECT * FROM gh),
+m AS (SELECT * FROM (SELECT 'direct' AS method, area, start_cls, end_cls, pred_cls AS p FROM am UNION ALL SELECT 'halfway', area, start_cls, end_cls, half_cls FROM am
+ UNION ALL SELECT 'persistence', area, start_cls, end_cls, start_cls FROM am) WHERE start_cls<>0 AND end_cls<>0 AND p<>0),""" + _METRIC_ROWS + """,
+bk AS (SELECT method AS candidate, area, n_cells, CASE WHEN pr+rc=0 THEN 0.0 ELSE 2*pr*rc/(pr+rc) END AS change_f1, CASE WHEN un=0 THEN 1.0 ELSE hit/un END::DOUBLE AS fom,
+ CASE WHEN tr=0 THEN 1.0 ELSE hit/tr END::DOUBLE AS transition_accuracy, greatest(0.0, (1.0 - ok/n_cells) - q)::DOUBLE AS allocation_disagreement, (tp + fp)/n_cells AS change FROM mr),
+au AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY round(fom, 12) DESC, round(change_f1, 12) DESC, round(transition_accuracy, 12) DESC,
+ round(allocation_disagreement, 12), candidate) = 1 AS is_best FROM bk)"""
+BANK_METRICS = ("fom", "change_f1", "transition_accuracy", "allocation_disagreement")
+
+
+def bank(spark, sf):
+    g = B.grid(spark, sf).withColumn("half_cls", F.when(F.col("row") % 2 == 0, F.col("pred_cls")).otherwise(F.col("start_cls")))
+    return J.bank_contingency(g, "area", BANK)
+
+
+@query("j11_applied_metrics", sql("grid", _BANK, _FEAT, """
+SELECT rule.area, use_alternate, bk.candidate, round(bk.fom, 6) AS fom, round(bk.change_f1, 6) AS change_f1, round(bk.transition_accuracy, 6) AS transition_accuracy,
+ round(bk.allocation_disagreement, 6) AS allocation_disagreement, round(bk.fom - d.fom, 6) AS gain_fom
+FROM rule JOIN bk ON bk.area=rule.area AND bk.candidate=CASE WHEN use_alternate THEN 'persistence' ELSE 'direct' END JOIN bk d ON d.area=rule.area AND d.candidate='direct'"""))
+def j11c(spark, sf):
+    """The rule applied to the bank: metrics of the composite per area and what it gains over the baseline candidate."""
+    decided = J.apply_rule(target_features(spark, sf), RULE).select(
+        "area", "use_alternate", F.when(F.col("use_alternate"), "persistence").otherwise("direct").alias("candidate"))
+    cont_ = bank(spark, sf)
+    got = J.composite_metrics(cont_, decided).join(decided, ["area", "candidate"])
+    base = J.composite_metrics(cont_, decided.select("area", F.lit("direct").alias("candidate"))).select("area", F.col("fom").alias("base"))
+    out = got.join(base, "area").withColumn("gain_fom", F.col("fom") - F.col("base"))
+    return r6(out, *BANK_METRICS, "gain_fom").select("area", "use_alternate", "candidate", *BANK_METRICS, "gain_fom")
+
+
+@query("j12_bank_audit", sql("grid", _BANK, """
+SELECT area, candidate, round(fom, 6) AS fom, round(change_f1, 6) AS change_f1, round(transition_accuracy, 6) AS transition_accuracy,
+ round(allocation_disagreement, 6) AS allocation_disagreement, round(change, 6) AS predicted_change_fraction, is_best FROM au"""))
+def j12b(spark, sf):
+    a = J.bank_audit(bank(spark, sf))
+    return r6(a, *BANK_METRICS, "predicted_change_fraction").select("area", "candidate", *BANK_METRICS, "predicted_change_fraction", "is_best")
+
+
+@query("j12_bank_headroom", sql("grid", _BANK, """
+o AS (SELECT avg(fom) AS f, avg(change_f1) AS c, avg(transition_accuracy) AS t, avg(allocation_disagreement) AS a FROM au WHERE is_best)""", """
+SELECT candidate, count(*) AS n_areas, sum(is_best::INT)::BIGINT AS n_best, round(any_value(o.f) - avg(fom), 6) AS headroom_fom, round(any_value(o.c) - avg(change_f1), 6) AS headroom_change_f1,
+ round(any_value(o.t) - avg(transition_accuracy), 6) AS headroom_transition_accuracy, round(avg(allocation_disagreement) - any_value(o.a), 6) AS headroom_allocation_disagreement FROM au, o GROUP BY candidate"""))
+def j12c(spark, sf):
+    h = [f"headroom_{m}" for m in BANK_METRICS]
+    return r6(J.bank_headroom(J.bank_audit(bank(spark, sf))), *h).select("candidate", "n_areas", "n_best", *h)
+
+
 @query("j13_split_areas", sql("areas", """
 r AS (SELECT area, row_number() OVER (ORDER BY md5('4|' || area), area) AS rk, count(*) OVER () AS n FROM areas)""", """
 SELECT area, rk <= least(greatest(0, greatest(1, round_even(n*0.3::DOUBLE, 0))), greatest(0, n-1)) AS calibration FROM r"""))
