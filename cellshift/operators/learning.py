@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -13,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_unit
-from .ranking import attach_row
 
 
 def with_folds(rows: DataFrame, unit: Sequence[str], k: int, seed: int) -> DataFrame:
@@ -48,47 +49,176 @@ def decode(model, cells: DataFrame, vec: str) -> DataFrame:
     )
 
 
-def decoder_cv(
-    rows: DataFrame, unit: Sequence[str], vec: str, cls: str, k: int = 5, seed: int = 42, max_iter: int = 1000
+MODEL_BYTES = 1 << 26  # parameters of all models of one joint fit, sent to every task each round
+
+
+DIRECT_BYTES = 1 << 26  # partial sums of all tasks that the driver adds up itself; more are summed in Spark first
+
+
+class _Search:
+    """L-BFGS of one model, driven by values and gradients that arrive one at a time; minimises the penalised loss."""
+
+    def __init__(self, size: int, memory: int = 10):
+        self.x = self.trial = np.zeros(size)
+        self.f, self.g, self.t, self.done, self.memory = np.inf, np.zeros(size), 1.0, False, memory
+        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def tell(self, f: float, g: np.ndarray, tol: float) -> None:
+        """Take the value at ``trial``; the next trial is a shorter step, or one along a new direction."""
+        if np.isfinite(self.f) and f > self.f + 1e-4 * self.t * self.slope:
+            self.t /= 2
+            self.done = self.t < 1e-10
+        else:
+            step, turn = self.trial - self.x, g - self.g
+            if np.isfinite(self.f) and step @ turn > 0:
+                self.pairs = [*self.pairs, (step, turn)][-self.memory :]
+            self.done = np.isfinite(self.f) and abs(self.f - f) <= tol * max(abs(f), 1.0)
+            self.x, self.f, self.g, self.t = self.trial, f, g, 1.0
+            self.p = -self._inverse(g)
+            if not self.pairs:
+                self.t = min(1.0, 1.0 / max(np.abs(g).sum(), 1e-300))
+            self.slope = float(g @ self.p)
+            self.done = self.done or self.slope > -1e-300
+        self.trial = self.x + self.t * self.p
+
+    def _inverse(self, g: np.ndarray) -> np.ndarray:
+        q, kept = g.copy(), []
+        for s, y in reversed(self.pairs):
+            a = (s @ q) / (s @ y)
+            q -= a * y
+            kept.append(a)
+        if self.pairs:
+            s, y = self.pairs[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y), a in zip(self.pairs, reversed(kept)):
+            q += s * (a - (y @ q) / (s @ y))
+        return q
+
+
+def _probabilities(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    z = x @ theta[:-1] + theta[-1]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True)
+
+
+def fit_folds(data: DataFrame, group: str, vec: str, cls: str, classes: Sequence[int], groups: Sequence, k: int,
+              max_rounds: int = 1000, c: float = 1.0, tol: float = 1e-7) -> dict[tuple, np.ndarray]:
+    """Parameters ((dimension + 1) x classes) of a multinomial logistic regression for every (group value, fold left out).
+
+    ``data`` has ``fold`` 0..k-1. All models share the rounds of one joint L-BFGS: in a round each task adds its rows'
+    part to the gradients of its groups' models, k - 1 of k folds each; model-sized blocks are summed, by a shuffle
+    where there are many. Every model has its own step and history on the driver and leaves when it has converged, so the number of
+    rounds is that of the slowest model, not of all together. ``c`` weighs the data against the L2 penalty on the weights.
+    """
+    place = {y: i for i, y in enumerate(classes)}
+    dim = data.select(F.max(F.size(vec))).first()[0]
+    shape = (dim + 1, len(classes))
+    if 8 * shape[0] * shape[1] * len(groups) * k > MODEL_BYTES:
+        raise ValueError(f"{len(groups) * k} models of {shape[0] * shape[1]} parameters exceed {MODEL_BYTES} bytes; fit fewer groups at once")
+    rows = data.select(group, "fold", cls, vec).persist()
+    spark, models = data.sparkSession, {(g, f): _Search(shape[0] * shape[1]) for g in groups for f in range(k)}
+
+    def parts(theta: dict):
+        def run(batches):
+            sums: dict[tuple, np.ndarray] = {}
+            for b in batches:
+                of, fold, label = (np.array(b.column(i).to_pylist(), object) for i in range(3))
+                x = np.asarray(b.column(3).flatten(), float).reshape(b.num_rows, -1)
+                y = np.array([place[v] for v in label], int)
+                for g in set(of.tolist()):
+                    mine = of == g
+                    for f in range(k):
+                        t = theta.get((g, f))
+                        at = np.flatnonzero(mine & (fold != f))
+                        if t is None or not len(at):
+                            continue
+                        p = _probabilities(x[at], t)
+                        loss = -np.log(np.maximum(p[np.arange(len(at)), y[at]], 1e-300)).sum()
+                        p[np.arange(len(at)), y[at]] -= 1.0
+                        part = np.concatenate([[loss], np.vstack([x[at].T @ p, p.sum(axis=0)]).ravel()])
+                        sums[g, f] = sums[g, f] + part if (g, f) in sums else part
+            if sums:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([names.index(m) for m in sums], pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+                    names=["model", "sums"])
+        return run
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for m, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                v = np.frombuffer(raw.as_buffer(), float)
+                sums[m] = sums[m] + v if m in sums else v
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["model", "sums"])
+
+    names, tasks, bytes_each = list(models), rows.rdd.getNumPartitions(), 8 * shape[0] * shape[1]
+    for _ in range(max_rounds):
+        open_ = {m: s.trial.reshape(shape) for m, s in models.items() if not s.done}
+        if not open_:
+            break
+        block = rows.mapInArrow(parts(open_), "model int, sums binary")
+        if tasks * len(open_) * bytes_each > DIRECT_BYTES:
+            block = block.repartition(min(len(open_), 1000), "model").mapInArrow(add, "model int, sums binary")
+        got: dict[tuple, np.ndarray] = {}
+        for r in block.collect():
+            v = np.frombuffer(r["sums"], float)
+            got[names[r.model]] = got[names[r.model]] + v if names[r.model] in got else v
+        for m, s in models.items():
+            if m in open_:
+                if m not in got:  # no rows to learn from
+                    s.done = True
+                    continue
+                w = open_[m].copy()
+                w[-1] = 0.0  # no penalty on the intercepts
+                s.tell(float(got[m][0] + (w * w).sum() / (2 * c)), got[m][1:] + w.ravel() / c, tol)
+    rows.unpersist()
+    return {m: s.x.reshape(shape) for m, s in models.items()}
+
+
+def fold_scores(
+    rows: DataFrame, group: str, unit: Sequence[str], vec: str, cls: str, k: int = 5, seed: int = 42, max_rounds: int = 1000,
 ) -> DataFrame:
-    """Accuracy and macro-F1 per hash fold."""
+    """(group, fold, accuracy, n_test, macro_f1) of a decoder for every group value and hash fold, all fitted in one joint fit."""
     data = with_folds(rows, unit, k, seed)
-    out = []
-    for f in range(k):
-        train, test = data.filter(F.col("fold") != f), data.filter(F.col("fold") == f)
-        pred = decode(fit_decoder(train, vec, cls, max_iter), test, vec).select(
-            F.col(cls).cast("double").alias("label"), F.col("decoded_cls").cast("double").alias("prediction")
-        )
-        counts = pred.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-        out.append(_fold_scores(counts).withColumn("fold", F.lit(f)))
-    scores = out[0]
-    for o in out[1:]:
-        scores = scores.unionByName(o)
-    return scores
-
-
-def _fold_scores(counts: DataFrame) -> DataFrame:
-    """Accuracy and macro-F1 from a confusion table."""
-    from .mapmetrics import confusion_report
-
-    c = counts.select(
-        F.col("label").cast("int").alias("true_cls"), F.col("prediction").cast("int").alias("pred_cls"), "n"
-    )
-    macro = confusion_report(c)[1].agg(F.avg("f1").alias("macro_f1"))
-    hit = F.sum(F.when(F.col("true_cls") == F.col("pred_cls"), F.col("n")).otherwise(0))
-    acc = c.agg((hit / F.sum("n")).alias("accuracy"), F.sum("n").alias("n_test"))
-    return attach_row(acc, macro)
+    groups = sorted(r[0] for r in data.select(group).distinct().collect())  # a short list of models, checked in the fit
+    classes = sorted(r[0] for r in data.select(cls).distinct().collect())
+    theta = fit_folds(data, group, vec, cls, classes, groups, k, max_rounds)
+    kind = data.schema[group].dataType.simpleString()
+
+    def decode_own(batches):
+        for b in batches:
+            of, fold = b.column(0).to_pylist(), b.column(1).to_pylist()
+            x = np.asarray(b.column(3).flatten(), float).reshape(b.num_rows, -1)
+            got = np.zeros(b.num_rows, np.int64)
+            for m in set(zip(of, fold)):
+                at = np.flatnonzero([p == m for p in zip(of, fold)])
+                got[at] = np.array(classes)[_probabilities(x[at], theta[m]).argmax(axis=1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(got, pa.int32())], names=[group, "fold", "true_cls", "pred_cls"])
+
+    told = data.select(group, "fold", F.col(cls).cast("int").alias(cls), vec).mapInArrow(
+        decode_own, f"`{group}` {kind}, fold int, true_cls int, pred_cls int")
+    counts = told.groupBy(group, "fold", "true_cls", "pred_cls").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col("true_cls") == F.col("pred_cls"), F.col("n")).otherwise(0)
+    sides = counts.select(group, "fold", F.inline(F.array(
+        F.struct(F.col("true_cls").alias("cls"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("p"), hit.cast("bigint").alias("h")),
+        F.struct(F.col("pred_cls").alias("cls"), F.lit(0).cast("bigint").alias("t"), F.col("n").alias("p"), F.lit(0).cast("bigint").alias("h")),
+    ))).groupBy(group, "fold", "cls").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), F.sum("h").alias("h"))
+    return sides.groupBy(group, "fold").agg(
+        (F.sum("h") / F.sum("t")).alias("accuracy"), F.sum("t").alias("n_test"), F.avg(2 * F.col("h") / (F.col("t") + F.col("p"))).alias("macro_f1"))
 
 
-def decoder_by_year(rows: DataFrame, years: Sequence[int], unit: Sequence[str], vec: str, cls: str, **kw) -> DataFrame:
-    """``decoder_cv`` averaged per year; years are a short list of separate models."""
-    out = None
-    for y in years:
-        cv = decoder_cv(rows.filter(F.col("year") == y), unit, vec, cls, **kw).agg(
-            F.avg("accuracy").alias("cv_accuracy"), F.avg("macro_f1").alias("cv_macro_f1")
-        ).withColumn("year", F.lit(y))
-        out = cv if out is None else out.unionByName(cv)
-    return out
+def decoder_cv(
+    rows: DataFrame, unit: Sequence[str], vec: str, cls: str, k: int = 5, seed: int = 42, max_rounds: int = 1000
+) -> DataFrame:
+    """Accuracy and macro-F1 per hash fold; the folds are fitted together."""
+    return fold_scores(rows.withColumn("_all", F.lit(0)), "_all", unit, vec, cls, k, seed, max_rounds).drop("_all")
+
+
+def decoder_by_year(rows: DataFrame, unit: Sequence[str], vec: str, cls: str, **kw) -> DataFrame:
+    """``decoder_cv`` averaged per year; the models of all years and folds are fitted together."""
+    return fold_scores(rows, "year", unit, vec, cls, **kw).groupBy("year").agg(
+        F.avg("accuracy").alias("cv_accuracy"), F.avg("macro_f1").alias("cv_macro_f1"))
 
 
 def accuracy(pred: DataFrame, label: str, prediction: str) -> float:

@@ -727,3 +727,30 @@ def test_blocks_are_connected_and_bounded(spark):
         assert seen == members and len(members) <= most
     of = {x: b for b, members in blocks.items() for x in members}
     assert all(of[a] == of[b] or len(blocks[of[a]] | blocks[of[b]]) > most for a, b in edges)  # nothing more fits together
+
+
+def test_joint_fit_of_folds_equals_separate_fits(spark):
+    from cellshift.operators import learning as L
+
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(240):
+        cls = int(rng.integers(0, 3))
+        rows.append((i, 2000 + i % 2, cls, (rng.normal(size=4) + 1.2 * np.eye(4)[cls] + (i % 2)).tolist()))
+    df = spark.createDataFrame(rows, "i int, year int, cls int, z array<double>").repartition(3)
+    data = L.with_folds(df, ["i"], 3, 5)
+    theta = L.fit_folds(data, "year", "z", "cls", [0, 1, 2], [2000, 2001], 3, tol=1e-12)
+    held = [(r.year, r.fold, r.cls, np.array(r.z)) for r in data.collect()]
+    for (year, fold), t in theta.items():
+        own = [(c, z) for y, f, c, z in held if y == year and f != fold]
+        x, y = np.array([z for _, z in own]), np.eye(3)[[c for c, _ in own]]
+        r = L._probabilities(x, t) - y
+        residual = np.vstack([x.T @ r + t[:-1], r.sum(axis=0)])  # the gradient of the penalised loss
+        assert np.abs(residual).max() < 1e-3
+    train = data.filter("year = 2000 and fold <> 1")
+    one = L.decode(L.fit_decoder(train, "z", "cls"), data.filter("year = 2000 and fold = 1"), "z").select("i", "decoded_cls").collect()
+    mine = {r.i: np.array(r.z) for r in data.collect()}
+    same = [int(L._probabilities(mine[r.i][None], theta[2000, 1]).argmax()) == r.decoded_cls for r in one]
+    assert np.mean(same) > 0.97
+    scores = L.fold_scores(df, "year", ["i"], "z", "cls", 3, 5).collect()
+    assert len(scores) == 6 and sum(r.n_test for r in scores) == 240 and min(r.accuracy for r in scores) > 0.4
