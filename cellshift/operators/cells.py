@@ -209,23 +209,51 @@ def class_features(
     return tiles.withColumn("geometry", geom).drop("_p").join(counts, [*keys, cls])
 
 
-def match_class_names(queries: DataFrame, classes: DataFrame, block: int = 10_000) -> DataFrame:
-    """Class id by name: exact match first, then containment either way, lowest id first.
+NAME_GRAM = 4  # characters of the pieces by which names look for names that contain them
 
-    Containment has no join key, so every distinct query meets every class; classes are sent in blocks of ``block``.
+
+def _grams(name: Column, longest_only: bool) -> Column:
+    """Distinct pieces of a name: of NAME_GRAM characters (or the whole of a shorter name), or of all lengths up to that."""
+    n = F.length(name)
+
+    def of(size: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(name, i, size))
+
+    if longest_only:
+        return F.array_distinct(of(F.least(n, F.lit(NAME_GRAM))))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(NAME_GRAM))), of)))
+
+
+def contained_names(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Distinct (part, whole) of ``inner.part`` and ``outer.whole``, non-empty, where the part lies inside the whole.
+
+    An inverted index of the wholes' pieces: each part probes with the one of its pieces that the fewest wholes have, and
+    what it finds is verified. A part with a piece that no whole has is done.
     """
-    q, n = F.col("query"), F.col("cls_name")
+    parts = inner.select("part").filter("length(part) > 0").distinct()
+    index = outer.select("whole").filter("length(whole) > 0").distinct().select("whole", F.explode(_grams(F.col("whole"), False)).alias("gram"))
+    held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    probes = parts.select("part", F.explode(_grams(F.col("part"), True)).alias("gram")).join(held, "gram", "left").groupBy("part").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).filter("g.n > 0")
+    return probes.select("part", F.col("g.gram").alias("gram")).join(index, "gram").filter(F.contains("whole", "part")).select("part", "whole").distinct()
+
+
+def match_class_names(queries: DataFrame, classes: DataFrame) -> DataFrame:
+    """Class id by name: exact match first, then containment either way, lowest id first; an empty name lies in every name."""
     names = queries.select("query").distinct()
-    prio = F.struct(F.when(q == n, 0).otherwise(1).alias("p"), F.col("cls").alias("c"))
-    blocks = max(1, -(-classes.count() // block))
-    hits = None
-    for i in range(blocks):
-        part = classes if blocks == 1 else classes.filter(F.pmod(F.xxhash64("cls", "cls_name"), F.lit(blocks)) == i)
-        hit = names.join(F.broadcast(part), (q == n) | F.contains(n, q) | F.contains(q, n)).groupBy("query").agg(
-            F.min(prio).alias("_m"))
-        hits = hit if hits is None else hits.unionByName(hit)
-    best = hits.groupBy("query").agg(F.min("_m").alias("_m"))
-    return names.join(best, "query", "left").select("query", F.col("_m.c").alias("cls"))
+    known = classes.filter("cls_name is not null").select("cls", "cls_name")
+    asked, told = names.select(F.col("query").alias("part")), known.select(F.col("cls_name").alias("whole"))
+    pairs = contained_names(asked, told).select(F.col("part").alias("query"), F.col("whole").alias("cls_name")).unionByName(
+        contained_names(told.withColumnRenamed("whole", "part"), asked.withColumnRenamed("part", "whole")).select(
+            F.col("whole").alias("query"), F.col("part").alias("cls_name")))
+    prio = F.min(F.struct(F.when(F.col("query") == F.col("cls_name"), 0).otherwise(1).alias("p"), F.col("cls").alias("c"))).alias("_m")
+    best = pairs.distinct().join(known, "cls_name").groupBy("query").agg(prio)
+    some = known.agg(  # names of no characters: the least class of all for an empty query, the least empty class for any
+        F.min(F.struct(F.when(F.col("cls_name") == "", 0).otherwise(1).alias("p"), F.col("cls").alias("c"))).alias("_all"),
+        F.min(F.when(F.col("cls_name") == "", F.struct(F.lit(1).alias("p"), F.col("cls").alias("c")))).alias("_blank"))
+    out = attach_row(names.join(best, "query", "left"), some)
+    found = F.when(F.col("query") == "", F.col("_all")).when(F.col("query").isNotNull(), F.least("_m", "_blank"))
+    return out.select("query", found["c"].alias("cls"))
 
 
 def one_hot_probability(

@@ -754,3 +754,20 @@ def test_joint_fit_of_folds_equals_separate_fits(spark):
     assert np.mean(same) > 0.97
     scores = L.fold_scores(df, "year", ["i"], "z", "cls", 3, 5).collect()
     assert len(scores) == 6 and sum(r.n_test for r in scores) == 240 and min(r.accuracy for r in scores) > 0.4
+
+
+def test_class_names_equal_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(0, 9)))
+    classes = [(i, word()) for i in range(40)] + [(50, None), (51, "abcabc"), (52, "abcabc")]
+    queries = [word() for _ in range(80)] + [None, "", "abcabc", "zzzz", "xabcabcx", "b"]
+    for known in (classes, [c for c in classes if c[1]]):
+        got = C.match_class_names(spark.createDataFrame([(q,) for q in queries], "query string"),
+                                  spark.createDataFrame(known, "cls int, cls_name string"))
+        expected = {}
+        for q in set(queries):
+            hits = [(n != q, i) for i, n in known if q is not None and n is not None and (n in q or q in n)]
+            expected[q] = min(hits)[1] if hits else None
+        assert {r["query"]: r["cls"] for r in got.collect()} == expected
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
