@@ -86,7 +86,7 @@ def a06(spark, sf):
 
 
 def registry_document(spark, sf):
-    """A registry as one JSON document, every field present."""
+    """A registry as JSON lines, every field present."""
     from ..session import shared_path
 
     path = shared_path(spark, "registry")
@@ -95,7 +95,7 @@ def registry_document(spark, sf):
         "'survey' as data_source", "if(contact_status = 'unclear', 'uncertain', contact_status) as development_contact_status",
         "'seen' as contact_evidence", "'test' as expected_role", "concat(area, '_a') as label_start_path",
         "concat(area, '_b') as label_end_path", "concat(area, '_p') as prediction_path", "'ok' as qc_status")
-    C.write_document(rows, path)
+    C.write_lines(rows, path)
     return path
 
 
@@ -106,13 +106,13 @@ def a06b(spark, sf):
 
     schema = StructType([StructField(c, StringType()) for c in (
         "area", "tier", "development_contact_status", "contact_evidence", "prediction_path")])
-    r = C.read_registry(spark, registry_document(spark, sf), schema)
+    r = C.read_registry(spark, registry_document(spark, sf), schema, lines=True)
     return r.select("area", "tier", F.col("development_contact_status").alias("status"), "prediction_path")
 
 
 @query("a06_missing_fields", sql("areas", "SELECT count(*) AS n, 'missing_field:notes' AS reason FROM areas"))
 def a06c(spark, sf):
-    lacks = C.missing_fields(spark, registry_document(spark, sf), "rows", (*C.REGISTRY_FIELDS, "notes", "zone"))
+    lacks = C.missing_fields(spark, registry_document(spark, sf), "rows", (*C.REGISTRY_FIELDS, "notes", "zone"), lines=True)
     return lacks.groupBy("reason").agg(F.count("*").alias("n")).select("n", "reason")
 
 
@@ -133,11 +133,11 @@ def a07(spark, sf):
     from ..session import shared_path
 
     path = shared_path(spark, "holdouts")
-    C.write_document(holdouts(spark, sf).selectExpr(
+    C.write_lines(holdouts(spark, sf).selectExpr(
         "concat('Area_', area_id) as area", "array(100.0D, 30.0D, 101.0D, 31.0D) as bbox", "stratum", "years", "'s' as data_source",
         "'r' as selection_reason", "'none' as development_contact_status", "'survey' as contact_evidence", "'e' as expected_role",
-        "'n' as notes"), path, "areas")
-    h = C.read_holdouts(spark, path)
+        "'n' as notes"), path)
+    h = C.read_holdouts(spark, path, lines=True)
     return h.select("area", "stratum", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
 
 
@@ -244,6 +244,15 @@ def a15b(spark, sf):
     return spark.read.schema("rows array<struct<area:string,tier:string>>").option("multiLine", True).json(path).select(F.inline("rows"))
 
 
+@query("a15_json_lines", sql("areas", "SELECT area, tier, stratum FROM areas"))
+def a15c(spark, sf):
+    from ..session import shared_path
+
+    path = shared_path(spark, "lines")
+    C.write_lines(B.areas(spark, sf).select("area", "tier", "stratum"), path)
+    return spark.read.schema("area string, tier string, stratum string").json(path)
+
+
 @query("a16_load_steps", sql("steps", """
 SELECT policy, count(*) AS n, round(sum(reward), 4) AS total FROM steps WHERE policy LIKE 'c%' OR policy LIKE 'pur%' GROUP BY policy"""))
 def a16(spark, sf):

@@ -163,20 +163,53 @@ HOLDOUT_FIELDS = (
 )
 
 
-def missing_fields(spark: SparkSession, path: str, array: str, required: Sequence[str]) -> DataFrame:
-    """(row_index, reason): rows of the document's array that lack a required field, with the first one by name."""
+DOCUMENT_BYTES = 64 << 20  # one JSON document is one value in one task; larger tables are JSON lines
+
+
+def _document_bytes(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def _check_document(size: int, path: str) -> None:
+    if size > DOCUMENT_BYTES:
+        raise CatalogError(f"{path}: a document of {size} bytes, over {DOCUMENT_BYTES}; use JSON lines (write_lines, lines=True)")
+
+
+def _json_rows(spark: SparkSession, path: str, array: str, schema: str | T.DataType, lines: bool) -> DataFrame:
+    """(row_index, r): the rows of a JSON file as ``schema``, from lines in any number of tasks or from one document's array.
+
+    Indexes of lines are ascending over the files, with gaps.
+    """
+    kind = schema if isinstance(schema, str) else schema.simpleString()
+    if lines:
+        text = spark.read.text(path).filter(F.trim("value") != "")
+        return text.select(F.monotonically_increasing_id().alias("row_index"), F.from_json("value", kind).alias("r"))
+    _check_document(_document_bytes(spark, path), path)
     text = spark.read.text(path, wholetext=True)
-    rows = F.from_json("value", f"{array} array<map<string,string>>")[array]
+    return text.select(F.posexplode(F.from_json("value", f"struct<`{array}`:array<{kind}>>")[array]).alias("row_index", "r"))
+
+
+def missing_fields(spark: SparkSession, path: str, array: str, required: Sequence[str], lines: bool = False) -> DataFrame:
+    """(row_index, reason): rows of the document's array, or lines, that lack a required field, with the first one by name."""
     lacks = F.filter(
         F.array(*[F.lit(f) for f in sorted(required)]), lambda f: ~F.coalesce(F.map_contains_key("r", f), F.lit(False)))
-    return text.select(F.posexplode(rows).alias("row_index", "r")).select("row_index", F.get(lacks, 0).alias("_f")).filter(
+    rows = _json_rows(spark, path, array, "map<string,string>", lines)
+    return rows.select("row_index", F.get(lacks, 0).alias("_f")).filter(
         "_f is not null").select("row_index", F.concat(F.lit("missing_field:"), "_f").alias("reason"))
 
 
 def write_document(rows: DataFrame, path: str, array: str = "rows") -> None:
-    """One JSON document {"<array>": [...]} of a report-sized table, rows in the order of their JSON text."""
-    one = F.concat_ws(",", F.array_sort(F.collect_list(F.to_json(F.struct("*")))))
-    rows.agg(F.concat(F.lit('{"' + array + '":['), one, F.lit("]}")).alias("value")).coalesce(1).write.text(path)
+    """One JSON document {"<array>": [...]} of a table of at most DOCUMENT_BYTES, rows in the order of their JSON text."""
+    text = rows.select(F.to_json(F.struct("*")).alias("j"))
+    _check_document(text.agg(F.sum(F.octet_length("j") + 1)).first()[0] or 0, path)
+    one = F.concat_ws(",", F.array_sort(F.collect_list("j")))
+    text.agg(F.concat(F.lit('{"' + array + '":['), one, F.lit("]}")).alias("value")).coalesce(1).write.text(path)
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """A table of any size as JSON lines: one object a row, as many files as tasks, NULL fields written."""
+    rows.write.option("ignoreNullFields", "false").json(path)
 
 
 def registry_violations(registry: DataFrame) -> DataFrame:
@@ -192,12 +225,10 @@ def registry_violations(registry: DataFrame) -> DataFrame:
     return registry.withColumn("reason", reason).filter("reason is not null")
 
 
-def read_registry(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Registry rows from a JSON document {"rows": [...]}; contract breaches raise."""
-    fail_if_any(missing_fields(spark, path, "rows", REGISTRY_FIELDS), "registry rows")
-    wrapped = T.StructType([T.StructField("rows", T.ArrayType(schema))])
-    doc = spark.read.schema(wrapped).option("multiLine", "true").json(path)
-    rows = doc.select(F.posexplode("rows").alias("row_index", "r")).select("row_index", "r.*")
+def read_registry(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """Registry rows from a JSON document {"rows": [...]} or from JSON lines; contract breaches raise."""
+    fail_if_any(missing_fields(spark, path, "rows", REGISTRY_FIELDS, lines), "registry rows")
+    rows = _json_rows(spark, path, "rows", schema, lines).select("row_index", "r.*")
     rows = rows.withColumns({
         c: F.trim(F.col(c)) for c in ("tier", "development_contact_status", "contact_evidence")
     })
@@ -227,11 +258,10 @@ def holdout_violations(h: DataFrame) -> DataFrame:
     return bad.unionByName(dup.select("area", F.lit("duplicate_area").alias("reason")))
 
 
-def read_holdouts(spark: SparkSession, path: str) -> DataFrame:
-    fail_if_any(missing_fields(spark, path, "areas", HOLDOUT_FIELDS), "holdout areas")
-    wrapped = T.StructType([T.StructField("areas", T.ArrayType(HOLDOUT_SCHEMA))])
-    doc = spark.read.schema(wrapped).option("multiLine", "true").json(path)
-    h = normalise_holdouts(doc.select(F.inline("areas")))
+def read_holdouts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Holdout areas from a JSON document {"areas": [...]} or from JSON lines; contract breaches raise."""
+    fail_if_any(missing_fields(spark, path, "areas", HOLDOUT_FIELDS, lines), "holdout areas")
+    h = normalise_holdouts(_json_rows(spark, path, "areas", HOLDOUT_SCHEMA, lines).select("r.*"))
     fail_if_any(holdout_violations(h), "holdout areas")
     return h
 

@@ -771,3 +771,23 @@ def test_class_names_equal_brute_force(spark):
         assert {r["query"]: r["cls"] for r in got.collect()} == expected
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_json_lines_and_the_bound_of_documents(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("A ", [1.0, 2.0, 3.0, 4.0], [2021, 2020]), ("b", [1.0, 2.0, 3.0, 4.0], [2020])], "area string, bbox array<double>, years array<int>")
+    full = rows.selectExpr("*", *(f"'{v}' as {c}" for c, v in (
+        ("stratum", "s"), ("data_source", "d"), ("selection_reason", "r"), ("development_contact_status", "none"),
+        ("contact_evidence", "e"), ("expected_role", "x"), ("notes", "n")))).repartition(2)
+    CAT.write_lines(full, str(tmp_path / "ok"))
+    got = CAT.read_holdouts(spark, str(tmp_path / "ok"), lines=True).collect()
+    assert sorted((r.area, tuple(r.years)) for r in got) == [("a", (2020, 2021)), ("b", (2020,))]
+    CAT.write_lines(full.drop("notes"), str(tmp_path / "bad"))
+    assert {r.reason for r in CAT.missing_fields(spark, str(tmp_path / "bad"), "areas", CAT.HOLDOUT_FIELDS, lines=True).collect()} == {"missing_field:notes"}
+    with pytest.raises(CAT.CatalogError):
+        CAT.read_holdouts(spark, str(tmp_path / "bad"), lines=True)
+    CAT.write_document(full, str(tmp_path / "doc"), "areas")
+    assert CAT.read_holdouts(spark, str(tmp_path / "doc")).count() == 2
+    monkeypatch.setattr(CAT, "DOCUMENT_BYTES", 50)
+    for act in (lambda: CAT.write_document(full, str(tmp_path / "no"), "areas"), lambda: CAT.read_holdouts(spark, str(tmp_path / "doc"))):
+        with pytest.raises(CAT.CatalogError, match="JSON lines"):
+            act()
