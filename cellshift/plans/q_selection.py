@@ -13,9 +13,9 @@ from ..operators.cells import bbox_grid_size, size_class
 from ..operators.ranking import attach_row
 from . import bindings as B
 from .q_catalog import _BOXD, _SIZE, attributes, boxes
+from .q_evaluate import METRIC_ROWS as _METRIC_ROWS
 from .q_gates import _SC, scored
 from .q_mapmetrics import METRIC_COLS
-from .q_evaluate import METRIC_ROWS as _METRIC_ROWS
 from .registry import query, sql
 
 AREA = ["area"]
@@ -177,16 +177,20 @@ def e23b(spark, sf):
 
 
 def candidates(spark, sf):
-    """Candidate x area metrics and one selection feature."""
-    return B.metric_rows(spark, sf).groupBy(F.col("method").alias("candidate"), "area").agg(
+    """Candidate x area metrics and one selection feature, for the areas that all candidates have whole rows of."""
+    rows = B.metric_rows(spark, sf).groupBy(F.col("method").alias("candidate"), "area").agg(
         F.round(F.avg("value") / 500.0, 6).alias("fom"), F.round(F.stddev_samp("value") / 500.0, 6).alias("change_f1"),
         F.round(F.avg(F.col("value") % 1), 6).alias("allocation_disagreement"),
         F.round(F.avg("user_id") / 150.0, 6).alias("feature"))
+    whole = rows.dropna().groupBy("area").agg(F.count("*").alias("n"))
+    whole = attach_row(whole, rows.agg(F.count_distinct("candidate").alias("all"))).filter("n = all").select("area")
+    return rows.join(whole, "area", "left_semi")
 
 
 _CAND = """
-cd AS (SELECT method AS candidate, area, round(avg(value)/500.0, 6) AS fom, round(stddev_samp(value)/500.0, 6) AS change_f1,
- round(avg(value % 1), 6) AS allocation_disagreement, round(avg(user_id)/150.0, 6) AS feature FROM metric_rows GROUP BY 1, 2)"""
+c0 AS (SELECT method AS candidate, area, round(avg(value)/500.0, 6) AS fom, round(stddev_samp(value)/500.0, 6) AS change_f1,
+ round(avg(value % 1), 6) AS allocation_disagreement, round(avg(user_id)/150.0, 6) AS feature FROM metric_rows GROUP BY 1, 2),
+cd AS MATERIALIZED (SELECT * FROM c0 WHERE area IN (SELECT area FROM c0 WHERE change_f1 IS NOT NULL GROUP BY area HAVING count(*) = (SELECT count(DISTINCT candidate) FROM c0)))"""
 
 
 @query("j07_leave_one_out_selection", sql("metric_rows", _CAND, """

@@ -791,3 +791,35 @@ def test_json_lines_and_the_bound_of_documents(spark, tmp_path, monkeypatch):
     for act in (lambda: CAT.write_document(full, str(tmp_path / "no"), "areas"), lambda: CAT.read_holdouts(spark, str(tmp_path / "doc"))):
         with pytest.raises(CAT.CatalogError, match="JSON lines"):
             act()
+
+
+def test_propensity_and_regions_and_decoder(spark):
+    """Model fits that SQL can't state, held by what they must recover."""
+    from cellshift.operators import learning as L
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        region = int(rng.integers(0, 3))
+        z = 8.0 * np.eye(3)[region] + rng.normal(size=3) * 0.3
+        treated = int(rng.random() < (0.9 if z[0] > 4 else 0.1))
+        rows.append((i, region, z.tolist(), float(z[0]), treated))
+    df = spark.createDataFrame(rows, "i int, cls int, z array<double>, x double, treated int").repartition(2)
+    cells, centres = L.region_partition(df, "z", 3, seed=1)
+    split = cells.groupBy("cls").agg(F.count_distinct("region").alias("n"), F.min("region").alias("r")).collect()
+    assert {r.n for r in split} == {1} and len({r.r for r in split}) == 3  # each cluster is one region
+    means = {tuple(np.round(c.centre, 6)) for c in centres.collect()}
+    own = {k: np.mean([r[2] for r in rows if r[1] == k], axis=0) for k in range(3)}
+    assert means == {tuple(np.round(v, 6)) for v in own.values()}
+    model = L.fit_decoder(df, "z", "cls")
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    got = L.decode(model, df, "z").collect()
+    for r in got:
+        logits = w @ np.array(r.z) + b
+        p = np.exp(logits - logits.max())
+        assert r.decoded_cls == int(logits.argmax()) and np.allclose([c.p for c in r.probs], p / p.sum(), atol=1e-9)
+    assert np.mean([r.decoded_cls == r.cls for r in got]) == 1.0
+    prop = L.cross_fitted_propensity(df, ["i"], ["x"], "treated").select("i", "x", "propensity").collect()
+    assert len(prop) == 300 and all(0 <= r.propensity <= 1 for r in prop)
+    high, low = (np.mean([r.propensity for r in prop if (r.x > 4) == side]) for side in (True, False))
+    assert high > 0.7 and low < 0.3
