@@ -65,6 +65,28 @@ def g01(spark, sf):
     return G.keep_fraction(scored(spark, sf), AREA, 0.6, sized_by=B.grid(spark, sf)).select(*OUT)
 
 
+@query("g01_keep_fraction_masked", sql("support", _SC, """
+mk AS (SELECT *, ((row + col) % 3 <> 0 AND pred_cls<>start_cls) AS mc FROM sc),
+k AS (SELECT area, round_even(count(*)*0.6::DOUBLE, 0) AS k FROM mk WHERE mc GROUP BY area),
+r AS (SELECT area, row, col, row_number() OVER (PARTITION BY area ORDER BY score DESC, row, col) AS rk FROM mk WHERE mc)""", """
+SELECT sc.area, sc.row, sc.col, CASE WHEN rk <= k THEN pred_cls ELSE start_cls END AS gated_cls
+FROM sc LEFT JOIN r USING (area,row,col) JOIN k ON k.area=sc.area"""))
+def g01_masked(spark, sf):
+    """The caller's mask decides which cells count, also those without a known class."""
+    mask = (F.col("row") + F.col("col")) % 3 != 0
+    return G.keep_fraction(scored(spark, sf), AREA, 0.6, sized_by=B.grid(spark, sf), valid=mask).select(*OUT)
+
+
+@query("g01_keep_fraction_all_cells", sql("support", _SC, """
+mk AS (SELECT *, pred_cls<>start_cls AS mc FROM sc),
+k AS (SELECT area, round_even(count(*)*0.6::DOUBLE, 0) AS k FROM mk WHERE mc GROUP BY area),
+r AS (SELECT area, row, col, row_number() OVER (PARTITION BY area ORDER BY score DESC, row, col) AS rk FROM mk WHERE mc)""", """
+SELECT sc.area, sc.row, sc.col, CASE WHEN rk <= k THEN pred_cls ELSE start_cls END AS gated_cls
+FROM sc LEFT JOIN r USING (area,row,col) JOIN k ON k.area=sc.area"""))
+def g01_all(spark, sf):
+    return G.keep_fraction(scored(spark, sf), AREA, 0.6, sized_by=B.grid(spark, sf), valid=F.lit(True)).select(*OUT)
+
+
 _SWEEP = """
 v AS (SELECT *, (pred_cls<>start_cls) AS c FROM grid WHERE start_cls<>0 AND end_cls<>0 AND pred_cls<>0),
 fr AS (SELECT fraction::DOUBLE AS fraction FROM (VALUES (0.2),(0.5),(0.8),(1.0)) x(fraction)),
