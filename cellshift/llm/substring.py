@@ -1,11 +1,11 @@
 """Removal of word runs that occur earlier in the corpus, by level-wise doubling.
 
-A window of ``size`` words can only repeat if its halves do. Level one looks at windows of size/2 words: every full
-window is stood for by the half window with the least hash inside it, which equal windows share, so only about one
-half window in six is counted. Full windows whose half window occurs once in the corpus are done; those left are
-extended to the full length and counted by the least document that holds them. Windows that are repeated at the full
-length alone can be extended to twice that length, and so on, which only reports longer repeats: what is to be removed
-is decided at the full length.
+A window of ``size`` words can only repeat if every shorter window inside it does. The levels go from a short length to
+``size``, each twice as long as the last (5, 10, 20 words). At each level every full window still in question is stood
+for by the least hash among the windows of the level's length inside it, which equal windows share, so a fraction of
+the windows is counted. Full windows whose representative occurs once in the corpus are done; those left go on to twice
+the length, and at ``size`` they are counted by the least document that holds them. The levels end there: what goes is
+decided at ``size``, and windows repeated at 2 * size, 4 * size and so on would only say that a repeat is longer.
 
 Exact copies of a text are set aside first by a 128-bit hash: of equal texts only the first one is looked at, all later
 ones of at least ``size`` words lose every word.
@@ -15,15 +15,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, ByteType, IntegerType, LongType, ShortType, StructType
 
 from .columns import fresh, without
 from .store import stored
 from .wordarrays import Words, as_long, slices, windows
 
 SIZE = 20
+SHORTEST = 5  # words of the first level at least; decides speed only
 
 
 def _least_in(g: np.ndarray, span: int) -> np.ndarray:
@@ -36,30 +37,43 @@ def _least_in(g: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def _halves(h: np.ndarray, row: np.ndarray, size: int):
-    """Hashes of the half windows, and for each full window inside a row its start and its least half window's hash."""
-    g, _ = windows(h, row, size // 2)
+def levels(size: int, shortest: int = SHORTEST) -> list[int]:
+    """Lengths below ``size``, ascending, each about half of the next: the first is ``shortest`` words or more, one is there always."""
+    out = [size // 2]
+    while out[0] // 2 >= shortest:
+        out.insert(0, out[0] // 2)
+    return out
+
+
+def _level(h: np.ndarray, row: np.ndarray, size: int, length: int):
+    """Hashes of the windows of ``length`` words, and for each full window inside a row its start and the least of them in it."""
+    g, _ = windows(h, row, length)
     n = len(h) - size + 1
     if n <= 0:
         return g, np.zeros(0, int), np.zeros(0, np.uint64)
-    least = _least_in(g, size - size // 2 + 1)[:n]
+    least = _least_in(g, size - length + 1)[:n]
     start = np.flatnonzero(row[size - 1 :] == row[:n])
     return g, start, least[start]
 
 
-def _representatives(words: Words, size: int):
-    """(row, half-window hash, found at two places of the row) for all full windows, each hash once a row."""
-    h = words.hashes()
-    g, start, least = _halves(h, words.row, size)
+def _representatives(words: Words, size: int, lengths: list[int], alone: pa.Array | None):
+    """(row, representative of the last of ``lengths``, found at two places of the row), each hash once a row.
+
+    Only full windows that no earlier level found ``alone`` are stood for.
+    """
+    h, length = words.hashes(), lengths[-1]
+    g, start, least = _level(h, words.row, size, length)
+    if len(lengths) > 1:
+        open_ = _open(words, h, size, lengths[:-1], alone)
+        start, least = start[open_], least[open_]
     if not len(start):
         return np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, bool)
     order = np.lexsort((least, words.row[start]))
     r, v = words.row[start][order], least[order]
     first = np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1]))
     r, v = r[first], v[first]
-    # places of those hashes among all half windows inside the row
-    half = size // 2
-    inside = np.flatnonzero(words.row[half - 1 :] == words.row[: len(g)])
+    # places of those hashes among all windows of the length inside the row
+    inside = np.flatnonzero(words.row[length - 1 :] == words.row[: len(g)])
     gi, ri = g[inside], words.row[inside]
     candidate = np.isin(gi, v)
     gi, ri = gi[candidate], ri[candidate]
@@ -94,14 +108,23 @@ def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.array(column.values, np.int64).view(np.uint64)[keep]
 
 
-def _alive(words: Words, size: int, alone: pa.Array):
-    """Start, hash and row of the full windows whose half window is not in ``alone``."""
+def _open(words: Words, h: np.ndarray, size: int, lengths: list[int], alone: pa.Array) -> np.ndarray:
+    """Which full windows have no representative of these levels in ``alone``."""
+    rows, values = _listed(alone)
+    left = None
+    for length in lengths:
+        _, start, least = _level(h, words.row, size, length)
+        fine = ~_pairs_in(words.row[start], least, rows, values)
+        left = fine if left is None else left & fine
+    return left
+
+
+def _alive(words: Words, size: int, lengths: list[int], alone: pa.Array):
+    """Start, hash and row of the full windows that every level left in question."""
     h = words.hashes()
-    _, start, least = _halves(h, words.row, size)
-    g, _ = windows(h, words.row, size)
-    row = words.row[start]
-    left = ~_pairs_in(row, least, *_listed(alone))
-    return start[left], g[start[left]], row[left]
+    g, inside = windows(h, words.row, size)
+    start = np.flatnonzero(inside)[_open(words, h, size, lengths, alone)]
+    return start, g[start], words.row[start]
 
 
 def _each_first(row: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -143,9 +166,17 @@ def _cut_out(words: Words, gone: np.ndarray) -> pa.Array:
         len(words.count), pa.py_buffer(total.astype(np.int64)), pa.py_buffer(words.data[keep])).cast(pa.string())
 
 
+def _numbered(docs: DataFrame, key: str, name: str) -> tuple[DataFrame, Column]:
+    """``docs`` with numbers in the order of their keys, for keys that are no integers; NULL has none."""
+    at = fresh(docs, "_at")
+    order = stored(docs.select(F.col(key).alias(at)).where(F.col(at).isNotNull()).distinct().sort(at).withColumn(
+        name, F.monotonically_increasing_id()), "keys")
+    return docs.join(order, F.col(key) == F.col(at), "left"), F.col(name)
+
+
 def deduplicated(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, joined: bool = False,
-    names: tuple[str, str, str, str] = ("n_words", "n_removed", "removed", "kept"),
+    names: tuple[str, str, str, str] = ("n_words", "n_removed", "removed", "kept"), shortest: int = SHORTEST,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed``, ``removed`` (word ranges [from, to)) and ``kept``, the text that stays.
 
@@ -156,40 +187,55 @@ def deduplicated(
     ``kept`` is the text without the removed words, or its kept words joined by one blank if ``joined``. NULL text has
     no words and an empty ``kept``. NULL keys come after all others, in the order of a hash of the text. Rows of one
     key and text count as one document and get the same result; of different texts under one key none is earlier.
-    Integer keys are expected to tell documents apart but for a few repeats.
+    Keys may be of any type that sorts; they are expected to tell documents apart but for a few repeats. ``shortest`` is
+    the least length of the first level and has no bearing on the result.
     """
     docs = without(docs, *names)
     if size < 2:
         raise ValueError("a window has two words at least")
-    own, ka, kb, o, fa, fb, la, le = (
-        fresh(docs, x) for x in ("_own", "_ka", "_kb", "own", "_fa", "_fb", "_alone", "_earliest"))
+    own, ka, kb, o, fa, fb, la, lb, le = (
+        fresh(docs, x) for x in ("_own", "_ka", "_kb", "own", "_fa", "_fb", "_alone", "_also", "_earliest"))
     body = F.coalesce(F.col(text), F.lit(""))
     tagged = docs.withColumn(ka, F.xxhash64(body)).withColumn(kb, F.xxhash64(F.lit(7), body))
-    tagged = tagged.withColumn(own, F.coalesce(
-        F.col(key).cast("long"), F.lit(2**62) + F.col(ka).bitwiseAND(F.lit(2**61 - 1))))
+    number = F.col(key).cast("long")
+    if not isinstance(docs.schema[key].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        tagged, number = _numbered(tagged, key, fresh(tagged, "_number"))
+    tagged = tagged.select(*docs.columns, ka, kb, F.coalesce(
+        number, F.lit(2**62) + F.col(ka).bitwiseAND(F.lit(2**61 - 1))).alias(own))
     columns, at = tagged.columns, docs.columns.index(text)
     width = len(columns)
-
-    def represent(batches):
-        for whole in batches:
-            for b in slices(whole, text):
-                r, v, multi = _representatives(Words(b.column(at)), size)
-                take = pa.array(r, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [as_long(v), b.column(width - 3).take(take), b.column(width - 1).take(take), pa.array(multi)],
-                    names=["h", "k", "own", "multi"])
-
-    half = tagged.mapInArrow(represent, "h long, k long, own long, multi boolean").groupBy("h").agg(
-        F.min("k").alias("k"), F.max("k").alias("k2"), F.min("own").alias("own"), F.max("multi").alias("multi"))
-    alone = half.where("k = k2 AND NOT multi").groupBy(F.col("own").alias(o)).agg(F.collect_list("h").alias(la))
-    firsts = tagged.groupBy(F.col(ka).alias(fa), F.col(kb).alias(fb)).agg(F.min(own).alias(o))
-    known = stored(firsts.join(alone, o, "left"), "half-windows")
+    lengths = levels(size, shortest)
     mine = (F.col(own) == F.col(o)) & (F.col(ka).bitwiseXOR(F.col(fa)) == 0) & (F.col(kb).bitwiseXOR(F.col(fb)) == 0)
 
+    def represent(upto):
+        def run(batches):
+            for whole in batches:
+                for b in slices(whole, text):
+                    listed = b.column(width + 3) if len(upto) > 1 else None
+                    r, v, multi = _representatives(Words(b.column(at)), size, upto, listed)
+                    take = pa.array(r, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [as_long(v), b.column(width - 3).take(take), b.column(width - 1).take(take), pa.array(multi)],
+                        names=["h", "k", "own", "multi"])
+        return run
+
+    known = None
+    for i in range(len(lengths)):
+        rows = tagged if known is None else tagged.join(known, mine).select(*columns, o, fa, fb, la)
+        seen = rows.mapInArrow(represent(lengths[: i + 1]), "h long, k long, own long, multi boolean").groupBy("h").agg(
+            F.min("k").alias("k"), F.max("k").alias("k2"), F.min("own").alias("own"), F.max("multi").alias("multi"))
+        alone = seen.where("k = k2 AND NOT multi").groupBy(F.col("own").alias(o)).agg(F.collect_list("h").alias(la))
+        if known is None:
+            firsts = tagged.groupBy(F.col(ka).alias(fa), F.col(kb).alias(fb)).agg(F.min(own).alias(o))
+            known = stored(firsts.join(alone, o, "left"), "level")
+        else:
+            known = known.join(alone.withColumnRenamed(la, lb), o, "left").select(o, fa, fb, F.when(F.col(lb).isNull(), F.col(la)).when(
+                F.col(la).isNull(), F.col(lb)).otherwise(F.concat(la, lb)).alias(la))
+
     def extend(batches):
         for whole in batches:
             for b in slices(whole, text):
-                start, code, row = _alive(Words(b.column(at)), size, b.column(width + 3))
+                start, code, row = _alive(Words(b.column(at)), size, lengths, b.column(width + 3))
                 new = _each_first(row, code)
                 yield pa.RecordBatch.from_arrays(
                     [as_long(code[new]), b.column(width - 1).take(pa.array(row[new], pa.int64()))], names=["h", "own"])
@@ -204,7 +250,7 @@ def deduplicated(
         for whole in batches:
             for b in slices(whole, text):
                 words = Words(b.column(at))
-                start, code, row = _alive(words, size, b.column(width + 1))
+                start, code, row = _alive(words, size, lengths, b.column(width + 1))
                 held = _pairs_in(row, code, *_listed(b.column(width + 2))) & _each_first(row, code)
                 gone = _taken(start[~held], len(words.start), size)
                 copy = ~np.array(b.column(width).is_valid()) & (words.count >= size)
