@@ -159,12 +159,13 @@ def jaccard_components(
     sampled = stored(hashed.mapInArrow(sets, f"key {kind}, hash long, n long, ka long, kb long, low array<long>"), "shingle-sets")
     base = stored(sampled.drop("low"), "set-keys")
     head = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
-    first = [F.min(head).alias("first")] if leader else []
-    reps = base.where("n > 0").groupBy("ka", "kb").agg(F.min("key").alias("rep"), F.min("n").alias("n"), *first)
+    reps = base.where("n > 0").groupBy("ka", "kb").agg(F.min(head).alias("first"), F.min("n").alias("n")).withColumn(
+        "rep", F.col("first.key"))
     once = sampled.select("ka", F.explode("low").alias("h")).groupBy("h").agg(F.min("ka").alias("ka"), F.max("ka").alias("k2"))
     lone = once.where("ka = k2").groupBy("ka").agg(F.count(F.lit(1)).alias("lone"))
     room = F.expr(f"n - (({percent} * n + 99) div 100)")
-    left = reps.join(lone, "ka", "left").where(F.coalesce("lone", F.lit(0)) <= room).select("rep", "ka", "kb")
+    left = reps.join(lone, "ka", "left").where(F.coalesce("lone", F.lit(0)) <= room).select(
+        "rep", F.col("first.hash").alias("code"), "ka", "kb")
 
     def full(batches):
         for whole in batches:
@@ -176,8 +177,8 @@ def jaccard_components(
                 yield pa.RecordBatch.from_arrays(
                     [as_long(a[same]), as_long(c[same]), lists(codes[mine].view(np.int64), n[same])], names=["ka", "kb", "codes"])
 
-    again = join_narrow(plain, left, F.col("key").eqNullSafe(F.col("rep")), "inner", "partnered").select(
-        "key", "text", "ka", "kb")
+    same_row = F.col("key").eqNullSafe(F.col("rep")) & (F.col("hash") == F.col("code"))
+    again = join_narrow(hashed, left, same_row, "inner", "partnered").select("key", "text", "ka", "kb")
     drop(sampled)
     texts = stored(again.mapInArrow(full, "ka long, kb long, codes array<long>").withColumn(
         "id", F.monotonically_increasing_id()), "candidates")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-SMALL_ROWS = 1_000_000  # narrow rows (a few numbers each) that are broadcast at most
+SMALL_BYTES = 64 << 20  # of a broadcast side's values at most
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -33,7 +33,14 @@ def drop(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def value_bytes(df: DataFrame) -> int:
+    """Bytes of all values: the lengths of strings and binaries, 8 for each of the others."""
+    wide = [F.octet_length(f.name) for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    row = sum((F.coalesce(w, F.lit(0)).cast("long") for w in wide), F.lit(8 * len(df.columns)).cast("long"))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
 def join_narrow(df: DataFrame, narrow: DataFrame, on: Column, how: str, name: str) -> DataFrame:
-    """Join with a side of narrow rows, written and counted first: broadcast up to SMALL_ROWS, else shuffled."""
+    """Join with a side of narrow rows, written and measured first: broadcast up to SMALL_BYTES, else shuffled."""
     side = stored(narrow, name)
-    return df.join(F.broadcast(side) if side.count() <= SMALL_ROWS else side, on, how)
+    return df.join(F.broadcast(side) if value_bytes(side) <= SMALL_BYTES else side, on, how)
