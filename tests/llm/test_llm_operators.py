@@ -337,6 +337,13 @@ def test_containment_with_edits_and_blocks(spark, monkeypatch, docs):
     assert rows(got, *got.columns) == brute.contained(texts, items, 80)
 
 
+def test_many_rows_without_id_and_text_links(spark):
+    base = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(40)]
+    rows_ = [(None, t) for t in base for _ in range(50)] + [(None, t + " end") for t in base]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows_, "doc_id long, text string"), leader=True).collect()
+    assert len(got) == len(rows_) and len({r.leader_hash for r in got}) == 40
+
+
 # 8 substrings
 
 def test_removed_words(odd, none):
@@ -363,6 +370,46 @@ def test_removed_words_random(spark):
             assert r_.n_removed == sum(expected[r_.doc_id, r_.text]), (size, r_.doc_id)
 
 
+def _repeating(seed: int, n: int) -> list[str]:
+    """Texts that share passages of all lengths up to 120 words."""
+    r = random.Random(seed)
+    passages = [[r.choice("abcdefgh") for _ in range(r.randint(1, 120))] for _ in range(12)]
+    out = []
+    for _ in range(n):
+        words = []
+        for _ in range(r.randint(0, 6)):
+            p = r.choice(passages)
+            a = r.randint(0, len(p) - 1)
+            words += p[a : r.randint(a, len(p))] + [r.choice("abcdefgh") for _ in range(r.randint(0, 40))]
+        out.append(" ".join(words))
+    return out + out[:5]
+
+
+@pytest.mark.parametrize("size, shortest", [(2, 1), (3, 1), (7, 1), (20, 1), (20, 5), (50, 3), (50, 25)])
+def test_removed_words_whatever_the_levels(spark, size, shortest):
+    texts = list(enumerate(_repeating(size, 80)))
+    expected = brute.removed(texts, size)
+    got = substring.deduplicated(spark.createDataFrame(texts, "doc_id long, text string"), size=size, shortest=shortest)
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {i: sum(expected[i, t]) for i, t in texts}
+    assert any(map(sum, expected.values()))
+
+
+def test_levels_double():
+    assert substring.levels(20) == [5, 10] and substring.levels(50, 1) == [1, 3, 6, 12, 25] and substring.levels(2) == [1]
+
+
+def test_removed_words_with_text_keys(spark):
+    texts = [(f"k{i * 7919 % 97}", t) for i, t in enumerate(_repeating(3, 60))]
+    expected = brute.removed(texts, 7)
+    d = spark.createDataFrame(texts + [(None, texts[3][1])], "doc_id string, text string")
+    got = substring.deduplicated(d, size=7)
+    assert got.columns == ["doc_id", "text", "n_words", "n_removed", "removed", "kept"]
+    rows_ = got.collect()
+    assert {r.doc_id: r.n_removed for r in rows_ if r.doc_id} == {i: sum(expected[i, t]) for i, t in texts}
+    gone = [r for r in rows_ if r.doc_id is None]
+    assert len(gone) == 1 and (gone[0].n_words < 7 or gone[0].n_removed == gone[0].n_words)
+
+
 def test_text_without_removal_is_unchanged(docs):
     got = substring.deduplicated(docs, size=50)
     assert got.where("n_removed = 0 AND NOT (kept <=> text)").count() == 0
