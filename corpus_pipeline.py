@@ -17,8 +17,8 @@ from cellshift.llm.store import join_narrow, stored
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are good with a posterior probability of at least one half."""
     q, p, kept = (fresh(docs, x) for x in ("_measures", "_probability", "_kept"))
-    measured = quality.measures(docs, "text", q)
-    model = quality.fit(stored(measured.select(q), "quality"), q)
+    measured = stored(quality.measures(docs, "text", q), "measured")  # read twice, measured once
+    model = quality.fit(measured, q)
     return quality.judge(measured, q, model, p, kept).where(kept).select(*docs.columns)
 
 
