@@ -20,8 +20,8 @@ POS = ("row", "col")
 
 def mean_cosine(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Mean cosine per key; zero-norm pairs are skipped, 0 when none is left."""
-    return pairs.groupBy(*keys).agg(
-        F.coalesce(F.avg(V.cosine(a, b)), F.lit(0.0)).alias("mean_cosine"), F.count(F.lit(1)).alias("n")
+    return pairs.select(*keys, V.batch_cosine(a, b).alias("_s")).groupBy(*keys).agg(
+        F.coalesce(F.avg("_s"), F.lit(0.0)).alias("mean_cosine"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -34,14 +34,14 @@ def mean_vector(cells: DataFrame, keys: Sequence[str], vec: Column, out: str = "
 
 def distance_profile(pairs: DataFrame, keys: Sequence[str], a: str, b: str, metric: str) -> DataFrame:
     """Mean, max, p95, p50 and population deviation of the cell distances."""
-    d = pairs.select(*keys, V.distance(a, b, metric).alias("_d"))
+    d = pairs.select(*keys, V.batch_distance(a, b, metric).alias("_d"))
     aggs = [F.avg("_d").alias("mean"), F.max("_d").alias("max"), F.stddev_pop("_d").alias("std")]
     return group_agg(d, keys, aggs, "_d", {"p95": 0.95, "p50": 0.5})
 
 
 def hotspots(pairs: DataFrame, keys: Sequence[str], a: str, b: str, metric: str, q: float = 0.9) -> DataFrame:
     """Cells at or above the q-quantile distance: count and percent."""
-    d = pairs.select(*keys, V.distance(a, b, metric).alias("_d"))
+    d = pairs.select(*keys, V.batch_distance(a, b, metric).alias("_d"))
     st = group_stats(d, keys)
     cut = group_agg(d, keys, [], "_d", {"_t": q}, stats=st)
     j = join_small(d, cut, keys, st.groups, "inner")
@@ -103,7 +103,7 @@ def forecast_advantage(
 
     Changing cells lie below the q-quantile of persistence of their key.
     """
-    d = triples.select(*keys, V.cosine(start, end).alias("_p"), V.cosine(forecast, end).alias("_m"))
+    d = triples.select(*keys, V.batch_cosine(start, end).alias("_p"), V.batch_cosine(forecast, end).alias("_m"))
     d = d.filter(F.col("_p").isNotNull())
     st = group_stats(d, keys)
     cut = group_agg(d, keys, [], "_p", {"_t": q}, stats=st)
@@ -129,9 +129,10 @@ def multistep(cells: DataFrame, forecasts: DataFrame, keys: Sequence[str], vec:
     j = y.join(f, [*keys, *POS, "next_year"])
     j = join_small(j, first, keys, how="inner").withColumn("step", F.col("next_year") - F.col("_y0"))
     nv = f"next_{vec}"
+    j = j.select(*keys, "step", V.batch_cosine(vec, nv).alias("_p"), V.batch_cosine(fvec, nv).alias("_m"))
     return j.groupBy(*keys, "step").agg(
-        F.avg(V.cosine(vec, nv)).alias("persistence"), F.avg(V.cosine(fvec, nv)).alias("model"),
-        (F.avg(V.cosine(fvec, nv)) - F.avg(V.cosine(vec, nv))).alias("advantage"),
+        F.avg("_p").alias("persistence"), F.avg("_m").alias("model"),
+        (F.avg("_m") - F.avg("_p")).alias("advantage"),
     )
 
 
@@ -141,7 +142,7 @@ def decay(cells: DataFrame, keys: Sequence[str], vec: str, threshold: float = 0.
     c = join_small(cells, first, keys, how="inner")
     base = c.filter("year = _y0").select(*keys, *POS, F.col(vec).alias("_base"))
     j = c.filter("year > _y0").join(base, [*keys, *POS])
-    j = j.select(*keys, (F.col("year") - F.col("_y0")).alias("step"), V.cosine("_base", vec).alias("_s"))
+    j = j.select(*keys, (F.col("year") - F.col("_y0")).alias("step"), V.batch_cosine("_base", vec).alias("_s"))
     ch = F.col("_s") < threshold
     return j.groupBy(*keys, "step").agg(
         F.count(F.lit(1)).alias("n"), F.avg("_s").alias("mean_cosine"),

@@ -823,3 +823,14 @@ def test_propensity_and_regions_and_decoder(spark):
     assert len(prop) == 300 and all(0 <= r.propensity <= 1 for r in prop)
     high, low = (np.mean([r.propensity for r in prop if (r.x > 4) == side]) for side in (True, False))
     assert high > 0.7 and low < 0.3
+
+
+def test_vector_kernels_equal_the_expressions(spark):
+    from cellshift.functions import vectors as V
+    rows = [([1.0, 2.0], [2.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0]), ([1.0], None), ([1.0, None], [1.0, 2.0]),
+            ([1.0], [1.0, 2.0]), ([], []), ([3.0, 0.5, 1.0], [1.0, 2.0, 3.0]), ([0.1] * 70, [0.3] * 70)]
+    d = spark.createDataFrame(rows * 3, "a array<double>, b array<double>").coalesce(1)
+    for part in (d, d.where("get(a, 1) = 2.0"), d.where("false"), d.selectExpr("cast(a as array<float>) a", "b")):
+        for plain, batch in [(V.cosine("a", "b"), V.batch_cosine("a", "b"))] + [
+                (V.distance("a", "b", m), V.batch_distance("a", "b", m)) for m in ("cosine", "euclidean", "manhattan")]:
+            assert part.select((~plain.eqNullSafe(batch)).alias("x")).where("x").count() == 0
